@@ -8,12 +8,13 @@ characters. Labels say only whether a document is toxic. Grade 0 is "not toxic";
 the higher grades by the share of their words that speak for toxicity, in equal parts.
 
 The model is fitted on at most FIT_ROWS labelled documents, those with the smallest hash of doc_id; features are
-counted there by a Spark aggregation, and only the FEATURES strongest are sent to the driver with the rows.
+counted there by a Spark aggregation, and only the FEATURES that speak for toxicity most are sent to the driver with the rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -27,8 +28,8 @@ GRADES = 4
 FIT_ROWS = 20_000
 FEATURES = 4096
 PREFIXES = (4, 5, 6)
-#: Documents of either class, at least, in which a feature must be, and the least z score of its log odds.
-LEAST_ROWS, LEAST_Z = 3, 5.0
+#: Contexts, at least, that a feature must have, and the least signed root of its likelihood ratio.
+LEAST_ROWS, LEAST_Z = 3, 4.5
 
 
 def features(text: str | None) -> tuple[Counter, int]:
@@ -42,6 +43,24 @@ def features(text: str | None) -> tuple[Counter, int]:
     return found, len(row)
 
 
+def contexts(text: str) -> dict[str, int]:
+    """For each feature the word before its first occurrence, as a number.
+
+    Features are counted by contexts, not by documents, when the strongest are chosen: in copies of a toxic document
+    every word has one context, however many copies there are.
+    """
+    out, last = {}, ""
+    for word in text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).decode("utf-8", "surrogatepass").split():
+        if word not in out:
+            at = zlib.crc32(last.encode("utf-8", "surrogatepass"))
+            out[word] = at
+            for size in PREFIXES:
+                if len(word) >= size:
+                    out.setdefault(word[:size] + "*", at)
+        last = word
+    return out
+
+
 def values(found: Counter, weights: dict) -> dict:
     """The features with a weight: log1p of their count."""
     return {k: math.log1p(found[k]) for k in found.keys() & weights.keys()}
@@ -59,7 +78,7 @@ class Ordinal:
         return [1 / (1 + math.exp(min(700.0, max(-700.0, t - score)))) for t in self.thresholds]
 
 
-def fit(rows: list[tuple[dict[str, float], int]], names: list[str], grades: int = GRADES, steps: int = 400, l2: float = 1e-3) -> Ordinal:
+def fit(rows: list[tuple[dict[str, float], int]], names: list[str], grades: int = GRADES, steps: int = 400, l2: float = 1e-4) -> Ordinal:
     """Gradient descent (Adam) on the negative log likelihood of (features, grade) rows, from zero."""
     place = {n: i for i, n in enumerate(sorted(names))}
     at = np.concatenate([[0], np.cumsum([len(x) for x, _ in rows])]).astype(int)
@@ -88,7 +107,8 @@ def fit(rows: list[tuple[dict[str, float], int]], names: list[str], grades: int
         later = np.cumsum(dtheta[::-1])[::-1]
         g = np.concatenate([np.bincount(column, slope[row] * value, len(place)) + l2 * w, [later[0]], later[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        p = p - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        p = p - 0.05 * min(1.0, 2 - 2 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        p[: len(place)] = np.maximum(p[: len(place)], 0)  # every feature speaks for toxicity
     theta = p[len(place)] + np.concatenate([[0], np.cumsum(np.exp(p[len(place) + 1 :]))])
     return Ordinal({k: float(p[i]) for k, i in place.items()}, [float(t) for t in theta])
 
@@ -110,23 +130,30 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
             out = []
             for r in rows:
                 found, n = features(r["text"])
-                out.append({"toxic": r["toxic"], "words": n, "names": list(found), "counts": list(found.values())})
+                before = contexts(r["text"])
+                out.append({"toxic": r["toxic"], "words": n, "names": list(found), "counts": list(found.values()), "before": [before[k] for k in found]})
             return out
 
         return run
 
-    counted = map_texts(sample, make, "toxic int, words long, names array<string>, counts array<long>").persist()
+    counted = map_texts(sample, make, "toxic int, words long, names array<string>, counts array<long>, before array<long>").persist()
     toxic, rows = (x or 0 for x in counted.agg(F.sum("toxic"), F.count("*")).first())
     if not toxic or toxic == rows:
         counted.unpersist()
         return Ordinal({}, [math.inf if not toxic else -math.inf] * (grades - 1))
-    by = counted.select("toxic", F.explode("names").alias("name")).groupBy("name").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    bad, good = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
-    odds = F.log(bad / (toxic + 1 - bad)) - F.log(good / (rows - toxic + 1 - good))
-    z = odds / F.sqrt(1 / bad + 1 / good)
-    strong = by.where((F.col("n") >= LEAST_ROWS)).select("name", z.alias("z"), "t", "n").where(F.abs("z") >= LEAST_Z)
-    strong = strong.orderBy(F.desc(F.abs("z")), "name").limit(FEATURES).collect()
-    clear = {r.name for r in strong if r.z > 0 and r.t >= 0.9 * r.n}
+    seen = counted.select("toxic", F.explode(F.arrays_zip("names", "before")).alias("x")).select("toxic", "x.*").distinct()
+    by = seen.groupBy(F.col("names").alias("name")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    # signed root of the likelihood ratio between "depends on toxicity" and "does not"
+    cells = [(F.col("t"), toxic), (F.col("n") - F.col("t"), rows - toxic)]
+    gain = F.lit(0.0)
+    for seen, among in cells:
+        expected = F.col("n") * (among / rows)
+        gain = gain + F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+        gain = gain + F.when(seen < among, (among - seen) * F.log((among - seen) / (among - expected))).otherwise(0.0)
+    z = F.sqrt(F.greatest(2 * gain, F.lit(0.0))) * F.when(F.col("t") * rows >= F.col("n") * toxic, 1).otherwise(-1)
+    strong = by.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < rows)).select("name", z.alias("z"), "t", "n").where(F.col("z") >= LEAST_Z)
+    strong = strong.orderBy(F.desc("z"), "name").limit(FEATURES).collect()
+    clear = {r.name for r in strong if r.t >= 0.9 * r.n}
     names = [r.name for r in strong]
     kept = F.filter(F.arrays_zip("names", "counts"), lambda x: x["names"].isin(names)) if names else F.array()
     data = counted.select("toxic", "words", kept.alias("kept")).collect()
