@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pareframe.llm import chat, decontaminate, exact, language, licences, pieces, pii, toxicity
+from pareframe.llm import chat, decontaminate, exact, language, licences, ngrams, pieces, pii, toxicity
 from pareframe.sources.tables import table
 
 #: A conversation whose texts hold control strings.
@@ -32,6 +32,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_report(table(spark, sf_dir, "documents"), model_path())
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_exact_dedup, op3_language_id, op4_sentencepiece, op6_licence_scan, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_pii]
+    found = [op2_exact_dedup, op3_language_id, op4_sentencepiece, op5_ngram_join, op6_licence_scan, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_pii]
     return {f.__name__: f for f in found}
 
 

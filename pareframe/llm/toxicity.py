@@ -5,7 +5,7 @@ thresholds, which stay in order. The expected severity is the sum over k of P(gr
 
 Features are words (A-Z lower-cased; letters, digits and anything beyond ASCII) and their beginnings of PREFIXES
 characters. Labels say only whether a document is toxic. Grade 0 is "not toxic"; toxic documents are spread over
-the higher grades by the share of their words that speak for toxicity, in equal parts.
+the higher grades, in equal parts, by the sum of their features that speak for toxicity clearly.
 
 The model is fitted on at most FIT_ROWS labelled documents, those with the smallest hash of doc_id; features are
 counted there by a Spark aggregation, and only the FEATURES that speak for toxicity most are sent to the driver with the rows.
@@ -158,7 +158,7 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
     kept = F.filter(F.arrays_zip("names", "counts"), lambda x: x["names"].isin(names)) if names else F.array()
     data = counted.select("toxic", "words", kept.alias("kept")).collect()
     counted.unpersist()
-    share = [sum(x["counts"] for x in r.kept if x["names"] in clear) / max(1, r.words) for r in data]
+    share = [sum(math.log1p(x["counts"]) for x in r.kept if x["names"] in clear) for r in data]
     cuts = np.quantile([s for s, r in zip(share, data, strict=True) if r.toxic], np.arange(1, grades - 1) / (grades - 1))
     graded = sorted((sorted((x["names"], math.log1p(x["counts"])) for x in r.kept), int(1 + np.searchsorted(cuts, s)) if r.toxic else 0) for s, r in zip(share, data, strict=True))
     return fit([(dict(x), g) for x, g in graded], names, grades)
