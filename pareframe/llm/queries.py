@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pareframe.llm import chat, decontaminate, exact, language, licences, ngrams, pieces, pii, toxicity
+from pareframe.llm import chat, decontaminate, exact, language, licences, linededup, ngrams, pieces, pii, toxicity
 from pareframe.sources.tables import table
 
 #: A conversation whose texts hold control strings.
@@ -20,6 +20,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_exact_dedup, op3_language_id, op4_sentencepiece, op5_ngram_join, op6_licence_scan, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_pii]
+    found = [op1_line_dedup, op2_exact_dedup, op3_language_id, op4_sentencepiece, op5_ngram_join, op6_licence_scan, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_pii]
     return {f.__name__: f for f in found}
 
 
