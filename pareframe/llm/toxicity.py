@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from pareframe.llm.decontaminate import WORD_BYTES
 from pareframe.llm.rows import map_texts
+from pareframe.sources.tables import keep
 
 GRADES = 4
 FIT_ROWS = 20_000
-FEATURES = 4096
+FEATURES = 2048
 PREFIXES = (4, 5, 6)
 #: Contexts, at least, that a feature must have, and the least signed root of its likelihood ratio.
 LEAST_ROWS, LEAST_Z = 3, 4.5
@@ -123,45 +124,51 @@ def _sample(documents: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades: int = GRADES) -> Ordinal:
     """A model of severity. Without any toxic label nothing is severe: no weights, and high thresholds."""
-    sample = _sample(documents, labels, bound)
+    sample = keep(_sample(documents, labels, bound))
+    toxic, rows = (x or 0 for x in sample.agg(F.sum("toxic"), F.count("*")).first())
+    if not toxic or toxic == rows:
+        return Ordinal({}, [math.inf if not toxic else -math.inf] * (grades - 1))
 
-    def make():
-        def run(rows: list[dict]) -> list[dict]:
-            out = []
-            for r in rows:
-                found, n = features(r["text"])
-                before = contexts(r["text"])
-                out.append({"toxic": r["toxic"], "words": n, "names": list(found), "counts": list(found.values()), "before": [before[k] for k in found]})
-            return out
+    def make_contexts():
+        def run(batch: list[dict]) -> list[dict]:
+            return [{"toxic": r["toxic"], "names": list(c), "before": list(c.values())} for r in batch for c in [contexts(r["text"])]]
 
         return run
 
-    counted = map_texts(sample, make, "toxic int, words long, names array<string>, counts array<long>, before array<long>").persist()
-    toxic, rows = (x or 0 for x in counted.agg(F.sum("toxic"), F.count("*")).first())
-    if not toxic or toxic == rows:
-        counted.unpersist()
-        return Ordinal({}, [math.inf if not toxic else -math.inf] * (grades - 1))
-    seen = counted.select("toxic", F.explode(F.arrays_zip("names", "before")).alias("x")).select("toxic", "x.*").distinct()
+    pairs = map_texts(sample, make_contexts, "toxic int, names array<string>, before array<long>")
+    seen = pairs.select("toxic", F.explode(F.arrays_zip("names", "before")).alias("x")).select("toxic", "x.*").distinct()
     by = seen.groupBy(F.col("names").alias("name")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     # signed root of the likelihood ratio between "depends on toxicity" and "does not"
-    cells = [(F.col("t"), toxic), (F.col("n") - F.col("t"), rows - toxic)]
     gain = F.lit(0.0)
-    for seen, among in cells:
+    for mine, among in ((F.col("t"), toxic), (F.col("n") - F.col("t"), rows - toxic)):
         expected = F.col("n") * (among / rows)
-        gain = gain + F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-        gain = gain + F.when(seen < among, (among - seen) * F.log((among - seen) / (among - expected))).otherwise(0.0)
+        gain = gain + F.when(mine > 0, mine * F.log(mine / expected)).otherwise(0.0)
+        gain = gain + F.when(mine < among, (among - mine) * F.log((among - mine) / (among - expected))).otherwise(0.0)
     z = F.sqrt(F.greatest(2 * gain, F.lit(0.0))) * F.when(F.col("t") * rows >= F.col("n") * toxic, 1).otherwise(-1)
     strong = by.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < rows)).select("name", z.alias("z"), "t", "n").where(F.col("z") >= LEAST_Z)
     strong = strong.orderBy(F.desc("z"), "name").limit(FEATURES).collect()
+    names = sorted(r.name for r in strong)
     clear = {r.name for r in strong if r.t >= 0.9 * r.n}
-    names = [r.name for r in strong]
-    kept = F.filter(F.arrays_zip("names", "counts"), lambda x: x["names"].isin(names)) if names else F.array()
-    data = counted.select("toxic", "words", kept.alias("kept")).collect()
-    counted.unpersist()
-    share = [sum(math.log1p(x["counts"]) for x in r.kept if x["names"] in clear) for r in data]
-    cuts = np.quantile([s for s, r in zip(share, data, strict=True) if r.toxic], np.arange(1, grades - 1) / (grades - 1))
-    graded = sorted((sorted((x["names"], math.log1p(x["counts"])) for x in r.kept), int(1 + np.searchsorted(cuts, s)) if r.toxic else 0) for s, r in zip(share, data, strict=True))
-    return fit([(dict(x), g) for x, g in graded], names, grades)
+    chosen = sample.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)})
+
+    def make_values():
+        place = chosen.value
+
+        def run(batch: list[dict]) -> list[dict]:
+            out = []
+            for r in batch:
+                found = sorted((place[k], v) for k, v in values(features(r["text"])[0], place).items())
+                out.append({"toxic": r["toxic"], "at": [i for i, _ in found], "value": [v for _, v in found]})
+            return out
+
+        return run
+
+    # at most ``bound`` rows, with the features that they have of at most FEATURES
+    data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow().to_pylist()
+    amount = [sum(v for i, v in zip(r["at"], r["value"], strict=True) if names[i] in clear) for r in data]
+    cuts = np.quantile([x for x, r in zip(amount, data, strict=True) if r["toxic"]], np.arange(1, grades - 1) / (grades - 1))
+    graded = sorted((r["at"], r["value"], int(1 + np.searchsorted(cuts, x)) if r["toxic"] else 0) for x, r in zip(amount, data, strict=True))
+    return fit([({names[i]: v for i, v in zip(at, value, strict=True)}, g) for at, value, g in graded], names, grades)
 
 
 def score(documents: DataFrame, model: Ordinal) -> DataFrame:
