@@ -30,7 +30,9 @@ FIT_ROWS = 20_000
 FEATURES = 2048
 PREFIXES = (4, 5, 6)
 #: Contexts, at least, that a feature must have, and the least signed root of its likelihood ratio.
-LEAST_ROWS, LEAST_Z = 3, 4.5
+LEAST_ROWS, LEAST_Z = 3, 3.5
+#: Probability of any severity from which a document is toxic. Most clean ones are under 0.05.
+REJECT = 0.3
 
 
 def features(text: str | None) -> tuple[Counter, int]:
@@ -172,7 +174,8 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
 
 
 def score(documents: DataFrame, model: Ordinal) -> DataFrame:
-    """``documents`` with severity (expected grade), grade (the median one) and toxic (grade over 0).
+    """``documents`` with severity (expected grade), grade (the median one) and toxic (a grade over 0 has a
+    probability of REJECT or more).
 
     Whole texts are read; null and empty ones have no features. Columns of these names are replaced; repeated rows
     and null ids just stay.
@@ -188,7 +191,7 @@ def score(documents: DataFrame, model: Ordinal) -> DataFrame:
             for r in rows:
                 above = ordinal.above(features(r["text"])[0])
                 grade = sum(p >= 0.5 for p in above)
-                r |= {"severity": round(sum(above), 6), "grade": grade, "toxic": grade > 0}
+                r |= {"severity": round(sum(above), 6), "grade": grade, "toxic": above[0] >= REJECT}
             return rows
 
         return run
@@ -198,6 +201,6 @@ def score(documents: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose median grade is 0, with their columns."""
+    """The documents that are not toxic, with their columns."""
     names = documents.columns
     return score(documents, train(documents, labels)).where(~F.col("toxic")).select(*(F.col(f"`{n}`") for n in names))
