@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pareframe.sources.tables import keep
+from pareframe.sources.tables import PART_ROWS, keep
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,13 +24,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pairs = given.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now = keep(pairs)
     mark = _mark(now)
+    now = now.coalesce(mark[0] // PART_ROWS + 1)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = keep(small.union(lower.select("u", F.col("m").alias("v"))).distinct())
+        # never more edges than before
+        now = keep(small.union(lower.select("u", F.col("m").alias("v"))).distinct(), mark[0])
         before, mark = mark, _mark(now)
         if mark == before:
             break

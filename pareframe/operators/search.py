@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from pareframe.sources.tables import keep
 
+#: Up to so many items, the table that says which part an item is in is broadcast (two numbers for each item).
+BROADCAST_ROWS = 1_000_000
+
 Ranges = tuple[tuple[int, int], ...]
 
 
@@ -108,6 +111,8 @@ class Property:
         if not bounds:
             return out
         table = spark.createDataFrame(bounds, "part int, a long, b long").select("part", F.explode(F.sequence("a", "b")).alias("idx"))
+        if self.n <= BROADCAST_ROWS:
+            table = F.broadcast(table)
         found = self.rows.join(table, "idx").groupBy("part").agg(*(F.sum(k).alias(k) for k in self.sums))
         for r in found.collect():
             out[r.part] = {k: r[k] or 0 for k in self.sums}

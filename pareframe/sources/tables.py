@@ -24,7 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` computed once and held in the shared checkpoint folder; its lineage ends there."""
+#: Rows to a partition where a table's size is known before it is computed.
+PART_ROWS = 100_000
+
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` computed once and held in the shared checkpoint folder; its lineage ends there.
+
+    ``rows``, where a bound is known, keeps a small table from being spread over many small files.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(rows // PART_ROWS + 1)
     return df.checkpoint(eager=True)
