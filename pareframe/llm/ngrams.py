@@ -179,52 +179,67 @@ def ranked_sets(documents: DataFrame, measured: DataFrame) -> DataFrame:
     sent = _sent(documents, spark.sparkContext.broadcast(known), buckets)
     counted = sent.groupBy("bucket").applyInArrow(_counted, "batch long, hashes binary, owners binary, keys binary, sizes binary, counts binary")
     ordered = counted.groupBy("batch").applyInArrow(_ordered, "key binary, n long, alone long, grp binary, prefix array<long>, tokens binary")
+    # equal sets come from several batches, with the same columns
     return keep(ordered.dropDuplicates(["key"]).withColumn("sid", F.monotonically_increasing_id()))
 
 
-def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
+def _components(ids: DataFrame, links: DataFrame) -> DataFrame:
     """(sid, comp) of all ``ids``."""
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "sid")
     return keep(ids.join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp")))
 
 
+def _stars(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """As _components, but a set only gets the smallest hub that it is linked with: parts of components."""
+    hubs = links.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("hub"))
+    return ids.join(hubs, "sid", "left").select("sid", F.least("sid", "hub").alias("comp"))
+
+
 def link(sets: DataFrame) -> DataFrame:
     """(sid, comp): the components of the sets under matching."""
+    size = sets.count()
+    # dealt by sid once, for all verifications
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = sets.select("sid", "n", "tokens").repartition(parts, "sid").persist()
     groups = sets.groupBy("grp").agg(F.min("sid").alias("gid"))
-    members = keep(sets.select("sid", "grp").join(groups, "grp").select("sid", "gid"))
-    heads = sets.join(members.where("sid = gid").select("sid"), "sid", "left_semi")
+    members = keep(sets.select("sid", "grp").join(groups, "grp").select("sid", "gid"), size)
+    heads = sets.select("sid", "n", "alone", "prefix").join(members.where("sid = gid").select("sid"), "sid", "left_semi")
     all_tokens = heads.select(F.col("sid").alias("gid"), "n", "alone", F.posexplode("prefix").alias("i", "token"))
     postings = all_tokens.select("gid", "n", (F.col("alone") + F.col("i")).alias("at"), "token")
     several = postings.groupBy("token").count().where("count > 1").select("token")
     postings = keep(postings.join(several, "token"))
     inside = members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b"))
-    links = keep(matching(inside, sets))
-    for turn in range(ROUNDS + 1):
-        comps = _labels(members.select("sid"), links)
+    links = keep(matching(inside, heavy), size)
+    apart = lambda x, y: (F.col(f"{x}.lo") != F.col(f"{y}.lo")) | (F.col(f"{x}.hi") != F.col(f"{y}.hi")) | (F.col(f"{x}.lo") != F.col(f"{x}.hi"))
+    fits = lambda x, y: may_match(F.col(f"{x}.n"), F.col(f"{x}.at"), F.col(f"{y}.n"), F.col(f"{y}.at"))
+
+    def spread_over(comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Components by group; postings with them; tokens that are in several components, with a hub."""
         spread = members.join(comps, "sid").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         labelled = postings.join(spread, "gid")
         hub = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "n", "at", "lo", "hi")).alias("hub")
         mixed = labelled.groupBy("token").agg(hub, F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h")
-        apart = lambda x, y: (F.col(f"{x}.lo") != F.col(f"{y}.lo")) | (F.col(f"{x}.hi") != F.col(f"{y}.hi")) | (F.col(f"{x}.lo") != F.col(f"{x}.hi"))
-        fits = lambda x, y: may_match(F.col(f"{x}.n"), F.col(f"{x}.at"), F.col(f"{y}.n"), F.col(f"{y}.at"))
-        if turn < ROUNDS:
-            near = labelled.alias("x").join(mixed.select("token", "hub"), "token").where((F.col("x.gid") != F.col("hub.gid")) & apart("x", "hub") & fits("x", "hub"))
-            votes = near.groupBy(F.col("x.gid").alias("a"), F.col("hub.gid").alias("b")).count()
-            best = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
-            more = keep(matching(best, sets))
-            if more.isEmpty():
-                continue
-        else:
-            rest = labelled.join(mixed.select("token"), "token")
-            groups_near = rest.alias("x").join(rest.alias("y"), "token").where((F.col("x.gid") < F.col("y.gid")) & apart("x", "y") & fits("x", "y"))
-            group_pairs = groups_near.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
-            split = spread.where("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-            one = members.join(comps, "sid").select(F.col("gid").alias("g1"), F.col("sid").alias("a"), F.col("comp").alias("c1"))
-            two = members.join(comps, "sid").select(F.col("gid").alias("g2"), F.col("sid").alias("b"), F.col("comp").alias("c2"))
-            pairs = group_pairs.union(split).join(one, "g1").join(two, "g2").where("c1 <> c2 AND (g1 <> g2 OR a < b)")
-            more = keep(matching(pairs.select("a", "b"), sets))
-        links = links.union(more)
-    return _labels(members.select("sid"), links)
+        return spread, labelled, mixed
+
+    for turn in range(ROUNDS):
+        _, labelled, mixed = spread_over(_stars(members.select("sid"), links), turn)
+        near = labelled.alias("x").join(mixed.select("token", "hub"), "token").where((F.col("x.gid") != F.col("hub.gid")) & apart("x", "hub") & fits("x", "hub"))
+        votes = near.groupBy(F.col("x.gid").alias("a"), F.col("hub.gid").alias("b")).count()
+        best = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
+        links = keep(links.union(matching(best, heavy)), (turn + 2) * size)
+    comps = _components(members.select("sid"), links)
+    spread, labelled, mixed = spread_over(comps, ROUNDS)
+    rest = labelled.join(mixed.select("token"), "token")
+    groups_near = rest.alias("x").join(rest.alias("y"), "token").where((F.col("x.gid") < F.col("y.gid")) & apart("x", "y") & fits("x", "y"))
+    group_pairs = groups_near.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
+    split = spread.where("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
+    named = members.join(comps, "sid")
+    one = named.select(F.col("gid").alias("g1"), F.col("sid").alias("a"), F.col("comp").alias("c1"))
+    two = named.select(F.col("gid").alias("g2"), F.col("sid").alias("b"), F.col("comp").alias("c2"))
+    pairs = group_pairs.union(split).join(one, "g1").join(two, "g2").where("c1 <> c2 AND (g1 <> g2 OR a < b)")
+    more = keep(matching(pairs.select("a", "b"), heavy))
+    heavy.unpersist()
+    return comps if more.isEmpty() else _components(members.select("sid"), links.union(more))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
