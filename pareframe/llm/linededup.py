@@ -5,11 +5,12 @@ sets have a Jaccard similarity of at least 0.75. A line is removed when a line m
 doc_id and then by place in the document; that the earlier one may itself be removed makes no difference. Lines
 without words stay.
 
-1. Words are ordered by rarity. Their numbers are counted over all lines, in SLOTS counters by hash (a fixed
+1. Words, as 64-bit numbers, are ordered by rarity. They are counted over all lines, in SLOTS counters by hash (a fixed
    size); words that share a counter look more frequent than they are, which costs time, not results: any one
    order that all lines share makes the filters exact.
 2. Each line sends the words of its prefix to buckets by value, packed. In a bucket, lines with equal sets become
-   one, and lines that share a word make candidate pairs, cut by size and place of the word. Words in more than
+   one, and lines that share a word make candidate pairs, cut by size, by place of the word, and by a sign of 64
+   bits that all words of a line set and that must agree but for the words that may differ. Words in more than
    LISTED lines don't list all pairs: each line is paired with the HUBS earliest ones.
 3. Candidates are verified. Lines from long lists for which no earlier match was found are then compared with all
    earlier lines of their lists.
@@ -17,16 +18,14 @@ without words stay.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pareframe.llm.rows import map_texts
 from pareframe.llm.setjoin import DEN, NUM, matching, may_match, pack, split_by, unpack
+from pareframe.llm.wordhash import mix, word_groups
 from pareframe.sources.tables import keep
 
 SLOTS = 1 << 20
@@ -35,42 +34,50 @@ LISTED, HUBS = 16, 4
 FILTER_BITS, BLOCK_BITS = 1 << 24, 1 << 16
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
+ONE, HALF = np.uint64(1), np.uint64(32)
 
 
 class Lines:
-    """The lines with words of a batch of (doc_id, th, text): distinct words by line, sorted, one array."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        where, place, sizes, hashed = [], [], [], []
-        for i, text in enumerate(batch.columns[2]):
-            text = text.as_py()
-            for at, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n") if text else ()):
-                if words := line.split():
-                    where.append(i)
-                    place.append(at)
-                    sizes.append(len(words))
-                    hashed += map(xxhash.xxh3_64_intdigest, words)
-        value = np.array(hashed, dtype=np.uint64)
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((value, line))
-        value, line = value[order], line[order]
+    """The lines with words of a group of texts: their distinct words by line, sorted, in one array.
+
+    ``sid`` and ``key`` are sums of two functions of the words, so they depend on the set only. ``sign`` has a bit
+    for each word, of 64.
+    """
+
+    def __init__(self, text: np.ndarray, line: np.ndarray, value: np.ndarray):
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+        self.text, self.place = text[new], line[new].astype(np.int32)
+        owner = np.cumsum(new) - 1
+        order = np.lexsort((value, owner))
+        value = value[order]
         first = np.ones(len(value), dtype=bool)
-        first[1:] = (value[1:] != value[:-1]) | (line[1:] != line[:-1])
-        self.value, self.line = value[first], line[first]
-        self.n = np.bincount(self.line, minlength=len(sizes)).astype(np.int64)
+        first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        self.value, self.line = value[first], owner[first]
+        self.n = np.bincount(self.line, minlength=len(self.text)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)])
-        self.doc = batch.columns[0].to_numpy(zero_copy_only=False)[where] if where else np.zeros(0, dtype=np.int64)
-        self.th = batch.columns[1].to_numpy(zero_copy_only=False)[where] if where else np.zeros(0, dtype=np.int64)
-        self.place = np.array(place, dtype=np.int32)
-        data = self.value.tobytes()
-        ends = (8 * self.start).tolist()
-        digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False))
-        self.keys = [digests[i : i + 16] for i in range(0, len(digests), 16)]
-        self.sid = np.frombuffer(digests, np.int64)[::2]
+        at = self.start[:-1]
+        self.key = np.add.reduceat(mix(self.value ^ np.uint64(0x5DEECE66D)), at).view(np.int64)
+        self.sid = mix(np.add.reduceat(mix(self.value), at) + self.n.astype(np.uint64)).view(np.int64)
+        self.sign = np.bitwise_or.reduceat(ONE << (self.value >> np.uint64(58)), at)
 
     def __len__(self) -> int:
         return len(self.n)
 
+    def firsts(self, doc: np.ndarray) -> np.ndarray:
+        """The first line of each set."""
+        by = np.lexsort((self.place, doc))
+        return np.sort(by[np.unique(self.sid[by], return_index=True)[1]])
+
+
+def _groups(batch: pa.RecordBatch):
+    """Lines of groups of a batch of (doc, th, text), with doc and th of each line."""
+    doc, th = (batch.columns[i].to_numpy(zero_copy_only=False) for i in (0, 1))
+    for text, line, value in word_groups(batch.columns[2]):
+        if len(value):
+            lines = Lines(text, line, value)
+            yield lines, doc[lines.text], th[lines.text]
+
 
 def _source(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
@@ -80,86 +87,103 @@ def _arrow(columns: list, kinds: list, names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names.split())
 
 
+def _slot(value: np.ndarray) -> np.ndarray:
+    return (value & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 def _rarity(source: DataFrame):
-    """Numbers of lines by slot of their words, sent to all executors."""
+    """Numbers of words by slot, sent to all executors."""
 
     def task(batches):
+        seen = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            seen = np.bincount((Lines(batch).value & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            slots = np.flatnonzero(seen)
-            yield _arrow([slots, seen[slots]], [pa.int64(), pa.int64()], "slot n")
+            for _, _, value in word_groups(batch.columns[0]):
+                seen += np.bincount(_slot(value), minlength=SLOTS)
+        slots = np.flatnonzero(seen)
+        yield _arrow([slots, seen[slots]], [pa.int64(), pa.int64()], "slot n")
 
-    counted = source.mapInArrow(task, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = source.select("text").mapInArrow(task, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = np.zeros(SLOTS, dtype=np.int64)
     # at most SLOTS rows
     found = counted.toArrow()
     table[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return source.sparkSession.sparkContext.broadcast(table)
-
-
-def _places(source: DataFrame) -> DataFrame:
-    """(sid, key, doc, th, place) of each distinct line of a batch at its first place there."""
+    # ranks take half the room of counts
+    ranks = np.unique(table, return_inverse=True)[1].astype(np.int32)
+    return source.sparkSession.sparkContext.broadcast(ranks)
 
-    def task(batches):
-        for batch in batches:
-            lines = Lines(batch)
-            order = np.lexsort((lines.place, lines.doc))
-            _, first = np.unique(lines.sid[order], return_index=True)
-            at = order[first]
-            yield _arrow([lines.sid[at], [lines.keys[i] for i in at], lines.doc[at], lines.th[at], lines.place[at]], [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()], "sid key doc th place")
-
-    return source.mapInArrow(task, "sid long, key binary, doc long, th long, place int")
 
+#: A word within its bucket; which words share one doesn't matter, as lines are verified.
+POSTING = (("token", np.uint32), ("sid", np.int64), ("sign", np.uint64), ("doc", np.int64), ("place", np.int32), ("n", np.int32), ("at", np.int32))
+PLACE = (("sid", np.int64), ("key", np.int64), ("doc", np.int64), ("th", np.int64), ("place", np.int32))
+FIELDS = ("token", "sid", "sign", "key", "doc", "th", "place", "n", "at")
 
-FIELDS = (("token", np.uint64), ("sid", np.int64), ("doc", np.int64), ("place", np.int32), ("n", np.int32), ("at", np.int32))
 
+def _sent(source: DataFrame, rarity, buckets: int) -> DataFrame:
+    """By bucket, packed: the prefix words of lines; and, in buckets under 0, where lines are."""
 
-def _postings(source: DataFrame, rarity, buckets: int) -> DataFrame:
-    """Prefix words of lines by bucket, packed."""
+    def packed(bucket: np.ndarray, columns: dict, fields) -> list[dict]:
+        order = np.argsort(bucket, kind="stable")
+        columns = {name: columns[name][order].astype(kind) for name, kind in fields}
+        return [{"bucket": b} | {name: pack(c[s]) for name, c in columns.items()} for b, s in split_by(bucket[order])]
 
     def task(batches):
-        table = rarity.value
+        rank = rarity.value
+        schema = pa.schema([("bucket", pa.int64()), *((name, pa.binary()) for name in FIELDS)])
         for batch in batches:
-            lines = Lines(batch)
-            if not len(lines):
-                continue
-            order = np.lexsort((lines.value, table[(lines.value & np.uint64(SLOTS - 1)).astype(np.int64)], lines.line))
-            value, line = lines.value[order], lines.line[order]
-            at = np.arange(len(value)) - lines.start[line]
-            n = lines.n[line]
-            # one line of each set, its first, speaks for the batch
-            first = np.zeros(len(lines), dtype=bool)
-            by = np.lexsort((lines.place, lines.doc))
-            first[by[np.unique(lines.sid[by], return_index=True)[1]]] = True
-            use = (at <= n - -(-NUM * n // DEN)) & first[line]
-            value, line, at, n = value[use], line[use], at[use], n[use]
-            order = np.argsort(value, kind="stable")
-            value, line, at, n = value[order], line[order], at[order], n[order]
-            bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            columns = dict(token=value, sid=lines.sid[line], doc=lines.doc[line], place=lines.place[line], n=n, at=at)
-            rows = [(b, *(pack(columns[name][s].astype(kind)) for name, kind in FIELDS)) for b, s in split_by(bucket)]
-            yield _arrow(list(zip(*rows, strict=True)), [pa.int64()] + [pa.binary()] * len(FIELDS), "bucket " + " ".join(name for name, _ in FIELDS))
-
-    return source.mapInArrow(task, "bucket long, " + ", ".join(f"{name} binary" for name, _ in FIELDS))
-
-
-def _near(n1, at1, n2, at2) -> np.ndarray:
-    """As setjoin.may_match, for arrays."""
+            for lines, doc, th in _groups(batch):
+                use = lines.firsts(doc)
+                where = -1 - (lines.sid[use].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                rows = packed(where, dict(sid=lines.sid[use], key=lines.key[use], doc=doc[use], th=th[use], place=lines.place[use]), PLACE)
+                order = np.lexsort((lines.value, rank[_slot(lines.value)], lines.line))
+                value, line = lines.value[order], lines.line[order]
+                at = np.arange(len(value)) - lines.start[line]
+                speaks = np.zeros(len(lines), dtype=bool)
+                speaks[use] = True
+                early = (at <= (lines.n - -(-NUM * lines.n // DEN))[line]) & speaks[line]
+                value, line, at = value[early], line[early], at[early]
+                high = value >> HALF
+                bucket = (high * np.uint64(buckets) >> HALF).astype(np.int64)
+                token = (value & np.uint64(0xFFFFFFFF)) ^ high
+                order = np.argsort(token, kind="stable")
+                token, line, at, bucket = token[order], line[order], at[order], bucket[order]
+                columns = dict(token=token, sid=lines.sid[line], sign=lines.sign[line], doc=doc[line], place=lines.place[line], n=lines.n[line], at=at)
+                yield pa.RecordBatch.from_pylist(rows + packed(bucket, columns, POSTING), schema=schema)
+
+    return source.mapInArrow(task, "bucket long, " + ", ".join(f"{name} binary" for name in FIELDS))
+
+
+def _near(n1, at1, s1, n2, at2, s2) -> np.ndarray:
+    """As setjoin.may_match, for arrays; and the signs must agree but for words that one line may lack."""
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
     needed = -(-NUM * (n1 + n2) // (NUM + DEN))
-    return (DEN * small >= NUM * large) & (np.minimum(n1 - at1, n2 - at2) >= needed)
+    fits = (DEN * small >= NUM * large) & (np.minimum(n1 - at1, n2 - at2) >= needed)
+    common = np.bitwise_count(s1 & s2).astype(np.int64)
+    return fits & (common >= np.bitwise_count(s1) - (n1 - needed)) & (common >= np.bitwise_count(s2) - (n2 - needed))
+
+
+OUT = ("a", "b", "token", "sid", "sign", "key", "doc", "th", "place", "n", "at")
+
+
+def _rows(n: int, columns: dict) -> pa.Table:
+    return pa.table({name: pa.array(columns[name].astype(np.int64)) if name in columns else pa.nulls(n, pa.int64()) for name in OUT})
 
 
 def _candidates(table: pa.Table) -> pa.Table:
-    """One bucket: pairs (a, b), b the earlier line; and the entries of words in more than LISTED lines."""
+    """One bucket: where sets are first; or pairs (a, b), b the earlier line, and entries of long lists."""
     rows = table.to_pylist()
-    token, sid, doc, place, n, at = (np.concatenate([unpack(r[name], kind) for r in rows]) for name, kind in FIELDS)
-    order = np.lexsort((place, doc, sid, token))
+    number = rows[0]["bucket"]
+    fields = PLACE if number < 0 else POSTING
+    columns = {name: np.concatenate([unpack(r[name], kind) for r in rows]) for name, kind in fields}
+    main = ("key", "sid") if number < 0 else ("sid", "token")
+    order = np.lexsort((columns["place"], columns["doc"], *(columns[m] for m in main)))
+    columns = {k: v[order] for k, v in columns.items()}
     first = np.ones(len(order), dtype=bool)
-    first[1:] = (token[order][1:] != token[order][:-1]) | (sid[order][1:] != sid[order][:-1])
-    order = order[first]
-    order = order[np.lexsort((sid[order], place[order], doc[order], token[order]))]
-    token, sid, doc, place, n, at = (x[order] for x in (token, sid, doc, place, n, at))
+    first[1:] = np.any([columns[m][1:] != columns[m][:-1] for m in main], axis=0)
+    columns = {k: v[first] for k, v in columns.items()}
+    if number < 0:
+        return _rows(int(first.sum()), columns)
+    order = np.lexsort((columns["sid"], columns["place"], columns["doc"], columns["token"]))
+    token, sid, sign, doc, place, n, at = (columns[name][order] for name, _ in POSTING)
     n, at = n.astype(np.int64), at.astype(np.int64)
     # rank of each entry in its word's list, and the list's length
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -173,20 +197,18 @@ def _candidates(table: pa.Table) -> pa.Table:
         if not len(use):
             break
         other = head[use] + back
-        fits = _near(n[use], at[use], n[other], at[other])
+        fits = _near(n[use], at[use], sign[use], n[other], at[other], sign[other])
         pairs.append(np.stack([sid[use[fits]], sid[other[fits]]], axis=1))
     both = np.unique(np.concatenate(pairs), axis=0)
-    long = np.flatnonzero(length > LISTED)
-    pad = lambda x, before, after: pa.concat_arrays([pa.nulls(before, x.type), x, pa.nulls(after, x.type)])
-    m, k = len(both), len(long)
-    columns = [pad(pa.array(both[:, i]), 0, k) for i in (0, 1)]
-    columns += [pad(pa.array(x[long].view(np.int64) if x.dtype == np.uint64 else x[long].astype(np.int64)), m, 0) for x in (token, sid, doc, place, n, at)]
-    return pa.Table.from_arrays(columns, names=["a", "b", "token", "sid", "doc", "place", "n", "at"])
+    long = length > LISTED
+    entries = {name: x[long] for name, x in zip(("token", "sid", "sign", "doc", "place", "n", "at"), (token, sid, sign.view(np.int64), doc, place, n, at), strict=True)}
+    entries["token"] = entries["token"].astype(np.int64) + (number << 32)
+    return pa.concat_tables([_rows(len(both), {"a": both[:, 0], "b": both[:, 1]}), _rows(int(long.sum()), entries)])
 
 
-def _filter_of(pairs: DataFrame):
-    """A bit for each line of ``pairs`` (by the low bits of its number), sent to all executors: a fixed size."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).select(F.col("sid").bitwiseAND(FILTER_BITS - 1).alias("bit"))
+def _filter_of(ids: DataFrame):
+    """A bit for each of the lines ``ids`` (sid), by the low bits of its number, sent to all executors: a fixed size."""
+    bits = ids.select(F.col("sid").bitwiseAND(FILTER_BITS - 1).alias("bit")).distinct()
 
     def block(table: pa.Table) -> pa.Table:
         bits = table["bit"].to_numpy()
@@ -194,48 +216,59 @@ def _filter_of(pairs: DataFrame):
         out[bits % BLOCK_BITS] = 1
         return pa.table({"block": pa.array([int(bits[0]) // BLOCK_BITS], pa.int64()), "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
-    blocks = ids.distinct().groupBy(F.floor(F.col("bit") / BLOCK_BITS).alias("g")).applyInArrow(block, "block long, bits binary")
+    blocks = bits.groupBy(F.floor(F.col("bit") / BLOCK_BITS).alias("g")).applyInArrow(block, "block long, bits binary")
     table = np.zeros(FILTER_BITS, dtype=bool)
     # FILTER_BITS / BLOCK_BITS rows of BLOCK_BITS bits at most
     for r in blocks.toLocalIterator():
         table[r.block * BLOCK_BITS : (r.block + 1) * BLOCK_BITS] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    return pairs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(table))
 
 
-def _sets(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, n, tokens) of the lines in ``pairs``, and of a few others."""
-    wanted = _filter_of(pairs)
+def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sid, n, tokens) of the lines ``ids`` (sid), and of a few others."""
+    wanted = _filter_of(ids)
 
     def task(batches):
-        bits = np.unpackbits(wanted.value).astype(bool)
+        bits, seen = np.unpackbits(wanted.value).astype(bool), set()
         for batch in batches:
-            lines = Lines(batch)
-            sid, first = np.unique(lines.sid, return_index=True)
-            at = first[bits[sid & (FILTER_BITS - 1)]]
-            tokens = [lines.value[lines.start[i] : lines.start[i + 1]].tobytes() for i in at]
-            yield _arrow([lines.sid[at], lines.n[at], tokens], [pa.int64(), pa.int64(), pa.binary()], "sid n tokens")
+            for lines, doc, _ in _groups(batch):
+                at = lines.firsts(doc)
+                at = at[bits[lines.sid[at] & (FILTER_BITS - 1)]]
+                at = [i for i, x in zip(at.tolist(), lines.sid[at].tolist(), strict=True) if x not in seen]
+                if len(seen) < SLOTS:
+                    seen.update(lines.sid[at].tolist())
+                tokens = [lines.value[lines.start[i] : lines.start[i + 1]].tobytes() for i in at]
+                yield _arrow([lines.sid[at], lines.n[at], tokens], [pa.int64(), pa.int64(), pa.binary()], "sid n tokens")
 
-    return source.mapInArrow(task, "sid long, n long, tokens binary").dropDuplicates(["sid"])
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return source.mapInArrow(task, "sid long, n long, tokens binary").repartition(parts, "sid").dropDuplicates(["sid"])
 
 
-def repeated(source: DataFrame) -> DataFrame:
-    """(sid) of the distinct lines that an earlier, different line matches."""
+def _found(source: DataFrame) -> DataFrame:
+    """Rows of three kinds: first places (key), candidate pairs (a, b), entries of long lists (token)."""
     buckets = 2 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = _postings(source, _rarity(source), buckets)
-    kind = "a long, b long, token long, sid long, doc long, place long, n long, at long"
-    found = keep(postings.groupBy("bucket").applyInArrow(_candidates, kind))
-    pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-    gone = keep(matching(pairs, _sets(source, pairs)).select(F.col("a").alias("sid")).distinct())
-    listed = found.where("token IS NOT NULL").drop("a", "b")
+    sent = _sent(source, _rarity(source), buckets)
+    return keep(sent.groupBy("bucket").applyInArrow(_candidates, ", ".join(f"{name} long" for name in OUT)))
+
+
+def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
+    """(sid) of the distinct lines that an earlier, different line matches."""
+    pairs = keep(found.where("a IS NOT NULL").select("a", "b").distinct())
+    listed = found.where("token IS NOT NULL").drop("a", "b", "key", "th")
+    sets = _sets(source, pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(listed.select("sid"))).persist()
+    gone = keep(matching(pairs, sets).select(F.col("a").alias("sid")).distinct())
     later, earlier = listed.join(gone, "sid", "left_anti").alias("x"), listed.alias("y")
     order = lambda t: F.struct(f"{t}.doc", f"{t}.place", f"{t}.sid")
-    fits = may_match(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
-    more = later.join(earlier, F.col("x.token") == F.col("y.token")).where((order("y") < order("x")) & fits)
+    x, y = ({k: F.col(f"{t}.{k}") for k in ("n", "at", "sign")} for t in "xy")
+    fits = may_match(x["n"], x["at"], y["n"], y["at"])
+    needed = F.ceil(NUM * (x["n"] + y["n"]) / (NUM + DEN))
+    common = F.bit_count(x["sign"].bitwiseAND(y["sign"]))
+    agree = (common >= F.bit_count(x["sign"]) - (x["n"] - needed)) & (common >= F.bit_count(y["sign"]) - (y["n"] - needed))
+    more = later.join(earlier, F.col("x.token") == F.col("y.token")).where((order("y") < order("x")) & fits & agree)
     more = more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = keep(more)
-    if more.isEmpty():
-        return gone
-    return gone.union(matching(more, _sets(source, more)).select("a")).distinct()
+    gone = keep(gone.union(matching(more, sets).select("a")).distinct())
+    sets.unpersist()
+    return gone
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -244,13 +277,13 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     Null texts stay null and have no lines; an empty text has one line, without words. Null ids come before all
     others. Rows with the same doc_id and text are one document: the same lines stay in each. Columns named n_lines
     or n_removed are replaced; a column n_chars, where there is one, gets the new length. An empty table gives no
-    rows. Sets are told apart by 64 bits of a digest where pairs are made, and by 128 bits where equal lines are.
+    rows. Sets are told apart by 64-bit numbers where pairs are made, and by two of them where equal lines are.
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     source = _source(documents)
-    firsts = _places(source).groupBy("key", "sid").agg(F.min(F.struct("doc", "place", "th")).alias("f"))
-    stay = firsts.join(repeated(source), "sid", "left_anti")
-    lists = stay.groupBy(F.col("f.doc").alias("__doc"), F.col("f.th").alias("__th")).agg(F.sort_array(F.collect_list("f.place")).alias("__stay"))
+    found = _found(source)
+    stay = found.where("key IS NOT NULL").select("sid", "doc", "th", "place").join(_repeated(source, found), "sid", "left_anti")
+    lists = stay.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list("place").alias("__stay"))
     keyed = documents.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64("text")})
     joined = keyed.join(lists, ["__doc", "__th"], "left").drop("__doc", "__th")
 
