@@ -51,7 +51,7 @@ def relative(text: Column, base: Column) -> Column:
 
 def stack_prefix(lines: Column, start: str) -> Column:
     """The lines up to the first that, trimmed, doesn't begin with ``start``; without that start."""
-    plain = F.transform(lines, F.trim)
+    plain = F.transform(lines, lambda x: F.trim(x))
     end = F.array_position(F.transform(plain, lambda x: F.startswith(x, F.lit(start))), False).cast("int")
     kept = F.when(end > 0, F.slice(plain, F.lit(1), end - 1)).otherwise(plain)
     return F.transform(kept, lambda x: F.substr(x, F.lit(len(start) + 1)))
