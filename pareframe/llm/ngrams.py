@@ -229,9 +229,13 @@ def link(sets: DataFrame) -> DataFrame:
         links = keep(links.union(matching(best, heavy)), (turn + 2) * size)
     comps = _components(members.select("sid"), links)
     spread, labelled, mixed = spread_over(comps, ROUNDS)
-    rest = labelled.join(mixed.select("token"), "token")
-    groups_near = rest.alias("x").join(rest.alias("y"), "token").where((F.col("x.gid") < F.col("y.gid")) & apart("x", "y") & fits("x", "y"))
-    group_pairs = groups_near.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
+    # a pair comes from the first token that its groups share, and only from that
+    begins = heads.select(F.col("sid").alias("gid"), "alone", "prefix")
+    rest = labelled.join(mixed.select("token"), "token").join(begins, "gid")
+    rest = rest.select("token", "gid", "n", "at", "lo", "hi", F.slice("prefix", F.lit(1), (F.col("at") - F.col("alone")).cast("int")).alias("before"))
+    first = ~F.arrays_overlap("x.before", "y.before")
+    groups_near = rest.alias("x").join(rest.alias("y"), "token").where((F.col("x.gid") < F.col("y.gid")) & apart("x", "y") & fits("x", "y") & first)
+    group_pairs = groups_near.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"))
     split = spread.where("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
     named = members.join(comps, "sid")
     one = named.select(F.col("gid").alias("g1"), F.col("sid").alias("a"), F.col("comp").alias("c1"))
