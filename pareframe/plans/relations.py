@@ -9,6 +9,8 @@ from pareframe.operators import refcount
 from pareframe.operators.snapshot import Aborted, Snapshot
 from pareframe.sources.tables import keep, table
 
+EXPLICIT = ("Brand#1", "Brand#2", "Brand#3")
+
 
 def hash_lookup_join(spark: SparkSession, d: str) -> DataFrame:
     """Lines whose part is in a lookup of small parts; misses go."""
@@ -69,9 +71,9 @@ def refcount_unused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def star_demand(spark: SparkSession, d: str) -> DataFrame:
-    """Uses by type, of parts whose brand isn't named explicitly (those of parts of size 1 are)."""
+    """Uses by type, of parts whose brand isn't named explicitly."""
     part = table(spark, d, "part")
-    implicit = part.join(part.where("p_size = 1 AND p_partkey % 7 = 0").select("p_brand").distinct(), "p_brand", "left_anti")
+    implicit = part.where(~F.col("p_brand").isin(*EXPLICIT))
     uses = refcount.count(table(spark, d, "lineitem"), "l_partkey")
     found = uses.join(implicit.select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     return found.groupBy("p_type").agg(F.sum("n").alias("n_uses"))
@@ -138,10 +140,10 @@ def snapshot_commit(spark: SparkSession, d: str) -> DataFrame:
 
 def file_counters(spark: SparkSession, d: str) -> DataFrame:
     """Uses by file and key for touched files only: parts by order, for the rare orders; zeros purged."""
-    uses = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    uses = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     touched = keep(_rare_orders(spark, d).select(F.col("o_orderkey").alias("l_orderkey")))
     mine = uses.join(touched, "l_orderkey", "left_semi")
-    gone = mine.where("l_partkey % 2 = 0")
+    gone = mine.where("l_returnflag = 'N'")
     return refcount.purge(refcount.decrease(refcount.count(mine, "l_orderkey", "l_partkey"), gone, "l_orderkey", "l_partkey"))
 
 
@@ -170,8 +172,7 @@ QUERIES = {
     ),
     "star_demand": (
         star_demand,
-        """SELECT p_type, count(*) AS n_uses FROM lineitem JOIN part ON p_partkey = l_partkey
-        WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1 AND p_partkey % 7 = 0) GROUP BY p_type""",
+        f"SELECT p_type, count(*) AS n_uses FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand NOT IN {EXPLICIT} GROUP BY p_type",
     ),
     "group_files": (
         group_files,
@@ -191,5 +192,5 @@ QUERIES = {
     "manifest_filter": (manifest_filter, "SELECT doc_id FROM documents WHERE lang <> 'de' AND regexp_matches(source, '^src[0-9]$')"),
     "mask_body": (mask_body, "SELECT doc_id, md5(CASE WHEN n_chars > 5000 THEN 'removed' ELSE text END) AS digest FROM documents"),
     "snapshot_commit": (snapshot_commit, "SELECT o_orderkey, 1 AS version FROM orders WHERE o_orderstatus <> 'F'"),
-    "file_counters": (file_counters, f"SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem WHERE l_partkey % 2 <> 0 AND l_orderkey IN ({_RARE.format('o_orderkey')}) GROUP BY l_orderkey, l_partkey"),
+    "file_counters": (file_counters, f"SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' AND l_orderkey IN ({_RARE.format('o_orderkey')}) GROUP BY l_orderkey, l_partkey"),
 }

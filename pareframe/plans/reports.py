@@ -87,11 +87,10 @@ def diag_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edit_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of a conversation with the next, over the first 100 characters of paired turns, ASCII ones only."""
-    rows = table(spark, d, "conversations").where(F.octet_length("text") == F.char_length("text"))
-    cut = F.substring("text", 1, 100)
-    a = rows.select("conv_id", "turn", cut.alias("a"))
-    b = rows.select((F.col("conv_id") - 1).alias("conv_id"), "turn", cut.alias("b"))
+    """Similarity of a conversation with the next, turn by turn; all characters beyond ASCII count as the same one."""
+    rows, plain = table(spark, d, "conversations"), F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+    a = rows.select("conv_id", "turn", plain.alias("a"))
+    b = rows.select((F.col("conv_id") - 1).alias("conv_id"), "turn", plain.alias("b"))
     return diagnostics.similarity(a.join(b, ["conv_id", "turn"]), ["conv_id"], "turn", "a", "b")
 
 
@@ -136,7 +135,7 @@ QUERIES = {
     ),
     "edit_similarity": (
         edit_similarity,
-        """WITH c AS (SELECT conv_id, turn, substr(text, 1, 100) AS t FROM conversations WHERE octet_length(encode(text)) = length(text)),
+        r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM conversations),
         z AS (SELECT a.conv_id, a.t AS a, b.t AS b, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS i FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 AND b.turn = a.turn),
         s AS (SELECT conv_id, 1 - sum(exp(-i) * CASE WHEN greatest(length(a), length(b)) = 0 THEN 0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END) AS s FROM z GROUP BY conv_id)
         SELECT conv_id, round(s, 6) AS similarity, s > 0.95 AS similar FROM s""",
