@@ -10,10 +10,11 @@ without words stay.
    order that all lines share makes the filters exact.
 2. Each line sends the words of its prefix to buckets by value, packed. In a bucket, lines with equal sets become
    one, and lines that share a word make candidate pairs, cut by size, by place of the word, and by a sign of 64
-   bits that all words of a line set and that must agree but for the words that may differ. Words in more than
-   LISTED lines don't list all pairs: each line is paired with the HUBS earliest ones.
-3. Candidates are verified. Lines from long lists for which no earlier match was found are then compared with all
-   earlier lines of their lists.
+   bits that all words of a line set and that must agree but for the words that may differ. From each list of
+   lines that share a word, a line is paired with its HUBS earliest candidates; in lists of more than LISTED lines
+   only the HUBS earliest lines are looked at.
+3. Candidates are verified. Lines that had more candidates, and of which none was a match, are then compared with
+   all of them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pareframe.llm.wordhash import mix, word_groups
 from pareframe.sources.tables import keep
 
 SLOTS = 1 << 20
-LISTED, HUBS = 16, 4
+LISTED, HUBS = 2048, 4
 #: Bits of the filter that tells which lines are needed for verification, in blocks of BLOCK_BITS.
 FILTER_BITS, BLOCK_BITS = 1 << 24, 1 << 16
 #: Stands for a null doc_id, which comes before all others.
@@ -161,15 +162,15 @@ def _near(n1, at1, s1, n2, at2, s2) -> np.ndarray:
     return fits & (common >= np.bitwise_count(s1) - (n1 - needed)) & (common >= np.bitwise_count(s2) - (n2 - needed))
 
 
-OUT = ("a", "b", "token", "sid", "sign", "key", "doc", "th", "place", "n", "at")
+OUT = ("a", "b", "token", "sid", "sign", "key", "doc", "th", "place", "n", "at", "open")
 
 
 def _rows(n: int, columns: dict) -> pa.Table:
     return pa.table({name: pa.array(columns[name].astype(np.int64)) if name in columns else pa.nulls(n, pa.int64()) for name in OUT})
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """One bucket: where sets are first; or pairs (a, b), b the earlier line, and entries of long lists."""
+def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
+    """One bucket: where sets are first; or pairs (a, b), b the earlier line, and entries of lists with more of them."""
     rows = table.to_pylist()
     number = rows[0]["bucket"]
     fields = PLACE if number < 0 else POSTING
@@ -190,20 +191,26 @@ def _candidates(table: pa.Table) -> pa.Table:
     length = np.diff(np.concatenate([starts, [len(token)]]))
     rank, length = np.arange(len(token)) - np.repeat(starts, length), np.repeat(length, length)
     head = np.arange(len(token)) - rank
-    pairs = [np.zeros((0, 2), dtype=np.int64)]
-    for back in range(LISTED):
-        # the entry of rank ``back`` is the earlier one; in long lists only the first HUBS are
-        use = np.flatnonzero((rank > back) & ((length <= LISTED) | (back < HUBS)))
-        if not len(use):
+    pairs, seen = [np.zeros((0, 2), dtype=np.int64)], np.zeros(len(token), dtype=np.int64)
+    whole = length <= listed
+    active = np.flatnonzero(rank > 0)
+    for back in range(int(length.max())):
+        # against the entry of rank ``back``; who has enough earlier ones and another, or a long list, is left for later
+        active = active[(rank[active] > back) & (seen[active] <= hubs) & (whole[active] | (back < hubs))]
+        if not len(active):
             break
-        other = head[use] + back
-        fits = _near(n[use], at[use], sign[use], n[other], at[other], sign[other])
-        pairs.append(np.stack([sid[use[fits]], sid[other[fits]]], axis=1))
+        other = head[active] + back
+        hit = _near(n[active], at[active], sign[active], n[other], at[other], sign[other])
+        found = active[hit]
+        early = seen[found] < hubs
+        pairs.append(np.stack([sid[found[early]], sid[other[hit][early]]], axis=1))
+        seen[found] += 1
     both = np.unique(np.concatenate(pairs), axis=0)
-    long = length > LISTED
-    entries = {name: x[long] for name, x in zip(("token", "sid", "sign", "doc", "place", "n", "at"), (token, sid, sign.view(np.int64), doc, place, n, at), strict=True)}
+    more = (seen > hubs) | (~whole & (rank > hubs))
+    needed = np.repeat(np.logical_or.reduceat(more, starts), np.diff(np.append(starts, len(token))))
+    entries = {name: x[needed] for name, x in zip(("token", "sid", "sign", "doc", "place", "n", "at", "open"), (token, sid, sign.view(np.int64), doc, place, n, at, more), strict=True)}
     entries["token"] = entries["token"].astype(np.int64) + (number << 32)
-    return pa.concat_tables([_rows(len(both), {"a": both[:, 0], "b": both[:, 1]}), _rows(int(long.sum()), entries)])
+    return pa.concat_tables([_rows(len(both), {"a": both[:, 0], "b": both[:, 1]}), _rows(int(needed.sum()), entries)])
 
 
 def _filter_of(ids: DataFrame):
@@ -244,20 +251,19 @@ def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
     return source.mapInArrow(task, "sid long, n long, tokens binary").repartition(parts, "sid").dropDuplicates(["sid"])
 
 
-def _found(source: DataFrame) -> DataFrame:
-    """Rows of three kinds: first places (key), candidate pairs (a, b), entries of long lists (token)."""
+def _found(source: DataFrame, listed: int, hubs: int) -> DataFrame:
+    """Rows of three kinds: first places (key), candidate pairs (a, b), entries of words that have more pairs (token)."""
     buckets = 2 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = _sent(source, _rarity(source), buckets)
-    return keep(sent.groupBy("bucket").applyInArrow(_candidates, ", ".join(f"{name} long" for name in OUT)))
+    return keep(sent.groupBy("bucket").applyInArrow(lambda table: _candidates(table, listed, hubs), ", ".join(f"{name} long" for name in OUT)))
 
 
 def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
     """(sid) of the distinct lines that an earlier, different line matches."""
     pairs = keep(found.where("a IS NOT NULL").select("a", "b").distinct())
     listed = found.where("token IS NOT NULL").drop("a", "b", "key", "th")
-    sets = _sets(source, pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(listed.select("sid"))).persist()
-    gone = keep(matching(pairs, sets).select(F.col("a").alias("sid")).distinct())
-    later, earlier = listed.join(gone, "sid", "left_anti").alias("x"), listed.alias("y")
+    gone = _verified(source, pairs)
+    later, earlier = listed.where("open = 1").join(gone, "sid", "left_anti").alias("x"), listed.alias("y")
     order = lambda t: F.struct(f"{t}.doc", f"{t}.place", f"{t}.sid")
     x, y = ({k: F.col(f"{t}.{k}") for k in ("n", "at", "sign")} for t in "xy")
     fits = may_match(x["n"], x["at"], y["n"], y["at"])
@@ -266,12 +272,19 @@ def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
     agree = (common >= F.bit_count(x["sign"]) - (x["n"] - needed)) & (common >= F.bit_count(y["sign"]) - (y["n"] - needed))
     more = later.join(earlier, F.col("x.token") == F.col("y.token")).where((order("y") < order("x")) & fits & agree)
     more = more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    gone = keep(gone.union(matching(more, sets).select("a")).distinct())
+    more = keep(more)
+    return gone if more.isEmpty() else keep(gone.union(_verified(source, more)).distinct())
+
+
+def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid) of the lines a of ``pairs`` that match their b."""
+    sets = _sets(source, pairs.select(F.explode(F.array("a", "b")).alias("sid"))).persist()
+    found = keep(matching(pairs, sets).select(F.col("a").alias("sid")).distinct())
     sets.unpersist()
-    return gone
+    return found
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, listed: int = LISTED, hubs: int = HUBS) -> DataFrame:
     """``documents`` with ``text`` made of the lines that stay, and n_lines, n_removed (lines before, removed).
 
     Null texts stay null and have no lines; an empty text has one line, without words. Null ids come before all
@@ -281,7 +294,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     source = _source(documents)
-    found = _found(source)
+    found = _found(source, listed, hubs)
     stay = found.where("key IS NOT NULL").select("sid", "doc", "th", "place").join(_repeated(source, found), "sid", "left_anti")
     lists = stay.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list("place").alias("__stay"))
     keyed = documents.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64("text")})

@@ -27,7 +27,7 @@ from pareframe.sources.tables import keep
 
 GRADES = 4
 FIT_ROWS = 20_000
-FEATURES = 2048
+FEATURES = 1024
 PREFIXES = (4, 5, 6)
 #: Contexts, at least, that a feature must have, and the least signed root of its likelihood ratio.
 LEAST_ROWS, LEAST_Z = 3, 3.5
@@ -35,25 +35,19 @@ LEAST_ROWS, LEAST_Z = 3, 3.5
 REJECT = 0.3
 
 
-def features(text: str | None) -> tuple[Counter, int]:
-    """Counts of words and beginnings, and the number of words. Null has none."""
-    row = text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).decode("utf-8", "surrogatepass").split() if text else []
-    found = Counter(row)
-    for word, n in list(found.items()):
-        for size in PREFIXES:
-            if len(word) >= size:
-                found[word[:size] + "*"] += n
-    return found, len(row)
+def split(text: str | None) -> list[str]:
+    """Words; null has none."""
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).decode("utf-8", "surrogatepass").split() if text else []
 
 
-def contexts(text: str) -> dict[str, int]:
+def contexts(text: str | None) -> dict[str, int]:
     """For each feature the word before its first occurrence, as a number.
 
     Features are counted by contexts, not by documents, when the strongest are chosen: in copies of a toxic document
     every word has one context, however many copies there are.
     """
     out, last = {}, ""
-    for word in text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).decode("utf-8", "surrogatepass").split():
+    for word in split(text):
         if word not in out:
             at = zlib.crc32(last.encode("utf-8", "surrogatepass"))
             out[word] = at
@@ -64,56 +58,66 @@ def contexts(text: str) -> dict[str, int]:
     return out
 
 
-def values(found: Counter, weights: dict) -> dict:
-    """The features with a weight: log1p of their count."""
-    return {k: math.log1p(found[k]) for k in found.keys() & weights.keys()}
-
-
 class Ordinal:
     """Weights by feature, and thresholds in order."""
 
     def __init__(self, weights: dict[str, float], thresholds: list[float]):
         self.weights, self.thresholds = weights, thresholds
-
-    def above(self, found: Counter) -> list[float]:
+        self.shortest = {k[: PREFIXES[0]] for k in weights if k.endswith("*")}
+
+    def values(self, text: str | None) -> dict[str, float]:
+        """The features of ``text`` that have a weight: log1p of their count."""
+        found: dict[str, int] = {}
+        for word, n in Counter(split(text)).items():
+            if word in self.weights:
+                found[word] = found.get(word, 0) + n
+            if word[: PREFIXES[0]] in self.shortest:
+                for size in PREFIXES:
+                    if len(word) >= size and (key := word[:size] + "*") in self.weights:
+                        found[key] = found.get(key, 0) + n
+        return {k: math.log1p(n) for k, n in sorted(found.items())}
+
+    def above(self, text: str | None) -> list[float]:
         """P(grade > k) for each k."""
-        score = sum(self.weights[k] * v for k, v in sorted(values(found, self.weights).items()))
+        score = sum(self.weights[k] * v for k, v in self.values(text).items())
         return [1 / (1 + math.exp(min(700.0, max(-700.0, t - score)))) for t in self.thresholds]
 
 
-def fit(rows: list[tuple[dict[str, float], int]], names: list[str], grades: int = GRADES, steps: int = 400, l2: float = 1e-4) -> Ordinal:
-    """Gradient descent (Adam) on the negative log likelihood of (features, grade) rows, from zero."""
-    place = {n: i for i, n in enumerate(sorted(names))}
-    at = np.concatenate([[0], np.cumsum([len(x) for x, _ in rows])]).astype(int)
-    column = np.array([place[k] for x, _ in rows for k in x], dtype=int)
+def fit(rows: list[tuple[dict[str, float], int]], names: list[str], grades: int = GRADES) -> Ordinal:
+    """A model from (features, grade) rows."""
+    place = {n: i for i, n in enumerate(names)}
+    row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    column = np.array([place[k] for x, _ in rows for k in x], dtype=np.int64)
     value = np.array([v for x, _ in rows for v in x.values()], dtype=float)
-    row = np.repeat(np.arange(len(rows)), np.diff(at))
-    grade = np.array([g for _, g in rows], dtype=int)
-    n = max(1, len(rows))
+    return _descend(row, column, value, np.array([g for _, g in rows], dtype=np.int64), names, grades)
+
+
+def _descend(row, column, value, grade, names: list[str], grades: int, steps: int = 400, l2: float = 1e-4) -> Ordinal:
+    """Gradient descent (Adam) on the negative log likelihood, from zero; (row, column, value) are the features."""
+    n, size = max(1, len(grade)), len(names)
     # thresholds: the first, then logarithms of the gaps
-    p = np.concatenate([np.zeros(len(place)), [2.0], np.zeros(grades - 2)])
+    p = np.concatenate([np.zeros(size), [2.0], np.zeros(grades - 2)])
     m, v = np.zeros_like(p), np.zeros_like(p)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
-        w, gaps = p[: len(place)], np.exp(p[len(place) + 1 :])
-        theta = p[len(place)] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(row, w[column] * value, len(rows))
+        w, gaps = p[:size], np.exp(p[size + 1 :])
+        theta = p[size] + np.concatenate([[0], np.cumsum(gaps)])
+        score = np.bincount(row, w[column] * value, len(grade))
         ends = np.concatenate([[-np.inf], theta, [np.inf]])
         lo, hi = sigmoid(ends[grade] - score), sigmoid(ends[grade + 1] - score)
         lo, hi = np.where(grade == 0, 0, lo), np.where(grade == grades - 1, 1, hi)
         mass = np.maximum(hi - lo, 1e-12)
         dlo, dhi = lo * (1 - lo) / mass, hi * (1 - hi) / mass
         slope = (dhi - dlo) / n  # of the negative log likelihood by the score
-        dtheta = np.zeros(grades - 1)
-        np.add.at(dtheta, np.minimum(grade, grades - 2), np.where(grade < grades - 1, -dhi, 0) / n)
-        np.add.at(dtheta, np.maximum(grade - 1, 0), np.where(grade > 0, dlo, 0) / n)
+        dtheta = np.bincount(np.minimum(grade, grades - 2), np.where(grade < grades - 1, -dhi, 0) / n, grades - 1)
+        dtheta += np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, dlo, 0) / n, grades - 1)
         later = np.cumsum(dtheta[::-1])[::-1]
-        g = np.concatenate([np.bincount(column, slope[row] * value, len(place)) + l2 * w, [later[0]], later[1:] * gaps])
+        g = np.concatenate([np.bincount(column, slope[row] * value, size) + l2 * w, [later[0]], later[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.05 * min(1.0, 2 - 2 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        p[: len(place)] = np.maximum(p[: len(place)], 0)  # every feature speaks for toxicity
-    theta = p[len(place)] + np.concatenate([[0], np.cumsum(np.exp(p[len(place) + 1 :]))])
-    return Ordinal({k: float(p[i]) for k, i in place.items()}, [float(t) for t in theta])
+        p[:size] = np.maximum(p[:size], 0)  # every feature speaks for toxicity
+    theta = p[size] + np.concatenate([[0], np.cumsum(np.exp(p[size + 1 :]))])
+    return Ordinal({k: float(x) for k, x in zip(names, p, strict=False)}, [float(t) for t in theta])
 
 
 def _sample(documents: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
@@ -151,26 +155,29 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
     strong = strong.orderBy(F.desc("z"), "name").limit(FEATURES).collect()
     names = sorted(r.name for r in strong)
     clear = {r.name for r in strong if r.t >= 0.9 * r.n}
-    chosen = sample.sparkSession.sparkContext.broadcast({n: i for i, n in enumerate(names)})
+    chosen = sample.sparkSession.sparkContext.broadcast(Ordinal(dict.fromkeys(names, 1.0), []))
+    place = {n: i for i, n in enumerate(names)}
 
     def make_values():
-        place = chosen.value
-
         def run(batch: list[dict]) -> list[dict]:
             out = []
             for r in batch:
-                found = sorted((place[k], v) for k, v in values(features(r["text"])[0], place).items())
-                out.append({"toxic": r["toxic"], "at": [i for i, _ in found], "value": [v for _, v in found]})
+                found = chosen.value.values(r["text"])
+                out.append({"toxic": r["toxic"], "at": [place[k] for k in found], "value": list(found.values())})
             return out
 
         return run
 
     # at most ``bound`` rows, with the features that they have of at most FEATURES
-    data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow().to_pylist()
-    amount = [sum(v for i, v in zip(r["at"], r["value"], strict=True) if names[i] in clear) for r in data]
-    cuts = np.quantile([x for x, r in zip(amount, data, strict=True) if r["toxic"]], np.arange(1, grades - 1) / (grades - 1))
-    graded = sorted((r["at"], r["value"], int(1 + np.searchsorted(cuts, x)) if r["toxic"] else 0) for x, r in zip(amount, data, strict=True))
-    return fit([({names[i]: v for i, v in zip(at, value, strict=True)}, g) for at, value, g in graded], names, grades)
+    data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow().combine_chunks()
+    is_toxic = data["toxic"].to_numpy() > 0
+    lists, value = (data[name].combine_chunks() for name in ("at", "value"))
+    row = np.repeat(np.arange(len(data)), lists.value_lengths().to_numpy())
+    column, value = lists.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy()
+    amount = np.bincount(row, value * np.array([n in clear for n in names], dtype=float)[column], len(data))
+    cuts = np.quantile(amount[is_toxic], np.arange(1, grades - 1) / (grades - 1))
+    grade = np.where(is_toxic, 1 + np.searchsorted(cuts, amount), 0)
+    return _descend(row, column, value, grade, names, grades)
 
 
 def score(documents: DataFrame, model: Ordinal) -> DataFrame:
@@ -189,7 +196,7 @@ def score(documents: DataFrame, model: Ordinal) -> DataFrame:
 
         def run(rows: list[dict]) -> list[dict]:
             for r in rows:
-                above = ordinal.above(features(r["text"])[0])
+                above = ordinal.above(r["text"])
                 grade = sum(p >= 0.5 for p in above)
                 r |= {"severity": round(sum(above), 6), "grade": grade, "toxic": above[0] >= REJECT}
             return rows

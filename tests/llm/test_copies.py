@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import pytest
 from helpers import collect, make_documents, near_copies
 from pareframe.llm import exact, linededup, ngrams
 from pyspark.sql import functions as F
@@ -120,12 +121,11 @@ def test_line_dedup(spark, rows):
         assert r["n_chars"] == len(r["text"] or "")
 
 
-def test_line_dedup_with_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "LISTED", 3)
-    monkeypatch.setattr(linededup, "HUBS", 1)
+@pytest.mark.parametrize("listed", [3, 2048])
+def test_line_dedup_with_long_lists(spark, listed):
     rows = unique_ids(near_copies(seed=8, bases=2, copies=25, words=40))
     expected = brute_lines(rows)
-    for r in collect(linededup.dedup_lines(make_documents(spark, rows).repartition(3))):
+    for r in collect(linededup.dedup_lines(make_documents(spark, rows).repartition(3), listed=listed, hubs=1)):
         assert r["text"] == next((e for (d, t), e in expected.items() if d == r["doc_id"]), None)
 
 
