@@ -10,7 +10,7 @@ A document's set is that of its distinct 5-word shingles, as 64-bit numbers. Ste
    shared shingle in their prefix can have a match; the others end here.
 3. ``link``: sets of the same size and prefix form a group. Groups that share a prefix token make candidate pairs,
    cut by size and place of the token; members of the pairs left are verified. As components are what is asked
-   for, sets go to one hub each first, several times; then whatever is still in different components is compared
+   for, sets go to a few hubs each first, in several rounds; then whatever is still in different components is compared
    pair by pair, so no link between components is missed while pairs inside a component are never listed.
 """
 
@@ -34,8 +34,8 @@ WORDS = 5
 #: A shingle in one of so many documents is looked for as a hot one. With an average of s shingles in a document
 #: there can be HOT * s of them.
 HOT = 1000
-#: Rounds in which sets are compared with one hub only.
-ROUNDS = 3
+#: Rounds in which sets are compared with hubs only: one in the first, up to TRIED each in the later ones.
+ROUNDS, TRIED = 4, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -217,7 +217,9 @@ def link(sets: DataFrame) -> DataFrame:
         """Components by group; postings with them; tokens that are in several components, with a hub."""
         spread = members.join(comps, "sid").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         labelled = postings.join(spread, "gid")
-        hub = F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "n", "at", "lo", "hi")).alias("hub")
+        # one hub for a whole group of copies at first, then another for each of their tokens
+        by = ("gid",) if turn == 0 else ("gid", "token", F.lit(turn))
+        hub = F.min(F.struct(F.xxhash64(*by).alias("h"), "gid", "n", "at", "lo", "hi")).alias("hub")
         mixed = labelled.groupBy("token").agg(hub, F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h")
         return spread, labelled, mixed
 
@@ -225,7 +227,9 @@ def link(sets: DataFrame) -> DataFrame:
         _, labelled, mixed = spread_over(_stars(members.select("sid"), links), turn)
         near = labelled.alias("x").join(mixed.select("token", "hub"), "token").where((F.col("x.gid") != F.col("hub.gid")) & apart("x", "hub") & fits("x", "hub"))
         votes = near.groupBy(F.col("x.gid").alias("a"), F.col("hub.gid").alias("b")).count()
-        best = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
+        # as many entries as a group has tokens, at most
+        best = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), asc=False), 1, TRIED if turn else 1).alias("v"))
+        best = best.select("a", F.explode("v.b").alias("b"))
         links = keep(links.union(matching(best, heavy)), (turn + 2) * size)
     comps = _components(members.select("sid"), links)
     spread, labelled, mixed = spread_over(comps, ROUNDS)
