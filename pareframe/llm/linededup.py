@@ -162,11 +162,22 @@ def _near(n1, at1, s1, n2, at2, s2) -> np.ndarray:
     return fits & (common >= np.bitwise_count(s1) - (n1 - needed)) & (common >= np.bitwise_count(s2) - (n2 - needed))
 
 
-OUT = ("a", "b", "token", "sid", "sign", "key", "doc", "th", "place", "n", "at", "open")
+OUT = ("a", "b", "token", "sid", "sign", "doc", "th", "place", "n", "at", "open")
+#: Entries of a row that _candidates gives.
+ENTRIES = 4096
 
 
 def _rows(n: int, columns: dict) -> pa.Table:
-    return pa.table({name: pa.array(columns[name].astype(np.int64)) if name in columns else pa.nulls(n, pa.int64()) for name in OUT})
+    """Entries as arrays, ENTRIES to a row; columns that these don't have are null."""
+    cuts = np.append(np.arange(0, n, ENTRIES), n).astype(np.int32)
+    make = lambda x: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64)))
+    return pa.table({name: make(columns[name]) if name in columns else pa.nulls(len(cuts) - 1, pa.list_(pa.int64())) for name in OUT})
+
+
+def _entries(found: DataFrame, *names: str) -> DataFrame:
+    """One row for each entry of the kind that has a column of the first name."""
+    zipped = found.where(F.col(names[0]).isNotNull()).select(F.explode(F.arrays_zip(*names)).alias("x"))
+    return zipped.select(*(F.col("x")[name].alias(name) for name in names))
 
 
 def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
@@ -182,7 +193,7 @@ def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
     first[1:] = np.any([columns[m][1:] != columns[m][:-1] for m in main], axis=0)
     columns = {k: v[first] for k, v in columns.items()}
     if number < 0:
-        return _rows(int(first.sum()), columns)
+        return _rows(int(first.sum()), {k: columns[k] for k in ("sid", "doc", "th", "place")})
     order = np.lexsort((columns["sid"], columns["place"], columns["doc"], columns["token"]))
     token, sid, sign, doc, place, n, at = (columns[name][order] for name, _ in POSTING)
     n, at = n.astype(np.int64), at.astype(np.int64)
@@ -252,16 +263,16 @@ def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _found(source: DataFrame, listed: int, hubs: int) -> DataFrame:
-    """Rows of three kinds: first places (key), candidate pairs (a, b), entries of words that have more pairs (token)."""
+    """Entries of three kinds: first places (th), candidate pairs (a), words that have more pairs (token)."""
     buckets = 2 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = _sent(source, _rarity(source), buckets)
-    return keep(sent.groupBy("bucket").applyInArrow(lambda table: _candidates(table, listed, hubs), ", ".join(f"{name} long" for name in OUT)))
+    return keep(sent.groupBy("bucket").applyInArrow(lambda table: _candidates(table, listed, hubs), ", ".join(f"{name} array<long>" for name in OUT)))
 
 
 def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
     """(sid) of the distinct lines that an earlier, different line matches."""
-    pairs = keep(found.where("a IS NOT NULL").select("a", "b").distinct())
-    listed = found.where("token IS NOT NULL").drop("a", "b", "key", "th")
+    pairs = keep(_entries(found, "a", "b").distinct())
+    listed = _entries(found, "token", "sid", "sign", "doc", "place", "n", "at", "open")
     gone = _verified(source, pairs)
     later, earlier = listed.where("open = 1").join(gone, "sid", "left_anti").alias("x"), listed.alias("y")
     order = lambda t: F.struct(f"{t}.doc", f"{t}.place", f"{t}.sid")
@@ -295,7 +306,7 @@ def dedup_lines(documents: DataFrame, listed: int = LISTED, hubs: int = HUBS) ->
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     source = _source(documents)
     found = _found(source, listed, hubs)
-    stay = found.where("key IS NOT NULL").select("sid", "doc", "th", "place").join(_repeated(source, found), "sid", "left_anti")
+    stay = _entries(found, "th", "sid", "doc", "place").join(_repeated(source, found), "sid", "left_anti")
     lists = stay.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list("place").alias("__stay"))
     keyed = documents.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64("text")})
     joined = keyed.join(lists, ["__doc", "__th"], "left").drop("__doc", "__th")
