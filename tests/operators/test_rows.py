@@ -57,7 +57,7 @@ def test_similarity(spark):
     found = {r.k: r for r in diagnostics.similarity(spark.createDataFrame(rows, "k int, i int, a string, b string"), ["k"], "i", "a", "b").collect()}
     assert found[1].similarity == 1 and found[1].similar
     assert found[2].similarity == round(1 - 2.718281828459045**-1, 6) and not found[2].similar
-    assert not found[3].similar
+    assert found[3].similarity == round(1 - 2.718281828459045**-2 / 3, 6) and found[3].similar
 
 
 def test_refcounts(spark):
