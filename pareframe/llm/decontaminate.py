@@ -146,7 +146,7 @@ def _merged(documents: DataFrame, parts: list, kind: str) -> DataFrame:
     for make in parts[1:]:
         first = out.withColumnsRenamed({"n_words": "__n", "hits": "__hits", "items": "__items"})
         more = map_texts(first, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema) + ", n_words long, hits array<int>, items array<string>")
-        pairs = F.transform(F.sequence(F.lit(0), F.size("both") / 2 - 1), lambda i: F.struct(F.element_at("both", (2 * i + 1).cast("int")).alias("s"), F.element_at("both", (2 * i + 2).cast("int")).alias("e")))
+        pairs = F.transform(F.sequence(F.lit(0), (F.size("both") / 2 - 1).cast("int")), lambda i: F.struct(F.element_at("both", (2 * i + 1).cast("int")).alias("s"), F.element_at("both", (2 * i + 2).cast("int")).alias("e")))
         more = more.withColumn("both", F.concat("__hits", "hits"))
         spans = F.when(F.size("both") > 0, F.array_sort(pairs)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
         joined = F.aggregate(
