@@ -70,12 +70,23 @@ def degree_counts(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(vertices, edges).groupBy("n_out", "n_in").agg(F.count("*").alias("n"))
 
 
-def linked_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components of nations under trade: a supplier's nation and a buyer's, where R-flagged lines say so."""
-    line = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 50").select("l_orderkey", "l_suppkey")
+def _trade(spark: SparkSession, d: str, which: str | None = None) -> DataFrame:
+    """(src, dst): supplier, as a negative number, and customer of each line."""
+    line = table(spark, d, "lineitem")
+    line = (line.where(which) if which else line).select("l_orderkey", "l_suppkey")
     buyer = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("dst"))
-    edges = line.join(buyer, "l_orderkey").select((-F.col("l_suppkey") - 1).alias("src"), "dst")
-    return components.connected_components(edges)
+    return line.join(buyer, "l_orderkey").select((-F.col("l_suppkey") - 1).alias("src"), "dst")
+
+
+def linked_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Connected components of suppliers and customers under the R-flagged lines of at least 50 pieces only, a
+    small part of all lines. ``linked_traders`` takes every line."""
+    return components.connected_components(_trade(spark, d, "l_returnflag = 'R' AND l_quantity >= 50"))
+
+
+def linked_traders(spark: SparkSession, d: str) -> DataFrame:
+    """Connected components of suppliers and customers under every line: a supplier has the id -l_suppkey - 1."""
+    return components.connected_components(_trade(spark, d))
 
 
 _FK = """e AS (
@@ -125,4 +136,6 @@ QUERIES = {
         reach(id, root) AS (SELECT src, src FROM e UNION SELECT b.dst, reach.root FROM reach JOIN b ON b.src = reach.id)
         SELECT id, min(root) AS component FROM reach GROUP BY id""",
     ),
+    # no SQL: recursion holds each pair of linked ids, the square of a component
+    "linked_traders": (linked_traders, None),
 }
