@@ -8,7 +8,8 @@ characters. Labels say only whether a document is toxic. Grade 0 is "not toxic";
 the higher grades, in equal parts, by the sum of their features that speak for toxicity clearly.
 
 The model is fitted on at most FIT_ROWS labelled documents, those with the smallest hash of doc_id; features are
-counted there by a Spark aggregation, and only the FEATURES that speak for toxicity most are sent to the driver with the rows.
+counted there by a Spark aggregation, and those that speak for toxicity by LEAST_Z or more are sent to the driver with
+the rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from pareframe.sources.tables import keep
 
 GRADES = 4
 FIT_ROWS = 20_000
-FEATURES = 1024
 PREFIXES = (4, 5, 6)
 #: Contexts, at least, that a feature must have, and the least signed root of its likelihood ratio.
 LEAST_ROWS, LEAST_Z = 3, 3.5
@@ -121,8 +121,12 @@ def _descend(row, column, value, grade, names: list[str], grades: int, steps: in
 
 
 def _sample(documents: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """(text, toxic) of at most ``bound`` labelled documents; of repeated ids all rows, with the larger label."""
+    """(text, toxic) of at most ``bound`` labelled documents; of repeated ids all rows, with the larger label.
+
+    Labels whose document is absent, or has no text, don't count towards ``bound``.
+    """
     given = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    given = given.join(documents.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     # at most ``bound`` pairs of numbers
     return documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
@@ -152,7 +156,8 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
         gain = gain + F.when(mine < among, (among - mine) * F.log((among - mine) / (among - expected))).otherwise(0.0)
     z = F.sqrt(F.greatest(2 * gain, F.lit(0.0))) * F.when(F.col("t") * rows >= F.col("n") * toxic, 1).otherwise(-1)
     strong = by.where((F.col("n") >= LEAST_ROWS) & (F.col("n") < rows)).select("name", z.alias("z"), "t", "n").where(F.col("z") >= LEAST_Z)
-    strong = strong.orderBy(F.desc("z"), "name").limit(FEATURES).collect()
+    # bounded by the words of at most ``bound`` documents
+    strong = strong.collect()
     names = sorted(r.name for r in strong)
     clear = {r.name for r in strong if r.t >= 0.9 * r.n}
     chosen = sample.sparkSession.sparkContext.broadcast(Ordinal(dict.fromkeys(names, 1.0), []))
@@ -168,7 +173,7 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
 
         return run
 
-    # at most ``bound`` rows, with the features that they have of at most FEATURES
+    # at most ``bound`` rows, with the features that they have of the strong ones
     data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow().combine_chunks()
     is_toxic = data["toxic"].to_numpy() > 0
     lists, value = (data[name].combine_chunks() for name in ("at", "value"))
@@ -188,7 +193,7 @@ def score(documents: DataFrame, model: Ordinal) -> DataFrame:
     and null ids just stay.
     """
     documents = documents.drop("severity", "grade", "toxic")
-    # bounded: at most FEATURES weights
+    # bounded: weights of the strong features of FIT_ROWS documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
