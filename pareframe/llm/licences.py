@@ -21,6 +21,18 @@ SPELLINGS = {
     "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization",
     "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize",
     "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+    "acknowledgements": "acknowledgments", "analogues": "analogs", "analysed": "analyzed", "analysing": "analyzing",
+    "artefacts": "artifacts", "authorisations": "authorizations", "authorise": "authorize", "authorises": "authorizes",
+    "authorising": "authorizing", "catalogues": "catalogs", "centres": "centers", "favours": "favors", "favoured": "favored",
+    "fulfils": "fulfills", "initialised": "initialized", "judgements": "judgments", "licenced": "licensed",
+    "licencee": "licensee", "licencees": "licensees", "licences": "licenses", "licencing": "licensing", "licencor": "licensor",
+    "maximised": "maximized", "offences": "offenses", "optimised": "optimized", "organisations": "organizations",
+    "organised": "organized", "practised": "practiced", "programmes": "programs", "realised": "realized",
+    "recognised": "recognized", "recognises": "recognizes", "sublicence": "sublicense", "sublicences": "sublicenses",
+    "sublicenced": "sublicensed", "sublicencing": "sublicensing", "utilise": "utilize", "utilised": "utilized",
+    # a hyphen is a space by now; after those above
+    "sub license": "sublicense", "sub licenses": "sublicenses", "sub licensed": "sublicensed", "sub licensing": "sublicensing",
+    "non commercial": "noncommercial", "non infringement": "noninfringement", "copyright owner": "copyright holder",
 }
 
 # Texts of well-known short licences, and one-line notices of these and longer ones.
@@ -30,6 +42,17 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 _0BSD = _ISC.replace("granted, provided that the above copyright notice and this permission notice appear in all copies.", "granted.")
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_3 = _BSD_2.replace("\nTHIS", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS")
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org/>"""
+_BULLETS = str.maketrans("123", "***")
 LICENCES = [
     ("MIT", "text", _MIT),
     ("MIT", "text", f"MIT License\n{_MIT}"),
@@ -38,6 +61,10 @@ LICENCES = [
     ("ISC", "text", f"ISC License\n{_ISC}"),
     ("0BSD", "text", _0BSD),
     ("0BSD", "text", f"BSD Zero Clause License\n{_0BSD}"),
+    *(("BSD-2-Clause", "text", title + text) for title in ("", "BSD 2-Clause License\n") for text in (_BSD_2, _BSD_2.translate(_BULLETS))),
+    *(("BSD-3-Clause", "text", title + text) for title in ("", "BSD 3-Clause License\n") for text in (_BSD_3, _BSD_3.translate(_BULLETS))),
+    ("Unlicense", "text", _UNLICENSE),
+    ("Unlicense", "text", _UNLICENSE.replace("https:", "http:")),
     ("MIT", "notice", "Released under the MIT License."),
     ("MIT", "notice", "Licensed under the MIT License."),
     ("MIT", "notice", "SPDX-License-Identifier: MIT"),
@@ -57,7 +84,7 @@ LICENCES = [
 #: A line that opens with a copyright sign or word.
 COPYRIGHT_LINE = r"(?m)^[\x20\t]*(copyright|\(c\)|©)([^a-z0-9\n][^\n]*)?$"
 #: Each known licence holds one of these in its canonical form, as does whatever has the same form.
-CUES = ("licen", "permission")
+CUES = ("licen", "permission", "redistribution")
 
 
 def canonical(text: Column) -> Column:
@@ -76,25 +103,28 @@ def has_cue(text: Column) -> Column:
     return found
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """digest, licence, kind: a fixed table of LICENCES."""
-    rows = spark.createDataFrame(LICENCES, "licence string, kind string, text string")
+def known(spark: SparkSession, licences: DataFrame | None = None) -> DataFrame:
+    """digest, licence, kind of ``licences`` (licence, kind, text), or else of the fixed table LICENCES."""
+    rows = spark.createDataFrame(LICENCES, "licence string, kind string, text string") if licences is None else licences
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence", "kind").distinct()
 
 
-def scan_licences(documents: DataFrame) -> DataFrame:
+def scan_licences(documents: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     """The licences that documents carry: doc_id, licence, kind, n.
 
     Kind ``text``: the whole document is that licence (n is the number of rows of that doc_id for which it is).
     Kind ``notice``: n lines are a notice of it. Documents without a match have no row; null and empty texts match
-    nothing. Rows with the same doc_id, or with none, add up. Other columns are not used.
+    nothing. Rows with the same doc_id, or with none, add up. Other columns are not used. ``licences`` (licence,
+    kind, text) takes the place of LICENCES; its texts need no cue, so every document and line is then looked up.
     """
-    texts = documents.where(has_cue(F.col("text"))).select("doc_id", "text")
+    cue = has_cue if licences is None else (lambda text: F.trim(text) != "")
+    texts = documents.where(cue(F.col("text"))).select("doc_id", "text")
     whole = texts.select("doc_id", F.lit("text").alias("kind"), F.col("text").alias("unit"))
-    lines = texts.select("doc_id", F.lit("notice").alias("kind"), F.explode(F.split("text", "\n")).alias("unit")).where(has_cue(F.col("unit")))
+    lines = texts.select("doc_id", F.lit("notice").alias("kind"), F.explode(F.split("text", "\n")).alias("unit")).where(cue(F.col("unit")))
     units = whole.unionByName(lines).select("doc_id", "kind", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
-    # known() is a fixed table of some dozens of digests
-    found = units.join(F.broadcast(known(documents.sparkSession)), ["digest", "kind"])
+    digests = known(documents.sparkSession, licences)
+    # LICENCES is a fixed table of some dozens of digests
+    found = units.join(F.broadcast(digests) if licences is None else digests, ["digest", "kind"])
     return found.groupBy("doc_id", "licence", "kind").agg(F.count("*").alias("n"))
 
 
