@@ -10,7 +10,8 @@ Base kinds, with the spans that leftmost non-overlapping matching of the given p
 * ``phone``: plus sign, 9 to 15 digits; parsed from the plus sign
 
 Added kinds: ``url`` (an address with user name or password before the host) and ``account`` (after a cue: an
-IBAN that passes mod 97, or a social security number of plausible groups). Offsets count code points, the end
+IBAN that passes mod 97, or a social security number of plausible groups, up to three words between; after
+"account" or "acct" also 6 to 17 plain digits). Offsets count code points, the end
 excluded.
 """
 
@@ -29,6 +30,7 @@ from pareframe.llm.rows import map_texts
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 CUES = ("iban", "account", "acct", "ssn", "social security")
+PLAIN_CUES = ("account", "acct")
 
 DIGITS = frozenset(string.digits)
 ALNUM = frozenset(string.digits + string.ascii_letters)
@@ -39,7 +41,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 DOTTED = re.compile(r"[0-9.]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*(:[0-9]+)?")
-IDENTIFIER = re.compile(r"[\x20:=#.\x09-]{0,8}(?:(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}))(?![A-Za-z0-9])")
+BETWEEN = r"[\x20:=#.\x09-]"
+IDENTIFIER = re.compile(BETWEEN + r"{0,8}(?:(?<=" + BETWEEN + r")[A-Za-z]{1,15}" + BETWEEN + r"{1,8}){0,3}?(?:(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}))(?![A-Za-z0-9])")
+#: Nothing validates plain digits, so only words of this kind may stand before them.
+PLAIN = re.compile(r"(?i)" + BETWEEN + r"{0,8}(?:(?<=" + BETWEEN + r")(?:number|num|no|nr|id|is|was)" + BETWEEN + r"{1,8}){0,3}?(?P<plain>[0-9]{6,17})(?![A-Za-z0-9]|[.-][0-9])")
 
 
 def anchors() -> ahocorasick.Automaton:
@@ -90,14 +95,17 @@ def _iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
-def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The identifier after a cue that ends before ``at``."""
-    if not (found := IDENTIFIER.match(text, at)):
-        return None
-    if found["iban"] is not None:
-        return found.span("iban") if _iban(found["iban"]) else None
-    area, group, serial = found["ssn"].split("-")
-    return found.span("ssn") if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" else None
+def _account(text: str, at: int, plain: bool = False) -> tuple[int, int] | None:
+    """The identifier after a cue that ends before ``at``; ``plain`` digits count after some cues only."""
+    if found := IDENTIFIER.match(text, at):
+        if found["iban"] is not None:
+            if _iban(found["iban"]):
+                return found.span("iban")
+        else:
+            area, group, serial = found["ssn"].split("-")
+            if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
+                return found.span("ssn")
+    return found.span("plain") if plain and (found := PLAIN.match(text, at)) else None
 
 
 def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
@@ -134,8 +142,8 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
             if start < last - size + 1 and (match := USERINFO.match(text, last + 1)):
                 url_end = match.end()
                 found["url"].append((start, match.end()))
-        elif span := _account(text, last + 1):
-            if not found["account"] or found["account"][-1] != span:
+        elif span := _account(text, last + 1, text[last + 1 - size : last + 1].lower() in PLAIN_CUES):
+            if span not in found["account"][-3:]:
                 found["account"].append(span)
     return sorted(((k, s, e) for k, spans in found.items() for s, e in spans), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
