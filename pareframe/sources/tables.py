@@ -15,25 +15,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in a local test, a temporary folder
-    is used.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one process, as in a local
+    test, a temporary folder is used; on a cluster the setting is needed.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
 #: Rows to a partition where a table's size is known before it is computed.
 PART_ROWS = 100_000
+#: Shuffle files of a query go when it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` computed once and held in the shared checkpoint folder; its lineage ends there.
+    """``df`` computed once and held in the shared checkpoint folder; its lineage ends there, and its shuffles go.
 
     ``rows``, where a bound is known, keeps a small table from being spread over many small files.
     """
-    shared_folder(df.sparkSession)
-    if rows is not None:
-        df = df.coalesce(rows // PART_ROWS + 1)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        # planned anew, under this setting
+        return (df.select("*") if rows is None else df.coalesce(rows // PART_ROWS + 1)).checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
