@@ -8,29 +8,35 @@ without words stay.
 1. Words, as 64-bit numbers, are ordered by rarity. They are counted over all lines, in SLOTS counters by hash (a fixed
    size); words that share a counter look more frequent than they are, which costs time, not results: any one
    order that all lines share makes the filters exact.
-2. Each line sends the words of its prefix to buckets by value, packed. In a bucket, lines with equal sets become
-   one, and lines that share a word make candidate pairs, cut by size, by place of the word, and by a sign of 64
-   bits that all words of a line set and that must agree but for the words that may differ. From each list of
-   lines that share a word, a line is paired with its HUBS earliest candidates; in lists of more than LISTED lines
-   only the HUBS earliest lines are looked at.
-3. Candidates are verified. Lines that had more candidates, and of which none was a match, are then compared with
-   all of them.
+2. Each line sends the words of its prefix to buckets by value, packed; very frequent words are dealt over several
+   buckets. In a bucket, lines with equal sets become one, and lines that share a word make candidate pairs, cut by
+   size, by place of the word, and by a sign of 128 bits that all words of a line set and that must agree but for the
+   words that may differ. Lists are sorted by size, so a line looks only at those of a size that can match, and in
+   blocks of LISTED. Of its candidates in a block a line keeps the HUBS earliest.
+3. The candidates of a line that share most words of its prefix are verified. Lines without a match are then verified
+   with all other candidates: those that were left, those beyond the HUBS, and those in other blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pareframe.llm.rows import map_texts
-from pareframe.llm.setjoin import DEN, NUM, matching, may_match, pack, split_by, unpack
+from pareframe.llm.rows import column, named, numbered
+from pareframe.llm.setjoin import DEN, NUM, expand, matching, may_match, pack, split_by, squeezed, unpack
 from pareframe.llm.wordhash import mix, word_groups
 from pareframe.sources.tables import keep
 
-SLOTS = 1 << 20
-LISTED, HUBS = 2048, 4
+SLOTS, BLOCK = 1 << 21, 1 << 14
+LISTED, HUBS = 512, 4
+#: Candidates of a line that are verified first.
+TRIED = 2
+#: Words of all lines to a bucket, about; and of one word to a part of its list.
+BUCKET_WORDS, PART_WORDS = 1 << 22, 1 << 16
+#: Pairs that are looked at in one step.
+STEP = 1 << 20
 #: Bits of the filter that tells which lines are needed for verification, in blocks of BLOCK_BITS.
 FILTER_BITS, BLOCK_BITS = 1 << 24, 1 << 16
 #: Stands for a null doc_id, which comes before all others.
@@ -39,36 +45,52 @@ ONE, HALF = np.uint64(1), np.uint64(32)
 
 
 class Lines:
-    """The lines with words of a group of texts: their distinct words by line, sorted, in one array.
+    """The lines with words of a group of texts. ``word`` has the words of all, from ``begin`` on of each line.
 
-    ``sid`` and ``key`` are sums of two functions of the words, so they depend on the set only. ``sign`` has a bit
-    for each word, of 64.
+    ``sid`` is made from the words of a line, whatever their order, and so are ``sign`` and ``sign2``, which have a bit for
+    each word, of 128. Lines of the same words have the same; so have no others, as ``sid`` and ``sign`` are 128 bits.
     """
 
-    def __init__(self, text: np.ndarray, line: np.ndarray, value: np.ndarray):
-        new = np.ones(len(value), dtype=bool)
+    def __init__(self, text: np.ndarray, line: np.ndarray, word: np.ndarray):
+        new = np.ones(len(word), dtype=bool)
         new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
-        self.text, self.place = text[new], line[new].astype(np.int32)
-        owner = np.cumsum(new) - 1
-        order = np.lexsort((value, owner))
-        value = value[order]
+        at = np.flatnonzero(new)
+        self.word, self.begin = word, np.append(at, len(word))
+        self.text, self.place = text[at], line[at].astype(np.int32)
+        self.sid = mix(np.add.reduceat(mix(word), at) + np.diff(self.begin).astype(np.uint64)).view(np.int64)
+        bit, half = ONE << (word >> np.uint64(58)), (word >> np.uint64(57) & ONE).astype(bool)
+        self.sign = np.bitwise_or.reduceat(np.where(half, bit, 0), at)
+        self.sign2 = np.bitwise_or.reduceat(np.where(half, 0, bit), at)
+
+    def __len__(self) -> int:
+        return len(self.sid)
+
+    def order(self, rank: np.ndarray) -> None:
+        """Finds the distinct words, by line, rank and then value: ``value`` with their ``line`` and ``rank``; and how many, ``n``."""
+        value, rank = self.word, rank[_slot(self.word)]
+        owner = np.repeat(np.arange(len(self)), np.diff(self.begin))
+        # one number to sort by, of line, rank and as much of the value as has room
+        room = 64 - len(self).bit_length()
+        key = (owner.astype(np.uint64) << np.uint64(room)) | (rank.astype(np.uint64) << np.uint64(room - 8)) | (value >> np.uint64(72 - room))
+        order = np.argsort(key)
+        key, in_order = key[order], value[order]
+        if np.any((key[1:] == key[:-1]) & (in_order[1:] != in_order[:-1])):
+            order = np.lexsort((value, rank, owner))
+            in_order = value[order]
+        value, owner, rank = in_order, owner[order], rank[order]
         first = np.ones(len(value), dtype=bool)
         first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        self.value, self.line = value[first], owner[first]
-        self.n = np.bincount(self.line, minlength=len(self.text)).astype(np.int64)
+        self.value, self.line, self.rank = value[first], owner[first], rank[first]
+        self.n = np.bincount(self.line, minlength=len(self)).astype(np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)])
-        at = self.start[:-1]
-        self.key = np.add.reduceat(mix(self.value ^ np.uint64(0x5DEECE66D)), at).view(np.int64)
-        self.sid = mix(np.add.reduceat(mix(self.value), at) + self.n.astype(np.uint64)).view(np.int64)
-        self.sign = np.bitwise_or.reduceat(ONE << (self.value >> np.uint64(58)), at)
-
-    def __len__(self) -> int:
-        return len(self.n)
 
     def firsts(self, doc: np.ndarray) -> np.ndarray:
-        """The first line of each set."""
-        by = np.lexsort((self.place, doc))
-        return np.sort(by[np.unique(self.sid[by], return_index=True)[1]])
+        """The first of lines of the same words."""
+        by = np.lexsort((self.place, doc, self.sign, self.sid))
+        sid, sign = self.sid[by], self.sign[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (sid[1:] != sid[:-1]) | (sign[1:] != sign[:-1])
+        return np.sort(by[new])
 
 
 def _groups(batch: pa.RecordBatch):
@@ -92,77 +114,96 @@ def _slot(value: np.ndarray) -> np.ndarray:
     return (value & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _rarity(source: DataFrame):
-    """Numbers of words by slot, sent to all executors."""
+def _rarity(source: DataFrame) -> tuple:
+    """How frequent words are by slot, eighths of the logarithm of their number, sent to all executors; and words of all lines."""
 
-    def task(batches):
-        seen = np.zeros(SLOTS, dtype=np.int64)
+    def count(batches):
+        seen, waiting, n = np.zeros(SLOTS, dtype=np.uint32), [], 0
         for batch in batches:
             for _, _, value in word_groups(batch.columns[0]):
-                seen += np.bincount(_slot(value), minlength=SLOTS)
-        slots = np.flatnonzero(seen)
-        yield _arrow([slots, seen[slots]], [pa.int64(), pa.int64()], "slot n")
+                waiting.append(_slot(value))
+                n += len(value)
+                if n >= SLOTS:
+                    seen += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.uint32)
+                    waiting, n = [], 0
+        if n:
+            seen += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.uint32)
+        blocks = [b for b in range(SLOTS // BLOCK) if seen[b * BLOCK : (b + 1) * BLOCK].any()]
+        yield _arrow([blocks, [pack(seen[b * BLOCK : (b + 1) * BLOCK]) for b in blocks]], [pa.int64(), pa.binary()], "block counts")
+
+    def add(batches):
+        # at most SLOTS counters, however many rows come
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                total[b] = total.get(b, 0) + unpack(c, np.uint32).astype(np.int64)
+        logs = [np.minimum(255, 8 * np.log2(t + 1)).astype(np.uint8).tobytes() for t in total.values()]
+        yield _arrow([list(total), logs, [int(t.sum()) for t in total.values()]], [pa.int64(), pa.binary(), pa.int64()], "block logs words")
 
-    counted = source.select("text").mapInArrow(task, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = np.zeros(SLOTS, dtype=np.int64)
-    # at most SLOTS rows
-    found = counted.toArrow()
-    table[found["slot"].to_numpy()] = found["n"].to_numpy()
-    # ranks take half the room of counts
-    ranks = np.unique(table, return_inverse=True)[1].astype(np.int32)
-    return source.sparkSession.sparkContext.broadcast(ranks)
+    counted = source.select("text").mapInArrow(count, "block long, counts binary").repartition(SLOTS // BLOCK // 8, "block")
+    rank, words = np.zeros(SLOTS, dtype=np.uint8), 0
+    # SLOTS / BLOCK rows of BLOCK bytes at most
+    for r in counted.mapInArrow(add, "block long, logs binary, words long").collect():
+        rank[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.logs, np.uint8)
+        words += r.words
+    return source.sparkSession.sparkContext.broadcast(rank), words
 
 
-#: A word within its bucket; which words share one doesn't matter, as lines are verified.
-POSTING = (("token", np.uint32), ("sid", np.int64), ("sign", np.uint64), ("doc", np.int64), ("place", np.int32), ("n", np.int32), ("at", np.int32))
-PLACE = (("sid", np.int64), ("key", np.int64), ("doc", np.int64), ("th", np.int64), ("place", np.int32))
-FIELDS = ("token", "sid", "sign", "key", "doc", "th", "place", "n", "at")
+#: A word of a prefix within its bucket, and where a set is first. Fields with a type are packed as they are.
+POSTING = (
+    ("token", np.uint64), ("sid", np.int64), ("sign", np.uint64), ("sign2", np.uint64), ("doc", None), ("place", None), ("n", None), ("at", None), ("parted", None),
+)
+PLACE = (("sid", np.int64), ("sign", np.uint64), ("doc", None), ("th", np.int64), ("place", None))
+FIELDS = ("token", "sid", "sign", "sign2", "doc", "th", "place", "n", "at", "parted")
 
 
 def _sent(source: DataFrame, rarity, buckets: int) -> DataFrame:
     """By bucket, packed: the prefix words of lines; and, in buckets under 0, where lines are."""
 
     def packed(bucket: np.ndarray, columns: dict, fields) -> list[dict]:
-        order = np.argsort(bucket, kind="stable")
-        columns = {name: columns[name][order].astype(kind) for name, kind in fields}
-        return [{"bucket": b} | {name: pack(c[s]) for name, c in columns.items()} for b, s in split_by(bucket[order])]
+        if len(bucket) and np.any(bucket[1:] < bucket[:-1]):
+            order = np.argsort(bucket, kind="stable")
+            bucket, columns = bucket[order], {name: columns[name][order] for name, _ in fields}
+        parts = {name: (b"", columns[name]) if kind else squeezed(columns[name]) for name, kind in fields}
+        return [{"bucket": b} | {name: head + values[s].tobytes() for name, (head, values) in parts.items()} for b, s in split_by(bucket)]
 
     def task(batches):
         rank = rarity.value
         schema = pa.schema([("bucket", pa.int64()), *((name, pa.binary()) for name in FIELDS)])
         for batch in batches:
             for lines, doc, th in _groups(batch):
+                lines.order(rank)
                 use = lines.firsts(doc)
                 where = -1 - (lines.sid[use].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                rows = packed(where, dict(sid=lines.sid[use], key=lines.key[use], doc=doc[use], th=th[use], place=lines.place[use]), PLACE)
-                order = np.lexsort((lines.value, rank[_slot(lines.value)], lines.line))
-                value, line = lines.value[order], lines.line[order]
-                at = np.arange(len(value)) - lines.start[line]
+                rows = packed(where, dict(sid=lines.sid[use], sign=lines.sign[use], doc=doc[use], th=th[use], place=lines.place[use]), PLACE)
+                at = np.arange(len(lines.value)) - lines.start[lines.line]
                 speaks = np.zeros(len(lines), dtype=bool)
                 speaks[use] = True
-                early = (at <= (lines.n - -(-NUM * lines.n // DEN))[line]) & speaks[line]
-                value, line, at = value[early], line[early], at[early]
-                high = value >> HALF
-                bucket = (high * np.uint64(buckets) >> HALF).astype(np.int64)
-                token = (value & np.uint64(0xFFFFFFFF)) ^ high
-                order = np.argsort(token, kind="stable")
-                token, line, at, bucket = token[order], line[order], at[order], bucket[order]
-                columns = dict(token=token, sid=lines.sid[line], sign=lines.sign[line], doc=doc[line], place=lines.place[line], n=lines.n[line], at=at)
+                early = (at <= (lines.n - -(-NUM * lines.n // DEN))[lines.line]) & speaks[lines.line]
+                token, line, at = lines.value[early], lines.line[early], at[early]
+                parts = 1 + (2.0 ** (lines.rank[early] / 8) / PART_WORDS).astype(np.int64)
+                bucket = ((token >> HALF) * np.uint64(buckets) >> HALF).astype(np.int64)
+                bucket = (bucket + lines.sid[line].view(np.uint64).astype(np.int64) % parts) % buckets
+                order = np.argsort(token)
+                token, line, at, bucket, parts = token[order], line[order], at[order], bucket[order], parts[order]
+                columns = {name: getattr(lines, name)[line] for name in ("sid", "sign", "sign2", "place", "n")}
+                columns |= dict(token=token, doc=doc[line], at=at, parted=parts > 1)
                 yield pa.RecordBatch.from_pylist(rows + packed(bucket, columns, POSTING), schema=schema)
 
     return source.mapInArrow(task, "bucket long, " + ", ".join(f"{name} binary" for name in FIELDS))
 
 
-def _near(n1, at1, s1, n2, at2, s2) -> np.ndarray:
+def _near(n1, at1, n2, at2, signs) -> np.ndarray:
     """As setjoin.may_match, for arrays; and the signs must agree but for words that one line may lack."""
-    small, large = np.minimum(n1, n2), np.maximum(n1, n2)
     needed = -(-NUM * (n1 + n2) // (NUM + DEN))
-    fits = (DEN * small >= NUM * large) & (np.minimum(n1 - at1, n2 - at2) >= needed)
-    common = np.bitwise_count(s1 & s2).astype(np.int64)
-    return fits & (common >= np.bitwise_count(s1) - (n1 - needed)) & (common >= np.bitwise_count(s2) - (n2 - needed))
+    fits = (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (np.minimum(n1 - at1, n2 - at2) >= needed)
+    for s, other, lacks in ((0, 1, n1 - needed), (1, 0, n2 - needed)):
+        fits &= sum(np.bitwise_count(x[s] & ~x[other]).astype(np.int64) for x in signs) <= lacks
+    return fits
 
 
-OUT = ("a", "b", "token", "sid", "sign", "doc", "th", "place", "n", "at", "open")
+ID = ("sid", "sign")
+OUT = ("a", "a2", "b", "b2", "token", "sid", "sign", "sign2", "doc", "th", "place", "n", "at", "open")
 #: Entries of a row that _candidates gives.
 ENTRIES = 4096
 
@@ -170,7 +211,7 @@ ENTRIES = 4096
 def _rows(n: int, columns: dict) -> pa.Table:
     """Entries as arrays, ENTRIES to a row; columns that these don't have are null."""
     cuts = np.append(np.arange(0, n, ENTRIES), n).astype(np.int32)
-    make = lambda x: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int64)))
+    make = lambda x: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)))
     return pa.table({name: make(columns[name]) if name in columns else pa.nulls(len(cuts) - 1, pa.list_(pa.int64())) for name in OUT})
 
 
@@ -180,48 +221,74 @@ def _entries(found: DataFrame, *names: str) -> DataFrame:
     return zipped.select(*(F.col("x")[name].alias(name) for name in names))
 
 
-def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
-    """One bucket: where sets are first; or pairs (a, b), b the earlier line, and entries of lists with more of them."""
-    rows = table.to_pylist()
-    number = rows[0]["bucket"]
-    fields = PLACE if number < 0 else POSTING
-    columns = {name: np.concatenate([unpack(r[name], kind) for r in rows]) for name, kind in fields}
-    main = ("key", "sid") if number < 0 else ("sid", "token")
-    order = np.lexsort((columns["place"], columns["doc"], *(columns[m] for m in main)))
+def _first_places(columns: dict) -> pa.Table:
+    """Where each set of a bucket is first."""
+    order = np.lexsort((columns["th"], columns["place"], columns["doc"], columns["sign"], columns["sid"]))
     columns = {k: v[order] for k, v in columns.items()}
     first = np.ones(len(order), dtype=bool)
-    first[1:] = np.any([columns[m][1:] != columns[m][:-1] for m in main], axis=0)
-    columns = {k: v[first] for k, v in columns.items()}
-    if number < 0:
-        return _rows(int(first.sum()), {k: columns[k] for k in ("sid", "doc", "th", "place")})
-    order = np.lexsort((columns["sid"], columns["place"], columns["doc"], columns["token"]))
-    token, sid, sign, doc, place, n, at = (columns[name][order] for name, _ in POSTING)
-    n, at = n.astype(np.int64), at.astype(np.int64)
-    # rank of each entry in its word's list, and the list's length
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    length = np.diff(np.concatenate([starts, [len(token)]]))
-    rank, length = np.arange(len(token)) - np.repeat(starts, length), np.repeat(length, length)
-    head = np.arange(len(token)) - rank
-    pairs, seen = [np.zeros((0, 2), dtype=np.int64)], np.zeros(len(token), dtype=np.int64)
-    whole = length <= listed
-    active = np.flatnonzero(rank > 0)
-    for back in range(int(length.max())):
-        # against the entry of rank ``back``; who has enough earlier ones and another, or a long list, is left for later
-        active = active[(rank[active] > back) & (seen[active] <= hubs) & (whole[active] | (back < hubs))]
-        if not len(active):
-            break
-        other = head[active] + back
-        hit = _near(n[active], at[active], sign[active], n[other], at[other], sign[other])
-        found = active[hit]
-        early = seen[found] < hubs
-        pairs.append(np.stack([sid[found[early]], sid[other[hit][early]]], axis=1))
-        seen[found] += 1
-    both = np.unique(np.concatenate(pairs), axis=0)
-    more = (seen > hubs) | (~whole & (rank > hubs))
-    needed = np.repeat(np.logical_or.reduceat(more, starts), np.diff(np.append(starts, len(token))))
-    entries = {name: x[needed] for name, x in zip(("token", "sid", "sign", "doc", "place", "n", "at", "open"), (token, sid, sign.view(np.int64), doc, place, n, at, more), strict=True)}
-    entries["token"] = entries["token"].astype(np.int64) + (number << 32)
-    return pa.concat_tables([_rows(len(both), {"a": both[:, 0], "b": both[:, 1]}), _rows(int(needed.sum()), entries)])
+    first[1:] = (columns["sid"][1:] != columns["sid"][:-1]) | (columns["sign"][1:] != columns["sign"][:-1])
+    return _rows(int(first.sum()), {k: v[first] for k, v in columns.items()})
+
+
+def _lists(columns: dict) -> tuple[dict, np.ndarray]:
+    """Entries by token and size, without later copies of a set in a list; and when each comes, as one number."""
+    doc = np.unique(columns["doc"], return_inverse=True)[1].astype(np.int64)
+    columns["when"] = (doc << 32) | columns["place"]
+    order = np.lexsort((columns["when"], columns["sid"], columns["token"]))
+    columns = {k: v[order] for k, v in columns.items()}
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([columns[k][1:] != columns[k][:-1] for k in ("token", "sid", "sign")], axis=0)
+    columns = {k: v[new] for k, v in columns.items()}
+    number = np.cumsum(np.concatenate([[False], columns["token"][1:] != columns["token"][:-1]])) if new.any() else np.zeros(0, np.int64)
+    order = np.argsort((number << 32) | columns["n"], kind="stable")
+    return {k: v[order] for k, v in columns.items()}, number[order]
+
+
+def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
+    """One bucket: where sets are first; or pairs (a, b), b the earlier line, and lists of which more is to be looked at."""
+    rows = table.to_pylist()
+    fields = PLACE if rows[0]["bucket"] < 0 else POSTING
+    columns = {name: np.concatenate([np.frombuffer(r[name], kind) if kind else expand(r[name]) for r in rows]) for name, kind in fields}
+    if rows[0]["bucket"] < 0:
+        return _first_places(columns)
+    columns, number = _lists(columns)
+    sid, sign, sign2, when = (columns[k] for k in ("sid", "sign", "sign2", "when"))
+    n, at = columns["n"].astype(np.int64), columns["at"].astype(np.int64)
+    size = len(n)
+    starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    length = np.diff(np.append(starts, size))
+    inside = np.arange(size) - np.repeat(starts, length)
+    block = (number << 32) | (inside // listed)
+    more = columns["parted"].astype(bool) | np.repeat(length > listed, length)
+    # in a block, after each entry come those of no smaller size; the last that can match
+    by_size = (np.cumsum(np.concatenate([[False], block[1:] != block[:-1]])) << 32) | n
+    last = np.searchsorted(by_size, (by_size >> 32 << 32) | np.minimum(DEN * n // NUM, (1 << 32) - 1), "right")
+    # the smaller set needs most of its words from the shared one on
+    can = n - at >= -(-2 * NUM * n // (NUM + DEN))
+    ahead = np.where(can, last - np.arange(size) - 1, 0)
+    ends = np.flatnonzero(np.append(block[1:] != block[:-1], True)) + 1
+    work = np.cumsum(ahead)
+    pairs, low, done = [np.zeros((0, 2), dtype=np.int64)], 0, 0
+    while low < size:
+        # whole blocks, as many as give STEP pairs, or one
+        upto = int(ends[max(np.searchsorted(work[ends - 1], done + STEP, "right") - 1, np.searchsorted(ends, low, "right"))])
+        mine = ahead[low:upto]
+        x = np.repeat(np.arange(low, upto), mine)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(mine) - mine, mine)
+        ok = _near(n[x], at[x], n[y], at[y], [(sign[x], sign[y]), (sign2[x], sign2[y])])
+        x, y = x[ok], y[ok]
+        later = (when[x] > when[y]) | ((when[x] == when[y]) & (sid[x] > sid[y]))
+        a, b = np.where(later, x, y), np.where(later, y, x)
+        order = np.lexsort((when[b], a))
+        a, b = a[order], b[order]
+        turn = np.arange(len(a)) - np.searchsorted(a, a)
+        more[a[turn >= hubs]] = True
+        pairs.append(np.stack([a, b], axis=1)[turn < hubs])
+        done, low = int(work[upto - 1]), upto
+    a, b = np.concatenate(pairs).T
+    needed = np.repeat(np.logical_or.reduceat(more, starts), length)
+    left = {name: columns[name][needed] for name in ("token", "sid", "sign", "sign2", "doc", "place", "n", "at")} | {"open": more[needed]}
+    return pa.concat_tables([_rows(len(a), {"a": sid[a], "a2": sign[a], "b": sid[b], "b2": sign[b]}), _rows(int(needed.sum()), left)])
 
 
 def _filter_of(ids: DataFrame):
@@ -235,64 +302,94 @@ def _filter_of(ids: DataFrame):
         return pa.table({"block": pa.array([int(bits[0]) // BLOCK_BITS], pa.int64()), "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
     blocks = bits.groupBy(F.floor(F.col("bit") / BLOCK_BITS).alias("g")).applyInArrow(block, "block long, bits binary")
-    table = np.zeros(FILTER_BITS, dtype=bool)
+    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     # FILTER_BITS / BLOCK_BITS rows of BLOCK_BITS bits at most
-    for r in blocks.toLocalIterator():
-        table[r.block * BLOCK_BITS : (r.block + 1) * BLOCK_BITS] = np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(table))
+    for r in blocks.collect():
+        table[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(table)
 
 
 def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sid, n, tokens) of the lines ``ids`` (sid), and of a few others."""
+    """(sid, sign, n, tokens) of the lines ``ids`` (sid), and of a few others."""
     wanted = _filter_of(ids)
 
     def task(batches):
         bits, seen = np.unpackbits(wanted.value).astype(bool), set()
         for batch in batches:
-            for lines, doc, _ in _groups(batch):
-                at = lines.firsts(doc)
-                at = at[bits[lines.sid[at] & (FILTER_BITS - 1)]]
-                at = [i for i, x in zip(at.tolist(), lines.sid[at].tolist(), strict=True) if x not in seen]
-                if len(seen) < SLOTS:
-                    seen.update(lines.sid[at].tolist())
-                tokens = [lines.value[lines.start[i] : lines.start[i + 1]].tobytes() for i in at]
-                yield _arrow([lines.sid[at], lines.n[at], tokens], [pa.int64(), pa.int64(), pa.binary()], "sid n tokens")
-
-    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return source.mapInArrow(task, "sid long, n long, tokens binary").repartition(parts, "sid").dropDuplicates(["sid"])
-
-
-def _found(source: DataFrame, listed: int, hubs: int) -> DataFrame:
-    """Entries of three kinds: first places (th), candidate pairs (a), words that have more pairs (token)."""
-    buckets = 2 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = _sent(source, _rarity(source), buckets)
+            for lines, _, _ in _groups(batch):
+                at = []
+                for i in np.flatnonzero(bits[lines.sid & (FILTER_BITS - 1)]).tolist():
+                    name = lines.sid[i], lines.sign[i]
+                    if name not in seen:
+                        at.append(i)
+                        # else a line may come twice, which costs no more than time
+                        if len(seen) < SLOTS:
+                            seen.add(name)
+                tokens = [np.unique(lines.word[lines.begin[i] : lines.begin[i + 1]]) for i in at]
+                columns = [lines.sid[at], lines.sign[at].view(np.int64), [len(t) for t in tokens], [t.tobytes() for t in tokens]]
+                yield _arrow(columns, [pa.int64()] * 3 + [pa.binary()], "sid sign n tokens")
+
+    found = source.mapInArrow(task, "sid long, sign long, n long, tokens binary")
+    return found.join(ids, list(ID), "left_semi").dropDuplicates(list(ID))
+
+
+def _found(source: DataFrame, rarity, words: int, listed: int, hubs: int) -> DataFrame:
+    """Entries of three kinds: first places (th), candidate pairs (a), lists with more to look at (token)."""
+    buckets = max(2 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
+    sent = _sent(source, rarity, buckets)
     return keep(sent.groupBy("bucket").applyInArrow(lambda table: _candidates(table, listed, hubs), ", ".join(f"{name} array<long>" for name in OUT)))
 
 
+PAIR = ("a", "a2", "b", "b2")
+
+
 def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
-    """(sid) of the distinct lines that an earlier, different line matches."""
-    pairs = keep(_entries(found, "a", "b").distinct())
-    listed = _entries(found, "token", "sid", "sign", "doc", "place", "n", "at", "open")
-    gone = _verified(source, pairs)
-    later, earlier = listed.where("open = 1").join(gone, "sid", "left_anti").alias("x"), listed.alias("y")
+    """(sid, sign) of the distinct lines that an earlier, different line matches."""
+    voted = _entries(found, *PAIR).groupBy(*PAIR).count()
+    best = Window.partitionBy("a", "a2").orderBy(F.desc("count"), "b", "b2")
+    ranked = keep(voted.select(*PAIR, F.row_number().over(best).alias("turn")))
+    gone = _verified(source, ranked.where(F.col("turn") <= TRIED).select(*PAIR))
+    listed = _entries(found, "token", "sid", "sign", "sign2", "doc", "place", "n", "at", "open")
+    later, earlier = listed.where("open = 1").join(gone, list(ID), "left_anti").alias("x"), listed.alias("y")
     order = lambda t: F.struct(f"{t}.doc", f"{t}.place", f"{t}.sid")
-    x, y = ({k: F.col(f"{t}.{k}") for k in ("n", "at", "sign")} for t in "xy")
-    fits = may_match(x["n"], x["at"], y["n"], y["at"])
+    x, y = ({k: F.col(f"{t}.{k}") for k in ("n", "at", "sign", "sign2", "sid")} for t in "xy")
     needed = F.ceil(NUM * (x["n"] + y["n"]) / (NUM + DEN))
-    common = F.bit_count(x["sign"].bitwiseAND(y["sign"]))
-    agree = (common >= F.bit_count(x["sign"]) - (x["n"] - needed)) & (common >= F.bit_count(y["sign"]) - (y["n"] - needed))
-    more = later.join(earlier, F.col("x.token") == F.col("y.token")).where((order("y") < order("x")) & fits & agree)
-    more = more.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = keep(more)
+    lacks = lambda s, t: F.bit_count(s["sign"].bitwiseAND(F.bitwise_not(t["sign"]))) + F.bit_count(s["sign2"].bitwiseAND(F.bitwise_not(t["sign2"])))
+    agree = (lacks(x, y) <= x["n"] - needed) & (lacks(y, x) <= y["n"] - needed)
+    fits = may_match(x["n"], x["at"], y["n"], y["at"]) & agree & (order("y") < order("x"))
+    more = later.join(earlier, F.col("x.token") == F.col("y.token")).where(fits)
+    more = more.select(x["sid"].alias("a"), x["sign"].alias("a2"), y["sid"].alias("b"), y["sign"].alias("b2"))
+    left = ranked.where(F.col("turn") > TRIED).join(gone.toDF("a", "a2"), ["a", "a2"], "left_anti").select(*PAIR)
+    more = keep(more.union(left).distinct())
     return gone if more.isEmpty() else keep(gone.union(_verified(source, more)).distinct())
 
 
 def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid) of the lines a of ``pairs`` that match their b."""
-    sets = _sets(source, pairs.select(F.explode(F.array("a", "b")).alias("sid"))).persist()
-    found = keep(matching(pairs, sets).select(F.col("a").alias("sid")).distinct())
-    sets.unpersist()
-    return found
+    """(sid, sign) of the lines a of ``pairs`` that match their b."""
+    ends = [pairs.select(F.col(x).alias("sid"), F.col(f"{x}2").alias("sign")) for x in "ab"]
+    sets = keep(_sets(source, ends[0].union(ends[1]).distinct()))
+    return keep(matching(pairs, sets, ID).select(F.col("a").alias("sid"), F.col("a2").alias("sign")).distinct())
+
+
+def _changed(documents: DataFrame, listed: int, hubs: int) -> DataFrame:
+    """The documents with numbered columns (rows.numbered), text and n_chars as they become, and n_lines, n_removed."""
+    source = _source(documents)
+    rarity, words = _rarity(source)
+    found = _found(source, rarity, words, listed, hubs)
+    stay = _entries(found, "th", "sid", "sign", "doc", "place").join(_repeated(source, found), list(ID), "left_anti")
+    lists = stay.groupBy("doc", "th").agg(F.collect_list(F.col("place").cast("int")).alias("stay"))
+    text, size = (documents.columns.index(c) if c in documents.columns else None for c in ("text", "n_chars"))
+    keys = {"doc": F.coalesce(F.col(column(documents, "doc_id")).cast("long"), F.lit(NO_ID)), "th": F.xxhash64(f"c{text}")}
+    joined = numbered(documents).withColumns(keys).join(lists, ["doc", "th"], "left").drop("doc", "th")
+    joined = joined.withColumn("lines", F.split(f"c{text}", "\n", -1))
+    blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get("lines", i).rlike(r"[^\x09-\x0D\x20]"))
+    joined = joined.withColumn("left", F.array_sort(F.concat(F.coalesce("stay", F.array().cast("array<int>")), blank)))
+    kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
+    counts = {"n_lines": F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")), "n_removed": F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("left"))}
+    changed = joined.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn(f"c{text}", kept)
+    if size is not None:
+        changed = changed.withColumn(f"c{size}", F.coalesce(F.char_length(f"c{text}"), F.lit(0)).cast(documents.schema[size].dataType))
+    return changed.drop("stay", "lines", "left")
 
 
 def dedup_lines(documents: DataFrame, listed: int = LISTED, hubs: int = HUBS) -> DataFrame:
@@ -300,40 +397,19 @@ def dedup_lines(documents: DataFrame, listed: int = LISTED, hubs: int = HUBS) ->
 
     Null texts stay null and have no lines; an empty text has one line, without words. Null ids come before all
     others. Rows with the same doc_id and text are one document: the same lines stay in each. Columns named n_lines
-    or n_removed are replaced; a column n_chars, where there is one, gets the new length. An empty table gives no
-    rows. Sets are told apart by 64-bit numbers where pairs are made, and by two of them where equal lines are.
+    or n_removed are replaced; a column n_chars, where there is one, gets the new length; all others stay, whatever
+    their names. An empty table gives no rows. Lines are told apart by 128 bits made from their sets.
     """
-    names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    source = _source(documents)
-    found = _found(source, listed, hubs)
-    stay = _entries(found, "th", "sid", "doc", "place").join(_repeated(source, found), "sid", "left_anti")
-    lists = stay.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_list("place").alias("__stay"))
-    keyed = documents.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64("text")})
-    joined = keyed.join(lists, ["__doc", "__th"], "left").drop("__doc", "__th")
-
-    def make():
-        def run(rows: list[dict]) -> list[dict]:
-            for r in rows:
-                stays, text = set(r.pop("__stay") or ()), r["text"]
-                lines = [] if text is None else text.split("\n")
-                left = [x for i, x in enumerate(lines) if i in stays or not x.encode("utf-8", "surrogatepass").split()]
-                r |= {"n_lines": len(lines), "n_removed": len(lines) - len(left), "text": None if text is None else "\n".join(left)}
-                if "n_chars" in r:
-                    r["n_chars"] = len(r["text"] or "")
-            return rows
-
-        return run
-
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in names)
-    return map_texts(joined, make, f"{kind}, n_lines long, n_removed long")
+    return named(_changed(documents, listed, hubs), documents.columns, ["n_lines", "n_removed"])
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents with what lines stay, with their columns; those of which no line with words stays are left out.
 
-    A document that had no line with words to begin with stays as it is.
+    A document that had no line with words to begin with stays as it is. Otherwise as ``dedup_lines``, but that
+    columns named n_lines or n_removed stay, too.
     """
-    names = documents.columns
-    changed = dedup_lines(documents)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) == "")
-    return changed.where(~F.coalesce(emptied, F.lit(False))).select(*(F.col(f"`{c}`") for c in names))
+    changed = _changed(documents, LISTED, HUBS)
+    text = column(documents, "text")
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace(text, r"[\x09-\x0D]", " ")) == "")
+    return named(changed.where(~F.coalesce(emptied, F.lit(False))), documents.columns)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pareframe.llm.wordhash import mix
+
 NUM, DEN = 75, 100
 
 
@@ -40,6 +42,18 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def squeezed(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Integers as the smallest type that their span needs: a header, and the array, of which any part can follow it."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if high - low <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + low.to_bytes(8, "little", signed=True), (values.astype(np.int64) - np.int64(low)).astype(kind)
+
+
+def expand(data: bytes) -> np.ndarray:
+    low = np.int64(int.from_bytes(data[1:9], "little", signed=True))
+    return np.frombuffer(data, f"<u{data[0]}", offset=9).astype(np.int64) + low
+
+
 def split_by(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(value, slice) of each run of equal values."""
     if len(bucket):
@@ -48,28 +62,55 @@ def split_by(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[start]), slice(start, end)
 
 
-def matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def matching(pairs: DataFrame, sets: DataFrame, ids: tuple[str, ...] = ("sid",)) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets match.
 
-    ``sets`` has sid, n and tokens (sorted 64-bit numbers as bytes). Tokens that are in one set only may be left
-    out of them, but n counts all.
+    ``sets`` has the columns ``ids``, n and tokens (sorted 64-bit numbers as bytes). Tokens that are in one set only
+    may be left out of them, but n counts all. Where ids are of two columns, those of ``pairs`` are a, a2, b, b2.
     """
-    first = sets.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    second = sets.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
-    both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "n1", "n2", "t1", "t2")
+    ends = [[f"{x}{i + 1 if i else ''}" for i in range(len(ids))] for x in "ab"]
+    first, second = (sets.select(*(F.col(i).alias(e) for i, e in zip(ids, end, strict=True)), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}")) for k, end in enumerate(ends))
+    names = ends[0] + ends[1]
+    both = pairs.select(*names).join(first, ends[0]).join(second, ends[1]).select(*names, "n0", "n1", "t0", "t1")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n1, n2, t1, t2 = batch.columns
-            found = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(t1[i].as_buffer(), np.uint64), np.frombuffer(t2[i].as_buffer(), np.uint64)
-                if len(y) < len(x):
-                    x, y = y, x
-                place = np.searchsorted(y, x)
-                common = int(np.count_nonzero(y[np.minimum(place, len(y) - 1)] == x)) if len(x) else 0
-                found[i] = DEN * common >= NUM * (n1[i].as_py() + n2[i].as_py() - common)
-            keep = pa.array(found)
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
-
-    return both.mapInArrow(check, pairs.select("a", "b").schema)
+            *which, n1, n2, t1, t2 = batch.columns
+            total = n1.to_numpy().astype(np.int64) + n2.to_numpy()
+            common = np.concatenate([np.zeros(0, np.int64), *(_common(t1, t2, s) for s in _stretches(t1, t2))])
+            keep = pa.array(DEN * common >= NUM * (total - common))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in which], names=names)
+
+    return both.mapInArrow(check, pairs.select(*names).schema)
+
+
+#: Tokens that are compared in one step.
+STEP = 1 << 21
+
+
+def _tokens(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some rows, one after another, and the size of each."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset + rows.start : column.offset + rows.stop + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint64, int(at[-1] - at[0]) // 8, int(at[0])) if data is not None else np.zeros(0, np.uint64)
+    return values, np.diff(at) // 8
+
+
+def _stretches(t1: pa.Array, t2: pa.Array) -> Iterator[slice]:
+    """Rows in order, of about STEP tokens or one."""
+    sizes = np.cumsum(sum(_tokens(t, slice(0, len(t1)))[1] for t in (t1, t2))) if len(t1) else []
+    at = 0
+    while at < len(t1):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + STEP, "right")))
+        yield slice(at, upto)
+        at = upto
+
+
+def _common(t1: pa.Array, t2: pa.Array, rows: slice) -> np.ndarray:
+    """Tokens that the two sets of each row share, all rows at once: equal tokens of a row meet when sorted."""
+    (x, nx), (y, ny) = (_tokens(t, rows) for t in (t1, t2))
+    n = rows.stop - rows.start
+    row, token = np.concatenate([np.repeat(np.arange(n), nx), np.repeat(np.arange(n), ny)]), np.concatenate([x, y])
+    order = np.argsort(mix(token ^ mix(row.astype(np.uint64))))
+    row, token = row[order], token[order]
+    return np.bincount(row[1:][(row[1:] == row[:-1]) & (token[1:] == token[:-1])], minlength=n)

@@ -1,8 +1,7 @@
 """64-bit hashes of the words of a column of texts, computed over whole stretches of bytes at once.
 
-Words are what white space (bytes 9 to 13 and 32) separates, A-Z lower-cased. The hash of a word is a polynomial of
-a random number for each of its bytes, from differences of running sums, and then mixed; it depends on the word's
-bytes only.
+Words are what white space (bytes 9 to 13 and 32) separates, A-Z lower-cased. A word is read eight bytes at a time,
+and its hash depends on its bytes only.
 """
 
 from __future__ import annotations
@@ -11,32 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Bytes that are hashed at a time; beyond that a stretch ends at the next white space.
-STRETCH = 1 << 19
 #: Bytes of text in a group, or one longer text.
 GROUP = 3 << 20
+#: Longer words are hashed one by one.
+LONG = 128
 
-_RANDOM = np.random.default_rng(20240607)
-_VALUE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE[65:91] = _VALUE[97:123]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, ``n`` at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, STRETCH + (STRETCH >> 3))
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(value: np.ndarray) -> np.ndarray:
@@ -45,19 +27,31 @@ def mix(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(31))
 
 
-def _hashed(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the words of a stretch. ``first`` are places where a word can't go on from before."""
-    word = ~_SPACE[data]
-    begins = np.concatenate([[True], ~word[:-1]])
-    begins[first] = True
-    starts = np.flatnonzero(word & begins)
-    ends_here = np.ones(len(data), dtype=bool)
-    ends_here[:-1] = begins[1:] | ~word[1:]
-    ends = np.flatnonzero(word & ends_here) + 1
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+def _bounds(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words; none goes on over one of the ``borders``."""
+    word = np.zeros(len(data) + 2, dtype=bool)
+    np.logical_and(data != 32, (data - np.uint8(9)) > 4, out=word[1:-1])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    cut = np.unique(borders[word[borders] & word[borders + 1]])
+    if len(cut):
+        starts, ends = (np.insert(x, np.searchsorted(x, cut), cut) for x in (starts, ends))
+    return starts, ends
+
+
+def _hashed(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``raw`` has eight bytes more than the words."""
+    eight = np.ndarray((len(raw) - 7,), np.uint64, raw, strides=(1,))
+    value = mix((eight[starts] & _MASK[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * _ODD))
+    more, done = np.flatnonzero(sizes > 8), 8
+    for i in more[sizes[more] > LONG].tolist():
+        value[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    more = more[sizes[more] <= LONG]
+    while len(more):
+        value[more] = mix((value[more] * _ODD) ^ (eight[starts[more] + done] & _MASK[np.minimum(sizes[more] - done, 8)]))
+        done += 8
+        more = more[sizes[more] > done]
+    return value
 
 
 def word_groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,25 +64,21 @@ def word_groups(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         return
     _, offsets, buffer = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    whole = memoryview(buffer) if buffer is not None else memoryview(b"")
     at = 0
     while at < len(column):
         upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GROUP, "right")) - 1)
         low, high = int(offsets[at]), int(offsets[upto])
-        starts, hashes, here = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], low
-        while here < high:
-            end = min(high, here + STRETCH)
-            while end < high and not _SPACE[data[end]]:
-                end += 1
-            inside = offsets[at : upto + 1]
-            inside = inside[(inside >= here) & (inside < end)]
-            s, h = _hashed(data[here:end], inside - here)
-            starts.append(s + here)
-            hashes.append(h)
-            here = end
-        place = np.concatenate(starts)
-        text = np.searchsorted(offsets[: upto + 1], place, "right") - 1
-        feeds = low + np.flatnonzero(data[low:high] == 10)
-        line = np.searchsorted(feeds, place) - np.searchsorted(feeds, offsets[text])
-        yield text, line, np.concatenate(hashes)
+        raw = bytes(whole[low:high]).lower() + bytes(8)
+        data = np.frombuffer(raw, np.uint8, high - low)
+        begin = offsets[at : upto + 1] - low
+        starts, ends = _bounds(data, begin[1:-1])
+        # words before each text, and before each line feed
+        of_text = np.searchsorted(starts, begin)
+        feeds = np.flatnonzero(data == 10)
+        before = np.searchsorted(starts, feeds)
+        text = np.repeat(np.arange(at, upto), np.diff(of_text))
+        line = np.repeat(np.arange(len(feeds) + 1), np.diff(np.concatenate([[0], before, [len(starts)]])))
+        line -= np.repeat(np.searchsorted(feeds, begin[:-1]), np.diff(of_text))
+        yield text, line, _hashed(raw, starts, ends - starts)
         at = upto
