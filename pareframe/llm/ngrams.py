@@ -9,24 +9,26 @@ A document's set is that of its distinct 5-word shingles, as 64-bit numbers. Ste
    frequent. So each batch knows the order of its documents' shingles, rare ones first. Only sets that have a
    shared shingle in their prefix can have a match; the others end here.
 3. ``link``: sets of the same size and prefix form a group. Groups that share a prefix token make candidate pairs,
-   cut by size and place of the token; members of the pairs left are verified. As components are what is asked
-   for, sets go to a few hubs each first, in several rounds; then whatever is still in different components is compared
-   pair by pair, so no link between components is missed while pairs inside a component are never listed.
+   cut by size, by place of the token and by a sign of 256 bits that all shared shingles of a set set; members of the
+   pairs left are verified. As components are what is asked for, sets go to a few hubs each first, in rounds: those
+   with the fewest rare shingles before the token, as these can match most others. Then whatever is still in different
+   components is compared pair by pair, so no link between components is missed while pairs inside a component are
+   never listed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pareframe.llm.setjoin import matching, may_match, pack, prefix_size, split_by, unpack
+from pareframe.llm.rows import column, named, numbered
+from pareframe.llm.setjoin import DEN, NUM, matching, may_match, pack, prefix_size, split_by, unpack
+from pareframe.llm.wordhash import mix, word_groups
 from pareframe.operators.components import connected_components
 from pareframe.sources.tables import keep
 
@@ -35,40 +37,72 @@ WORDS = 5
 #: there can be HOT * s of them.
 HOT = 1000
 #: Rounds in which sets are compared with hubs only: one in the first, up to TRIED each in the later ones.
-ROUNDS, TRIED = 4, 8
+ROUNDS, TRIED = 3, 8
+#: Numbers that hold the sign of a set.
+SIGNS = ("s0", "s1", "s2", "s3")
+#: Buckets to a shuffle partition; documents that send their shingles together.
+SPREAD, PIECE = 8, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct shingles as sorted numbers; with fewer words, the whole sequence as one; without words, none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    size = min(WORDS, len(words))
-    value = np.full(len(words) - size + 1, size, dtype=np.uint64)
+def _rolled(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A number for the ``size`` words from each of the places ``at`` on."""
+    value = np.full(len(at), size, dtype=np.uint64)
     for i in range(size):
-        value = (value ^ h[i : len(words) - size + 1 + i]) * MIX
+        value = (value ^ words[at + i]) * MIX
         value ^= value >> np.uint64(29)
-    value *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(value ^ (value >> np.uint64(32)))
+    return mix(value)
+
+
+def _shingled(text: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a group of texts, sorted in each, and whose they are. ``text`` says so of the words."""
+    first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    count = np.diff(np.append(first, len(text)))
+    places = [np.flatnonzero(text[: 1 - WORDS] == text[WORDS - 1 :]) if len(text) >= WORDS else np.zeros(0, np.int64)]
+    places += [first[count == size] for size in range(1, WORDS)]
+    value = np.concatenate([_rolled(words, at, size) for at, size in zip(places, [WORDS, *range(1, WORDS)], strict=True)])
+    owner = text[np.concatenate(places)] - text[0]
+    # one number to sort by, of the text and as much of the value as has room
+    room = np.uint64(64 - int(owner.max() + 1).bit_length())
+    sort_key = (owner.astype(np.uint64) << room) | (value >> (np.uint64(64) - room))
+    order = np.argsort(sort_key)
+    sort_key, value, owner = sort_key[order], value[order], owner[order]
+    if np.any((sort_key[1:] == sort_key[:-1]) & (value[1:] != value[:-1])):
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])
+    return value[new], owner[new] + text[0]
+
+
+def sets_of(texts: pa.Array) -> list[np.ndarray]:
+    """The set of each text: distinct shingles as sorted numbers; with fewer words, the whole sequence as one; else none."""
+    none = np.zeros(0, dtype=np.uint64)
+    out = [none] * len(texts)
+    for text, _, words in word_groups(texts):
+        if len(words):
+            value, owner = _shingled(text, words)
+            for i, s in split_by(owner):
+                out[i] = value[s]
+    return out
 
 
 def key_of(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
-    """The last column."""
-    return (x.as_py() for x in batch.columns[-1])
+def sign_of(values: np.ndarray) -> list[int]:
+    """A bit for each number, of 64 * len(SIGNS)."""
+    bits = np.zeros(len(SIGNS), dtype=np.uint64)
+    np.bitwise_or.at(bits, (values & np.uint64(len(SIGNS) - 1)).astype(np.int64), np.uint64(1) << (values >> np.uint64(8) & np.uint64(63)))
+    return bits.view(np.int64).tolist()
 
 
 def measure(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, key) of all documents, and rows (hash, seen) of shingles that a batch has often."""
+    """Rows (doc_id, th, n, key) of all documents, and rows (hash, seen) of shingles that a batch has often."""
 
     def task(batches):
         for batch in batches:
-            sets = [shingles(t) for t in _texts(batch)]
+            sets = sets_of(batch.columns[-1])
             keys = [key_of(s) for s in sets]
             distinct = list(dict(zip(keys, sets, strict=True)).values())
             value, seen = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -77,16 +111,17 @@ def measure(documents: DataFrame) -> DataFrame:
             docs, hot = len(sets), len(value)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([batch.columns[0].cast(pa.int64()), pa.nulls(hot, pa.int64())]),
+                    *(pa.concat_arrays([c.cast(pa.int64()), pa.nulls(hot, pa.int64())]) for c in batch.columns[:2]),
                     pa.array([len(s) for s in sets] + [None] * hot, pa.int64()),
                     pa.array(keys + [None] * hot, pa.binary()),
                     pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(value, pa.int64())]),
                     pa.concat_arrays([pa.nulls(docs, pa.int64()), pa.array(seen, pa.int64())]),
                 ],
-                names=["doc_id", "n", "key", "hash", "seen"],
+                names=["doc_id", "th", "n", "key", "hash", "seen"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, "doc_id long, n long, key binary, hash long, seen long")
+    given = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    return given.mapInArrow(task, "doc_id long, th long, n long, key binary, hash long, seen long")
 
 
 def _sent(documents: DataFrame, hot, buckets: int) -> DataFrame:
@@ -95,14 +130,11 @@ def _sent(documents: DataFrame, hot, buckets: int) -> DataFrame:
     def task(batches):
         known = hot.value
         part = TaskContext.get().partitionId()
-        for at, batch in enumerate(batches):
-            # the same on a second run, as rows come in the same order
+        pieces = (batch.slice(start, PIECE) for batch in batches for start in range(0, batch.num_rows, PIECE))
+        for at, batch in enumerate(pieces):
+            # the same on a second run, as rows are sorted
             number = part << 32 | at
-            found: dict[bytes, np.ndarray] = {}
-            for text in _texts(batch):
-                values = shingles(text)
-                if len(values):
-                    found[key_of(values)] = values
+            found = {key_of(values): values for values in sets_of(batch.columns[-1]) if len(values)}
             sizes = np.array([len(v) for v in found.values()], dtype=np.int32)
             value = np.concatenate([*found.values(), np.zeros(0, np.uint64)])
             owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
@@ -119,7 +151,7 @@ def _sent(documents: DataFrame, hot, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "batch", "hashes", "owners", "keys", "sizes"])
 
     kind = "bucket long, batch long, hashes binary, owners binary, keys binary, sizes binary"
-    return documents.select("doc_id", "text").mapInArrow(task, kind)
+    return documents.select("doc_id", "text").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(task, kind)
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -159,26 +191,27 @@ def _ordered(table: pa.Table) -> pa.Table:
         if (shared := prefix_size(n) - alone) > 0:
             prefix = mine[:shared]
             group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little") + alone.to_bytes(8, "little"), digest_size=16).digest()
-            out.append((head["keys"][16 * i : 16 * i + 16], n, alone, group, prefix.view(np.int64).tolist(), np.sort(mine).tobytes()))
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            out.append((head["keys"][16 * i : 16 * i + 16], n, alone, group, prefix.view(np.int64).tolist(), np.sort(mine).tobytes(), *sign_of(mine)))
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), *[pa.int64()] * len(SIGNS))
     columns = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
-    return pa.Table.from_arrays(columns, names=["key", "n", "alone", "grp", "prefix", "tokens"])
+    return pa.Table.from_arrays(columns, names=["key", "n", "alone", "grp", "prefix", "tokens", *SIGNS])
 
 
 def ranked_sets(documents: DataFrame, measured: DataFrame) -> DataFrame:
-    """The distinct sets that may have a match: sid, key, n, alone, grp, prefix, tokens.
+    """The distinct sets that may have a match: sid, key, n, alone, grp, prefix, tokens, and SIGNS of the tokens.
 
-    ``alone`` shingles are in no other set and come first in the order; ``prefix`` has the others of the prefix.
+    ``alone`` shingles are in no other set and come first in the order; ``prefix`` has the others of the prefix, and
+    ``tokens`` all others.
     """
     spark = documents.sparkSession
     total = measured.where("hash IS NULL").count()
     hot = measured.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("seen").alias("seen")).where(F.col("seen") * HOT >= total)
     # at most HOT times the mean number of shingles
     known = np.sort(np.array([r.hash for r in hot.select("hash").toLocalIterator()], dtype=np.int64).view(np.uint64))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = _sent(documents, spark.sparkContext.broadcast(known), buckets)
     counted = sent.groupBy("bucket").applyInArrow(_counted, "batch long, hashes binary, owners binary, keys binary, sizes binary, counts binary")
-    ordered = counted.groupBy("batch").applyInArrow(_ordered, "key binary, n long, alone long, grp binary, prefix array<long>, tokens binary")
+    ordered = counted.groupBy("batch").applyInArrow(_ordered, "key binary, n long, alone long, grp binary, prefix array<long>, tokens binary, " + ", ".join(f"{s} long" for s in SIGNS))
     # equal sets come from several batches, with the same columns
     return keep(ordered.dropDuplicates(["key"]).withColumn("sid", F.monotonically_increasing_id()))
 
@@ -189,10 +222,20 @@ def _components(ids: DataFrame, links: DataFrame) -> DataFrame:
     return keep(ids.join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp")))
 
 
-def _stars(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """As _components, but a set only gets the smallest hub that it is linked with: parts of components."""
-    hubs = links.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("hub"))
-    return ids.join(hubs, "sid", "left").select("sid", F.least("sid", "hub").alias("comp"))
+def _lacks(x: str, y: str):
+    """At least so many shingles of x does y lack: the lone ones, and those whose bits it hasn't got.
+
+    A side may be a group: ``s`` has the bits that all its sets have, ``any`` those that one of them has.
+    """
+    c = lambda t, k: F.col(f"{t}.{k}")
+    return sum((F.bit_count(c(x, k).bitwiseAND(F.bitwise_not(c(y, f"any_{k}")))) for k in SIGNS), c(x, "alone"))
+
+
+def _agree(x: str, y: str):
+    """Whether the signs allow a match: each may lack as many shingles of the other as the sizes say."""
+    c = lambda t, k: F.col(f"{t}.{k}")
+    needed = F.ceil(NUM * (c(x, "n") + c(y, "n")) / (NUM + DEN))
+    return (_lacks(x, y) <= c(x, "n") - needed) & (_lacks(y, x) <= c(y, "n") - needed)
 
 
 def link(sets: DataFrame) -> DataFrame:
@@ -202,54 +245,76 @@ def link(sets: DataFrame) -> DataFrame:
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy = sets.select("sid", "n", "tokens").repartition(parts, "sid").persist()
     groups = sets.groupBy("grp").agg(F.min("sid").alias("gid"))
-    members = keep(sets.select("sid", "grp").join(groups, "grp").select("sid", "gid"), size)
-    heads = sets.select("sid", "n", "alone", "prefix").join(members.where("sid = gid").select("sid"), "sid", "left_semi")
-    all_tokens = heads.select(F.col("sid").alias("gid"), "n", "alone", F.posexplode("prefix").alias("i", "token"))
-    postings = all_tokens.select("gid", "n", (F.col("alone") + F.col("i")).alias("at"), "token")
+    members = keep(sets.select("sid", "grp", "n", "alone", *SIGNS).join(groups, "grp").drop("grp"), size)
+    signed = members.groupBy("gid").agg(
+        F.first("n").alias("n"), F.first("alone").alias("alone"), *(F.bit_and(s).alias(s) for s in SIGNS), *(F.bit_or(s).alias(f"any_{s}") for s in SIGNS)
+    )
+    signed = keep(signed, size)
+    heads = sets.select(F.col("sid").alias("gid"), "n", "alone", "prefix").join(signed.select("gid"), "gid", "left_semi")
+    all_tokens = heads.select("gid", "n", "alone", F.posexplode("prefix").alias("i", "token"))
+    postings = all_tokens.select("gid", (F.col("alone") + F.col("i")).alias("at"), "token")
     several = postings.groupBy("token").count().where("count > 1").select("token")
     postings = keep(postings.join(several, "token"))
     inside = members.where("sid <> gid").select(F.col("sid").alias("a"), F.col("gid").alias("b"))
     links = keep(matching(inside, heavy), size)
+    comps = _components(members.select("sid"), links)
     apart = lambda x, y: (F.col(f"{x}.lo") != F.col(f"{y}.lo")) | (F.col(f"{x}.hi") != F.col(f"{y}.hi")) | (F.col(f"{x}.lo") != F.col(f"{x}.hi"))
-    fits = lambda x, y: may_match(F.col(f"{x}.n"), F.col(f"{x}.at"), F.col(f"{y}.n"), F.col(f"{y}.at"))
+    fits = lambda x, y: may_match(F.col(f"{x}.n"), F.col(f"{x}.at"), F.col(f"{y}.n"), F.col(f"{y}.at")) & _agree(x, y)
 
     def spread_over(comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Components by group; postings with them; tokens that are in several components, with a hub."""
-        spread = members.join(comps, "sid").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        spread = signed.join(members.join(comps, "sid").groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "gid")
         labelled = postings.join(spread, "gid")
-        # one hub for a whole group of copies at first, then another for each of their tokens
-        by = ("gid",) if turn == 0 else ("gid", "token", F.lit(turn))
-        hub = F.min(F.struct(F.xxhash64(*by).alias("h"), "gid", "n", "at", "lo", "hi")).alias("hub")
+        # the one with the fewest rare shingles before the token at first, then another for each token
+        by = F.col("at") if turn == 0 else F.xxhash64("gid", "token", F.lit(turn))
+        hub = F.min(F.struct(by.alias("by"), F.xxhash64("gid").alias("h"), *labelled.drop("token").columns)).alias("hub")
         mixed = labelled.groupBy("token").agg(hub, F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h")
         return spread, labelled, mixed
 
     for turn in range(ROUNDS):
-        _, labelled, mixed = spread_over(_stars(members.select("sid"), links), turn)
+        _, labelled, mixed = spread_over(comps, turn)
         near = labelled.alias("x").join(mixed.select("token", "hub"), "token").where((F.col("x.gid") != F.col("hub.gid")) & apart("x", "hub") & fits("x", "hub"))
-        votes = near.groupBy(F.col("x.gid").alias("a"), F.col("hub.gid").alias("b")).count()
+        near = near.select(F.col("x.gid").alias("a"), F.col("hub.gid").alias("b"), (_lacks("x", "hub") + _lacks("hub", "x")).alias("lacks")).distinct()
         # as many entries as a group has tokens, at most
-        best = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "b")), asc=False), 1, TRIED if turn else 1).alias("v"))
+        best = near.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("lacks", "b"))), 1, TRIED if turn else 1).alias("v"))
         best = best.select("a", F.explode("v.b").alias("b"))
-        links = keep(links.union(matching(best, heavy)), (turn + 2) * size)
-    comps = _components(members.select("sid"), links)
+        found = keep(matching(best, heavy), TRIED * size)
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = _components(members.select("sid"), links)
     spread, labelled, mixed = spread_over(comps, ROUNDS)
     # a pair comes from the first token that its groups share, and only from that
-    begins = heads.select(F.col("sid").alias("gid"), "alone", "prefix")
+    begins = heads.select("gid", "prefix")
     rest = labelled.join(mixed.select("token"), "token").join(begins, "gid")
-    rest = rest.select("token", "gid", "n", "at", "lo", "hi", F.slice("prefix", F.lit(1), (F.col("at") - F.col("alone")).cast("int")).alias("before"))
+    rest = rest.withColumn("before", F.slice("prefix", F.lit(1), (F.col("at") - F.col("alone")).cast("int"))).drop("prefix")
     first = ~F.arrays_overlap("x.before", "y.before")
     groups_near = rest.alias("x").join(rest.alias("y"), "token").where((F.col("x.gid") < F.col("y.gid")) & apart("x", "y") & fits("x", "y") & first)
     group_pairs = groups_near.select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"))
     split = spread.where("lo <> hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    named = members.join(comps, "sid")
-    one = named.select(F.col("gid").alias("g1"), F.col("sid").alias("a"), F.col("comp").alias("c1"))
-    two = named.select(F.col("gid").alias("g2"), F.col("sid").alias("b"), F.col("comp").alias("c2"))
-    pairs = group_pairs.union(split).join(one, "g1").join(two, "g2").where("c1 <> c2 AND (g1 <> g2 OR a < b)")
-    more = keep(matching(pairs.select("a", "b"), heavy))
+    labels = members.join(comps, "sid").select("*", *(F.col(s).alias(f"any_{s}") for s in SIGNS))
+    one, two = labels.withColumnRenamed("gid", "g1").alias("x"), labels.withColumnRenamed("gid", "g2").alias("y")
+    differ = (F.col("x.comp") != F.col("y.comp")) & ((F.col("g1") != F.col("g2")) | (F.col("x.sid") < F.col("y.sid"))) & _agree("x", "y")
+    pairs = group_pairs.union(split).join(one, "g1").join(two, "g2").where(differ)
+    more = keep(matching(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")), heavy))
     heavy.unpersist()
     return comps if more.isEmpty() else _components(members.select("sid"), links.union(more))
 
 
+def _labelled(documents: DataFrame) -> DataFrame:
+    """(doc_id, th, n, comp, component_id) of every row; comp tells components with words apart, null ids or not."""
+    measured = keep(measure(documents))
+    docs = measured.where("hash IS NULL").select("doc_id", "th", "n", "key")
+    sets = ranked_sets(documents, measured)
+    comps = link(sets).join(sets.select("sid", "key"), "sid").select("key", "comp")
+    whole = comps.groupBy("comp").agg(F.min("key").alias("least"))
+    # a set that can't have a match is a component of its own
+    names = comps.join(whole, "comp").select("key", "least")
+    full = docs.where("n > 0").join(names, "key", "left").withColumn("comp", F.coalesce("least", "key"))
+    first = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = full.join(first, "comp").select("doc_id", "th", "n", "comp", "component_id")
+    return linked.union(docs.where("n = 0").select("doc_id", "th", "n", F.lit(None).cast("binary"), "doc_id"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -257,22 +322,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     linked; documents without words (null and empty ones too) are linked with nothing. Repeated rows stay. A null
     doc_id is never the smallest; a component of such rows only has none. Columns but doc_id and text are not used.
     """
-    measured = keep(measure(documents))
-    docs = measured.where("hash IS NULL").select("doc_id", "n", "key")
-    sets = ranked_sets(documents, measured)
-    comps = link(sets).join(sets.select("sid", "key"), "sid").select("key", "comp")
-    full = docs.where("n > 0")
-    first = full.groupBy("key").agg(F.min("doc_id").alias("first")).join(comps, "key", "left")
-    whole = first.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("component_id"))
-    named = first.join(whole, "comp", "left").select("key", F.coalesce("component_id", "first").alias("component_id"))
-    linked = full.join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(docs.where("n = 0").select("doc_id", "n", "doc_id"))
+    return _labelled(documents).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents without those that are linked, by whatever way, to one with a smaller doc_id; columns stay.
+    """One document of each component, the one with the smallest doc_id, with all its columns.
 
-    Of rows with the same doc_id all stay or go. Rows with a null doc_id stay.
+    Null ids come after all others. Of rows with the same doc_id, the one whose text has the smallest hash; of rows
+    with the same text, too, any one. Documents without words are linked with nothing and all stay.
     """
-    gone = near_duplicates(documents).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
+    names = documents.columns
+    missing, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    labelled = keep(_labelled(documents).where("comp IS NOT NULL").select(missing.alias("missing"), number.alias("number"), "th", "comp"))
+    by = ["missing", "number", "th"]
+    several = labelled.groupBy("comp").agg(F.min(F.struct(*by)).alias("stays"), F.count("*").alias("rows")).where("rows > 1")
+    marked = labelled.join(several, "comp").select(*by, (F.struct(*by) == F.col("stays")).alias("stays"))
+    # rows that are repeated as a whole: all have the same mark
+    marked = marked.groupBy(*by).agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
+    own = F.col(column(documents, "doc_id"))
+    keyed = numbered(documents).withColumns({"missing": own.isNull(), "number": F.coalesce(own.cast("long"), F.lit(0)), "th": F.xxhash64(column(documents, "text"))})
+    left = keyed.join(marked, by, "left").where("stays IS NULL OR stays")
+    turn = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy(*by).orderBy("rows"))).otherwise(1)
+    return named(left.withColumn("turn", turn).where("turn = 1"), names)
