@@ -80,10 +80,30 @@ def test_ngram_join_when_hubs_are_not_tried(spark, monkeypatch):
     assert found == brute_components(rows)
 
 
-def test_one_of_each_keeps_the_rest(documents, rows):
-    kept = [r["doc_id"] for r in collect(ngrams.one_of_each(documents))]
-    gone = {d for d, _, c in brute_components(rows) if d is not None and c < d}
-    assert Counter(kept) == Counter(d for d, _ in rows if d not in gone)
+def test_one_of_each_component(documents, rows):
+    """Exactly one row of each component with words, the one with the smallest id; all others stay."""
+    sets = [shingle_set(t) for _, t in rows]
+    comp = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    groups = defaultdict(list)
+    for (d, t), c, x in zip(rows, comp, sets, strict=True):
+        groups[c].append((d is None, d or 0, d, t)) if x else groups[object()].append((d is None, d or 0, d, t))
+    kept = Counter((r["doc_id"], r["text"]) for r in collect(ngrams.one_of_each(documents)))
+    assert sum(kept.values()) == len(groups)
+    for members in groups.values():
+        least = min(m[:2] for m in members)
+        assert sum(kept[d, t] for d, t in {m[2:] for m in members if m[:2] == least}) >= 1
+    assert set(kept) <= set(rows)
+
+
+def test_one_of_each_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (9, text + " more"), (9, "something else that nothing is linked with at all"), (None, text), (None, "alone in the world with no id here"), (None, "alone in the world with no id here"), (2, ""), (2, None)]
+    kept = Counter((r["doc_id"], r["text"]) for r in collect(ngrams.one_of_each(make_documents(spark, rows).withColumn("th", F.lit(1)))))
+    assert kept == Counter([rows[0], rows[2], rows[4], rows[6], rows[7]])
 
 
 def brute_lines(rows):
