@@ -46,6 +46,41 @@ def single_chains(tree: DataFrame) -> DataFrame:
     return children.where("n_children = 1").join(inner, "child", "left_semi").select(F.col("parent").alias("prefix"), "child")
 
 
+def chain_ends(tree: DataFrame) -> DataFrame:
+    """(prefix, last): where a search that begins at each prefix really begins, at the end of its single chain.
+
+    A prefix that begins no chain ends at itself. No loop: each prefix looks at the prefixes above it, and the chain
+    breaks below the deepest that has no single step down.
+    """
+    inner = tree.select("prefix", "depth")
+    steps = single_chains(tree)
+    # the deepest ancestor, or the prefix itself, from which there is no step down
+    up = ancestors(tree).select("prefix", "ancestor", "depth").union(inner.select("prefix", F.col("prefix").alias("ancestor"), "depth"))
+    stepped = up.join(steps.select(F.col("prefix").alias("ancestor"), F.lit(True).alias("goes_on")), "ancestor", "left")
+    # y is the end of the chain from x if all from x to above y go on, and y doesn't
+    stops = stepped.where("goes_on IS NULL").groupBy("prefix").agg(F.array_sort(F.collect_list("depth")).alias("stops"))
+    ends = stops.where(F.element_at("stops", -1) == F.size(F.split("prefix", "/"))).select(F.col("prefix").alias("last"), "stops")
+    before = F.when(F.size("stops") > 1, F.element_at("stops", -2)).otherwise(0)
+    parts = F.split("last", "/")
+    starts = ends.select("last", F.explode(F.sequence(before + 1, F.size(parts))).alias("depth"))
+    return starts.select(joined(F.slice(F.split("last", "/"), F.lit(1), F.col("depth"))).alias("prefix"), "last")
+
+
+def possible_roots(content: DataFrame, sources: DataFrame, tree: DataFrame, ignored: DataFrame, whole: str) -> DataFrame:
+    """(prefix): where a search over files begins, free of what is ignored.
+
+    That is ``src`` below the ``content`` roots where there is one, the ``sources``, each without what another covers;
+    the ``whole`` if there are none.
+    """
+    src = content.select(F.concat("prefix", F.lit("/src")).alias("prefix")).join(tree.select("prefix"), "prefix", "left_semi")
+    roots = topmost(src.union(sources.select("prefix")).distinct())
+    found = propagated_roots(tree, roots, ignored)
+    default = tree.sparkSession.createDataFrame([(whole,)], "prefix string")
+    none = found.agg(F.count("*").alias("n")).where("n = 0")
+    # one row or none
+    return found.union(default.join(F.broadcast(none)).select("prefix"))
+
+
 def ancestors(tree: DataFrame) -> DataFrame:
     """(prefix, ancestor, depth of the ancestor) for each strict ancestor. Rows are bounded by nodes x their depth."""
     cut = tree.select("prefix", F.split("prefix", "/").alias("parts")).where(F.size("parts") > 1)
@@ -60,7 +95,7 @@ def nearest(tree: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def topmost(marked: DataFrame) -> DataFrame:
-    """``marked`` prefixes with no marked strict ancestor."""
+    """``marked`` prefixes with no marked strict ancestor; ``orderBy("prefix", ascending=False)`` visits the last first."""
     known = marked.select(F.col("prefix").alias("ancestor")).distinct()
     below = ancestors(marked).join(known, "ancestor", "left_semi").select("prefix").distinct()
     return marked.join(below, "prefix", "left_anti")

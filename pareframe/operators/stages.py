@@ -9,22 +9,31 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from pareframe.operators import reduction, search
-from pareframe.operators.snapshot import Snapshot
+from pareframe.operators.snapshot import Snapshot, TransactionFailed
 
 SEARCHES: dict[str, reduction.Search] = {"ddmin": search.ddmin, "ddmin_zero": partial(search.ddmin, zero=True), "pdd": search.pdd}
 
 
+#: Ways to tell whether a failure is the baseline's: the same, or only that there is one.
+COMPARATORS: dict[str, Callable[[object, object], bool]] = {"equal": lambda a, b: a == b, "any": lambda a, b: True}
+
+
 @dataclass(frozen=True)
 class Settings:
     """How a run searches. Frozen, so that nothing changes while it goes."""
 
     search: str = "ddmin"
-    stages: tuple[str, ...] = ("flat",)
+    stages: tuple[str, ...] = ("function", "graph", "file")
+    comparator: str = "equal"
 
     @property
     def find(self) -> reduction.Search:
         return SEARCHES[self.search]
 
+    @property
+    def similar(self) -> Callable[[object, object], bool]:
+        return COMPARATORS[self.comparator]
+
 
 def keep_found(data: DataFrame, key: str, make: Callable[[DataFrame], search.Property], find: reduction.Search) -> DataFrame:
     """The rows of ``data`` whose ``key`` a search keeps. ``make`` gives the property of numbered distinct keys."""
@@ -45,3 +54,21 @@ class Pipeline:
         for name in settings.stages:
             state.transaction(lambda rows, stage=self.stages[name]: stage(rows, settings))
         return state
+
+
+def benchmark(projects: DataFrame, suitable: Callable[[DataFrame], DataFrame], load: Callable[[str], DataFrame], pipeline: Pipeline, settings: Settings) -> DataFrame:
+    """A report on the ``suitable`` ones of ``projects`` (name): rows before and after, and the ratio.
+
+    Projects are reduced one after another, each by its own Spark jobs; a manifest is a short list. One in which there
+    is no failure to begin with has null for what is left.
+    """
+    spark, rows = projects.sparkSession, []
+    for name in sorted(r.name for r in suitable(projects).select("name").collect()):
+        data = load(name)
+        before = data.count()
+        try:
+            after = pipeline.run(data, settings).data.count()
+        except (search.NoFailure, TransactionFailed):
+            after = None
+        rows.append((name, before, after, after / before if after is not None and before else None))
+    return spark.createDataFrame(rows, "name string, before long, after long, ratio double")

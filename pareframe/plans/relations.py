@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pareframe.operators import refcount
+from pareframe.operators import elements, imports, refcount
 from pareframe.operators.snapshot import Aborted, Snapshot
 from pareframe.sources.tables import keep, table
 
@@ -147,6 +147,90 @@ def file_counters(spark: SparkSession, d: str) -> DataFrame:
     return refcount.purge(refcount.decrease(refcount.count(mine, "l_orderkey", "l_partkey"), gone, "l_orderkey", "l_partkey"))
 
 
+def argument_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments without the first that is the part 7 of each ten, by its index; all of them, and -1, where there is none."""
+    index = F.array_position(F.transform("args", lambda x: F.pmod(x, F.lit(10)) == 7), True)
+    at = F.when(index > 0, index - 1)
+    rest = F.filter("args", lambda x, i: at.isNull() | (i != at))
+    return _arguments(spark, d).select("l_orderkey", F.coalesce(at, F.lit(-1)).alias("at"), F.array_join(F.transform(rest, lambda x: x.cast("string")), ",").alias("args"))
+
+
+def import_usage(spark: SparkSession, d: str) -> DataFrame:
+    """How often the imports of each file are used: orders as files, parts as declarations, brands as packages.
+
+    Small parts are imported by name, brands of large ones with a star; some returned parts are unresolved names; a
+    file's own package is the brand of its first part.
+    """
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    name = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    uses = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_quantity").join(part, "l_partkey")
+    uses = uses.select(F.col("l_orderkey").alias("file"), F.concat("p_brand", F.lit("."), name).alias("path"), name.alias("name"), "p_brand", "p_size", "l_partkey", "l_returnflag", "l_quantity")
+    none = F.lit(None).cast("string").alias("alias")
+    by_name = uses.where("p_size <= 25").select("file", "path", none, F.lit(False).alias("star"))
+    stars = uses.where("p_size > 40").select("file", F.col("p_brand").alias("path"), none, F.lit(True).alias("star"))
+    own = uses.groupBy("file").agg(F.min_by("p_brand", "l_partkey").alias("package"))
+    unresolved = uses.where("l_returnflag = 'R' AND l_quantity > 45").select("file", "name")
+    found = imports.used_imports(by_name.union(stars).distinct(), uses.select("file", "path", "name"), unresolved, own)
+    return found.select("file", "path", "star", "n")
+
+
+def call_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with the orders that use them, once each and in order; lines of the flag N count as imports."""
+    usages = table(spark, d, "lineitem").select(F.col("l_partkey").alias("callable"), F.col("l_orderkey").alias("place"), (F.col("l_returnflag") == "N").alias("in_import"))
+    found = elements.call_traces(table(spark, d, "part").select(F.col("p_partkey").alias("callable")), usages)
+    return found.select("callable", F.size("traces").alias("n"), F.array_join(F.transform("traces", lambda x: x.cast("string")), ",").alias("traces"))
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """Events as elements of files."""
+    kinds = F.create_map(*(F.lit(x) for pair in (("click", "function"), ("error", "lambda"), ("purchase", "class"), ("signup", "parameter"), ("view", "initializer")) for x in pair))
+    by = lambda n: F.pmod("event_id", F.lit(n)) == 0
+    return table(spark, d, "events").select(
+        F.when(~by(11), F.concat(F.lit("f"), F.col("user_id").cast("string"))).alias("file"),
+        F.array("event_id").alias("path"),
+        kinds[F.col("event_type")].alias("kind"),
+        F.when(by(3), "java").otherwise("other").alias("lang"),
+        F.when(~by(5), F.col("value") > 20).alias("has_body"),
+        by(7).alias("is_constructor"),
+        by(4).alias("is_operator"),
+        by(9).alias("in_value_class"),
+    )
+
+
+def element_items(spark: SparkSession, d: str) -> DataFrame:
+    """What can be replaced and what can be deleted, by kind."""
+    found = _elements(spark, d)
+    of = lambda lang: found.where(F.col("lang") == lang)
+    body = elements.body_items([of("java"), of("other")]).withColumn("item", F.lit("body"))
+    parameters = found.where("kind = 'parameter'")
+    deletable = elements.deletable_items(found.where("kind <> 'parameter'"), parameters).withColumn("item", F.lit("deletable"))
+    return body.unionByName(deletable).groupBy("item", "kind").agg(F.count("*").alias("n"))
+
+
+def element_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Items resolved to the element at their place; those without one are left out. Items are every third event."""
+    found = _elements(spark, d)
+    items = found.where("path[0] % 3 = 0").select("file", F.transform("path", lambda x: x + F.when(F.pmod(x, F.lit(2)) == 0, 0).otherwise(10**9)).alias("path"))
+    return elements.resolved(items, found.select("file", "path", "kind")).select("file", F.col("path")[0].alias("at"), "kind")
+
+
+def parameter_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order and of the next by their place, as parameters of two declarations."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("function"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("name"))
+    return elements.matching_parameters(rows, rows.withColumn("function", F.col("function") - 1))
+
+
+def tasks_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as tasks of their regions: one by its whole path, others by an end of it."""
+    region = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    tasks = table(spark, d, "nation").join(region, "n_regionkey").select(F.concat(F.lit(":"), "r_name", F.lit(":"), "n_name").alias("path"), "n_name")
+    tasks = keep(tasks)
+    first = tasks.orderBy("path").limit(1).select(F.col("path").alias("name"))
+    names = first.union(tasks.orderBy(F.desc("path")).limit(2).select(F.col("n_name")))
+    # three names
+    return elements.tasks_named(tasks.select("path").crossJoin(F.broadcast(names)), F.col("name")).select("name", "path")
+
+
 _RARE = "SELECT {} FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'"
 QUERIES = {
     "hash_lookup_join": (hash_lookup_join, "SELECT p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY p_brand"),
@@ -166,6 +250,51 @@ QUERIES = {
         """WITH m AS (SELECT *, min(l_partkey) OVER (PARTITION BY l_orderkey) AS least FROM lineitem)
         SELECT l_orderkey, coalesce(string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_partkey <> least), '') AS args FROM m GROUP BY l_orderkey""",
     ),
+    "argument_dropped": (
+        argument_dropped,
+        """WITH a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem),
+        m AS (SELECT *, min(CASE WHEN l_partkey % 10 = 7 THEN i END) OVER (PARTITION BY l_orderkey) AS k FROM a)
+        SELECT l_orderkey, coalesce(any_value(k), -1) AS at, coalesce(string_agg(l_partkey, ',' ORDER BY i) FILTER (WHERE k IS NULL OR i <> k), '') AS args FROM m GROUP BY l_orderkey""",
+    ),
+    "import_usage": (
+        import_usage,
+        """WITH u AS (SELECT l_orderkey AS file, p_brand AS pkg, 'P' || p_partkey AS name, p_partkey, p_size, l_returnflag, l_quantity FROM lineitem JOIN part ON p_partkey = l_partkey),
+        own AS (SELECT file, arg_min(pkg, p_partkey) AS package FROM u GROUP BY file),
+        needed AS (SELECT u.file, pkg, name, count(*) AS n FROM u JOIN own ON own.file = u.file AND own.package <> u.pkg GROUP BY u.file, pkg, name),
+        named AS (SELECT DISTINCT file, pkg, name FROM u WHERE p_size <= 25),
+        stars AS (SELECT DISTINCT file, pkg FROM u WHERE p_size > 40),
+        lost AS (SELECT file, name, count(*) AS n FROM u WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY file, name),
+        demand AS (SELECT file, pkg, sum(n) AS n FROM needed WHERE (file, pkg, name) NOT IN (SELECT (file, pkg, name) FROM named) GROUP BY file, pkg)
+        SELECT file, pkg || '.' || name AS path, false AS star, CAST(coalesce(needed.n, 0) + coalesce(lost.n, 0) AS BIGINT) AS n
+        FROM named LEFT JOIN needed USING (file, pkg, name) LEFT JOIN lost USING (file, name) WHERE coalesce(needed.n, 0) + coalesce(lost.n, 0) > 0
+        UNION ALL SELECT file, pkg, true, CAST(n AS BIGINT) FROM stars JOIN demand USING (file, pkg)""",
+    ),
+    "call_traces": (
+        call_traces,
+        """WITH u AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem WHERE l_returnflag <> 'N')
+        SELECT p_partkey AS callable, CAST(count(l_orderkey) AS INT) AS n, coalesce(string_agg(l_orderkey, ',' ORDER BY l_orderkey), '') AS traces FROM part LEFT JOIN u ON l_partkey = p_partkey GROUP BY p_partkey""",
+    ),
+    "element_items": (
+        element_items,
+        """WITH e AS (SELECT *, CASE event_type WHEN 'click' THEN 'function' WHEN 'error' THEN 'lambda' WHEN 'purchase' THEN 'class' WHEN 'signup' THEN 'parameter' WHEN 'view' THEN 'initializer' END AS kind FROM events)
+        SELECT 'body' AS item, kind, count(*) AS n FROM e WHERE kind IN ('function', 'lambda', 'initializer') AND NOT (event_id % 3 = 0 AND event_id % 7 = 0) AND (event_id % 5 = 0 OR value > 20) AND event_id % 11 <> 0 GROUP BY kind
+        UNION ALL SELECT 'deletable', kind, count(*) FROM e WHERE kind IN ('function', 'class') OR (kind = 'parameter' AND event_id % 4 <> 0 AND event_id % 9 <> 0) GROUP BY kind""",
+    ),
+    "element_lookup": (
+        element_lookup,
+        """SELECT 'f' || user_id AS file, event_id AS at, CASE event_type WHEN 'click' THEN 'function' WHEN 'error' THEN 'lambda' WHEN 'purchase' THEN 'class' WHEN 'signup' THEN 'parameter' WHEN 'view' THEN 'initializer' END AS kind
+        FROM events WHERE event_id % 6 = 0 AND event_id % 11 <> 0""",
+    ),
+    "parameter_pairs": (
+        parameter_pairs,
+        """SELECT a.l_orderkey AS function, a.l_linenumber AS ordinal, a.l_partkey AS expected, b.l_partkey AS actual
+        FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey + 1 AND b.l_linenumber = a.l_linenumber""",
+    ),
+    "tasks_by_name": (
+        tasks_by_name,
+        """WITH t AS (SELECT ':' || r_name || ':' || n_name AS path, n_name FROM nation JOIN region ON r_regionkey = n_regionkey)
+        (SELECT path AS name, path FROM t ORDER BY path LIMIT 1) UNION ALL SELECT n_name, path FROM (SELECT * FROM t ORDER BY path DESC LIMIT 2)""",
+    ),
     "refcount_unused": (
         refcount_unused,
         f"SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN ({_RARE.format('o_orderkey')}))",

@@ -76,14 +76,66 @@ def _diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diag_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Errors and unknown ones, and all internal ones, with their parts; positions relative to the base."""
+    """Errors and unknown ones, and all with a stack, with their parts; positions relative to the base."""
     message, stack = diagnostics.split_message(F.col("text"))
-    rows = _diagnostics(spark, d).withColumns({"message": message, "stack": stack}).withColumns(
-        {"kind": diagnostics.kind(F.col("message"), F.col("stack")), "severity": diagnostics.severity(F.col("letter")), "at": diagnostics.position(diagnostics.relative(F.col("place"), F.lit("/base")))}
-    )
+    at = diagnostics.position(F.regexp_replace("place", "^file://", ""))
+    kind = F.when(F.startswith("message", F.lit(diagnostics.PROCESSOR_MARK)), "ksp").when(F.col("stack").isNotNull(), "internal").otherwise("general")
+    rows = _diagnostics(spark, d).withColumns({"message": message, "stack": stack}).withColumns({"kind": kind, "severity": diagnostics.severity(F.col("letter")), "at": at})
     kept = rows.where("kind = 'internal' OR severity IN ('ERROR', 'UNKNOWN')")
     frames = F.coalesce(F.size(F.split("stack", "\n")), F.lit(0))
-    return kept.select("event_id", "kind", "severity", "message", "at.file", "at.line", "at.col", F.when(F.col("stack").isNotNull(), frames).otherwise(0).alias("n_frames"))
+    file = diagnostics.relative_path(F.col("at.file"), F.lit("/base")).alias("file")
+    return kept.select("event_id", "kind", "severity", "message", file, "at.line", "at.col", F.when(F.col("stack").isNotNull(), frames).otherwise(0).alias("n_frames"))
+
+
+#: Frames of a stack, by the type of an event.
+_STACK = "\n\tat org.jetbrains.kotlin.a.{}\n\tat org.jetbrains.kotlin.b.Tail\n\tat java.lang.Other"
+
+
+def _raw_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Events as build events of every form: message, description, letter, place."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", F.pmod("event_id", F.lit(8)).alias("form"))
+    user = F.col("user_id").cast("string")
+    stack = F.concat(F.lit(_STACK.split("{}")[0]), F.col("event_type"), F.lit(_STACK.split("{}")[1]))
+    file = F.concat(F.lit("/base/src/U"), user, F.lit(".kt"))
+    issue = F.lit(f": Back-end: {diagnostics.INTERNAL_ENDS}")
+    new, old = (F.lit(x) for x in diagnostics.BACKEND_TYPES)
+    analysis = F.lit(diagnostics.INTERNAL_STARTS[2])
+    forms = [
+        (F.concat(new, issue), F.concat(new, issue, F.lit("\n"), file, F.lit(":-1:-1\nDetails of "), user, stack)),
+        (F.concat(old, F.lit(": while lowering")), F.concat(old, F.lit(": while lowering\nFile being compiled: "), file, F.lit("\nDetails of "), user, stack)),
+        (F.concat(new, issue), F.concat(new, issue, F.lit("\n"), file, F.lit(":3:4\nno stack"))),
+        (F.concat(analysis, F.lit(": While analysing")), F.concat(analysis, F.lit(": While analysing file://"), file, F.lit(":19:3: bad "), F.col("event_type"), stack)),
+        (F.concat(F.lit("any "), F.lit(diagnostics.INTERNAL_ENDS)), F.concat(F.lit("Some.Type: whole text of "), user)),
+        (F.concat(F.lit("[ksp] processor of "), user, stack), F.lit("")),
+        (F.concat(F.lit("[ksp] without a stack "), user), F.lit("")),
+        (F.concat(F.lit("Unresolved reference in "), file, F.lit(":1:2")), F.lit("")),
+    ]
+    pick = lambda i: F.element_at(F.array(*(f[i] for f in forms)), F.col("form").cast("int") + 1)
+    letter = F.when(F.col("event_type") == "error", "e").when(F.col("event_type") == "click", "w").when(F.col("event_type") == "view", "i").otherwise("x")
+    return rows.select("event_id", "user_id", "event_type", "form", pick(0).alias("message"), pick(1).alias("description"), letter.alias("letter"), F.concat(file, F.lit(":7:8")).alias("place"))
+
+
+def diag_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What a build reports, parsed by the rules for each kind, with paths relative to the base."""
+    rows = diagnostics.relativised(diagnostics.reported(diagnostics.parsed(_raw_diagnostics(spark, d))), F.lit("/base"))
+    place = [F.coalesce(f"at.{x}", F.lit(0)).alias(x) for x in ("line", "col")]
+    return rows.select("event_id", "kind", "severity", "text", "at.file", *place, F.size(F.split(F.coalesce("stack", F.lit("")), "\n")).alias("n_frames"))
+
+
+def diag_same(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an hour's first half of a user's diagnostics is the same failure as the second; by key, in order."""
+    rows = diagnostics.reported(diagnostics.parsed(_raw_diagnostics(spark, d))).withColumn("block", F.floor(F.col("event_id") / 32).cast("long"))
+    half = lambda i: rows.where(F.floor(F.pmod("event_id", F.lit(32)) / 16) == i)
+    return diagnostics.same_failures(half(0), half(1), ["block", "form"], ["event_id"])
+
+
+def relative_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of pages, seen from two folders; a path must go up where it isn't below."""
+    path = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*$", ""))
+    rows = table(spark, d, "pages").select("page_id", path.alias("path"))
+    base = F.concat_ws("/", F.lit(""), F.element_at(F.split("path", "/"), 2), F.lit("other"))
+    text = F.concat(F.lit("see file://"), F.col("path"), F.lit(":3:14, then go on"))
+    return rows.select("page_id", diagnostics.relative_path(F.col("path"), base).alias("from_other"), diagnostics.relative(text, F.lit("/none")).alias("in_text"))
 
 
 def edit_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -133,6 +185,42 @@ QUERIES = {
             CAST(event_id % 90 + 1 AS INT) AS line, CAST(event_id % 7 + 1 AS INT) AS col, CASE WHEN err THEN 2 ELSE 0 END AS n_frames
         FROM p WHERE severity IN ('ERROR', 'UNKNOWN')""",
     ),
+    "diag_rules": (
+        diag_rules,
+        r"""WITH f AS (SELECT event_id, user_id, event_type, event_id % 8 AS form,
+            CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' WHEN 'view' THEN 'INFO' ELSE 'UNKNOWN' END AS severity FROM events)
+        SELECT event_id, ['backend', 'backend', NULL, 'internal', 'internal', 'ksp', NULL, 'general'][form + 1] AS kind, severity,
+            ['Details of ' || user_id, 'Details of ' || user_id, NULL, 'While analysing file://src/U' || user_id || '.kt:19:3: bad ' || event_type,
+             'whole text of ' || user_id, 'processor of ' || user_id, NULL, 'Unresolved reference in src/U' || user_id || '.kt:1:2'][form + 1] AS text,
+            CASE WHEN form IN (0, 1, 7) THEN 'src/U' || user_id || '.kt' END AS file,
+            CAST(CASE form WHEN 0 THEN -1 WHEN 1 THEN -1 WHEN 7 THEN 7 ELSE 0 END AS INT) AS line, CAST(CASE form WHEN 0 THEN -1 WHEN 1 THEN -1 WHEN 7 THEN 8 ELSE 0 END AS INT) AS col,
+            CAST(CASE WHEN form IN (0, 1, 3, 5) THEN 3 ELSE 1 END AS INT) AS n_frames
+        FROM f WHERE form NOT IN (2, 6) AND (form <> 7 OR severity IN ('ERROR', 'UNKNOWN'))""",
+    ),
+    "diag_same": (
+        diag_same,
+        # two of each form in a half: texts and first frames differ by a few characters, and one place may be empty
+        r"""WITH f AS (SELECT event_id, event_id // 32 AS block, event_id % 32 // 16 AS half, event_id % 8 AS form, event_type, 'U' || user_id AS u, user_id, event_type AS t,
+            CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING' WHEN 'view' THEN 'INFO' ELSE 'UNKNOWN' END AS severity FROM events),
+        k AS (SELECT *, row_number() OVER (PARTITION BY block, form, half ORDER BY event_id) AS i,
+            CASE WHEN form IN (0, 1) THEN 'Details of ' || user_id WHEN form = 3 THEN 'While analysing file:///base/src/' || u || '.kt:19:3: bad ' || t
+                 WHEN form = 4 THEN 'whole text of ' || user_id WHEN form = 5 THEN 'processor of ' || user_id ELSE 'Unresolved reference in /base/src/' || u || '.kt:1:2' END AS text
+            FROM f WHERE form NOT IN (2, 6) AND (form <> 7 OR severity IN ('ERROR', 'UNKNOWN'))),
+        p AS (SELECT coalesce(a.block, b.block) AS block, coalesce(a.form, b.form) AS form,
+            CASE WHEN a.event_id IS NULL OR b.event_id IS NULL THEN false
+                 WHEN a.form = 7 THEN a.text = b.text AND a.severity = b.severity
+                 ELSE 1 - exp(-1) * levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text))
+                      - CASE WHEN a.form = 4 THEN 0 ELSE exp(-2) * levenshtein('a.' || a.t, 'a.' || b.t) / greatest(length('a.' || a.t), length('a.' || b.t)) END > 0.95 END AS same
+            FROM (SELECT * FROM k WHERE half = 0) a FULL JOIN (SELECT * FROM k WHERE half = 1) b ON a.block = b.block AND a.form = b.form AND a.i = b.i)
+        SELECT block, form, bool_and(same) AS same FROM p GROUP BY block, form""",
+    ),
+    "relative_pages": (
+        relative_pages,
+        r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS p FROM pages),
+        r AS (SELECT page_id, p, array_to_string(list_filter(string_split(p, '/'), lambda x: x <> ''), '/') AS plain FROM p)
+        SELECT page_id, CASE WHEN strpos(plain, '/') = 0 THEN '..' ELSE '../' || substr(plain, strpos(plain, '/') + 1) END AS from_other,
+            'see file://../' || plain || ':3:14, then go on' AS in_text FROM r""",
+    ),
     "edit_similarity": (
         edit_similarity,
         r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS t FROM conversations),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pareframe.operators import paths
+from pareframe.operators import elements, paths
 from pareframe.sources.tables import keep, table
 
 
@@ -61,6 +61,38 @@ def relativize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", rest.alias("relative"))
 
 
+def chain_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Where a search that begins at each prefix really begins."""
+    return paths.chain_ends(_tree(spark, d))
+
+
+def possible_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Roots from the domains as content (none has a folder src) and the hosts and languages as sources; folders of one page are ignored."""
+    tree = _tree(spark, d)
+    return paths.possible_roots(tree.where("depth = 1"), tree.where("depth IN (2, 3)"), tree, tree.where("depth = 3 AND n = 1"), "")
+
+
+def topmost_last_first(spark: SparkSession, d: str) -> DataFrame:
+    """The topmost marked prefixes with their turn when the last is visited first."""
+    from pyspark.sql import Window
+
+    found = paths.topmost(_tree(spark, d).where("depth > 1 AND n BETWEEN 2 AND 9")).withColumn("root", F.substring_index("prefix", "/", 1))
+    return found.select("prefix", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("prefix"))).alias("turn"))
+
+
+def mixed_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of each page's path up to the first with a digit, and from there on."""
+    parts = elements.mixed_path(F.col("parts"), F.transform("parts", lambda x: ~x.rlike("[0-9]")))
+    return _pages(spark, d).select("page_id", parts.alias("m")).select("page_id", paths.joined(F.col("m.stubs")).alias("stubs"), paths.joined(F.col("m.children")).alias("children"))
+
+
+def copied_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages but those below the first host."""
+    first = _tree(spark, d).where("depth = 2").agg(F.min("prefix").alias("p")).first().p
+    pages = _pages(spark, d).select("page_id", paths.joined(F.col("parts")).alias("path"))
+    return elements.copied(pages, (first or "",)).select("page_id")
+
+
 _TREE = r"""plain AS (SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS p FROM pages),
     hosts AS (SELECT page_id, p, split_part(p, '/', 1) AS h FROM plain),
     parts AS (SELECT page_id, list_concat([split_part(h, '.', -2) || '.' || split_part(h, '.', -1)], string_split(p, '/')) AS parts FROM hosts),
@@ -75,6 +107,35 @@ QUERIES = {
         f"""WITH {_TREE}, c AS (SELECT parent, count(*) AS k, max(prefix) AS child FROM tree WHERE parent IS NOT NULL GROUP BY parent)
         SELECT parent AS prefix, child FROM c WHERE k = 1 AND child IN (SELECT parent FROM c)""",
     ),
+    "chain_ends": (
+        chain_ends,
+        f"""WITH RECURSIVE {_TREE}, c AS (SELECT parent, count(*) AS k, max(prefix) AS child FROM tree WHERE parent IS NOT NULL GROUP BY parent),
+        s AS (SELECT parent AS prefix, child FROM c WHERE k = 1 AND child IN (SELECT parent FROM c)),
+        w(prefix, last) AS (SELECT prefix, prefix FROM tree UNION ALL SELECT w.prefix, s.child FROM w JOIN s ON s.prefix = w.last)
+        SELECT prefix, arg_max(last, length(last)) AS last FROM w GROUP BY prefix""",
+    ),
+    "possible_roots": (
+        possible_roots,
+        f"""WITH {_TREE}, i AS (SELECT prefix FROM tree WHERE depth = 3 AND n = 1),
+        f AS (SELECT * FROM tree t WHERE depth >= 2 AND NOT EXISTS (SELECT 1 FROM i WHERE i.prefix = t.prefix OR starts_with(i.prefix, t.prefix || '/') OR starts_with(t.prefix, i.prefix || '/'))),
+        r AS (SELECT prefix FROM f WHERE depth = 2 OR EXISTS (SELECT 1 FROM i WHERE starts_with(i.prefix, f.parent || '/')))
+        SELECT prefix FROM r UNION ALL SELECT '' WHERE NOT EXISTS (SELECT 1 FROM r)""",
+    ),
+    "topmost_last_first": (
+        topmost_last_first,
+        f"""WITH {_TREE}, m AS (SELECT * FROM tree WHERE depth > 1 AND n BETWEEN 2 AND 9)
+        SELECT prefix, CAST(row_number() OVER (PARTITION BY split_part(prefix, '/', 1) ORDER BY prefix DESC) AS INT) AS turn FROM m WHERE NOT EXISTS (SELECT 1 FROM m a WHERE starts_with(m.prefix, a.prefix || '/'))""",
+    ),
+    "mixed_paths": (
+        mixed_paths,
+        f"""WITH {_TREE}, n AS (SELECT page_id, parts, coalesce(list_min(list_filter(range(1, len(parts) + 1), lambda i: regexp_matches(parts[i], '[0-9]'))) - 1, len(parts)) AS k FROM parts)
+        SELECT page_id, array_to_string(parts[1:k], '/') AS stubs, array_to_string(parts[k + 1:], '/') AS children FROM n""",
+    ),
+    "copied_files": (
+        copied_files,
+        f"""WITH {_TREE}, h AS (SELECT min(prefix) AS p FROM tree WHERE depth = 2)
+        SELECT page_id FROM pre, h WHERE last AND prefix <> p AND NOT starts_with(prefix, p || '/')""",
+    ),
     "nearest_ancestor": (
         nearest_ancestor,
         f"""WITH {_TREE}, m AS (SELECT prefix FROM tree WHERE n > 2), l AS (SELECT page_id, prefix FROM pre WHERE last)
