@@ -10,20 +10,39 @@ from pyspark.sql import functions as F
 from pareframe.sources.tables import keep
 
 
+class Rounds:
+    """Rows found round by round. Each is rewritten as often as the logarithm of the rounds, not in every round."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [(0, first)]
+
+    def add(self, found: DataFrame) -> None:
+        level = 0
+        while self.parts and self.parts[-1][0] == level:
+            found, level = keep(self.parts.pop()[1].union(found)), level + 1
+        self.parts.append((level, found))
+
+    def all(self) -> DataFrame:
+        out = self.parts[0][1]
+        for _, part in self.parts[1:]:
+            out = out.union(part)
+        return out
+
+
 def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, id): what each root of ``start`` (root, id) reaches along ``edges``, itself included.
 
     Each round follows the edges of what was found last and drops what is known, so cycles end.
     """
     edges = edges.select("src", "dst").distinct()
-    seen = keep(start.select("root", "id").distinct())
-    front = seen
+    front = keep(start.select("root", "id").distinct())
+    seen = Rounds(front)
     while True:
         step = front.join(edges, front["id"] == edges["src"]).select("root", F.col("dst").alias("id")).distinct()
-        front = keep(step.join(seen, ["root", "id"], "left_anti"))
+        front = keep(step.join(seen.all(), ["root", "id"], "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = keep(seen.union(front))
+            return seen.all()
+        seen.add(front)
 
 
 def closure(start: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,17 +102,18 @@ def condense(edges: DataFrame, components: DataFrame) -> DataFrame:
 def layers(vertices: DataFrame, edges: DataFrame) -> Iterator[DataFrame]:
     """(id) by layer: first what needs nothing, then what needs only earlier ones. Cycles are never reached."""
     edges = keep(edges.select("src", "dst").distinct())
-    done = keep(vertices.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select("id").distinct())
-    layer = done
+    layer = keep(vertices.join(edges.select(F.col("src").alias("id")), "id", "left_anti").select("id").distinct())
     need = keep(edges.groupBy("src").agg(F.count("*").alias("need")))
-    met = None
+    # vertices of which some needs are met and others aren't
+    waiting = None
     while not layer.isEmpty():
         yield layer
-        now = edges.join(layer, edges["dst"] == layer["id"], "left_semi").groupBy("src").agg(F.count("*").alias("met"))
-        met = keep((now if met is None else met.union(now)).groupBy("src").agg(F.sum("met").alias("met")))
-        ready = met.join(need, "src").where("met = need").select(F.col("src").alias("id"))
-        layer = keep(ready.join(done, "id", "left_anti"))
-        done = keep(done.union(layer))
+        met = edges.join(layer, edges["dst"] == layer["id"], "left_semi").groupBy("src").agg(F.count("*").alias("met"))
+        if waiting is not None:
+            met = met.union(waiting).groupBy("src").agg(F.sum("met").alias("met"))
+        met = keep(met.join(need, "src"))
+        layer = met.where("met = need").select(F.col("src").alias("id"))
+        waiting = met.where("met < need").select("src", "met")
 
 
 def layer_numbers(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pareframe.operators import graph
-from pareframe.operators.search import Property, Ranges, ddmin, numbered, retained
+from pareframe.operators.search import Decided, Property, Ranges, Tested, ddmin, numbered, retained
 from pareframe.sources.tables import keep
 
-Search = Callable[[Property], Ranges]
+#: Called with a property, and ``zero`` where the empty set is to be tried.
+Search = Callable[..., Ranges]
+Level = tuple[str, DataFrame]
 
 
 def contains_all(items: DataFrame, wanted: str) -> Property:
@@ -21,55 +23,101 @@ def contains_all(items: DataFrame, wanted: str) -> Property:
     return test
 
 
-def hierarchical(levels: list[tuple[str, DataFrame]], search: Search = ddmin) -> DataFrame:
-    """(level, id) that stay. Each level is a DataFrame (id, parent, wanted): what is wanted below each id.
+def below(levels: list[Level]) -> Callable[[DataFrame | None], Level | None]:
+    """A generator of levels from ready ones: of each, the items whose ``parent`` was kept on the level above."""
+    left = iter(levels)
 
-    A level is searched after the one above, over the children of what stayed there; an empty level ends it.
+    def following(kept: DataFrame | None) -> Level | None:
+        name, level = next(left, (None, None))
+        if level is None or kept is None:
+            return level if level is None else (name, level)
+        return name, level.join(kept.select(F.col("id").alias("parent")), "parent", "left_semi")
+
+    return following
+
+
+def hierarchical(
+    levels: list[Level] | Callable[[DataFrame | None], Level | None],
+    search: Search = ddmin,
+    tester: Callable[[str, DataFrame], Decided] = lambda name, items: contains_all(items, "wanted"),
+) -> DataFrame:
+    """(level, id) that stay. Each level is searched over what stayed on the one above.
+
+    ``levels`` is a generator: called with the ids that stayed (``id``; None at first), it returns the next level's name
+    and items (``id`` and whatever ``tester`` needs), or None; an empty level ends the search, too. A list of levels with
+    a column ``parent`` stands for ``below`` of it. ``tester`` makes the property of a level's numbered items; by default
+    it is that nothing ``wanted`` is lost.
     """
-    out, above = None, None
-    for name, level in levels:
-        items = level if above is None else level.join(above.select(F.col("id").alias("parent")), "parent", "left_semi")
-        items = keep(numbered(items.select("id", "wanted"), "id"))
+    following = below(levels) if isinstance(levels, list) else levels
+    out, kept = None, None
+    while (level := following(kept)) is not None:
+        name, items = level
+        items = keep(numbered(items, "id"))
         if items.isEmpty():
             break
-        above = keep(retained(items, search(contains_all(items, "wanted"))).where("retained").select("id"))
-        one = above.select(F.lit(name).alias("level"), "id")
+        kept = keep(retained(items, search(tester(name, items))).where("retained").select("id"))
+        one = kept.select(F.lit(name).alias("level"), "id")
         out = one if out is None else out.union(one)
     return out
 
 
-def graph_reduction(vertices: DataFrame, edges: DataFrame, targets: DataFrame, search: Search = ddmin) -> DataFrame:
-    """(id, retained): a small set of vertices that holds all ``targets`` (id) and whatever its members need.
+def graph_reduction(
+    vertices: DataFrame,
+    edges: DataFrame,
+    targets: DataFrame | None = None,
+    search: Search = ddmin,
+    holds: Callable[[DataFrame], bool | str] | None = None,
+) -> DataFrame:
+    """(id, retained): a small set of vertices that has a property, closed under what its members need.
 
-    Layers are searched in turn, from what needs nothing; deleting a vertex deletes all that need it, so a vertex
-    is wanted by each target that reaches it. The graph must have no cycles: condense it first.
+    Layers are searched in turn, from what needs nothing, the empty set of a layer included; deleting a vertex deletes
+    all that need it. The property is ``holds`` of the vertices (id) that are left after such a cut; or else that no
+    ``target`` (id) is lost, for which a vertex counts the targets that reach it, and all candidates of a pass are
+    decided by one job. The graph must have no cycles: condense it first.
     """
-    ids = vertices.select("id").distinct()
-    live, links = keep(ids), keep(edges.select("src", "dst").distinct())
-    needed = keep(graph.reach(targets.select(F.col("id").alias("root"), "id"), links).groupBy("id").agg(F.count("*").alias("wanted")))
-    numbers = keep(graph.layer_numbers(ids, links))
+    ids = keep(vertices.select("id").distinct())
+    links = keep(edges.select("src", "dst").distinct())
+    back = graph.reverse(links)
+    numbers = graph.layer_numbers(ids, links)
+    if holds is None:
+        needed = graph.reach(targets.select(F.col("id").alias("root"), "id"), links).groupBy("id").agg(F.count("*").alias("wanted"))
+        numbers = numbers.join(needed, "id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    numbers, live = keep(numbers), ids
     last = numbers.agg(F.max("layer")).first()[0]
+    gone = None
     for i in range(-1 if last is None else last + 1):
-        layer = live.join(numbers.where(F.col("layer") == i), "id", "left_semi").join(needed, "id", "left")
-        layer = layer.select("id", F.coalesce("wanted", F.lit(0)).alias("wanted"))
-        if layer.isEmpty():
-            continue
+        layer = numbers.where(F.col("layer") == i).drop("layer")
+        if holds is not None:
+            # what an earlier layer has cut off isn't asked for again
+            layer = layer.join(live, "id", "left_semi")
         items = keep(numbered(layer, "id"))
-        # with the empty set, a layer that no target needs goes as a whole
-        found = retained(items, search(contains_all(items, "wanted")))
-        gone = found.where(~F.col("retained") | (F.col("wanted") == 0)).select("id")
-        if gone.isEmpty():
+        if items.isEmpty():
             continue
-        cut = graph.closure(gone, graph.reverse(links))
-        live = keep(live.join(cut, "id", "left_anti"))
-        links = keep(graph.induced(links, live))
+        # nothing needs what is in the last layer
+        cut = (lambda out: out) if i == last else lambda out: graph.closure(out, back)
+        left = live
+        test = contains_all(items, "wanted") if holds is None else Tested(items, lambda kept, out, left=left, cut=cut: holds(left.join(cut(out.select("id")), "id", "left_anti")))
+        out = retained(items, search(test, zero=True)).where("NOT retained").select("id")
+        if holds is not None and not out.isEmpty():
+            live = keep(live.join(cut(out), "id", "left_anti"))
+        gone = out if gone is None else gone.union(out)
+    if holds is None and gone is not None:
+        # no target needs what goes, so the layers don't depend on each other and one cut serves them all
+        live = live.join(graph.closure(gone, back), "id", "left_anti")
     return ids.join(live.withColumn("retained", F.lit(True)), "id", "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
 
 
-def graph_reduction_condensed(vertices: DataFrame, edges: DataFrame, targets: DataFrame, search: Search = ddmin) -> DataFrame:
-    """As graph_reduction, for graphs with cycles: components are kept or deleted whole."""
+def graph_reduction_condensed(
+    vertices: DataFrame,
+    edges: DataFrame,
+    targets: DataFrame | None = None,
+    search: Search = ddmin,
+    holds: Callable[[DataFrame], bool | str] | None = None,
+) -> DataFrame:
+    """As graph_reduction, for graphs with cycles: components are kept or deleted whole. ``holds`` sees vertices."""
     components = keep(graph.strong_components(vertices, edges))
     small = components.select(F.col("component").alias("id")).distinct()
-    wanted = targets.join(components, "id").select(F.col("component").alias("id")).distinct()
-    found = graph_reduction(small, graph.condense(edges, components), wanted, search)
+    wanted = targets if targets is None else targets.join(components, "id").select(F.col("component").alias("id")).distinct()
+    flat = lambda left: components.join(left.withColumnRenamed("id", "component"), "component", "left_semi").select("id")
+    found = graph_reduction(small, graph.condense(edges, components), wanted, search, None if holds is None else lambda left: holds(flat(left)))
     return components.join(found.withColumnRenamed("id", "component"), "component").select("id", "retained")

@@ -1,24 +1,35 @@
 """Delta debugging over rows: find a small subset of items for which a property still holds.
 
 Items are rows of a DataFrame, numbered by a dense ``idx``. What a search holds on the driver is a list of index
-ranges, never the items. A property is a predicate over sums: every item has a few contributions, and the property
-of a subset is decided from the sums of its items' contributions. So all chunks of a pass are tested by one Spark
-job, a grouped sum over the items; the complement of a chunk has the total less the chunk's sums.
+ranges, never the items. A property says of any subset whether it holds:
+
+* ``Property``: a predicate over sums. Every item has a few contributions, and a subset is decided from the sums of its
+  items' contributions, so all chunks of a pass are tested by one Spark job; the complement of a chunk has the total
+  less the chunk's sums. Once at most LOCAL items are left, their contributions are summed on the driver.
+* ``Tested``: any function of the DataFrames of retained and deleted items, such as a query that is run on what is
+  retained. Candidates are tried in order, a run for each.
+
+A search asks ``first`` which of a pass's candidates is the first to have the property.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pareframe.sources.tables import keep
 
-#: Up to so many items, the table that says which part an item is in is broadcast (two numbers for each item).
-BROADCAST_ROWS = 1_000_000
+#: Items whose contributions are held on the driver.
+LOCAL = 4096
+#: Outcomes of a test: only the first counts as having the property.
+SAME, NONE, OTHER = "property", "no property", "unknown property"
 
 Ranges = tuple[tuple[int, int], ...]
 
@@ -48,28 +59,37 @@ def size(ranges: Ranges) -> int:
 
 def chunks(ranges: Ranges, n: int) -> list[Ranges]:
     """``n`` consecutive parts whose sizes differ by one at most."""
-    total, out, at = size(ranges), [], 0
+    total = size(ranges)
     cuts = [total * i // n for i in range(n + 1)]
+    out: list[Ranges] = []
+    at, before = 0, 0
     for lo, hi in zip(cuts, cuts[1:], strict=False):
-        part, at = [], 0
-        for a, b in ranges:
-            s, e = max(lo, at), min(hi, at + b - a)
+        part = []
+        # ranges are met in order; the one that a cut goes through is met again
+        while at < len(ranges):
+            a, b = ranges[at]
+            s, e = max(lo, before), min(hi, before + b - a)
             if s < e:
-                part.append((a + s - at, a + e - at))
-            at += b - a
+                part.append((a + s - before, a + e - before))
+            if before + b - a > hi:
+                break
+            before, at = before + b - a, at + 1
         out.append(tuple(part))
     return out
 
 
 def without(ranges: Ranges, gone: Ranges) -> Ranges:
-    """Ranges that are in the first and not in the second."""
-    out = []
+    """Ranges that are in the first and not in the second; both sorted."""
+    out, at = [], 0
     for a, b in ranges:
-        for x, y in gone:
-            if x < b and y > a:
-                if a < x:
-                    out.append((a, x))
-                a = max(a, y)
+        while at < len(gone) and gone[at][1] <= a:
+            at += 1
+        k = at
+        while k < len(gone) and gone[k][0] < b:
+            if a < gone[k][0]:
+                out.append((a, gone[k][0]))
+            a = max(a, gone[k][1])
+            k += 1
         if a < b:
             out.append((a, b))
     return tuple(out)
@@ -77,63 +97,178 @@ def without(ranges: Ranges, gone: Ranges) -> Ranges:
 
 def merged(indexes: list[int]) -> Ranges:
     """Sorted indexes as ranges."""
+    return joined([(i, i + 1) for i in indexes])
+
+
+def joined(ranges: list[tuple[int, int]]) -> Ranges:
+    """Sorted ranges, those that touch as one."""
     out: list[list[int]] = []
-    for i in indexes:
-        if out and out[-1][1] == i:
-            out[-1][1] = i + 1
+    for a, b in ranges:
+        if out and out[-1][1] == a:
+            out[-1][1] = b
         else:
-            out.append([i, i + 1])
+            out.append([a, b])
     return tuple(map(tuple, out))
 
 
-@dataclass
-class Property:
-    """``holds`` decides from sums of ``sums`` (columns of ``items``) whether a subset still has the property."""
+@lru_cache(maxsize=1 << 16)
+def _mark(i: int) -> int:
+    return int.from_bytes(hashlib.blake2b(i.to_bytes(8, "little"), digest_size=16).digest(), "little")
 
-    items: DataFrame
-    sums: dict[str, Column]
-    holds: Callable[[dict[str, float]], bool]
-    log: list[dict] = field(default_factory=list)
 
-    def __post_init__(self) -> None:
-        names = [c.alias(k) for k, c in self.sums.items()]
-        self.rows = keep(self.items.select("idx", *names))
-        found = self.rows.agg(F.count("*").alias("__n"), *(F.sum(k).alias(k) for k in self.sums)).first().asDict()
-        self.n = found.pop("__n")
-        self.total = {k: v or 0 for k, v in found.items()}
-        self.memo: dict[Ranges, bool] = {}
-
-    def measure(self, parts: list[Ranges]) -> list[dict[str, float]]:
-        """Sums of each part, from one job. The parts must not overlap."""
-        spark = self.rows.sparkSession
-        bounds = [(i, a, b - 1) for i, part in enumerate(parts) for a, b in part]
-        out = [dict.fromkeys(self.sums, 0) for _ in parts]
-        if not bounds:
-            return out
-        table = spark.createDataFrame(bounds, "part int, a long, b long").select("part", F.explode(F.sequence("a", "b")).alias("idx"))
-        if self.n <= BROADCAST_ROWS:
-            table = F.broadcast(table)
-        found = self.rows.join(table, "idx").groupBy("part").agg(*(F.sum(k).alias(k) for k in self.sums))
-        for r in found.collect():
-            out[r.part] = {k: r[k] or 0 for k in self.sums}
-        return out
-
-    def verdicts(self, kind: str, sets: list[Ranges], values: list[dict[str, float]]) -> list[bool]:
-        """Whether the property holds, by set; each set is decided once."""
-        for s, v in zip(sets, values, strict=True):
-            if s not in self.memo:
-                self.memo[s] = bool(self.holds(v))
-                self.log.append({"kind": kind, "retained": size(s), "outcome": self.memo[s]})
-        return [self.memo[s] for s in sets]
+def key(ranges: Ranges) -> int:
+    """A number of 128 bits for a set, however it is cut into ranges: that of a set less a subset is the difference."""
+    return sum(_mark(b) - _mark(a) for a, b in ranges) % (1 << 128)
+
+
+def rows_of(items: DataFrame, ranges: Ranges) -> DataFrame:
+    """The ``items`` of the ranges."""
+    if not ranges:
+        return items.limit(0)
+    inside = items.where(F.col("idx").between(ranges[0][0], ranges[-1][1] - 1))
+    if len(ranges) == 1:
+        return inside
+    bounds = items.sparkSession.createDataFrame([(a, b - 1) for a, b in ranges], "a long, b long")
+    return inside.join(bounds.select(F.explode(F.sequence("a", "b")).alias("idx")), "idx", "left_semi")
+
+
+class Decided:
+    """What the kinds of properties share: each set is decided once; ``log`` has an entry for each decision."""
+
+    def __init__(self, n: int):
+        self.n, self.log, self.memo = n, [], {}
 
     def require(self) -> Ranges:
         """All items as ranges, if the property holds for them."""
-        if not self.holds(self.total):
+        everything = ((0, self.n),) if self.n else ()
+        if self.first("baseline", everything, [everything], complement=False) is None:
             raise NoFailure("the property does not hold for all items")
-        return ((0, self.n),) if self.n else ()
+        return everything
+
+    def first(self, kind: str, now: Ranges, parts: list[Ranges], complement: bool) -> int | None:
+        """The first of ``parts`` that has the property alone, or with ``complement`` without which ``now`` has it."""
+        whole, total = key(now), size(now)
+        for i, part in enumerate(parts):
+            name = (whole - key(part)) % (1 << 128) if complement else key(part)
+            if name not in self.memo:
+                outcome = self._outcome(now, parts, i, complement)
+                self.memo[name] = outcome == SAME
+                self.log.append({"kind": kind, "retained": total - size(part) if complement else size(part), "outcome": self.memo[name], "verdict": outcome})
+            if self.memo[name]:
+                return i
+        return None
+
+    def _outcome(self, now: Ranges, parts: list[Ranges], i: int, complement: bool) -> str:
+        raise NotImplementedError
+
+
+class Property(Decided):
+    """``holds`` decides from sums of ``sums`` (columns of ``items``) whether a subset still has the property."""
+
+    def __init__(self, items: DataFrame, sums: dict[str, Column], holds: Callable[[dict[str, float]], bool]):
+        self.sums, self.holds = list(sums), holds
+        self.rows = keep(items.select("idx", *(c.alias(k) for k, c in sums.items())))
+        found = self.rows.agg(F.count("*").alias("__n"), *(F.sum(k).alias(k) for k in self.sums)).first().asDict()
+        super().__init__(found.pop("__n"))
+        self.total = {k: v or 0 for k, v in found.items()}
+        self.known = {key(((0, self.n),) if self.n else ()): self.total}
+        self.pass_of, self.values, self.near = None, [], None
+
+    def measure(self, parts: list[Ranges], now: Ranges) -> list[dict[str, float]]:
+        """Sums of each part of ``now``, from one job, or from what is on the driver. The parts must not overlap."""
+        bounds = sorted((a, b, i) for i, part in enumerate(parts) for a, b in part)
+        if not bounds or not self.sums:
+            return [dict.fromkeys(self.sums, 0) for _ in parts]
+        starts, ends = np.array([x[0] for x in bounds]), np.array([x[1] for x in bounds])
+        owner, out = np.array([x[2] for x in bounds]), {k: [0] * len(parts) for k in self.sums}
+        if self.near is None and size(now) <= LOCAL:
+            # at most LOCAL rows; later sets are parts of this one
+            found = rows_of(self.rows, now).orderBy("idx").toArrow().to_pydict()
+            self.near = np.array(found["idx"], dtype=np.int64), {k: [0, *accumulate(x or 0 for x in found[k])] for k in self.sums}
+        if self.near is not None:
+            idx, before = self.near
+            low, high = np.searchsorted(idx, starts), np.searchsorted(idx, ends)
+            for k in self.sums:
+                for i, a, b in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True):
+                    out[k][i] += before[k][b] - before[k][a]
+        else:
+            for r in self._sums_of(starts, ends, owner).collect():
+                for k in self.sums:
+                    out[k][r.part] += r[k] or 0
+        return [{k: out[k][i] for k in self.sums} for i in range(len(parts))]
+
+    def _sums_of(self, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> DataFrame:
+        """(part, sums): rows find their range in the sorted bounds, and are summed where they are."""
+        kinds = [f.dataType.simpleString() for f in self.rows.schema if f.name in self.sums]
+        inside = self.rows.where(F.col("idx").between(int(starts[0]), int(ends[-1]) - 1))
+
+        def task(batches):
+            for batch in batches:
+                idx = batch.columns[0].to_numpy()
+                at = np.searchsorted(starts, idx, "right") - 1
+                hit = (at >= 0) & (idx < ends[at])
+                part = pa.array(owner[at[hit]], pa.int64())
+                yield pa.RecordBatch.from_arrays([part, *(c.filter(pa.array(hit)) for c in batch.columns[1:])], names=["part", *batch.schema.names[1:]])
+
+        found = inside.mapInArrow(task, "part long, " + ", ".join(f"`{k}` {kind}" for k, kind in zip(self.sums, kinds, strict=True)))
+        return found.groupBy("part").agg(*(F.sum(k).alias(k) for k in self.sums))
+
+    def _outcome(self, now: Ranges, parts: list[Ranges], i: int, complement: bool) -> str:
+        if self.pass_of is not parts:
+            self.pass_of = parts
+            self.values = [self.known[key(now)]] if parts == [now] and key(now) in self.known else self.measure(parts, now)
+            if key(now) not in self.known:
+                covered = sum(map(size, parts)) == size(now)
+                self.known[key(now)] = {k: sum(v[k] for v in self.values) for k in self.sums} if covered else self.measure([now], now)[0]
+        value, whole = self.values[i], self.known[key(now)]
+        if complement:
+            value = {k: whole[k] - value[k] for k in self.sums}
+        if self.holds(value):
+            # what a search goes on with
+            self.known[(key(now) - key(parts[i])) % (1 << 128) if complement else key(parts[i])] = value
+            return SAME
+        return NONE
+
+
+class Tested(Decided):
+    """``test`` decides from the DataFrames of retained and deleted ``items``: a bool, or one of SAME, NONE and OTHER."""
+
+    def __init__(self, items: DataFrame, test: Callable[[DataFrame, DataFrame], bool | str]):
+        self.items, self.test = keep(items), test
+        super().__init__(self.items.count())
+
+    def _outcome(self, now: Ranges, parts: list[Ranges], i: int, complement: bool) -> str:
+        retained = without(now, parts[i]) if complement else parts[i]
+        deleted = without(((0, self.n),) if self.n else (), retained)
+        found = self.test(rows_of(self.items, retained), rows_of(self.items, deleted))
+        return found if isinstance(found, str) else SAME if found else NONE
+
+
+def same_failure(items: DataFrame, run: Callable[[DataFrame], object], similar: Callable[[object, object], bool]) -> Tested:
+    """The property "fails like the whole does". ``run`` returns a failure, or None where it succeeds.
+
+    The failure of all items is taken first and is the baseline; without one there is nothing to look for. A success is
+    NONE, a failure that isn't ``similar`` to the baseline OTHER.
+    """
+    baseline = run(items)
+    if baseline is None:
+        raise NoFailure("there is no failure to begin with")
+
+    def test(retained: DataFrame, deleted: DataFrame) -> str:
+        found = run(retained)
+        return NONE if found is None else SAME if similar(baseline, found) else OTHER
+
+    out = Tested(items, test)
+    out.baseline = baseline
+    return out
 
 
-def ddmin(test: Property, zero: bool = False) -> Ranges:
+def emptied(test: Decided, now: Ranges) -> Ranges:
+    """``now``, or nothing if it is one item and the property holds without it, too."""
+    return () if size(now) == 1 and test.first("empty", now, [now], complement=True) == 0 else now
+
+
+def ddmin(test: Decided, zero: bool = False) -> Ranges:
     """A 1-minimal subset: taking out any one item, or any chunk tried, loses the property.
 
     Begins with two chunks. A chunk that has the property alone is taken, again with two chunks; else a chunk
@@ -144,24 +279,16 @@ def ddmin(test: Property, zero: bool = False) -> Ranges:
     while size(now) > 1:
         n = min(n, size(now))
         parts = chunks(now, n)
-        values = test.measure(parts)
-        whole = {k: sum(v[k] for v in values) for k in test.sums}
-        alone = test.verdicts("chunk", parts, values)
-        if True in alone:
-            now, n = parts[alone.index(True)], 2
+        if (at := test.first("chunk", now, parts, complement=False)) is not None:
+            now, n = parts[at], 2
+            continue
+        if n > 2 and (at := test.first("complement", now, parts, complement=True)) is not None:
+            now, n = without(now, parts[at]), n - 1
             continue
-        if n > 2:
-            rest = [without(now, p) for p in parts]
-            kept = test.verdicts("complement", rest, [{k: whole[k] - v[k] for k in whole} for v in values])
-            if True in kept:
-                now, n = rest[kept.index(True)], n - 1
-                continue
         if n == size(now):
             break
         n *= 2
-    if zero and size(now) == 1 and test.verdicts("empty", [()], [dict.fromkeys(test.sums, 0)])[0]:
-        return ()
-    return now
+    return emptied(test, now) if zero else now
 
 
 def initial_probability(n: int) -> float:
@@ -169,38 +296,76 @@ def initial_probability(n: int) -> float:
     return min(2 / n if n > 0 else 1.0, 2 / 3)
 
 
-def pdd(test: Property, important: Ranges | None = None) -> Ranges:
+#: Items of one probability, in order.
+Alike = tuple[float, list[tuple[int, int]]]
+
+
+def _ordered(groups: list[Alike]) -> list[Alike]:
+    """By descending probability, ties as they come; neighbours of one probability as one."""
+    out: list[Alike] = []
+    for p, runs in sorted(groups, key=lambda g: -g[0]):
+        if out and out[-1][0] == p:
+            out[-1] = (p, [*out[-1][1], *runs])
+        else:
+            out.append((p, runs))
+    return out
+
+
+def _split(runs: list[tuple[int, int]], n: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """All but the last ``n`` items, and these."""
+    left, out = list(runs), []
+    while n:
+        a, b = left.pop()
+        take = min(n, b - a)
+        out.insert(0, (b - take, b))
+        if take < b - a:
+            left.append((a, b - take))
+        n -= take
+    return left, out
+
+
+def pdd(test: Decided, important: Ranges | None = None, zero: bool = False) -> Ranges:
     """Probabilistic delta debugging: the least likely items are left out together, as many as gain most.
 
     Each item has a probability of being essential. Items are in descending order of it, ties by index; the suffix
-    to leave out grows while size x probability that none of it is essential doesn't fall. If the property holds
-    without it, it goes; if not, its items become likelier. ``important`` items begin with a probability of their
-    own. The driver holds a number for each item.
+    to leave out grows while size x probability that none of it is essential doesn't fall, and leaves one item at
+    least. If the property holds without it, it goes; if not, its items become likelier. ``important`` items begin with
+    a probability of their own. The driver holds ranges of items of one probability. ``zero`` as for ddmin.
     """
-    test.require()
-    hinted = {i for a, b in important or () for i in range(a, b)}
-    common, likely = initial_probability(test.n), initial_probability(len(hinted))
-    p = {i: likely if i in hinted else common for i in range(test.n)}
-    order = sorted(p, key=lambda i: -p[i])
-    while len(order) > 1 and min(p[i] for i in order) < 1:
-        gain, chance, n = 0.0, 1.0, 0
-        while n < len(order):
-            chance *= 1 - p[order[len(order) - 1 - n]]
-            if (n + 1) * chance < gain:
+    everything = test.require()
+    hinted = important or ()
+    groups: list[Alike] = []
+    for ranges in (hinted, without(everything, hinted)):
+        if ranges:
+            groups.append((initial_probability(size(hinted) if ranges is hinted else test.n), list(ranges)))
+    groups, now = _ordered(groups), everything
+    while size(now) > 1 and groups[-1][0] < 1:
+        left, out, chance, n = list(groups), [], 1.0, 0
+        while left:
+            p, runs = left[-1]
+            # one more pays as long as (n + 1) x (1 - p) >= n
+            most = size(runs) if p <= 0 else int((1 - p) / p) + 1 - n
+            take = min(size(runs), most, size(now) - 1 - n)
+            if take <= 0:
+                break
+            rest, gone = _split(runs, take)
+            out.insert(0, (p, gone))
+            chance, n = chance * (1 - p) ** take, n + take
+            left = left[:-1] + ([(p, rest)] if rest else [])
+            if rest:
                 break
-            gain, n = (n + 1) * chance, n + 1
-        out, rest = order[len(order) - n :], order[: len(order) - n]
-        left = merged(sorted(rest))
-        if left not in test.memo:
-            test.verdicts("suffix", [left], test.measure([left]))
-        if test.memo[left]:
-            order = rest
+        if not out:
+            # nothing pays, so the least likely item is asked for alone
+            p, runs = left[-1]
+            rest, gone = _split(runs, 1)
+            out, chance, left = [(p, gone)], 1 - p, left[:-1] + ([(p, rest)] if rest else [])
+        gone = joined(sorted(r for _, runs in out for r in runs))
+        if test.first("suffix", now, [gone], complement=True) == 0:
+            groups, now = left, without(now, gone)
             continue
-        none = math.prod(1 - p[i] for i in out)
-        for i in out:
-            p[i] = min(1.0, p[i] / (1 - none)) if none < 1 else 1.0
-        order = sorted(order, key=lambda i: -p[i])
-    return merged(sorted(order))
+        likelier = [(min(1.0, p / (1 - chance)) if chance < 1 else 1.0, runs) for p, runs in out]
+        groups = _ordered([*left, *likelier])
+    return emptied(test, now) if zero else now
 
 
 def retained(items: DataFrame, ranges: Ranges) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pareframe.operators import reduction, search
+from pareframe.operators import paths, reduction, search, stages
+from pareframe.plans.trees import _TREE
 from pareframe.sources.tables import keep, table
 
 TOP = 3
@@ -94,6 +95,79 @@ def graphdd_fk(spark: SparkSession, d: str) -> DataFrame:
     return reduction.graph_reduction(keep(vertices), keep(edges), keep(targets)).where("retained").select("id")
 
 
+def _ends(rows: DataFrame, value: str, key: str):
+    """The least and the greatest row by value, or None of an empty table: no sum says whether they are there."""
+    at = F.struct(value, key)
+    found = rows.agg(F.min(at).alias("least"), F.max(at).alias("most")).first()
+    return None if found.least is None else (tuple(found.least), tuple(found.most))
+
+
+def _same(a, b) -> bool:
+    return a == b
+
+
+def ddmin_same_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers without which the least or the greatest balance would be another. Every test runs a query."""
+    items = search.numbered(table(spark, d, "supplier").select(F.col("s_suppkey").alias("item_id"), "s_acctbal"), "item_id")
+    test = search.same_failure(keep(items), lambda rows: _ends(rows, "s_acctbal", "item_id"), _same)
+    return _answer(items.select("idx", "item_id"), search.ddmin(test))
+
+
+def hdd_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Domains, hosts and so on down to the pages with the shortest and the longest text, from generated levels."""
+    pages = table(spark, d, "pages").select("page_id", paths.url_parts(F.col("url")).alias("parts"), F.char_length("html").alias("size"))
+    pages = keep(paths.prefixes(pages).select("page_id", "size", "prefix", "parent", "depth"))
+    tree = keep(pages.select(F.col("prefix").alias("id"), "parent", "depth").distinct())
+    depth = 0
+
+    def following(kept: DataFrame | None):
+        nonlocal depth
+        depth += 1
+        level = tree.where(F.col("depth") == depth)
+        if kept is not None:
+            level = level.join(kept.select(F.col("id").alias("parent")), "parent", "left_semi")
+        return str(depth), level.select("id")
+
+    def tester(name: str, items: DataFrame) -> search.Tested:
+        own = keep(pages.where(F.col("depth") == int(name)).select("page_id", "size", F.col("prefix").alias("id")))
+        return search.same_failure(items, lambda rows: _ends(own.join(rows.select("id"), "id", "left_semi"), "size", "page_id"), _same)
+
+    return reduction.hierarchical(following, tester=tester).select(F.col("level").cast("int").alias("depth"), F.col("id").alias("prefix"))
+
+
+def graphdd_condensed(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and suppliers, who trade with each other in cycles, and what they need: kept are the nations of the
+    poorest and the richest customer of each side, and what is in one cycle with them."""
+    vertices, edges = fk_graph(spark, d)
+    # nations of a region need each other, so that regions are cycles
+    nation = F.concat(F.lit("n:"), F.col("n_nationkey").cast("string"))
+    back = table(spark, d, "nation").select(F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("src"), nation.alias("dst"))
+    small = vertices.where("id NOT LIKE 'o:%' AND id NOT LIKE 'c:%'")
+    links = edges.where("kind IN ('s-n', 'n-r')").select("src", "dst").union(back)
+    balances = keep(table(spark, d, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), "s_acctbal"))
+    whole = _ends(balances, "s_acctbal", "id")
+    holds = lambda left: _ends(balances.join(left, "id", "left_semi"), "s_acctbal", "id") == whole
+    return reduction.graph_reduction_condensed(keep(small), keep(links), holds=holds).where("retained").select("id")
+
+
+def benchmark_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as projects of a manifest: of those without an A at the end, the nations that hold the largest balance of
+    their customers; reduced one by one, and reported."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("name"))
+    nations = keep(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "name"))
+    best = keep(table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.max("c_acctbal").alias("best")))
+    data = keep(nations.join(best, "n_nationkey"))
+
+    def largest(rows: DataFrame, settings: stages.Settings) -> DataFrame:
+        items = search.numbered(rows, "n_nationkey")
+        test = search.same_failure(items, lambda x: x.agg(F.max("best")).first()[0], settings.similar)
+        return search.retained(items, settings.find(test)).where("retained").drop("idx", "retained")
+
+    pipeline = stages.Pipeline({"largest": largest})
+    return stages.benchmark(region, lambda p: p.where("name NOT LIKE '%A'"), lambda name: data.where(F.col("name") == name), pipeline, stages.Settings(stages=("largest",)))
+
+
 _TARGETS = f"(SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT {TOP})"
 _ITEMS = f"SELECT DISTINCT o_custkey AS item_id, o_custkey IN {_TARGETS} AS retained FROM orders"
 _GEO = f"SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT {TOP}"
@@ -103,6 +177,27 @@ QUERIES = {
     "pdd_topk_orders": (pdd_topk_orders, _ITEMS),
     "pdd_hints": (pdd_hints, _ITEMS),
     "zero_test": (zero_test, "SELECT DISTINCT o_custkey AS item_id, false AS retained FROM orders"),
+    "ddmin_same_ends": (
+        ddmin_same_ends,
+        """SELECT s_suppkey AS item_id, s_suppkey IN ((SELECT s_suppkey FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 1), (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey DESC LIMIT 1)) AS retained
+        FROM supplier""",
+    ),
+    "hdd_pages": (
+        hdd_pages,
+        f"""WITH {_TREE}, e AS ((SELECT page_id FROM pages ORDER BY length(html), page_id LIMIT 1) UNION (SELECT page_id FROM pages ORDER BY length(html) DESC, page_id DESC LIMIT 1))
+        SELECT DISTINCT depth, prefix FROM pre WHERE page_id IN (SELECT page_id FROM e)""",
+    ),
+    "graphdd_condensed": (
+        graphdd_condensed,
+        """WITH e AS ((SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_acctbal, 's:' || s_suppkey LIMIT 1) UNION (SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_acctbal DESC, 's:' || s_suppkey DESC LIMIT 1)),
+        r AS (SELECT DISTINCT n_regionkey FROM e JOIN nation ON n_nationkey = s_nationkey)
+        SELECT 's:' || s_suppkey AS id FROM e UNION SELECT 'r:' || n_regionkey FROM r UNION SELECT 'n:' || n_nationkey FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM r)""",
+    ),
+    "benchmark_regions": (
+        benchmark_regions,
+        """SELECT r_name AS name, count(DISTINCT n_nationkey) AS before, CAST(1 AS BIGINT) AS after, 1.0 / count(DISTINCT n_nationkey) AS ratio
+        FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name NOT LIKE '%A' GROUP BY r_name""",
+    ),
     "hdd_geo": (
         hdd_geo,
         f"""WITH t AS ({_GEO})

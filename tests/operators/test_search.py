@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pareframe.operators import reduction, search
+from pareframe.operators import graph, reduction, search
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,105 @@ def test_hierarchy(spark):
     leaves = spark.createDataFrame([(10, 1, 0), (11, 1, 1), (12, 2, 0)], "id long, parent long, wanted int")
     found = {tuple(r) for r in reduction.hierarchical([("top", tops), ("leaf", leaves)]).collect()}
     assert found == {("top", 1), ("leaf", 11)}
+
+
+@pytest.mark.parametrize("n", [2, 4, 8, 16, 64])
+def test_pdd_keeps_one_item(spark, n):
+    always = search.Property(universe(spark, n, set()), {"n": F.lit(1)}, lambda s: True)
+    assert search.size(search.pdd(always)) == 1
+    assert all(x["retained"] > 0 for x in always.log)
+    assert search.pdd(search.Property(universe(spark, n, set()), {"n": F.lit(1)}, lambda s: True), zero=True) == ()
+    assert members(search.pdd(reduction.contains_all(universe(spark, n, {0}), "wanted"))) == {0}
+
+
+@pytest.mark.parametrize("find", [search.ddmin, search.pdd])
+@pytest.mark.parametrize("local", [0, 4096])
+def test_sums_far_and_near(spark, monkeypatch, find, local):
+    monkeypatch.setattr(search, "LOCAL", local)
+    targets = {5, 17, 40}
+    assert members(find(reduction.contains_all(universe(spark, 64, targets), "wanted"))) == targets
+
+
+@pytest.mark.parametrize("find", [search.ddmin, search.pdd])
+def test_property_that_is_no_sum(spark, find):
+    """The smallest product of two retained items' numbers must stay: no sum of items tells."""
+    items = spark.createDataFrame([(i, v) for i, v in enumerate([9, 4, 7, 3, 8, 6, 5, 2])], "idx long, v long")
+    ends = lambda rows: tuple(rows.agg(F.min("v"), F.max("v")).first())
+    seen = []
+
+    def test(retained, deleted):
+        assert retained.count() + deleted.count() == 8
+        seen.append(retained.count())
+        return ends(retained) == (2, 9)
+
+    assert members(find(search.Tested(items, test))) == {0, 7}
+    assert seen
+
+
+def test_same_failure(spark):
+    """Outcomes are told apart, and another failure isn't the one that is looked for."""
+    items = spark.range(12).select(F.col("id").alias("idx"), F.col("id").alias("v"))
+
+    def run(rows):
+        values = {r.v for r in rows.collect()}
+        return "deep" if {3, 8} <= values else "shallow" if 3 in values else None
+
+    test = search.same_failure(items, run, lambda a, b: a == b)
+    assert test.baseline == "deep"
+    assert members(search.ddmin(test)) == {3, 8}
+    assert {x["verdict"] for x in test.log} == {search.SAME, search.NONE, search.OTHER}
+    with pytest.raises(search.NoFailure):
+        search.same_failure(items.where("v > 3"), run, lambda a, b: True)
+
+
+def test_sets_have_keys_of_their_own():
+    a, b = ((0, 4), (6, 9)), ((2, 4), (6, 7))
+    assert (search.key(a) - search.key(b)) % (1 << 128) == search.key(search.without(a, b))
+    assert search.key(((0, 2), (2, 5))) == search.key(((0, 5),))
+    assert search.key(()) == 0 != search.key(((0, 1),))
+
+
+def test_generated_levels(spark):
+    tree = spark.createDataFrame([(1, None, 1), (2, None, 1), (10, 1, 2), (11, 1, 2), (12, 2, 2)], "id long, parent long, depth int")
+    asked = []
+
+    def following(kept):
+        asked.append(None if kept is None else sorted(r.id for r in kept.collect()))
+        level = tree.where(F.col("depth") == len(asked))
+        return (f"level {len(asked)}", level if kept is None else level.join(kept.withColumnRenamed("id", "parent"), "parent", "left_semi"))
+
+    tester = lambda name, items: search.Tested(items, lambda kept, out: kept.where("id IN (1, 11)").count() == 1)
+    found = {tuple(r) for r in reduction.hierarchical(following, tester=tester).collect()}
+    assert found == {("level 1", 1), ("level 2", 11)} and asked == [None, [1], [11]]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_graph_reduction_of_any_property(spark, seed):
+    """Both ways of deciding give the closure of the targets, by layers and over condensed graphs."""
+    rnd = random.Random(seed)
+    n = 14 if seed else 6
+    edges = {(i, rnd.randrange(i)) for i in range(1, n) for _ in range(2)}
+    targets = set(rnd.sample(range(n), 2))
+    vertices, links = spark.range(n), spark.createDataFrame(sorted(edges), "src long, dst long")
+    wanted, todo = set(), list(targets)
+    while todo:
+        v = todo.pop()
+        if v not in wanted:
+            wanted.add(v)
+            todo += [b for a, b in edges if a == v]
+    kept = lambda df: {r.id for r in df.where("retained").collect()}
+    goals = spark.createDataFrame([(t,) for t in targets], "id long")
+    holds = lambda left: goals.join(left, "id", "left_anti").isEmpty()
+    assert kept(reduction.graph_reduction(vertices, links, goals)) == wanted
+    if seed == 0:
+        assert kept(reduction.graph_reduction(vertices, links, holds=holds)) == wanted
+        cyclic = links.union(spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"))
+        both = wanted | ({0, 1} if wanted & {0, 1} else set())
+        assert kept(reduction.graph_reduction_condensed(vertices, cyclic, holds=holds)) == both == kept(reduction.graph_reduction_condensed(vertices, cyclic, goals))
+
+
+def test_long_paths(spark):
+    edges = spark.range(1, 12).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    assert graph.reach(spark.createDataFrame([(0, 0)], "root long, id long"), edges).count() == 12
+    layers = {r.id: r.layer for r in graph.layer_numbers(spark.range(12), edges).collect()}
+    assert layers == {i: 11 - i for i in range(12)}
