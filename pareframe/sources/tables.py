@@ -50,3 +50,9 @@ def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
             spark.conf.unset(CLEAN)
         else:
             spark.conf.set(CLEAN, before)
+
+
+def discard(spark: SparkSession, place: str) -> None:
+    """Deletes a folder that Spark has written, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
