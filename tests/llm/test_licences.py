@@ -46,3 +46,11 @@ def test_table_of_the_caller(spark):
     own = spark.createDataFrame([("Beer", "text", "Buy me a beer."), ("Beer", "notice", "Under the beerware terms")], "licence string, kind string, text string")
     rows = [(1, "buy me a BEER"), (2, "x\nunder the beerware terms.\ny"), (3, "Licensed under the MIT License."), (4, None), (5, "")]
     assert found(make_documents(spark, rows), own) == {(1, "Beer", "text", 1), (2, "Beer", "notice", 1)}
+
+
+def test_folder_of_texts(spark, tmp_path):
+    long = "\n\n".join(f"Clause {i}. You may organise and practise this freely." for i in range(300))
+    (tmp_path / "Long-1.0.txt").write_text(f"The Long Licence\n\n{long}\n")
+    (tmp_path / "Short").write_text("Be kind.")
+    rows = [(1, f"THE LONG LICENSE\n(c) 2020 Somebody\n{long.replace('organise', 'organize')}"), (2, "be kind"), (3, long), (4, None)]
+    assert found(make_documents(spark, rows), licences.licences_in(spark, str(tmp_path))) == {(1, "Long-1.0", "text", 1), (2, "Short", "text", 1)}

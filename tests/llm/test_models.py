@@ -1,9 +1,14 @@
 """Fitted operators: held-out accuracy, and odd tables."""
 
+import math
 import random
+import re
+import time
 from collections import Counter
 
-from helpers import SCHEMA, collect
+import numpy as np
+import pytest
+from helpers import SCHEMA, collect, make_documents
 from pareframe.llm import language, toxicity
 from pareframe.sources.tables import table
 from pyspark.sql import functions as F
@@ -40,6 +45,8 @@ def test_toxicity_of_odd_tables(spark, documents, rows, empty):
         model = toxicity.train(documents, none)
         assert not any(r["toxic"] or r["severity"] for r in collect(toxicity.score(documents, model)))
     assert toxicity.without_toxic(empty, labels).collect() == []
+    # no feature: the label's share alone makes nothing toxic
+    assert toxicity.without_toxic(documents, labels.where("doc_id < 30")).count() == len(rows)
     assert toxicity.without_toxic(documents, labels).columns == documents.columns
 
 
@@ -72,3 +79,86 @@ def test_language_of_odd_tables(spark, documents, rows, empty):
     found = collect(language.identify(documents, pages))
     assert Counter(r["doc_id"] for r in found) == Counter(d for d, _ in rows)
     assert len(collect(language.identify(documents.withColumn("lang", F.lit(None).cast("string")), pages))) == len(rows)
+
+
+def test_severity_is_that_of_the_weights(spark):
+    """Against the formula over all features of all texts, tokenised by another way."""
+    rnd = random.Random(5)
+    bad, good = ["vile", "wretched", "scumbag"], [f"word{i}" for i in range(60)]
+    word = lambda toxic: rnd.choice(bad) if toxic and rnd.random() < 0.4 else rnd.choice(good)
+    rows = [(i, " ".join(word(i % 2) + rnd.choice(["", ".", "!\n", ","]) for _ in range(40))) for i in range(120)]
+    documents = make_documents(spark, [*rows, (500, None), (501, "VILE wretchedly é"), (502, "vile " * 30000)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], LABELS)
+    model = toxicity.train(documents, labels)
+    assert set(bad) <= set(model.weights) and model.thresholds == sorted(model.thresholds)
+    texts = dict(rows) | {500: "", 501: "VILE wretchedly é", 502: "vile " * 30000}
+    for r in collect(toxicity.score(documents, model)):
+        tokens = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]]))
+        score = sum(w * math.log1p(sum(t == k if not k.endswith("*") else len(t) >= len(k) - 1 and t.startswith(k[:-1]) for t in tokens)) for k, w in model.weights.items())
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(above), abs=2e-6)
+        assert (r["grade"], r["toxic"]) == (sum(p >= 0.5 for p in above), score > 0 and above[0] >= toxicity.REJECT)
+
+
+def test_share_of_toxic_sentences():
+    assert toxicity.toxic_share("Bad a. good!\n\nbad? ...", lambda x: "bad" in x.lower()) == 2 / 3
+    assert toxicity.toxic_share(" . ", lambda x: True) == 0
+
+
+@pytest.mark.parametrize("unit", ["<", "<script>", "<!--", "</script ", "<script></script ", "&a", "<html "])
+def test_markup_in_linear_time(unit):
+    began = time.perf_counter()
+    language.visible(unit * (10_000_000 // len(unit)))
+    assert time.perf_counter() - began < 8
+
+
+def test_visible_text():
+    html = "<HTML lang=en><!-- no > no --><p class='x'>One&nbsp;two</p><script>if (a<b) no</script ><style>no</STYLE>three<scripts>four <!-- five > six < seven"
+    assert language.visible(html).split() == b"one two three four six  seven".split()
+
+
+def test_pages_full_of_open_tags(spark):
+    pages = [(1, "https://a.bb", "<html " * 300_000), (2, None, "<" * 3_000_000 + "zig zag zog zig zag")]
+    documents = spark.createDataFrame([(i, "zig zag zog " * 5, "aa", "s", 1) for i in range(10)] + [(20 + i, "mimo lalu " * 5, "bb", "s", 1) for i in range(10)], SCHEMA)
+    found = {r["page_id"]: r["lang"] for r in collect(language.identify(documents, spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert found[2] == "aa"
+
+
+def test_many_languages(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = [["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for _ in range(70)]
+    rows = [(i, " ".join(rnd.choice(words[i % 70]) for _ in range(20)), f"l{i % 70:02}", "s", 1) for i in range(280)]
+    documents = spark.createDataFrame(rows, SCHEMA)
+    found = collect(language.identify(documents, spark.createDataFrame([], "page_id long, url string, html string")))
+    assert {r["doc_id"]: r["lang"] for r in found} == {r[0]: r[2] for r in rows}
+    monkeypatch.setattr(language, "LANGUAGES", 69)
+    with pytest.raises(ValueError, match="69"):
+        language.train_text(documents)
+
+
+def test_fusion_against_brute_force(spark):
+    rnd = random.Random(9)
+    n, smooth = 3, language.SMOOTH
+    rows = []
+    for i in range(60):
+        domain, ll = rnd.choice(["a.x", "b.y", ""]), [round(-5 * rnd.random(), 3) for _ in range(n)]
+        rows.append((i, f"h{rnd.randrange(3)}.{domain}", domain, rnd.choice(["x", "y", ""]), rnd.choice(["", "p", "q"]), ll, language._soft(ll)))
+    names = "key host domain suffix declared ll soft".split()
+    given = spark.createDataFrame(rows, "key long, host string, domain string, suffix string, declared string, ll array<double>, soft array<double>")
+    found = {r["key"]: r for r in collect(language.fuse(given, ["aa", "bb", "cc"]))}
+    rows = [dict(zip(names, r, strict=True)) for r in rows]
+    for r in rows:
+        rest = [x for x in rows if x is not r]
+        share = lambda some, prior: (sum((np.array(x["soft"]) for x in some), np.zeros(n)) + smooth * prior) / (len(some) + smooth)
+        prior = share(rest, np.full(n, 1 / n))
+        prior = share([x for x in rest if x["domain"] == r["domain"]], prior)
+        prior = share([x for x in rest if (x["domain"], x["host"]) == (r["domain"], r["host"])], prior)
+        total = np.array(r["ll"]) + np.log(prior)
+        everything = sum(np.array(x["soft"]) for x in rest)
+        for name in ("declared", "suffix"):
+            if r[name]:
+                same = sum((np.array(x["soft"]) for x in rest if x[name] == r[name]), np.zeros(n))
+                total += np.log((same + 0.5) / (everything + 0.5 * smooth))
+        share = np.exp(total - total.max())
+        assert found[r["key"]]["lang"] == ["aa", "bb", "cc"][int(total.argmax())]
+        assert found[r["key"]]["posterior"] == pytest.approx(float(share.max() / share.sum()), abs=2e-4)
