@@ -7,8 +7,9 @@ separator, and to close. A formatted conversation is the concatenation of segmen
     <|im_start|>role\\n text [<|im_sep|> text ...] <|im_end|>\\n
 
 Texts and roles are escaped, reversibly: a backslash is doubled and ``<|`` gets one between; in roles a line feed
-is written as backslash and n. So no text can hold a control string. ``segments`` carries the loss mask: what
-assistants say, and nothing between.
+is written as backslash and n. So no text can hold a control string, and the loss mask can be read off the output:
+it covers what stands between the header of an assistant and the end of the turn, but for separators. ``segments``
+carries the same mask with the pieces.
 """
 
 from __future__ import annotations
@@ -69,12 +70,21 @@ def read_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def loss_texts(formatted: Column) -> Column:
+    """The texts under the loss mask of a formatted conversation, in order, unescaped."""
+    turns = F.regexp_extract_all(formatted, F.lit(r"(?s)<\|im_start\|>" + LEARNED + r"\n(.*?)<\|im_end\|>\n"), F.lit(1))
+    return F.transform(F.flatten(F.transform(turns, lambda t: F.split(t, r"<\|im_sep\|>", -1))), unescape)
+
+
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """Read back from the formatted output: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    read = format_chat(conversations).withColumn("read", read_chat(F.col("formatted")))
+    """Read back from the formatted output alone: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    Nulls, repeated rows, ties and other columns as in ``format_chat``.
+    """
+    written = format_chat(conversations).select("conv_id", "formatted")
+    read = written.withColumns({"read": read_chat(F.col("formatted")), "loss_text": F.array_join(loss_texts(F.col("formatted")), "")})
     said = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["piece"])), "")
-    return read.withColumn("loss_text", loss).select(
+    return read.select(
         "conv_id",
         F.size("read").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
