@@ -4,17 +4,19 @@ Severity has the grades 0 to GRADES - 1, and P(grade <= k) = sigmoid(theta_k - w
 thresholds, which stay in order. The expected severity is the sum over k of P(grade > k).
 
 Features are words (A-Z lower-cased; letters, digits and anything beyond ASCII) and their beginnings of PREFIXES
-characters. Labels say only whether a document is toxic. Grade 0 is "not toxic"; toxic documents are spread over
-the higher grades, in equal parts, by the sum of their features that speak for toxicity clearly.
+characters. Labels say only whether a document is toxic, so grades above 0 ("not toxic") come from how much of a toxic
+document is: its share of sentences with a feature that hardly any other document has, in equal parts. Which features
+these are is known from counts, not from the fit. Weights can't be negative: words speak for toxicity or have none.
 
 The model is fitted on at most FIT_ROWS labelled documents, those with the smallest hash of doc_id; features are
-counted there by a Spark aggregation, and those that speak for toxicity by LEAST_Z or more are sent to the driver with
-the rows.
+counted there by a Spark aggregation, and all those that speak for toxicity by LEAST_Z or more are sent to the driver
+with the rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pareframe.llm.decontaminate import WORD_BYTES
-from pareframe.llm.rows import map_texts
+from pareframe.llm.rows import add_columns, column, map_texts, named, numbered
 from pareframe.sources.tables import keep
 
 GRADES = 4
@@ -31,6 +33,7 @@ FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 #: Contexts, at least, that a feature must have, and the least signed root of its likelihood ratio.
 LEAST_ROWS, LEAST_Z = 3, 3.5
+SENTENCE = re.compile(r"[.!?\n]+")
 #: Probability of any severity from which a document is toxic. Most clean ones are under 0.05.
 REJECT = 0.3
 
@@ -58,6 +61,12 @@ def contexts(text: str | None) -> dict[str, int]:
     return out
 
 
+def toxic_share(text: str, speaks) -> float:
+    """The share of the sentences with words for which ``speaks`` holds."""
+    sentences = [x for x in SENTENCE.split(text) if split(x)]
+    return sum(map(speaks, sentences)) / max(1, len(sentences))
+
+
 class Ordinal:
     """Weights by feature, and thresholds in order."""
 
@@ -79,7 +88,10 @@ class Ordinal:
 
     def above(self, text: str | None) -> list[float]:
         """P(grade > k) for each k."""
-        score = sum(self.weights[k] * v for k, v in self.values(text).items())
+        return self.above_of(self.values(text))
+
+    def above_of(self, values: dict[str, float]) -> list[float]:
+        score = sum(self.weights[k] * v for k, v in values.items())
         return [1 / (1 + math.exp(min(700.0, max(-700.0, t - score)))) for t in self.thresholds]
 
 
@@ -168,51 +180,56 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
             out = []
             for r in batch:
                 found = chosen.value.values(r["text"])
-                out.append({"toxic": r["toxic"], "at": [place[k] for k in found], "value": list(found.values())})
+                share = toxic_share(r["text"], lambda x: any(k in clear for k in chosen.value.values(x))) if r["toxic"] else 0.0
+                out.append({"toxic": r["toxic"], "share": share, "at": [place[k] for k in found], "value": list(found.values())})
             return out
 
         return run
 
     # at most ``bound`` rows, with the features that they have of the strong ones
-    data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow().combine_chunks()
+    data = map_texts(sample, make_values, "toxic int, share double, at array<int>, value array<double>").toArrow().combine_chunks()
     is_toxic = data["toxic"].to_numpy() > 0
     lists, value = (data[name].combine_chunks() for name in ("at", "value"))
-    row = np.repeat(np.arange(len(data)), lists.value_lengths().to_numpy())
-    column, value = lists.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy()
-    amount = np.bincount(row, value * np.array([n in clear for n in names], dtype=float)[column], len(data))
-    cuts = np.quantile(amount[is_toxic], np.arange(1, grades - 1) / (grades - 1))
-    grade = np.where(is_toxic, 1 + np.searchsorted(cuts, amount), 0)
+    row = np.repeat(np.arange(len(data), dtype=np.int32), lists.value_lengths().to_numpy())
+    column, value = lists.flatten().to_numpy(), value.flatten().to_numpy()
+    share = data["share"].to_numpy()
+    cuts = np.quantile(share[is_toxic], np.arange(1, grades - 1) / (grades - 1))
+    grade = np.where(is_toxic, 1 + np.searchsorted(cuts, share), 0)
     return _descend(row, column, value, grade, names, grades)
 
 
-def score(documents: DataFrame, model: Ordinal) -> DataFrame:
-    """``documents`` with severity (expected grade), grade (the median one) and toxic (a grade over 0 has a
-    probability of REJECT or more).
-
-    Whole texts are read; null and empty ones have no features. Columns of these names are replaced; repeated rows
-    and null ids just stay.
-    """
-    documents = documents.drop("severity", "grade", "toxic")
+def _scored(documents: DataFrame, model: Ordinal) -> DataFrame:
+    """The documents with numbered columns (rows.numbered), severity, grade and toxic."""
     # bounded: weights of the strong features of FIT_ROWS documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def make():
         ordinal = shared.value
 
-        def run(rows: list[dict]) -> list[dict]:
-            for r in rows:
-                above = ordinal.above(r["text"])
-                grade = sum(p >= 0.5 for p in above)
-                r |= {"severity": round(sum(above), 6), "grade": grade, "toxic": above[0] >= REJECT}
-            return rows
+        def run(batch) -> list:
+            found = [ordinal.values(t) for t in batch["text"].to_pylist()]
+            above = [ordinal.above_of(x) for x in found]
+            toxic = [bool(x) and p[0] >= REJECT for x, p in zip(found, above, strict=True)]
+            return [[round(sum(p), 6) for p in above], [sum(q >= 0.5 for q in p) for p in above], toxic]
 
         return run
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return map_texts(documents, make, f"{kind}, severity double, grade int, toxic boolean")
+    return add_columns(numbered(documents), {"text": column(documents, "text")}, make, "severity double, grade int, toxic boolean")
+
+
+def score(documents: DataFrame, model: Ordinal) -> DataFrame:
+    """``documents`` with severity (expected grade), grade (the median one) and toxic (a grade over 0 has a
+    probability of REJECT or more, and the text has a feature that speaks for it).
+
+    Whole texts are read; null and empty ones have no features. Columns of these names are replaced, others may have
+    any names; repeated rows and null ids just stay.
+    """
+    return named(_scored(documents, model), documents.columns, ["severity", "grade", "toxic"])
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not toxic, with their columns."""
-    names = documents.columns
-    return score(documents, train(documents, labels)).where(~F.col("toxic")).select(*(F.col(f"`{n}`") for n in names))
+    """The documents that are not toxic, with their columns, those named as columns of ``score`` included.
+
+    Documents without a feature that speaks for toxicity stay, so those without words do, and all where no label is toxic. Repeated rows stay or go together.
+    """
+    return named(_scored(documents, train(documents, labels)).where(~F.col("toxic")), documents.columns)
