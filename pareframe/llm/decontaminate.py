@@ -5,22 +5,23 @@ windows of one length make one pattern set. Its block table gives, for each pair
 search may move on without missing a pattern; where the distance is zero, the suffix bucket of that pair lists the
 patterns that may end there, and a direct comparison of all words confirms them.
 
-The benchmark is read in blocks of at most ``BLOCK_ROWS`` items, each of which is searched in all documents; only
-one block of patterns is in memory. Every document is compared with every block, whatever their number.
+The benchmark is read in blocks of about ``BLOCK_ROWS`` items or ``BLOCK_BYTES`` of text, each of which is searched in
+all documents; only one block of patterns is in memory. Every document is compared with every block, whatever their
+number; of several blocks only what is found is kept and put together.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pareframe.llm.rows import map_texts
-from pareframe.sources.tables import keep
+from pareframe.llm.rows import add_columns, column, map_texts, named, numbered
 
 WINDOW = 10
-BLOCK_ROWS = 5000
+BLOCK_ROWS, BLOCK_BYTES = 5000, 8 << 20
 
 #: Bytes of UTF-8 text that are no word characters become spaces; A-Z become a-z. Bytes over 0x7F stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -88,83 +89,101 @@ def search(row: list[bytes], found_by: list[WuManber], owners: list[list[str]])
         for start, name in matcher.find(row):
             spans.append((start, start + matcher.length))
             items.update(owners[name])
-    merged: list[int] = []
+    return merged(spans), items
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[int]:
+    """Spans in order, those that touch as one, flattened."""
+    out: list[int] = []
     for start, end in sorted(spans):
-        if merged and start <= merged[-1]:
-            merged[-1] = max(merged[-1], end)
+        if out and start <= out[-1]:
+            out[-1] = max(out[-1], end)
         else:
-            merged += [start, end]
-    return merged, items
+            out += [start, end]
+    return out
 
 
 def _blocks(benchmark: DataFrame, rows: int) -> list[DataFrame]:
-    """The benchmark in blocks of about ``rows`` items."""
-    n = benchmark.count()
-    many = -(-n // rows)
+    """The benchmark in blocks of about ``rows`` items, or BLOCK_BYTES of text."""
+    n, size = (x or 0 for x in benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first())
+    many = max(-(-n // rows), -(-size // BLOCK_BYTES))
     if many <= 1:
         return [benchmark]
     return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == i) for i in range(many)]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``documents`` with (n_words, hits, items): word count, covered word positions, ids of items found.
+FOUND = "n_words long, hits array<int>, items array<string>"
 
-    ``hits`` has merged [start, end) pairs of word positions. All columns of ``documents`` stay, but ones named as
-    the three new ones are replaced. Null and empty texts have no words and no hits; so has everything when the
-    benchmark is empty. Repeated rows are handled row by row; repeated item ids count once.
-    """
-    documents = documents.drop("n_words", "hits", "items")
-    benchmark = benchmark.select("item_id", "text")
-    blocks = _blocks(benchmark, block_rows)
-    context = documents.sparkSession.sparkContext
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", n_words long, hits array<int>, items array<string>"
-    parts = []
+
+def _searched(documents: DataFrame, benchmark: DataFrame, window: int, block_rows: int) -> DataFrame:
+    """The documents with numbered columns (rows.numbered), and FOUND."""
+    blocks = _blocks(benchmark.select("item_id", "text"), block_rows)
+    context, docs, text = documents.sparkSession.sparkContext, numbered(documents), column(documents, "text")
+    searches = []
     for block in blocks:
+        # bounded by BLOCK_ROWS and BLOCK_BYTES, about
         shared = context.broadcast([(r.item_id, r.text) for r in block.toLocalIterator()])
 
         def make(shared=shared):
             found_by, owners = matchers(shared.value, window)
 
-            def run(rows: list[dict]) -> list[dict]:
-                for r in rows:
-                    row = words(r["text"])
+            def run(batch) -> list:
+                counts, spans, names = [], [], []
+                for t in batch["text"].to_pylist():
+                    row = words(t)
                     hits, items = search(row, found_by, owners)
-                    r |= {"n_words": len(row), "hits": hits, "items": sorted(items)}
-                return rows
+                    counts.append(len(row))
+                    spans.append(hits)
+                    names.append(sorted(items))
+                return [counts, spans, names]
 
             return run
 
-        if len(blocks) == 1:
-            return map_texts(documents, make, kind)
-        parts.append(make)
-    return _merged(documents, parts, kind)
-
-
-def _merged(documents: DataFrame, parts: list, kind: str) -> DataFrame:
-    """Several blocks: every row is searched block by block, and what is found is put together row by row."""
-    out = keep(map_texts(documents, parts[0], kind))
-    for make in parts[1:]:
-        first = out.withColumnsRenamed({"n_words": "__n", "hits": "__hits", "items": "__items"})
-        more = map_texts(first, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema) + ", n_words long, hits array<int>, items array<string>")
-        pairs = F.transform(F.sequence(F.lit(0), (F.size("both") / 2 - 1).cast("int")), lambda i: F.struct(F.element_at("both", (2 * i + 1).cast("int")).alias("s"), F.element_at("both", (2 * i + 2).cast("int")).alias("e")))
-        more = more.withColumn("both", F.concat("__hits", "hits"))
-        spans = F.when(F.size("both") > 0, F.array_sort(pairs)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
-        joined = F.aggregate(
-            spans,
-            F.array().cast("array<int>"),
-            lambda acc, x: F.when(
-                (F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)),
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["e"]))),
-            ).otherwise(F.concat(acc, F.array(x["s"], x["e"]))),
-        )
-        out = keep(more.withColumn("hits", joined).withColumn("items", F.array_sort(F.array_union("__items", "items"))).drop("both", "__n", "__hits", "__items"))
-    return out
+        searches.append(make)
+    if len(searches) == 1:
+        return add_columns(docs, {"text": text}, searches[0], FOUND)
+    # equal texts have equal hits
+    texts = docs.select(F.xxhash64(text).alias("th"), F.sha2(text, 256).alias("sha"), F.col(text).alias("text")).where("text IS NOT NULL")
+    parts = [add_columns(texts, {"text": "text"}, make, FOUND).where(F.size("hits") > 0).select("th", "sha", "hits", "items") for make in searches]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.union(part)
+    both = both.distinct().groupBy("th", "sha").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merge():
+        def run(rows: list[dict]) -> list[dict]:
+            for r in rows:
+                r["hits"] = merged(zip(r["hits"][::2], r["hits"][1::2], strict=True))
+            return rows
+
+        return run
+
+    both = map_texts(both, merge, "th long, sha string, hits array<int>, items array<string>")
 
+    def count():
+        return lambda batch: [[len(words(t)) for t in batch["text"].to_pylist()]]
 
+    docs = docs.withColumns({"th": F.xxhash64(text), "sha": F.sha2(text, 256)}).join(both, ["th", "sha"], "left").drop("th", "sha")
+    none = {"hits": F.coalesce("hits", F.array().cast("array<int>")), "items": F.coalesce("items", F.array().cast("array<string>"))}
+    return add_columns(docs.withColumns(none), {"text": text}, count, "n_words long")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``documents`` with (n_words, hits, items): word count, covered word positions, ids of items found.
+
+    ``hits`` has merged [start, end) pairs of word positions. All columns of ``documents`` stay, whatever their names,
+    but ones named as the three new ones are replaced. Null and empty texts have no words and no hits; so has
+    everything when the benchmark is empty. Repeated rows are handled row by row; repeated item ids count once.
+    """
+    return named(_searched(documents, benchmark, window, block_rows), documents.columns, ["n_words", "hits", "items"])
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+
+    Null and empty texts have no words; repeated rows and null ids stay, row by row; other columns are not used, and
+    an empty table gives no rows.
+    """
     found = contamination(documents.select("doc_id", "text"), benchmark, window).drop("text")
     covered = F.aggregate(F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
@@ -179,6 +198,9 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, window: int
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no window occurs, with their columns."""
-    names = documents.columns
-    return contamination(documents, benchmark, window).where(F.size("hits") == 0).select(*names)
+    """The documents in which no window occurs, with their columns, whatever these are called.
+
+    Documents without words, null or empty, stay; so do all where the benchmark is empty. Repeated rows stay or go
+    together.
+    """
+    return named(_searched(documents, benchmark, window, BLOCK_ROWS).where(F.size("hits") == 0), documents.columns)
