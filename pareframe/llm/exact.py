@@ -75,7 +75,8 @@ def name_texts(documents: DataFrame, block: int = BLOCK, keys=(_digest, _itself)
         pair = lambda i: F.struct(F.get("names", 2 * i).alias("l"), F.coalesce(F.get("names", 2 * i + 1), F.lit(-1)).alias("r"))
         halves = F.transform(F.sequence(F.lit(0), F.floor((F.size("names") - 1) / 2).cast("int")), pair)
         pairs = rest.select("rid", F.posexplode(halves).alias("pos", "lr")).select("rid", "pos", "lr.l", "lr.r")
-        names = pairs.select("l", "r").distinct().sortWithinPartitions("l", "r").withColumn("name", F.monotonically_increasing_id())
+        # kept, so that a pair which many texts have can be split in the join
+        names = keep(pairs.select("l", "r").distinct().sortWithinPartitions("l", "r").withColumn("name", F.monotonically_increasing_id()))
         state, level = keep(_arrays(pairs.join(names, ["l", "r"]))), level + 1
     named = done[0]
     for more in done[1:]:
@@ -91,7 +92,8 @@ def exact_duplicates(documents: DataFrame, block: int = BLOCK, keys=(_digest, _i
     keep_id is null. An empty table gives no rows. Other columns are not used.
     """
     named = keep(name_texts(documents, block, keys))
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size"))
+    # kept, so that the join reads it straight from a shuffle and a large group can be split there
+    groups = keep(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256"
     )
