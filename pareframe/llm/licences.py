@@ -109,19 +109,27 @@ def known(spark: SparkSession, licences: DataFrame | None = None) -> DataFrame:
     return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence", "kind").distinct()
 
 
+def licences_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(licence, kind, text) of the files in a folder, a whole licence each; the file's name without ``.txt`` names it."""
+    files = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.txt$", "")
+    return files.select(name.alias("licence"), F.lit("text").alias("kind"), "text")
+
+
 def scan_licences(documents: DataFrame, licences: DataFrame | None = None) -> DataFrame:
     """The licences that documents carry: doc_id, licence, kind, n.
 
     Kind ``text``: the whole document is that licence (n is the number of rows of that doc_id for which it is).
     Kind ``notice``: n lines are a notice of it. Documents without a match have no row; null and empty texts match
     nothing. Rows with the same doc_id, or with none, add up. Other columns are not used. ``licences`` (licence,
-    kind, text) takes the place of LICENCES; its texts need no cue, so every document and line is then looked up.
+    kind, text) takes the place of LICENCES, such as ``licences_in`` a folder of long texts; its texts need no cue, so every
+    document and line is then looked up.
     """
     cue = has_cue if licences is None else (lambda text: F.trim(text) != "")
     texts = documents.where(cue(F.col("text"))).select("doc_id", "text")
-    whole = texts.select("doc_id", F.lit("text").alias("kind"), F.col("text").alias("unit"))
-    lines = texts.select("doc_id", F.lit("notice").alias("kind"), F.explode(F.split("text", "\n")).alias("unit")).where(cue(F.col("unit")))
-    units = whole.unionByName(lines).select("doc_id", "kind", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+    # the whole text first, then its lines
+    units = texts.select("doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("at", "unit")).where(cue(F.col("unit")))
+    units = units.select("doc_id", F.when(F.col("at") == 0, "text").otherwise("notice").alias("kind"), F.sha2(canonical(F.col("unit")), 256).alias("digest"))
     digests = known(documents.sparkSession, licences)
     # LICENCES is a fixed table of some dozens of digests
     found = units.join(F.broadcast(digests) if licences is None else digests, ["digest", "kind"])
