@@ -19,12 +19,12 @@ import struct
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pareframe.llm.rows import map_texts
+from pareframe.llm.rows import add_columns, column, named, numbered
 
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose ids a task remembers.
-CACHE = 400_000
+#: Bytes of words whose ids a task remembers, and of the longest such word.
+CACHE, CACHED = 8 << 20, 64
 
 
 def _fields(data: bytes):
@@ -141,14 +141,17 @@ class Pieces:
         plain = not self.trimmed and not any(k == 4 for _, k in pieces) and self.prefix and not self.charmap.units
         self.by_word = plain and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, k in pieces if k == 1)
         self.seen: dict[str, list[int]] = {}
+        self.room = CACHE
         self.mark = self.library.piece_to_id(SPACE)
 
     def _encoded(self, chunks: list[str]) -> dict[str, list[int]]:
-        """Ids of chunks, each of which begins with a marker. The first CACHE ones that a task meets are remembered."""
+        """Ids of chunks, each of which begins with a marker. The first short ones that a task meets are remembered."""
         ids = self.library.encode([c[1:].replace(SPACE, " ") for c in chunks], num_threads=1)
         found = {c: x or [self.mark] for c, x in zip(chunks, ids, strict=True)}
-        if len(self.seen) < CACHE:
-            self.seen |= found
+        if self.room > 0:
+            short = {c: x for c, x in found.items() if len(c) <= CACHED}
+            self.room -= sum(map(len, short))
+            self.seen |= short
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -205,48 +208,53 @@ def encode_documents(documents: DataFrame, model_path: str) -> DataFrame:
     """``documents`` with ids, begins and ends (bytes of the text in UTF-8); columns of these names are replaced.
 
     The model at ``model_path`` is read on the driver and sent out; a model is a fixed file of about 1 MB. Null
-    counts as empty: only the begin and end ids. Repeated rows and null ids just stay.
+    counts as empty: only the begin and end ids. Repeated rows and null ids just stay; other columns may have any
+    names. An empty table gives no rows.
     """
-    return _mapped(documents, model_path, "ids array<int>, begins array<long>, ends array<long>", _spans)
+    added = {"ids": "array<int>", "begins": "array<long>", "ends": "array<long>"}
+    return named(_measured(documents, model_path, added, _spans), documents.columns, list(added))
 
 
-def _spans(pieces: Pieces, text: str) -> dict:
+def _spans(pieces: Pieces, text: str) -> tuple:
     ids = pieces.encode(text)
     begins, ends = pieces.offsets(text, ids)
-    return {"ids": ids, "begins": begins.tolist(), "ends": ends.tolist()}
+    return ids, begins.tolist(), ends.tolist()
 
 
-def _digests(pieces: Pieces, text: str) -> dict:
+def _digests(pieces: Pieces, text: str) -> tuple:
     ids = pieces.encode(text)
     begins, ends = pieces.offsets(text, ids)
-    return {
-        "n_tokens": len(ids),
-        "ids_sha256": hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(),
-        "decoded_sha256": hashlib.sha256(pieces.decode(ids).encode("utf-8", "surrogatepass")).hexdigest(),
-        "spans_sha256": hashlib.sha256(np.stack([begins, ends]).astype("<i8").tobytes()).hexdigest(),
-    }
+    return (
+        len(ids),
+        hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(),
+        hashlib.sha256(pieces.decode(ids).encode("utf-8", "surrogatepass")).hexdigest(),
+        hashlib.sha256(np.stack([begins, ends]).astype("<i8").tobytes()).hexdigest(),
+    )
 
 
 def encoding_report(documents: DataFrame, model_path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (begins, then ends)."""
-    found = _mapped(documents.select("doc_id", "text"), model_path, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", _digests)
-    return found.drop("text")
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (begins, then ends).
+
+    Null texts count as empty; repeated rows and null ids stay, row by row; other columns are not used, and an empty
+    table gives no rows.
+    """
+    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "spans_sha256": "string"}
+    documents = documents.select("doc_id", "text")
+    return named(_measured(documents, model_path, added, _digests), documents.columns, list(added)).drop("text")
 
 
-def _mapped(documents: DataFrame, model_path: str, columns: str, measure) -> DataFrame:
+def _measured(documents: DataFrame, model_path: str, added: dict[str, str], measure) -> DataFrame:
+    """The documents with numbered columns (rows.numbered) and those ``added``."""
     with open(model_path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())
-    documents = documents.drop(*(c.split()[0] for c in columns.split(", ")))
 
     def make():
         pieces = Pieces(model.value)
 
-        def run(rows: list[dict]) -> list[dict]:
-            for r in rows:
-                r |= measure(pieces, r["text"] or "")
-            return rows
+        def run(batch) -> list:
+            found = [measure(pieces, t or "") for t in batch["text"].to_pylist()]
+            return list(zip(*found, strict=True)) or [[] for _ in added]
 
         return run
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return map_texts(documents, make, f"{kind}, {columns}")
+    return add_columns(numbered(documents), {"text": column(documents, "text")}, make, ", ".join(f"{k} {v}" for k, v in added.items()))

@@ -24,7 +24,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pareframe.llm.rows import map_texts
+from pareframe.llm.rows import add_columns, column, named, numbered
 
 #: Order of kinds that start at the same place.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -151,22 +151,20 @@ def spans_of(text: str, automaton) -> list[tuple[str, int, int]]:
 def find_pii(documents: DataFrame) -> DataFrame:
     """``documents`` with ``pii``, an array of (kind, start, end); a column of that name is replaced.
 
-    Null and empty texts have none. Rows are handled one by one, so repeated rows and null ids just stay.
+    Null and empty texts have none. Rows are handled one by one, so repeated rows and null ids just stay; other
+    columns may have any names.
     """
-    documents = documents.drop("pii")
 
     def make():
         automaton = anchors()
 
-        def run(rows: list[dict]) -> list[dict]:
-            for r in rows:
-                r["pii"] = [{"kind": k, "start": s, "end": e} for k, s, e in spans_of(r["text"], automaton)] if r["text"] else []
-            return rows
+        def run(batch) -> list:
+            return [[[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, automaton)] if t else [] for t in batch["text"].to_pylist()]]
 
         return run
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return map_texts(documents, make, f"{kind}, pii array<struct<kind:string,start:long,end:long>>")
+    found = add_columns(numbered(documents), {"text": column(documents, "text")}, make, "pii array<struct<kind:string,start:long,end:long>>")
+    return named(found, documents.columns, ["pii"])
 
 
 def _written(spans):
@@ -174,7 +172,11 @@ def _written(spans):
 
 
 def pii_report(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+
+    Null and empty texts have no spans; repeated rows and null ids stay, row by row; other columns are not used, and
+    an empty table gives no rows.
+    """
     found = find_pii(documents.select("doc_id", "text")).drop("text")
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
     number = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,5 +70,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _exact_sql() -> str:
+    lower = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""WITH d AS (SELECT doc_id, {lower} AS t FROM documents),
+        g AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g"""
+
+
+def _chat_sql() -> str:
+    probe = " ".join(f"UNION ALL SELECT {c}, {t}, '{role}', '{text}'" for c, t, role, text in PROBE)
+    escaped = lambda x: rf"replace(replace({x}, '\', '\\'), '<|', '<\|')"
+    role, order = rf"replace({escaped('role')}, chr(10), '\n')", "ORDER BY turn NULLS FIRST, role, text"
+    opened = len(chat.START) + 1 + len(chat.END)
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations {probe}),
+        w AS (SELECT *, lag(role) OVER (PARTITION BY conv_id {order}) AS before FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{chat.LEARNED}'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' {order}) FILTER (WHERE role = '{chat.LEARNED}'), '')) AS loss_sha256,
+            CAST(sum(length({escaped('text')}) + CASE WHEN before IS NOT DISTINCT FROM role THEN {len(chat.SEPARATOR)} ELSE {opened} + length({role}) END) AS BIGINT) AS formatted_chars
+        FROM w GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licence_scan": licences.oracle()}
+    """SQL where it can say what an operator does: not for set joins at this size, models, tokenizers and parsers."""
+    return {"op2_exact_dedup": _exact_sql(), "op6_licence_scan": licences.oracle(), "op7_chat_formatting": _chat_sql()}
