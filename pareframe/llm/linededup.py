@@ -35,8 +35,10 @@ LISTED, HUBS = 512, 4
 TRIED = 2
 #: Words of all lines to a bucket, about; and of one word to a part of its list.
 BUCKET_WORDS, PART_WORDS = 1 << 22, 1 << 16
+#: Buckets to a shuffle partition, at least, so that partitions come out even.
+SPREAD = 4
 #: Pairs that are looked at in one step.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Bits of the filter that tells which lines are needed for verification, in blocks of BLOCK_BITS.
 FILTER_BITS, BLOCK_BITS = 1 << 24, 1 << 16
 #: Stands for a null doc_id, which comes before all others.
@@ -123,7 +125,7 @@ def _rarity(source: DataFrame) -> tuple:
             for _, _, value in word_groups(batch.columns[0]):
                 waiting.append(_slot(value))
                 n += len(value)
-                if n >= SLOTS:
+                if n >= SLOTS // 4:
                     seen += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.uint32)
                     waiting, n = [], 0
         if n:
@@ -314,11 +316,12 @@ def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = _filter_of(ids)
 
     def task(batches):
-        bits, seen = np.unpackbits(wanted.value).astype(bool), set()
+        bits, seen = wanted.value, set()
         for batch in batches:
             for lines, _, _ in _groups(batch):
                 at = []
-                for i in np.flatnonzero(bits[lines.sid & (FILTER_BITS - 1)]).tolist():
+                bit = lines.sid & (FILTER_BITS - 1)
+                for i in np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).tolist():
                     name = lines.sid[i], lines.sign[i]
                     if name not in seen:
                         at.append(i)
@@ -335,7 +338,7 @@ def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _found(source: DataFrame, rarity, words: int, listed: int, hubs: int) -> DataFrame:
     """Entries of three kinds: first places (th), candidate pairs (a), lists with more to look at (token)."""
-    buckets = max(2 * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
+    buckets = max(SPREAD * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
     sent = _sent(source, rarity, buckets)
     return keep(sent.groupBy("bucket").applyInArrow(lambda table: _candidates(table, listed, hubs), ", ".join(f"{name} array<long>" for name in OUT)))
 

@@ -41,7 +41,7 @@ ROUNDS, TRIED = 3, 8
 #: Numbers that hold the sign of a set.
 SIGNS = ("s0", "s1", "s2", "s3")
 #: Buckets to a shuffle partition; documents that send their shingles together.
-SPREAD, PIECE = 8, 4096
+SPREAD, PIECE = 8, 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,7 +101,7 @@ def measure(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, th, n, key) of all documents, and rows (hash, seen) of shingles that a batch has often."""
 
     def task(batches):
-        for batch in batches:
+        for batch in (b.slice(start, 2 * PIECE) for b in batches for start in range(0, b.num_rows, 2 * PIECE)):
             sets = sets_of(batch.columns[-1])
             keys = [key_of(s) for s in sets]
             distinct = list(dict(zip(keys, sets, strict=True)).values())

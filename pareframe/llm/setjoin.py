@@ -85,7 +85,7 @@ def matching(pairs: DataFrame, sets: DataFrame, ids: tuple[str, ...] = ("sid",))
 
 
 #: Tokens that are compared in one step.
-STEP = 1 << 21
+STEP = 1 << 19
 
 
 def _tokens(column: pa.Array, rows: slice) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text in a group, or one longer text.
-GROUP = 3 << 20
+GROUP = 3 << 19
 #: Longer words are hashed one by one.
 LONG = 128
 
