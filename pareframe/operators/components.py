@@ -27,9 +27,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = now.coalesce(mark[0] // PART_ROWS + 1)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # kept, so that the join reads it straight from a shuffle and a centre of many edges can be split there
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), mark[0])
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = keep(large.groupBy("u").agg(F.min("v").alias("m")), mark[0])
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # never more edges than before
         now = keep(small.union(lower.select("u", F.col("m").alias("v"))).distinct(), mark[0])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pareframe.sources.tables import keep
 
 #: Items whose contributions are held on the driver.
-LOCAL = 4096
+LOCAL = 10_000
 #: Outcomes of a test: only the first counts as having the property.
 SAME, NONE, OTHER = "property", "no property", "unknown property"
 
