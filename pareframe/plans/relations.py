@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pareframe.operators import elements, imports, refcount
 from pareframe.operators.snapshot import Aborted, Snapshot
+from pareframe.sources import files
 from pareframe.sources.tables import keep, table
 
 EXPLICIT = ("Brand#1", "Brand#2", "Brand#3")
@@ -231,6 +232,25 @@ def tasks_by_name(spark: SparkSession, d: str) -> DataFrame:
     return elements.tasks_named(tasks.select("path").crossJoin(F.broadcast(names)), F.col("name")).select("name", "path")
 
 
+def zip_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of an order and of the next, by their place in the list, as far as the shorter goes."""
+    mine = _arguments(spark, d)
+    after = mine.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("args").alias("after"))
+    n = F.least(F.size("args"), F.size("after"))
+    pairs = F.arrays_zip(F.slice("args", F.lit(1), n).alias("a"), F.slice("after", F.lit(1), n).alias("b"))
+    return mine.join(after, "l_orderkey").select("l_orderkey", F.posexplode(pairs).alias("place", "x")).select("l_orderkey", "place", "x.a", "x.b")
+
+
+def suitable_projects(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as projects of a manifest: a language as tag, none for some; those that a benchmark takes."""
+    tags = F.when(F.col("doc_id") % 3 != 0, F.array(F.when(F.col("lang") == "de", "android").otherwise(F.col("lang"))))
+    extra = F.when(F.col("doc_id") % 5 != 0, F.struct(tags.alias("tags"), F.lit(None).cast("string").alias("issue")))
+    rows = table(spark, d, "documents").select(
+        "doc_id", extra.alias("extra"), F.when(F.col("doc_id") % 2 == 0, "gradle").otherwise("maven").alias("build_system"), F.when(F.col("n_chars") < 3000, "single").otherwise("multiple").alias("modules")
+    )
+    return files.suitable(rows).select("doc_id")
+
+
 _RARE = "SELECT {} FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW'"
 QUERIES = {
     "hash_lookup_join": (hash_lookup_join, "SELECT p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY p_brand"),
@@ -295,6 +315,15 @@ QUERIES = {
         """WITH t AS (SELECT ':' || r_name || ':' || n_name AS path, n_name FROM nation JOIN region ON r_regionkey = n_regionkey)
         (SELECT path AS name, path FROM t ORDER BY path LIMIT 1) UNION ALL SELECT n_name, path FROM (SELECT * FROM t ORDER BY path DESC LIMIT 2)""",
     ),
+    "zip_positions": (
+        zip_positions,
+        """WITH a AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS i FROM lineitem)
+        SELECT x.l_orderkey, CAST(x.i AS INT) AS place, x.l_partkey AS a, y.l_partkey AS b FROM a x JOIN a y ON y.l_orderkey = x.l_orderkey + 1 AND y.i = x.i""",
+    ),
+    "suitable_projects": (
+        suitable_projects,
+        "SELECT doc_id FROM documents WHERE NOT (doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND lang = 'de') AND doc_id % 2 = 0 AND n_chars < 3000",
+    ),
     "refcount_unused": (
         refcount_unused,
         f"SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN ({_RARE.format('o_orderkey')}))",

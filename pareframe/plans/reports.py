@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pareframe.functions import diagnostics
+from pareframe.sources import files
 from pareframe.sources.tables import table
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -146,7 +147,45 @@ def edit_similarity(spark: SparkSession, d: str) -> DataFrame:
     return diagnostics.similarity(a.join(b, ["conv_id", "turn"]), ["conv_id"], "turn", "a", "b")
 
 
+def log_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Events as the log of each user: what lies between the first signup and the first purchase, and the numbers in it.
+
+    Views write lines of another form; every seventh event has a number that can't be read, which counts as 0.
+    """
+    rows = table(spark, d, "events").withColumn("number", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    value = F.when(F.col("event_id") % 7 == 0, "none").otherwise(F.floor("value").cast("string"))
+    line = F.concat(F.date_format("ts", "HH:mm:ss.SSS"), F.lit(" - "), F.col("event_type"), F.lit(" took value: "), value)
+    lines = rows.select(F.col("user_id").alias("path"), "number", F.when(F.col("event_type") == "view", "a view").otherwise(line).alias("line"))
+    inside = files.slice_log(files.log_entries(lines), "signup", "purchase")
+    found = files.number_after(F.col("message"), "value:")
+    return inside.groupBy("path").agg(F.count("*").alias("n"), F.sum(found).alias("total"), F.min_by(found, "number").alias("first_value"), F.max_by(found, "number").alias("last_value"))
+
+
+def line_count_json(spark: SparkSession, d: str) -> DataFrame:
+    """Line counts of documents through the JSON of a line counter; every tenth is broken and counts as nothing."""
+    lines = F.split("text", "\n", -1)
+    blank = F.size(F.filter(lines, lambda x: F.trim(x) == ""))
+    sums = F.to_json(F.struct(F.struct(blank.alias("blank"), F.lit(0).alias("comment"), (F.size(lines) - blank).alias("code"), F.lit(1).alias("nFiles"), F.lit("x").alias("more")).alias("SUM")))
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 10 == 0, "{broken").otherwise(sums).alias("counts"))
+    counted = files.line_counts(rows, "counts")
+    return counted.groupBy("lang").agg(*(F.sum(x).alias(x) for x in ("blank", "code", "files", "total")))
+
+
 QUERIES = {
+    "log_stats": (
+        log_stats,
+        r"""WITH l AS (SELECT user_id AS path, event_type, CASE WHEN event_id % 7 = 0 THEN 0 ELSE CAST(floor(value) AS INT) END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events),
+        e AS (SELECT * FROM l WHERE event_type <> 'view'),
+        b AS (SELECT path, min(number) FILTER (WHERE event_type = 'signup') AS f, min(number) FILTER (WHERE event_type = 'purchase') AS t FROM e GROUP BY path)
+        SELECT path, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, arg_min(v, number) AS first_value, arg_max(v, number) AS last_value FROM e JOIN b USING (path) WHERE number BETWEEN f AND t GROUP BY path""",
+    ),
+    "line_count_json": (
+        line_count_json,
+        r"""WITH l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents),
+        c AS (SELECT lang, doc_id % 10 <> 0 AS good, len(lines) AS n, len(list_filter(lines, lambda x: trim(x) = '')) AS blank FROM l)
+        SELECT lang, CAST(sum(CASE WHEN good THEN blank ELSE 0 END) AS BIGINT) AS blank, CAST(sum(CASE WHEN good THEN n - blank ELSE 0 END) AS BIGINT) AS code,
+            CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) AS BIGINT) AS files, CAST(sum(CASE WHEN good THEN n ELSE 0 END) AS BIGINT) AS total FROM c GROUP BY lang""",
+    ),
     "line_stats": (
         line_stats,
         r"""WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents),
