@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from pareframe.llm.wordhash import mix, word_groups
 from pareframe.sources.tables import keep
 
 SLOTS, BLOCK = 1 << 21, 1 << 14
+#: Parts in which the counts of a block are summed first.
+PARTS = 64
 LISTED, HUBS = 512, 4
 #: Candidates of a line that are verified first.
 TRIED = 2
@@ -39,8 +42,9 @@ BUCKET_WORDS, PART_WORDS = 1 << 22, 1 << 16
 SPREAD = 4
 #: Pairs that are looked at in one step.
 STEP = 1 << 18
-#: Bits of the filter that tells which lines are needed for verification, in blocks of BLOCK_BITS.
-FILTER_BITS, BLOCK_BITS = 1 << 24, 1 << 16
+#: Bits of the filter that tells which lines are needed for verification: so many to a line, within bounds; in blocks of
+#: BLOCK_BITS. Where the upper bound is too small for the lines, more of them are sent than needed.
+LINE_BITS, LEAST_BITS, MOST_BITS, BLOCK_BITS = 32, 1 << 20, 1 << 30, 1 << 16
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 ONE, HALF = np.uint64(1), np.uint64(32)
@@ -131,21 +135,32 @@ def _rarity(source: DataFrame) -> tuple:
         if n:
             seen += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype(np.uint32)
         blocks = [b for b in range(SLOTS // BLOCK) if seen[b * BLOCK : (b + 1) * BLOCK].any()]
-        yield _arrow([blocks, [pack(seen[b * BLOCK : (b + 1) * BLOCK]) for b in blocks]], [pa.int64(), pa.binary()], "block counts")
+        part = [TaskContext.get().partitionId() % PARTS] * len(blocks)
+        yield _arrow([blocks, part, [pack(seen[b * BLOCK : (b + 1) * BLOCK].astype(np.uint64)) for b in blocks]], [pa.int64()] * 2 + [pa.binary()], "block part counts")
 
-    def add(batches):
+    def totals(batches) -> dict[int, np.ndarray]:
         # at most SLOTS counters, however many rows come
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                total[b] = total.get(b, 0) + unpack(c, np.uint32).astype(np.int64)
-        logs = [np.minimum(255, 8 * np.log2(t + 1)).astype(np.uint8).tobytes() for t in total.values()]
+            for b, c in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                total[b] = total.get(b, 0) + unpack(c, np.uint64)
+        return total
+
+    def add(batches):
+        total = totals(batches)
+        yield _arrow([list(total), [pack(t) for t in total.values()]], [pa.int64(), pa.binary()], "block counts")
+
+    def finish(batches):
+        total = totals(batches)
+        logs = [np.minimum(255, 8 * np.log2(t.astype(np.float64) + 1)).astype(np.uint8).tobytes() for t in total.values()]
         yield _arrow([list(total), logs, [int(t.sum()) for t in total.values()]], [pa.int64(), pa.binary(), pa.int64()], "block logs words")
 
-    counted = source.select("text").mapInArrow(count, "block long, counts binary").repartition(SLOTS // BLOCK // 8, "block")
+    counted = source.select("text").mapInArrow(count, "block long, part long, counts binary")
+    # in two steps, so that no task reads what all others have counted
+    summed = counted.repartition("block", "part").mapInArrow(add, "block long, counts binary").repartition("block")
     rank, words = np.zeros(SLOTS, dtype=np.uint8), 0
     # SLOTS / BLOCK rows of BLOCK bytes at most
-    for r in counted.mapInArrow(add, "block long, logs binary, words long").collect():
+    for r in summed.mapInArrow(finish, "block long, logs binary, words long").collect():
         rank[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.logs, np.uint8)
         words += r.words
     return source.sparkSession.sparkContext.broadcast(rank), words
@@ -294,8 +309,9 @@ def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
 
 
 def _filter_of(ids: DataFrame):
-    """A bit for each of the lines ``ids`` (sid), by the low bits of its number, sent to all executors: a fixed size."""
-    bits = ids.select(F.col("sid").bitwiseAND(FILTER_BITS - 1).alias("bit")).distinct()
+    """A bit for each of the lines ``ids`` (sid), by the low bits of its number, sent to all executors: MOST_BITS at most."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (LINE_BITS * ids.count()).bit_length()))
+    bits = ids.select(F.col("sid").bitwiseAND(size - 1).alias("bit")).distinct()
 
     def block(table: pa.Table) -> pa.Table:
         bits = table["bit"].to_numpy()
@@ -304,9 +320,9 @@ def _filter_of(ids: DataFrame):
         return pa.table({"block": pa.array([int(bits[0]) // BLOCK_BITS], pa.int64()), "bits": pa.array([np.packbits(out).tobytes()], pa.binary())})
 
     blocks = bits.groupBy(F.floor(F.col("bit") / BLOCK_BITS).alias("g")).applyInArrow(block, "block long, bits binary")
-    table = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    # FILTER_BITS / BLOCK_BITS rows of BLOCK_BITS bits at most
-    for r in blocks.collect():
+    table = np.zeros(size // 8, dtype=np.uint8)
+    # size / BLOCK_BITS rows of BLOCK_BITS bits at most, one after another
+    for r in blocks.toLocalIterator():
         table[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
     return ids.sparkSession.sparkContext.broadcast(table)
 
@@ -320,7 +336,7 @@ def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for lines, _, _ in _groups(batch):
                 at = []
-                bit = lines.sid & (FILTER_BITS - 1)
+                bit = lines.sid & (8 * len(bits) - 1)
                 for i in np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).tolist():
                     name = lines.sid[i], lines.sign[i]
                     if name not in seen:
@@ -370,7 +386,7 @@ def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
 def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sid, sign) of the lines a of ``pairs`` that match their b."""
     ends = [pairs.select(F.col(x).alias("sid"), F.col(f"{x}2").alias("sign")) for x in "ab"]
-    sets = keep(_sets(source, ends[0].union(ends[1]).distinct()))
+    sets = keep(_sets(source, keep(ends[0].union(ends[1]).distinct())))
     return keep(matching(pairs, sets, ID).select(F.col("a").alias("sid"), F.col("a2").alias("sign")).distinct())
 
 
