@@ -35,7 +35,7 @@ from pareframe.sources.tables import keep
 WORDS = 5
 #: A shingle in one of so many documents is looked for as a hot one. With an average of s shingles in a document
 #: there can be HOT * s of them.
-HOT = 1000
+HOT, MOST_HOT = 1000, 1 << 20
 #: Rounds in which sets are compared with hubs only: one in the first, up to TRIED each in the later ones.
 ROUNDS, TRIED = 3, 8
 #: Numbers that hold the sign of a set.
@@ -206,7 +206,8 @@ def ranked_sets(documents: DataFrame, measured: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     total = measured.where("hash IS NULL").count()
     hot = measured.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("seen").alias("seen")).where(F.col("seen") * HOT >= total)
-    # at most HOT times the mean number of shingles
+    # the most frequent MOST_HOT; those beyond, if any, are counted like all others
+    hot = hot.orderBy(F.desc("seen"), "hash").limit(MOST_HOT)
     known = np.sort(np.array([r.hash for r in hot.select("hash").toLocalIterator()], dtype=np.int64).view(np.uint64))
     buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = _sent(documents, spark.sparkContext.broadcast(known), buckets)
