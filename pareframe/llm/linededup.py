@@ -391,7 +391,8 @@ def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _changed(documents: DataFrame, listed: int, hubs: int) -> DataFrame:
-    """The documents with numbered columns (rows.numbered), text and n_chars as they become, and n_lines, n_removed."""
+    """The documents with numbered columns (rows.numbered), text and n_chars as they become, n_lines, n_removed, and n_stay,
+    the lines with words that stay."""
     source = _source(documents)
     rarity, words = _rarity(source)
     found = _found(source, rarity, words, listed, hubs)
@@ -405,6 +406,7 @@ def _changed(documents: DataFrame, listed: int, hubs: int) -> DataFrame:
     joined = joined.withColumn("left", F.array_sort(F.concat(F.coalesce("stay", F.array().cast("array<int>")), blank)))
     kept = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")
     counts = {"n_lines": F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")), "n_removed": F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines") - F.size("left"))}
+    counts["n_stay"] = F.coalesce(F.size("stay"), F.lit(0))
     changed = joined.withColumns({k: v.cast("long") for k, v in counts.items()}).withColumn(f"c{text}", kept)
     if size is not None:
         changed = changed.withColumn(f"c{size}", F.coalesce(F.char_length(f"c{text}"), F.lit(0)).cast(documents.schema[size].dataType))
@@ -428,7 +430,4 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     A document that had no line with words to begin with stays as it is. Otherwise as ``dedup_lines``, but that
     columns named n_lines or n_removed stay, too.
     """
-    changed = _changed(documents, LISTED, HUBS)
-    text = column(documents, "text")
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace(text, r"[\x09-\x0D]", " ")) == "")
-    return named(changed.where(~F.coalesce(emptied, F.lit(False))), documents.columns)
+    return named(_changed(documents, LISTED, HUBS).where("n_removed = 0 OR n_stay > 0"), documents.columns)
