@@ -80,7 +80,7 @@ def test_hierarchy(spark):
     assert found == {("top", 1), ("leaf", 11)}
 
 
-@pytest.mark.parametrize("n", [2, 4, 8, 16, 64])
+@pytest.mark.parametrize("n", [2, 8, 64])
 def test_pdd_keeps_one_item(spark, n):
     always = search.Property(universe(spark, n, set()), {"n": F.lit(1)}, lambda s: True)
     assert search.size(search.pdd(always)) == 1
@@ -150,7 +150,7 @@ def test_generated_levels(spark):
     assert found == {("level 1", 1), ("level 2", 11)} and asked == [None, [1], [11]]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_graph_reduction_of_any_property(spark, seed):
     """Both ways of deciding give the closure of the targets, by layers and over condensed graphs."""
     rnd = random.Random(seed)
@@ -176,7 +176,7 @@ def test_graph_reduction_of_any_property(spark, seed):
 
 
 def test_long_paths(spark):
-    edges = spark.range(1, 12).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
-    assert graph.reach(spark.createDataFrame([(0, 0)], "root long, id long"), edges).count() == 12
-    layers = {r.id: r.layer for r in graph.layer_numbers(spark.range(12), edges).collect()}
-    assert layers == {i: 11 - i for i in range(12)}
+    edges = spark.range(1, 8).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    assert graph.reach(spark.createDataFrame([(0, 0)], "root long, id long"), edges).count() == 8
+    layers = {r.id: r.layer for r in graph.layer_numbers(spark.range(8), edges).collect()}
+    assert layers == {i: 7 - i for i in range(8)}
