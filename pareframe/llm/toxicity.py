@@ -4,9 +4,9 @@ Severity has the grades 0 to GRADES - 1, and P(grade <= k) = sigmoid(theta_k - w
 thresholds, which stay in order. The expected severity is the sum over k of P(grade > k).
 
 Features are words (A-Z lower-cased; letters, digits and anything beyond ASCII) and their beginnings of PREFIXES
-characters. Labels say only whether a document is toxic, so grades above 0 ("not toxic") come from how much of a toxic
-document is: its share of sentences with a feature that hardly any other document has, in equal parts. Which features
-these are is known from counts, not from the fit. Weights can't be negative: words speak for toxicity or have none.
+characters. Labels say only whether a document is toxic. Grade 0 is "not toxic"; toxic documents are spread over the
+higher grades, in equal parts, by the sum of their features that speak for toxicity clearly. Weights can't be negative:
+words speak for toxicity or have none.
 
 The model is fitted on at most FIT_ROWS labelled documents, those with the smallest hash of doc_id; features are
 counted there by a Spark aggregation, and all those that speak for toxicity by LEAST_Z or more are sent to the driver
@@ -180,21 +180,20 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
             out = []
             for r in batch:
                 found = chosen.value.values(r["text"])
-                share = toxic_share(r["text"], lambda x: any(k in clear for k in chosen.value.values(x))) if r["toxic"] else 0.0
-                out.append({"toxic": r["toxic"], "share": share, "at": [place[k] for k in found], "value": list(found.values())})
+                out.append({"toxic": r["toxic"], "at": [place[k] for k in found], "value": list(found.values())})
             return out
 
         return run
 
     # at most ``bound`` rows, with the features that they have of the strong ones
-    data = map_texts(sample, make_values, "toxic int, share double, at array<int>, value array<double>").toArrow().combine_chunks()
+    data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow().combine_chunks()
     is_toxic = data["toxic"].to_numpy() > 0
     lists, value = (data[name].combine_chunks() for name in ("at", "value"))
     row = np.repeat(np.arange(len(data), dtype=np.int32), lists.value_lengths().to_numpy())
     column, value = lists.flatten().to_numpy(), value.flatten().to_numpy()
-    share = data["share"].to_numpy()
-    cuts = np.quantile(share[is_toxic], np.arange(1, grades - 1) / (grades - 1))
-    grade = np.where(is_toxic, 1 + np.searchsorted(cuts, share), 0)
+    amount = np.bincount(row, value * np.array([n in clear for n in names], dtype=float)[column], len(data))
+    cuts = np.quantile(amount[is_toxic], np.arange(1, grades - 1) / (grades - 1))
+    grade = np.where(is_toxic, 1 + np.searchsorted(cuts, amount), 0)
     return _descend(row, column, value, grade, names, grades)
 
 
