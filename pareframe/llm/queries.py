@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pareframe.llm import chat, decontaminate, exact, language, licences, linededup, ngrams, pieces, pii, toxicity
+from pareframe.llm import chat, decontaminate, exact, language, licences, linededup, merkle, ngrams, pieces, pii, toxicity
 from pareframe.sources.tables import table
 
 #: A conversation whose texts hold control strings.
@@ -65,8 +65,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op2_exact_dedup, op3_language_id, op4_sentencepiece, op5_ngram_join, op6_licence_scan, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_pii]
+    found = [
+        op1_line_dedup, op2_exact_dedup, op3_language_id, op4_sentencepiece, op5_ngram_join, op6_licence_scan, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_pii,
+        op11_merkle_manifest,
+    ]
     return {f.__name__: f for f in found}
 
 
