@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pareframe.llm import chat, decontaminate, exact, language, licences, linededup, merkle, ngrams, pieces, pii, toxicity, whitening
+from pareframe.llm import bpe, chat, decontaminate, exact, language, licences, linededup, merkle, ngrams, pieces, pii, toxicity, whitening
 from pareframe.sources.tables import table
 
 #: A conversation whose texts hold control strings.
@@ -69,6 +69,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
 
@@ -76,7 +82,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_exact_dedup, op3_language_id, op4_sentencepiece, op5_ngram_join, op6_licence_scan, op7_chat_formatting, op8_toxicity, op9_decontamination, op10_pii,
-        op11_merkle_manifest, op13_embedding_whitening,
+        op11_merkle_manifest, op12_word_bpe, op13_embedding_whitening,
     ]
     return {f.__name__: f for f in found}
 

@@ -35,11 +35,11 @@ def named(df: DataFrame, names: list[str], added: list[str] | None = None) -> Da
     return df.select(*(f"c{i}" for i in stay), *added).toDF(*(names[i] for i in stay), *added)
 
 
-def add_columns(df: DataFrame, reads: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list]], added: str) -> DataFrame:
+def add_columns(df: DataFrame, reads: dict[str, str], make: Callable[[], Callable[[pa.RecordBatch], list]], added: str, chunk: int = CHUNK) -> DataFrame:
     """``df``, of numbered or other safe names, with the columns ``added``; what it has passes through untouched.
 
     ``make`` is called once in each task; what it prepares (a matcher, a tokenizer) serves the whole task. It returns a
-    function that gets at most CHUNK rows of the columns ``reads`` (by the names it knows them by) and returns the
+    function that gets at most ``chunk`` rows of the columns ``reads`` (by the names it knows them by) and returns the
     values of the new columns.
     """
     extra = StructType.fromDDL(added)
@@ -50,8 +50,8 @@ def add_columns(df: DataFrame, reads: dict[str, str], make: Callable[[], Callabl
         arrow = to_arrow_schema(extra)
         run = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(start, CHUNK)
+            for start in range(0, batch.num_rows, chunk):
+                part = batch.slice(start, chunk)
                 given = pa.RecordBatch.from_arrays([part.columns[names.index(c)] for c in reads.values()], names=list(reads))
                 new = [v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(run(given), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, *arrow.names])
