@@ -7,13 +7,15 @@ recursive query over these rows: in each step every leaf's digest is folded with
 reached, the siblings are appended, and the row goes on to that node's parent.
 
 The up to 16 leaves of a run have all siblings above the run in common. They ascend in one row, each folded by itself,
-so the siblings of the upper levels are carried once a run. A node that many runs pass is stored in as many copies as
+so the siblings of the upper levels are carried once a run. Digests are hashed as hex text, as the manifest is defined,
+but kept and carried as bytes, half as long. A node that many runs pass is stored in as many copies as
 it takes for PASSING runs each, so no join has a hot key. Leaves are ranked within their source by a sort over all
 rows; no source is ever in one task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -48,7 +50,16 @@ class Manifest:
 
 
 def _sha(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.unhex(F.sha2(text, 256))
+
+
+def _hex(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
+def _joined(digests: Column) -> Column:
+    """The hex text of an array of digests."""
+    return F.array_join(F.transform(digests, _hex), "")
 
 
 def leaf_digest(*values: Column) -> Column:
@@ -58,13 +69,11 @@ def leaf_digest(*values: Column) -> Column:
 
 
 def tampered_leaves(documents: DataFrame) -> DataFrame:
-    """doc_id, source, leaf, folded: ``folded`` is the leaf of the lower-cased text where 5 divides crc32(doc_id)."""
+    """doc_id, source, leaf, folded: ``folded`` is the leaf of the lower-cased text where 5 divides crc32(doc_id), else null."""
     values = [F.col(c) for c in FIELDS]
     hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     folded = F.when(hit, leaf_digest(*values[:-1], lower_ascii(F.col("text"))))
-    return documents.select("doc_id", "source", leaf_digest(*values).alias("leaf"), folded.alias("other")).select(
-        "doc_id", "source", "leaf", F.coalesce("other", "leaf").alias("folded")
-    )
+    return documents.select("doc_id", "source", leaf_digest(*values).alias("leaf"), folded.alias("folded"))
 
 
 def _ranked(leaves: DataFrame) -> DataFrame:
@@ -102,7 +111,7 @@ def _levels(state: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
         runs = keep(runs.select("tree", F.lit(level).alias("level"), "run", "n", "nodes"))
         levels.append(runs)
         fewer = F.ceil(F.col("n") / RUN)
-        state = runs.select("tree", F.col("run").alias("pos"), fewer.alias("n"), _sha(F.array_join("nodes.digest", "")).alias("digest"))
+        state = runs.select("tree", F.col("run").alias("pos"), fewer.alias("n"), _sha(_joined(F.col("nodes.digest"))).alias("digest"))
         done.append(state.where("n = 1").select("tree", "digest"))
         most, level = -(-most // RUN), level + 1
     ends = done[0]
@@ -118,14 +127,14 @@ def _node_rows(runs: DataFrame, level: int) -> DataFrame:
     digests = F.col("nodes.digest")
     return rows.select(
         "tree", "level", F.col("node.pos").alias("pos"), F.col("node.digest").alias("digest"), "run", "n",
-        F.array_join(F.slice(digests, F.lit(1), F.col("i")), "").alias("before"),
-        F.array_join(F.slice(digests, F.col("i") + 2, F.lit(RUN)), "").alias("after"),
+        F.unhex(_joined(F.slice(digests, F.lit(1), F.col("i")))).alias("before"),
+        F.unhex(_joined(F.slice(digests, F.col("i") + 2, F.lit(RUN)))).alias("after"),
         F.lit(max(1, RUN ** max(0, level - 1) // PASSING)).cast("long").alias("copies"),
     )
 
 
 def build(leaves: DataFrame) -> Manifest | None:
-    """The manifest of ``leaves`` (doc_id, source, leaf, folded); None for an empty table.
+    """The manifest of ``leaves`` (doc_id, source, leaf, folded: null where the leaf itself climbs); None for an empty table.
 
     Null sources are first, then sources bytewise. Null doc_ids are first in their source. Rows with the same doc_id
     are ordered by their digests. ``nodes`` has a row for each copy of a node above the leaves, keyed by (tree, level,
@@ -142,14 +151,14 @@ def build(leaves: DataFrame) -> Manifest | None:
     sources = tops.count()
     above = tops.select(F.lit(TOP).cast("long").alias("tree"), F.col("idx").alias("pos"), F.lit(sources).cast("long").alias("n"), "digest")
     upper, last = _levels(above, sources)
-    root = last.first()["digest"]
+    root = last.first()["digest"].hex()
     beyond = TOP if sources > 1 else DONE
 
     # A subroot stands for itself on the lowest level of the top tree, where all leaves of its source may pass.
     passing = ranked.where(F.col("pos") % RUN == 0).groupBy("tree").agg(F.max("n").alias("n"))
     runs_below = F.ceil(F.col("n") / RUN)
     subroots = keep(tops.join(passing, "tree").select(F.col("tree").alias("sub"), F.col("digest").alias("subroot"), "idx", F.greatest(F.lit(1), F.ceil(runs_below / PASSING)).alias("sub_copies")))
-    link = "tree long, level int, pos long, digest string, before string, after string, copies long, up_tree long, up_level int, up_pos long, subroot string"
+    link = "tree long, level int, pos long, digest binary, before binary, after binary, copies long, up_tree long, up_level int, up_pos long, subroot binary"
     nodes = spark.createDataFrame([], link)
     order = nodes.columns
     # the climb begins above the first runs, so the leaves need no rows of their own
@@ -162,7 +171,7 @@ def build(leaves: DataFrame) -> Manifest | None:
         }
         nodes = nodes.union(rows.withColumns(up).select(order))
     for level, runs in enumerate(upper):
-        rows = _node_rows(runs, level).withColumn("subroot", F.lit(None).cast("string"))
+        rows = _node_rows(runs, level).withColumn("subroot", F.lit(None).cast("binary"))
         if level == 0:
             rows = rows.drop("copies").join(subroots.select(F.col("idx").alias("i"), F.col("sub_copies").alias("copies")), F.col("pos") == F.col("i"))
         else:
@@ -181,7 +190,7 @@ def build(leaves: DataFrame) -> Manifest | None:
 
 
 def _starts(ranked: DataFrame, start: DataFrame, beyond: int) -> DataFrame:
-    """A row for each run of leaves, folded once: rid, tree, level, pos, salt, leaves, folded, siblings, subroot."""
+    """A row for each run of leaves, folded once: rid, tree, level, pos, salt, leaves, folded, siblings (none yet), subroot."""
     leaf = F.struct("pos", "doc_id", "leaf", "folded")
     runs = ranked.groupBy("tree", F.floor(F.col("pos") / RUN).alias("run")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(leaf)).alias("leaves"))
     runs = keep(runs.withColumn("rid", F.monotonically_increasing_id()))
@@ -189,17 +198,18 @@ def _starts(ranked: DataFrame, start: DataFrame, beyond: int) -> DataFrame:
 
     def fold(x: Column, i: Column) -> Column:
         before, after = F.slice(digests, F.lit(1), i), F.slice(digests, i + 2, F.lit(RUN))
-        return F.when(F.col("n") == 1, x["folded"]).otherwise(_sha(F.concat(F.array_join(before, ""), x["folded"], F.array_join(after, ""))))
+        own = F.coalesce(x["folded"], x["leaf"])
+        return F.when(F.col("n") == 1, own).otherwise(_sha(F.concat(_joined(before), _hex(own), _joined(after))))
 
     alone = F.col("n") <= RUN  # the run is all there is of its source: its parent, or the only leaf, is the subroot
     small = runs.where(alone).join(start, F.col("tree") == F.col("sub"))
     small = small.select(
         "rid", "n", "leaves", F.lit(beyond).cast("long").alias("tree"), F.lit(0).alias("level"), F.col("idx").alias("pos"), (F.col("rid") % F.col("sub_copies")).alias("salt"), "subroot"
     )
-    large = runs.where(~alone).select("rid", "n", "leaves", "tree", F.lit(1).alias("level"), F.col("run").alias("pos"), F.lit(0).cast("long").alias("salt"), F.lit(None).cast("string").alias("subroot"))
+    large = runs.where(~alone).select("rid", "n", "leaves", "tree", F.lit(1).alias("level"), F.col("run").alias("pos"), F.lit(0).cast("long").alias("salt"), F.lit(None).cast("binary").alias("subroot"))
     # a node of level 1 is above one run, and so in one copy
     both = small.union(large)
-    return both.select("rid", "tree", "level", "pos", "salt", "leaves", F.transform("leaves", fold).alias("folded"), F.lit("").alias("siblings"), "subroot")
+    return both.select("rid", "tree", "level", "pos", "salt", F.transform("leaves", lambda x: x.dropFields("pos", "folded")).alias("leaves"), F.transform("leaves", fold).alias("folded"), F.unhex(F.lit("")).alias("siblings"), "subroot")
 
 
 @contextmanager
@@ -214,14 +224,15 @@ def _any_number_of_rows(spark: SparkSession) -> Iterator[None]:
 
 
 CLIMB = """
-WITH RECURSIVE climb(rid, tree, level, pos, salt, leaves, folded, siblings, subroot) AS (
-    SELECT rid, tree, level, pos, salt, leaves, folded, siblings, subroot FROM {starts}
+WITH RECURSIVE climb(rid, tree, level, pos, salt, folded, siblings, subroot) AS (
+    SELECT rid, tree, level, pos, salt, folded, siblings, subroot FROM {starts}
     UNION ALL
-    SELECT c.rid, n.up_tree, n.up_level, n.up_pos, c.rid % n.up_copies, c.leaves,
-        transform(c.folded, x -> sha2(concat(n.before, x, n.after), 256)), concat(c.siblings, n.before, n.after), coalesce(c.subroot, n.subroot)
+    SELECT c.rid, n.up_tree, n.up_level, n.up_pos, c.rid % n.up_copies,
+        transform(c.folded, x -> unhex(sha2(concat(lower(hex(n.before)), lower(hex(x)), lower(hex(n.after))), 256))),
+        concat(c.siblings, n.before, n.after), coalesce(c.subroot, n.subroot)
     FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.pos = n.pos AND c.salt = n.salt
 )
-SELECT leaves, folded, siblings, subroot FROM climb WHERE tree = {done}
+SELECT rid, folded, siblings, subroot FROM climb WHERE tree = {done}
 """
 
 
@@ -229,13 +240,16 @@ def climb(manifest: Manifest) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: each leaf of the manifest with its proof."""
     spark = manifest.nodes.sparkSession
     with _any_number_of_rows(spark):
-        arrived = keep(spark.sql(CLIMB, starts=manifest.leaves, nodes=manifest.nodes, done=DONE))
-    others = F.array_join(F.filter("leaves.leaf", lambda _, j: j != F.col("i")), "")
-    rows = arrived.select("leaves", "siblings", "subroot", "folded", F.posexplode("leaves").alias("i", "own"))
+        arrived = keep(spark.sql(CLIMB, starts=manifest.leaves, nodes=manifest.nodes.drop("digest", "copies"), done=DONE))
+    rows = arrived.join(manifest.leaves.select("rid", "leaves"), "rid")
+    rows = rows.select(_joined(F.col("leaves.leaf")).alias("run"), _hex(F.col("siblings")).alias("siblings"), _hex(F.col("subroot")).alias("subroot"), "folded", F.posexplode("leaves").alias("i", "own"))
+    width = len(hashlib.sha256().hexdigest())
+    others = F.concat(F.substring("run", F.lit(1), F.col("i") * width), F.expr(f"substring(run, (i + 1) * {width} + 1)"))
     root = F.lit(manifest.root)
-    folded = F.get("folded", F.col("i"))
+    folded = _hex(F.get("folded", F.col("i")))
     return rows.select(
-        "own.doc_id", "own.leaf", "subroot", root.alias("root"), _sha(F.concat(others, F.col("siblings"))).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"),
+        F.col("own.doc_id").alias("doc_id"), _hex(F.col("own.leaf")).alias("leaf"), "subroot", root.alias("root"), F.sha2(F.concat(others, F.col("siblings")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == root).alias("verified"),
     )
 
 
