@@ -22,7 +22,7 @@ import json
 import re
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -38,9 +38,13 @@ from pareframe.sources.tables import shared_folder
 #: Words of the lexicon, and bytes of the longest: the file has some MB at most. Rarer words are merged.
 LEXICON, LONGEST = 1 << 16, 64
 #: Rows whose texts are split together; an Arrow batch has at most spark.sql.execution.arrow.maxBytesPerBatch (64 MB).
-ROWS = 2048
-#: Bytes of merged words that a worker remembers, and distinct words that it counts before it passes them on.
-CACHE, COUNTED = 8 << 20, 200_000
+ROWS = 4096
+#: Distinct words that a task counts before it passes them on.
+COUNTED = 200_000
+#: Words of up to so many bytes are merged together, so many words at a time; longer ones one by one.
+TOGETHER, MANY = (8, 16, 32), 16_384
+#: No pair has this rank.
+NEVER = 1 << 30
 
 
 def byte_alphabet() -> list[str]:
@@ -99,7 +103,7 @@ def _minimal(words: list[bytes]) -> _State:
     return root
 
 
-def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
+def compile_lexicon(words: dict[bytes, Sequence[int]]) -> bytes:
     """The file of a lexicon: sizes, then the arrays that ``Lexicon`` maps."""
     order = sorted(words)
     root = _minimal(order)
@@ -162,6 +166,10 @@ class Lexicon:
 # The tokenizer
 
 
+#: Characters before this one combine with no other in normal forms.
+SIMPLE = "\u0300"
+
+
 class Words:
     """A tokenizer's file, ready to split texts, to merge words and to decode."""
 
@@ -187,31 +195,42 @@ class Words:
         # by the pair's ids; a pair that is listed twice has its last rank
         self.merges = {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         alphabet = byte_alphabet()
-        self.inside, self.last = [vocab[c] for c in alphabet], [vocab[c + end] for c in alphabet]
+        self.inside, self.last = np.array([vocab[c] for c in alphabet]), np.array([vocab[c + end] for c in alphabet])
+        self.pairs = np.array(sorted(self.merges))
+        self.ranks = np.array([self.merges[p][0] for p in self.pairs.tolist()])
+        self.made = np.zeros(len(pairs), np.int64)
+        for rank, new in self.merges.values():
+            self.made[rank] = new
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in [*vocab.items(), *((c.decode(), i) for c, i in self.special.items())]:
             self.tokens[i] = token
         self.decoded_by_library = spec.get("decoder") is not None
+        # whether letters alone are one word, and the normaliser lower-cases
+        self.one_word, self.lowered = self.pattern.findall("aé" * 3) == ["aé" * 3], "Lowercase" in steps
         self.same: set[str] = set()
         self.other: set[str] = set()
-        self.merged: dict[bytes, list[int]] = {}
-        self.room = CACHE
 
     def _agrees(self, text: str) -> bool:
-        """Whether the pattern takes the characters of ``text`` as the library does; each is tried once a worker."""
+        """Whether the pattern takes the characters of ``text``, and below SIMPLE ``lower`` makes of them, what the library does;
+        each is tried once a worker."""
         for c in set(text) - self.same - self.other:
             tries = (f"a{c}a", f"!{c}!", f"1{c}1")
             fits = all([len(w.encode()) for w in self.pattern.findall(t)] == [len(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(t)] for t in tries)
+            fits = fits and (c >= SIMPLE or self.lowered and (c.isspace() or self.library.normalizer.normalize_str(c) == c.lower()))
             (self.same if fits else self.other).add(c)
         return self.other.isdisjoint(text)
 
     def _plain(self, piece: bytes) -> list[bytes]:
-        if piece.isascii():
-            text = piece.decode().lower()
+        text = piece.decode()
+        if max(text) < SIMPLE and (self.same.issuperset(text) or self._agrees(text)):
+            # no character here combines with another
+            text = text.lower()
+            if text.isalpha():
+                return [text.encode()] if self.one_word else [w.encode() for w in self.pattern.findall(text)]
         else:
-            text = self.library.normalizer.normalize_str(piece.decode())
+            text = self.library.normalizer.normalize_str(text)
         if self.same.issuperset(text) or self._agrees(text):
             return [w.encode() for w in self.pattern.findall(text)]
         back = {c: b for b, c in enumerate(byte_alphabet())}
@@ -225,8 +244,8 @@ class Words:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the adjacent pair of the lowest rank becomes one, the leftmost first, until none can."""
-        ids = [self.inside[b] for b in word]
-        ids[-1] = self.last[word[-1]]
+        ids = self.inside[list(word)].tolist()
+        ids[-1] = int(self.last[word[-1]])
         size, merges = len(ids), self.merges
         after, before = [*range(1, size), -1], [*range(-1, size - 1)]
         heap = [(rank[0], i, rank[1]) for i in range(size - 1) if (rank := merges.get(ids[i] << 32 | ids[i + 1]))]
@@ -246,15 +265,64 @@ class Words:
                     heapq.heappush(heap, (rank[0], a, rank[1]))
         return [i for i in ids if i >= 0]
 
-    def _unseen(self, word: bytes | int) -> list[int]:
-        if isinstance(word, int):
-            return [word]
-        if (found := self.merged.get(word)) is None:
-            found = self.merge(word)
-            if self.room > 0 and len(word) <= LONGEST:
-                self.room -= len(word)
-                self.merged[word] = found
-        return found
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NEVER where there is none."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((right >= 0) & (self.pairs[at] == pair), self.ranks[at], NEVER)
+
+    def _merged(self, words: list[bytes], width: int) -> np.ndarray:
+        """``merge`` of many words of at most ``width`` bytes: a row of ids each, -1 after the last."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        out = np.full((len(words), width), -1, np.int64)
+        row = np.repeat(np.arange(len(words)), sizes)
+        out[row, np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = self.inside[text]
+        out[np.arange(len(words)), sizes - 1] = self.last[text[np.cumsum(sizes) - 1]]
+        of, ids, columns = np.arange(len(words)), out.copy(), np.arange(width - 1)
+        ranks = self._rank(ids[:, :-1], ids[:, 1:])
+        while True:
+            at = ranks.argmin(axis=1)  # the leftmost of the lowest
+            best = ranks[np.arange(len(ranks)), at]
+            goes = best < NEVER
+            if not goes.all():
+                out[of[~goes]] = ids[~goes]
+                of, ids, ranks, at, best = of[goes], ids[goes], ranks[goes], at[goes], best[goes]
+            if not len(of):
+                return out
+            rows = np.arange(len(of))
+            ids[rows, at] = self.made[best]
+            after = columns > at[:, None]
+            ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            ranks[:, :-1] = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = NEVER
+            ranks[rows, at] = self._rank(ids[rows, at], ids[rows, at + 1])
+            before = at > 0
+            ranks[rows[before], at[before] - 1] = self._rank(ids[rows[before], at[before] - 1], ids[rows[before], at[before]])
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has; as ``merge``, which does the long ones."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        counts, found, least = np.zeros(len(words), np.int64), [], 0
+        for width in TOGETHER:
+            some = np.flatnonzero((sizes > least) & (sizes <= width))
+            for i in range(0, len(some), MANY):
+                part = some[i : i + MANY]
+                ids = self._merged([words[k] for k in part], max(2, width))
+                counts[part] = (ids >= 0).sum(axis=1)
+                found.append((part, ids[ids >= 0]))
+            least = width
+        for k in np.flatnonzero(sizes > least):
+            ids = np.array(self.merge(words[k]))
+            counts[k] = len(ids)
+            found.append((np.array([k]), ids))
+        if not found:
+            return np.zeros(0, np.int64), counts
+        order = np.concatenate([part for part, _ in found])
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return gathered(np.concatenate([ids for _, ids in found]), starts, counts), counts
 
     def encode(self, texts: list[bytes], lexicon: Lexicon | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
@@ -266,18 +334,19 @@ class Words:
         split = [list(map(words.__getitem__, self.split(p))) for p in pieces]
 
         found = list(words)
-        texts_only = [b"" if isinstance(w, int) else w for w in found]
-        places = np.full(len(found), -1) if lexicon is None else lexicon.places(texts_only)
-        unseen = [self._unseen(found[i]) for i in np.flatnonzero(places < 0)]
-        known = np.zeros(0, np.uint64) if lexicon is None else lexicon.ids
-        pool = np.concatenate([known, np.array([x for ids in unseen for x in ids], np.uint64)]).astype(np.uint32)
+        places = np.full(len(found), -1) if lexicon is None else lexicon.places([b"" if isinstance(w, int) else w for w in found])
+        known = np.zeros(0, np.uint32) if lexicon is None else lexicon.ids.astype(np.uint32)
+        new = np.array([p < 0 and not isinstance(w, int) for p, w in zip(places.tolist(), found, strict=True)], dtype=bool)
+        merged, lengths = self.merge_all([found[i] for i in np.flatnonzero(new)])
+        special = [i for i, w in enumerate(found) if isinstance(w, int)]
+        pool = np.concatenate([known, merged.astype(np.uint32), np.array([found[i] for i in special], np.uint32)])
         starts, sizes = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-        new = places < 0
-        sizes[new] = np.fromiter(map(len, unseen), np.int64, len(unseen))
-        starts[new] = len(known) + np.cumsum(sizes[new]) - sizes[new]
+        sizes[new], starts[new] = lengths, len(known) + np.cumsum(lengths) - lengths
+        sizes[special], starts[special] = 1, len(known) + len(merged) + np.arange(len(special))
         if lexicon is not None:
-            starts[~new] = lexicon.starts[places[~new]]
-            sizes[~new] = lexicon.starts[places[~new] + 1].astype(np.int64) - starts[~new]
+            old = places >= 0
+            starts[old] = lexicon.starts[places[old]]
+            sizes[old] = lexicon.starts[places[old] + 1].astype(np.int64) - starts[old]
 
         # words to pieces, pieces to texts
         of = np.fromiter((w for s in split for w in s), np.int64)
@@ -339,8 +408,9 @@ def count_words(documents: DataFrame, tokenizer: bytes) -> DataFrame:
 def make_lexicon(documents: DataFrame, tokenizer: bytes, size: int = LEXICON) -> bytes:
     """The compiled lexicon of the ``size`` most frequent words; at most ``size`` * LONGEST bytes come to the driver."""
     words = Words(tokenizer)
-    frequent = count_words(documents, tokenizer).orderBy(F.desc("n"), "word").limit(size).collect() if size else []
-    return compile_lexicon({bytes(r["word"]): words.merge(bytes(r["word"])) for r in frequent})
+    frequent = [bytes(r["word"]) for r in count_words(documents, tokenizer).orderBy(F.desc("n"), "word").limit(size).collect()] if size else []
+    ids, counts = words.merge_all(frequent)
+    return compile_lexicon(dict(zip(frequent, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if frequent else {})
 
 
 def publish(spark: SparkSession, data: bytes) -> str:

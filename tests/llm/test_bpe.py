@@ -74,10 +74,12 @@ def test_long_words(words, library):
     assert ids_of(words, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_words_beyond_the_cache(words, library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
-    texts = noise(200, seed=2)
-    assert ids_of(bpe.Words(library.to_str().encode()), texts) == ids_of(words, texts)
+def test_words_merged_together(words, monkeypatch):
+    rnd = random.Random(6)
+    some = ["".join(rnd.choice("etaoinshr'é") for _ in range(rnd.randint(1, 45))).encode() for _ in range(3000)]
+    monkeypatch.setattr(bpe, "MANY", 700)
+    ids, counts = words.merge_all(some)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [words.merge(w) for w in some]
 
 
 def test_lexicon_is_minimal_and_finds_its_words(words, tmp_path):
