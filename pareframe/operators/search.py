@@ -6,6 +6,10 @@ ranges, never the items. A property says of any subset whether it holds:
 * ``Property``: a predicate over sums. Every item has a few contributions, and a subset is decided from the sums of its
   items' contributions, so all chunks of a pass are tested by one Spark job; the complement of a chunk has the total
   less the chunk's sums. Once at most LOCAL items are left, their contributions are summed on the driver.
+* ``Merged``: a predicate over states that can be merged but not taken apart again (least, most, distinct values). One
+  job gives the states of all chunks of a pass; those of the complements are merged from what is before and after a chunk.
+* ``Surviving``: the same where rows depend on several items and go with any of them, as in a graph.
+* ``Grouped``: a query that can be run for many candidates at once, named by a column ``candidate``.
 * ``Tested``: any function of the DataFrames of retained and deleted items, such as a query that is run on what is
   retained. Candidates are tried in order, a run for each.
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
@@ -23,11 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pareframe.sources.tables import keep
 
 #: Items whose contributions are held on the driver.
 LOCAL = 10_000
+#: Complements that are tested in one run.
+BATCH = 16
 #: Outcomes of a test: only the first counts as having the property.
 SAME, NONE, OTHER = "property", "no property", "unknown property"
 
@@ -39,7 +47,12 @@ class NoFailure(ValueError):
 
 
 def numbered(items: DataFrame, *order: str) -> DataFrame:
-    """``items`` with a dense ``idx`` from 0 in the given order, computed without a single-partition sort.
+    """``items`` with a dense ``idx`` from 0 in the given order, computed without a single-partition sort."""
+    return numbered_and_counted(items, *order)[0]
+
+
+def numbered_and_counted(items: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """``numbered``, and how many there are.
 
     Sorted partitions are counted first; each row's number is its place in the partition plus the rows before it.
     """
@@ -50,7 +63,7 @@ def numbered(items: DataFrame, *order: str) -> DataFrame:
         total += r.n
     # a row for each partition
     shift = items.sparkSession.createDataFrame(starts, "__part int, __shift long")
-    return ordered.join(F.broadcast(shift), "__part").select(*items.columns, (F.col("__at") + F.col("__shift")).alias("idx"))
+    return ordered.join(F.broadcast(shift), "__part").select(*items.columns, (F.col("__at") + F.col("__shift")).alias("idx")), total
 
 
 def size(ranges: Ranges) -> int:
@@ -132,6 +145,28 @@ def rows_of(items: DataFrame, ranges: Ranges) -> DataFrame:
     return inside.join(bounds.select(F.explode(F.sequence("a", "b")).alias("idx")), "idx", "left_semi")
 
 
+def labelled(rows: DataFrame, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> DataFrame:
+    """``rows`` (idx first) with the ``part`` whose range they are in, in place of idx; others go. Ranges are sorted."""
+    kind = T.StructType([T.StructField("part", T.LongType()), *rows.schema.fields[1:]])
+    inside = rows.where(F.col("idx").between(int(starts[0]), int(ends[-1]) - 1))
+
+    def task(batches):
+        for batch in batches:
+            idx = batch.columns[0].to_numpy()
+            at = np.searchsorted(starts, idx, "right") - 1
+            hit = (at >= 0) & (idx < ends[at])
+            part = pa.array(owner[at[hit]], pa.int64())
+            yield pa.RecordBatch.from_arrays([part, *(c.filter(pa.array(hit)) for c in batch.columns[1:])], names=["part", *batch.schema.names[1:]])
+
+    return inside.mapInArrow(task, kind)
+
+
+def bounds_of(parts: list[Ranges]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted starts and ends of all ranges, and the part of each."""
+    bounds = sorted((a, b, i) for i, part in enumerate(parts) for a, b in part)
+    return tuple(np.array([x[k] for x in bounds], dtype=np.int64) for k in range(3))
+
+
 class Decided:
     """What the kinds of properties share: each set is decided once; ``log`` has an entry for each decision."""
 
@@ -167,9 +202,13 @@ class Property(Decided):
 
     def __init__(self, items: DataFrame, sums: dict[str, Column], holds: Callable[[dict[str, float]], bool]):
         self.sums, self.holds = list(sums), holds
-        self.rows = keep(items.select("idx", *(c.alias(k) for k, c in sums.items())))
-        found = self.rows.agg(F.count("*").alias("__n"), *(F.sum(k).alias(k) for k in self.sums)).first().asDict()
+        rows = items.select("idx", *(c.alias(k) for k, c in sums.items()))
+        if inexact := [f.name for f in rows.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]:
+            raise ValueError(f"sums must not depend on the order of rows: make decimals of {inexact}")
+        found = rows.agg(F.count("*").alias("__n"), *(F.sum(k).alias(k) for k in self.sums)).first().asDict()
         super().__init__(found.pop("__n"))
+        # few rows are read once more only
+        self.rows = rows if self.n <= LOCAL else keep(rows)
         self.total = {k: v or 0 for k, v in found.items()}
         self.known = {key(((0, self.n),) if self.n else ()): self.total}
         self.pass_of, self.values, self.near = None, [], None
@@ -199,19 +238,7 @@ class Property(Decided):
 
     def _sums_of(self, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> DataFrame:
         """(part, sums): rows find their range in the sorted bounds, and are summed where they are."""
-        kinds = [f.dataType.simpleString() for f in self.rows.schema if f.name in self.sums]
-        inside = self.rows.where(F.col("idx").between(int(starts[0]), int(ends[-1]) - 1))
-
-        def task(batches):
-            for batch in batches:
-                idx = batch.columns[0].to_numpy()
-                at = np.searchsorted(starts, idx, "right") - 1
-                hit = (at >= 0) & (idx < ends[at])
-                part = pa.array(owner[at[hit]], pa.int64())
-                yield pa.RecordBatch.from_arrays([part, *(c.filter(pa.array(hit)) for c in batch.columns[1:])], names=["part", *batch.schema.names[1:]])
-
-        found = inside.mapInArrow(task, "part long, " + ", ".join(f"`{k}` {kind}" for k, kind in zip(self.sums, kinds, strict=True)))
-        return found.groupBy("part").agg(*(F.sum(k).alias(k) for k in self.sums))
+        return labelled(self.rows, starts, ends, owner).groupBy("part").agg(*(F.sum(k).alias(k) for k in self.sums))
 
     def _outcome(self, now: Ranges, parts: list[Ranges], i: int, complement: bool) -> str:
         if self.pass_of is not parts:
@@ -244,6 +271,177 @@ class Tested(Decided):
         return found if isinstance(found, str) else SAME if found else NONE
 
 
+def _order(value):
+    """A key that orders Python values as Spark does: null first, NaN last, structs by their fields."""
+    if value is None:
+        return (0,)
+    if isinstance(value, float) and value != value:
+        return (2,)
+    return (1, tuple(map(_order, value)) if isinstance(value, (tuple, list)) else value)
+
+
+@dataclass(frozen=True)
+class Partial:
+    """A state of rows: ``aggregate`` of ``column``. ``merge`` makes one of several, none of them null."""
+
+    column: Column
+    aggregate: Callable[[Column], Column]
+    merge: Callable[[list], object]
+
+    def all(self, states: list) -> object:
+        known = [x for x in states if x is not None]
+        return self.merge(known) if len(known) > 1 else known[0] if known else None
+
+
+def least(column: Column) -> Partial:
+    return Partial(column, F.min, lambda x: min(x, key=_order))
+
+
+def most(column: Column) -> Partial:
+    return Partial(column, F.max, lambda x: max(x, key=_order))
+
+
+def distinct(column: Column) -> Partial:
+    """The set of values, of which there must be few: a state has them all."""
+    return Partial(column, lambda c: F.array_sort(F.collect_set(c)), lambda x: sorted(set().union(*x), key=_order))
+
+
+def plain(value):
+    return tuple(map(plain, value)) if isinstance(value, tuple) else value
+
+
+class Merged(Decided):
+    """``holds`` decides from merged ``states`` of the retained items: a bool, or one of SAME, NONE and OTHER.
+
+    A pass takes one job, whose result is a state for each chunk. Once at most LOCAL items are left, their own states
+    are on the driver and no more jobs are run. A state of no items is None.
+    """
+
+    def __init__(self, items: DataFrame, states: dict[str, Partial], holds: Callable[[dict], bool | str]):
+        self.states, self.holds = states, holds
+        rows = items.select("idx", *(p.column.alias(k) for k, p in states.items()))
+        super().__init__(items.count())
+        self.rows, self.near = rows, None
+        self.pass_of, self.own, self.around = None, [], []
+        if self.n <= LOCAL:
+            self.total = self.measure([((0, self.n),) if self.n else ()])[0]
+        else:
+            self.rows = keep(rows)
+            found = self.rows.agg(*self._aggregates()).first()
+            self.total = {k: plain(found[k]) for k in states}
+
+    def _aggregates(self) -> list[Column]:
+        return [p.aggregate(F.col(k)).alias(k) for k, p in self.states.items()]
+
+    def _merge(self, found: list[dict]) -> dict:
+        return {k: p.all([x[k] for x in found]) for k, p in self.states.items()}
+
+    def measure(self, parts: list[Ranges]) -> list[dict]:
+        """The state of each part, from one job, or from what is on the driver. The parts must not overlap."""
+        out = [dict.fromkeys(self.states) for _ in parts]
+        starts, ends, owner = bounds_of(parts)
+        if not len(starts):
+            return out
+        if self.near is None and sum(map(size, parts)) <= LOCAL:
+            # at most LOCAL rows; later sets are parts of this one
+            rows = rows_of(self.rows, joined(sorted(r for p in parts for r in p))).groupBy("idx").agg(*self._aggregates()).orderBy("idx").collect()
+            self.near = np.array([x["idx"] for x in rows], dtype=np.int64), [{k: plain(x[k]) for k in self.states} for x in rows]
+        if self.near is not None:
+            idx, states = self.near
+            mine: list[list[dict]] = [[] for _ in parts]
+            for a, b, i in zip(np.searchsorted(idx, starts), np.searchsorted(idx, ends), owner.tolist(), strict=True):
+                mine[i] += states[a:b]
+            return [self._merge(x) for x in mine]
+        for x in labelled(self.rows, starts, ends, owner).groupBy("part").agg(*self._aggregates()).collect():
+            out[x["part"]] = {k: plain(x[k]) for k in self.states}
+        return out
+
+    def _outcome(self, now: Ranges, parts: list[Ranges], i: int, complement: bool) -> str:
+        if self.pass_of is not parts:
+            rest = without(now, joined(sorted(r for p in parts for r in p)))
+            *self.own, other = [self.total, dict.fromkeys(self.states)] if parts == [now] and size(now) == self.n else self.measure([*parts, rest])
+            # what is merged before each part, and after it
+            before = list(accumulate(self.own, lambda x, y: self._merge([x, y]), initial=other))[:-1]
+            after = list(accumulate(reversed(self.own), lambda x, y: self._merge([y, x]), initial=dict.fromkeys(self.states)))[-2::-1]
+            self.around = [self._merge([x, y]) for x, y in zip(before, after, strict=True)]
+            self.pass_of = parts
+        found = self.holds(self.around[i] if complement else self.own[i])
+        return found if isinstance(found, str) else SAME if found else NONE
+
+
+def same_state(items: DataFrame, states: dict[str, Partial], similar: Callable[[dict, dict], bool] = lambda a, b: a == b) -> Merged:
+    """The property "the states are like those of the whole"; as ``same_failure`` where a failure is such states.
+
+    A retained set without any state is NONE, one that isn't ``similar`` OTHER.
+    """
+    test = Merged(items, states, lambda found: True)
+    test.baseline = test.total
+    if not any(v is not None for v in test.total.values()):
+        raise NoFailure("there is no state to begin with")
+    test.holds = lambda found: NONE if all(v is None for v in found.values()) else SAME if similar(test.baseline, found) else OTHER
+    return test
+
+
+class Surviving(Decided):
+    """As ``Merged``, of rows that depend on several of ``n`` items and are there as long as all of these are retained.
+
+    A set is decided without a job. ``groups`` are the rows by what they depend on: the items' idx, and their merged states. They are on the driver, so
+    there must be few; ``reduction.graph_reduction`` counts them first.
+    """
+
+    def __init__(self, n: int, groups: list[tuple[list[int], dict]], states: dict[str, Partial], holds: Callable[[dict], bool | str]):
+        super().__init__(n)
+        self.states, self.holds, self.found = states, holds, [state for _, state in groups]
+        self.needs = np.array([i for needs, _ in groups for i in needs], dtype=np.int64)
+        self.of = np.repeat(np.arange(len(groups)), [len(needs) for needs, _ in groups])
+
+    def _outcome(self, now: Ranges, parts: list[Ranges], i: int, complement: bool) -> str:
+        starts, ends, _ = bounds_of([without(now, parts[i]) if complement else parts[i]])
+        there = np.zeros(len(self.needs), dtype=bool)
+        if len(starts):
+            at = np.searchsorted(starts, self.needs, "right") - 1
+            there = (at >= 0) & (self.needs < ends[at])
+        gone = set(self.of[~there].tolist())
+        left = [state for k, state in enumerate(self.found) if k not in gone]
+        found = self.holds({k: p.all([x[k] for x in left]) for k, p in self.states.items()})
+        return found if isinstance(found, str) else SAME if found else NONE
+
+
+class Grouped(Decided):
+    """The property of a query that is run for many candidates in one go.
+
+    ``run`` gets rows of ``items`` with a column ``candidate``, a row once for each candidate that retains it, and returns
+    (candidate, ...), at most one row for each. ``judge`` makes an outcome of such a row, or of None where there is none.
+    Chunks of a pass share no rows, so all of them are one run; of complements BATCH are, since each has nearly all rows.
+    """
+
+    def __init__(self, items: DataFrame, run: Callable[[DataFrame], DataFrame], judge: Callable[[dict | None], bool | str]):
+        order = ["idx", *(c for c in items.columns if c != "idx")]
+        self.items, self.run, self.judge = keep(items.select(order)), run, judge
+        super().__init__(self.items.count())
+        self.pass_of, self.outcomes = None, {}
+
+    def _candidates(self, now: Ranges, parts: list[Ranges], asked: list[int], complement: bool) -> DataFrame:
+        rest = joined(sorted(r for p in parts for r in p))
+        rows = labelled(self.items.withColumn("row", F.struct("*")).select("idx", "row"), *bounds_of([*parts, without(now, rest)]))
+        ids = F.array(*(F.lit(i).cast("long") for i in asked))
+        if complement:
+            return rows.select("row.*", F.explode(F.filter(ids, lambda c: c != F.col("part"))).alias("candidate"))
+        return rows.where(F.array_contains(ids, F.col("part"))).select("row.*", F.col("part").alias("candidate"))
+
+    def _outcome(self, now: Ranges, parts: list[Ranges], i: int, complement: bool) -> str:
+        if self.pass_of != (id(parts), complement):
+            # a list is kept by its pass, so that no other one has its id
+            self.pass_of, self.parts, self.outcomes = (id(parts), complement), parts, {}
+        if i not in self.outcomes:
+            asked = list(range(i, min(len(parts), i + BATCH) if complement else len(parts)))
+            found = {r["candidate"]: r.asDict() for r in self.run(self._candidates(now, parts, asked, complement)).collect()} if now else {}
+            for k in asked:
+                told = self.judge(found.get(k))
+                self.outcomes[k] = told if isinstance(told, str) else SAME if told else NONE
+        return self.outcomes[i]
+
+
 def same_failure(items: DataFrame, run: Callable[[DataFrame], object], similar: Callable[[object, object], bool]) -> Tested:
     """The property "fails like the whole does". ``run`` returns a failure, or None where it succeeds.
 

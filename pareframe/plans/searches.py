@@ -95,22 +95,16 @@ def graphdd_fk(spark: SparkSession, d: str) -> DataFrame:
     return reduction.graph_reduction(keep(vertices), keep(edges), keep(targets)).where("retained").select("id")
 
 
-def _ends(rows: DataFrame, value: str, key: str):
-    """The least and the greatest row by value, or None of an empty table: no sum says whether they are there."""
+def _ends(value: str, key: str) -> dict[str, search.Partial]:
+    """The least and the greatest row by value: no sum says whether they are there."""
     at = F.struct(value, key)
-    found = rows.agg(F.min(at).alias("least"), F.max(at).alias("most")).first()
-    return None if found.least is None else (tuple(found.least), tuple(found.most))
-
-
-def _same(a, b) -> bool:
-    return a == b
+    return {"least": search.least(at), "most": search.most(at)}
 
 
 def ddmin_same_ends(spark: SparkSession, d: str) -> DataFrame:
-    """The suppliers without which the least or the greatest balance would be another. Every test runs a query."""
+    """The suppliers without which the least or the greatest balance would be another."""
     items = search.numbered(table(spark, d, "supplier").select(F.col("s_suppkey").alias("item_id"), "s_acctbal"), "item_id")
-    test = search.same_failure(keep(items), lambda rows: _ends(rows, "s_acctbal", "item_id"), _same)
-    return _answer(items.select("idx", "item_id"), search.ddmin(test))
+    return _answer(items.select("idx", "item_id"), search.ddmin(search.same_state(items, _ends("s_acctbal", "item_id"))))
 
 
 def hdd_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -128,26 +122,27 @@ def hdd_pages(spark: SparkSession, d: str) -> DataFrame:
             level = level.join(kept.select(F.col("id").alias("parent")), "parent", "left_semi")
         return str(depth), level.select("id")
 
-    def tester(name: str, items: DataFrame) -> search.Tested:
-        own = keep(pages.where(F.col("depth") == int(name)).select("page_id", "size", F.col("prefix").alias("id")))
-        return search.same_failure(items, lambda rows: _ends(own.join(rows.select("id"), "id", "left_semi"), "size", "page_id"), _same)
+    def tester(name: str, items: DataFrame) -> search.Merged:
+        ends = _ends("size", "page_id")
+        own = pages.where(F.col("depth") == int(name)).groupBy(F.col("prefix").alias("id")).agg(*(p.aggregate(p.column).alias(k) for k, p in ends.items()))
+        return search.same_state(items.join(own, "id", "left"), {"least": search.least(F.col("least")), "most": search.most(F.col("most"))})
 
     return reduction.hierarchical(following, tester=tester).select(F.col("level").cast("int").alias("depth"), F.col("id").alias("prefix"))
 
 
 def graphdd_condensed(spark: SparkSession, d: str) -> DataFrame:
-    """Customers and suppliers, who trade with each other in cycles, and what they need: kept are the nations of the
-    poorest and the richest customer of each side, and what is in one cycle with them."""
-    vertices, edges = fk_graph(spark, d)
-    # nations of a region need each other, so that regions are cycles
-    nation = F.concat(F.lit("n:"), F.col("n_nationkey").cast("string"))
-    back = table(spark, d, "nation").select(F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("src"), nation.alias("dst"))
-    small = vertices.where("id NOT LIKE 'o:%' AND id NOT LIKE 'c:%'")
-    links = edges.where("kind IN ('s-n', 'n-r')").select("src", "dst").union(back)
-    balances = keep(table(spark, d, "supplier").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), "s_acctbal"))
-    whole = _ends(balances, "s_acctbal", "id")
-    holds = lambda left: _ends(balances.join(left, "id", "left_semi"), "s_acctbal", "id") == whole
-    return reduction.graph_reduction_condensed(keep(small), keep(links), holds=holds).where("retained").select("id")
+    """Suppliers, the nations that they need, and regions. A nation needs its region and a region its nations, so these are
+    cycles. Kept are the suppliers with the least and the greatest balance, and the whole regions of these."""
+    name = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+    supplier, nation = table(spark, d, "supplier"), table(spark, d, "nation")
+    s, n, r = name("s", "s_suppkey"), name("n", "n_nationkey"), name("r", "n_regionkey")
+    vertices = supplier.select(s.alias("id")).union(nation.select(n)).union(table(spark, d, "region").select(name("r", "r_regionkey")))
+    edges = supplier.select(s.alias("src"), name("n", "s_nationkey").alias("dst")).union(nation.select(n, r)).union(nation.select(r, n))
+    balances = keep(supplier.select(s.alias("id"), "s_acctbal"))
+    ends = _ends("s_acctbal", "id")
+    whole = search.Merged(balances.withColumn("idx", F.lit(0).cast("long")), ends, lambda found: True).total
+    same = reduction.States(balances, ends, lambda found: found == whole)
+    return reduction.graph_reduction_condensed(keep(vertices), keep(edges), states=same).where("retained").select("id")
 
 
 def benchmark_regions(spark: SparkSession, d: str) -> DataFrame:

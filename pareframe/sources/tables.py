@@ -52,6 +52,17 @@ def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
             spark.conf.set(CLEAN, before)
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """``keep`` for loops: the optimizer's guess of the size isn't carried on.
+
+    A kept table has the guess of the plan that made it, and that of a join is the product of its sides'. In a loop over
+    joins of a table with itself these numbers get twice as long each round, until planning takes all the time. Here they
+    begin anew, as "unknown"; joins are then decided by what adaptive execution measures.
+    """
+    spark, kept = df.sparkSession, keep(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+
+
 def discard(spark: SparkSession, place: str) -> None:
     """Deletes a folder that Spark has written, on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)

@@ -80,7 +80,7 @@ def test_hierarchy(spark):
     assert found == {("top", 1), ("leaf", 11)}
 
 
-@pytest.mark.parametrize("n", [2, 8, 64])
+@pytest.mark.parametrize("n", [2, 4, 8, 16, 64])
 def test_pdd_keeps_one_item(spark, n):
     always = search.Property(universe(spark, n, set()), {"n": F.lit(1)}, lambda s: True)
     assert search.size(search.pdd(always)) == 1
@@ -150,9 +150,9 @@ def test_generated_levels(spark):
     assert found == {("level 1", 1), ("level 2", 11)} and asked == [None, [1], [11]]
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(3))
 def test_graph_reduction_of_any_property(spark, seed):
-    """Both ways of deciding give the closure of the targets, by layers and over condensed graphs."""
+    """All ways of deciding give the closure of the targets, by layers and over condensed graphs."""
     rnd = random.Random(seed)
     n = 14 if seed else 6
     edges = {(i, rnd.randrange(i)) for i in range(1, n) for _ in range(2)}
@@ -168,15 +168,96 @@ def test_graph_reduction_of_any_property(spark, seed):
     goals = spark.createDataFrame([(t,) for t in targets], "id long")
     holds = lambda left: goals.join(left, "id", "left_anti").isEmpty()
     assert kept(reduction.graph_reduction(vertices, links, goals)) == wanted
+    # the states are the least and the greatest target that is left
+    ends = {"least": search.least(F.col("goal")), "most": search.most(F.col("goal"))}
+    states = reduction.States(goals.withColumn("goal", F.col("id")), ends, lambda found: found == {"least": min(targets), "most": max(targets)})
+    assert kept(reduction.graph_reduction(vertices, links, states=states)) == wanted
     if seed == 0:
         assert kept(reduction.graph_reduction(vertices, links, holds=holds)) == wanted
         cyclic = links.union(spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"))
         both = wanted | ({0, 1} if wanted & {0, 1} else set())
         assert kept(reduction.graph_reduction_condensed(vertices, cyclic, holds=holds)) == both == kept(reduction.graph_reduction_condensed(vertices, cyclic, goals))
+        assert kept(reduction.graph_reduction_condensed(vertices, cyclic, states=states)) == both
 
 
-def test_long_paths(spark):
-    edges = spark.range(1, 8).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
-    assert graph.reach(spark.createDataFrame([(0, 0)], "root long, id long"), edges).count() == 8
-    layers = {r.id: r.layer for r in graph.layer_numbers(spark.range(8), edges).collect()}
-    assert layers == {i: 7 - i for i in range(8)}
+@pytest.mark.parametrize("small", [0, 1000])
+def test_long_paths(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    edges = spark.range(1, 12).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    assert graph.reach(spark.createDataFrame([(0, 0)], "root long, id long"), edges).count() == 12
+    layers = {r.id: r.layer for r in graph.layer_numbers(spark.range(12), edges).collect()}
+    assert layers == {i: 11 - i for i in range(12)}
+
+
+def test_states_that_need_too_much(spark, monkeypatch):
+    """Where too many groups of vertices would come to the driver, each candidate takes a job, with the same result."""
+    edges = spark.createDataFrame([(3, 0), (4, 1), (5, 2), (5, 1)], "src long, dst long")
+    ends = {"most": search.most(F.col("id"))}
+    states = reduction.States(spark.range(6).withColumn("most", F.col("id")), ends, lambda found: found["most"] == 5)
+    asked = []
+    monkeypatch.setattr(reduction, "Tested", lambda *a: asked.append(1) or search.Tested(*a))
+    expected = {1, 2, 5}
+    kept = lambda: {r.id for r in reduction.graph_reduction(spark.range(6), edges, states=states).where("retained").collect()}
+    assert kept() == expected and not asked
+    monkeypatch.setattr(reduction, "SIGNATURES", 1)
+    assert kept() == expected and asked
+
+
+@pytest.mark.parametrize("find", [search.ddmin, search.pdd])
+@pytest.mark.parametrize("local", [0, 4, 4096])
+def test_merged_states_decide_as_single_runs_do(spark, monkeypatch, find, local):
+    """Least, greatest and set of values: the same answer and the same log, wherever states are merged."""
+    monkeypatch.setattr(search, "LOCAL", local)
+    rnd = random.Random(local)
+    rows = [(i, rnd.choice([None, *range(9)]), rnd.choice("abc")) for i in range(14)]
+    items = spark.createDataFrame(rows, "idx long, v long, k string")
+
+    def run(kept):
+        r = kept.agg(F.min(F.struct("v", "idx")).alias("least"), F.max(F.struct("v", "idx")).alias("most"), F.array_sort(F.collect_set("k")).alias("k"), F.count("*").alias("n")).first()
+        return None if not r.n else (tuple(r.least), tuple(r.most), list(r.k))
+
+    at = F.struct("v", "idx")
+    merged = search.same_state(items, {"least": search.least(at), "most": search.most(at), "k": search.distinct(F.col("k"))})
+    single = search.same_failure(items, run, lambda a, b: a == b)
+    assert find(merged) == find(single)
+    assert merged.log == single.log
+    assert merged.baseline == dict(zip(["least", "most", "k"], single.baseline, strict=True))
+
+
+def test_states_of_nothing(spark):
+    none = spark.createDataFrame([], "idx long, v long")
+    with pytest.raises(search.NoFailure):
+        search.same_state(none, {"least": search.least(F.col("v"))})
+    empty = search.same_state(spark.range(3).select(F.col("id").alias("idx"), F.lit(1).alias("v")), {"v": search.distinct(F.col("v"))})
+    assert search.size(search.ddmin(empty, zero=True)) == 1
+    assert {x["verdict"] for x in empty.log} == {search.SAME, search.NONE}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 100])
+def test_candidates_as_a_key(spark, monkeypatch, batch):
+    """A median has no state to merge: candidates are run together, and decide as single runs do."""
+    monkeypatch.setattr(search, "BATCH", batch)
+    items = spark.createDataFrame([(i, v) for i, v in enumerate([5, 1, 9, 5, 7, 3, 8, 2, 5])], "idx long, v long")
+    medians = []
+
+    def run(rows):
+        medians.append(rows)
+        return rows.groupBy("candidate").agg(F.expr("percentile(v, 0.5)").alias("median"), F.count("*").alias("n"))
+
+    holds = lambda r: r is not None and r["median"] == 5 and r["n"] >= 3
+    grouped = search.Grouped(items, run, holds)
+
+    def alone(kept, out):
+        r = kept.agg(F.expr("percentile(v, 0.5)").alias("median"), F.count("*").alias("n")).first()
+        return holds(r.asDict())
+
+    single = search.Tested(items, alone)
+    assert search.ddmin(grouped) == search.ddmin(single)
+    assert grouped.log == single.log
+    if batch == 100:
+        assert len(medians) < len(single.log)
+
+
+def test_sums_of_doubles_are_refused(spark):
+    with pytest.raises(ValueError):
+        search.Property(spark.range(3).withColumnRenamed("id", "idx"), {"x": F.lit(0.1)}, lambda s: True)
