@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pareframe.plans import graphs, relations, reports, searches, trees
+from pareframe.plans import graphs, relations, reports, searches, texts, trees
 
-ALL = searches.QUERIES | graphs.QUERIES | trees.QUERIES | relations.QUERIES | reports.QUERIES
+ALL = searches.QUERIES | graphs.QUERIES | trees.QUERIES | relations.QUERIES | reports.QUERIES | texts.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
