@@ -31,14 +31,18 @@ def edited_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def calls_without_parameter(spark: SparkSession, d: str) -> DataFrame:
     """Orders as calls: lines are parameters, positional in even orders, named and turned round in odd ones. Parameter p2 goes."""
-    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("at"), F.col("l_partkey").cast("string").alias("part"))
-    value = F.when(F.col("at") % 2 == 0, F.concat(F.lit('g('), "part", F.lit(', "a,(b")'))).otherwise(F.col("part"))
-    calls = line.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", value.alias("value")))).alias("lines"))
-    plain = F.array_join(F.transform("lines", lambda x: x["value"]), ", ")
-    named = F.array_join(F.transform(F.reverse("lines"), lambda x: F.concat(F.lit("p"), x["at"].cast("string"), F.lit(" = "), x["value"])), ", ")
+    line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey").alias("line"))
+    name = lambda i: F.concat(F.lit("p"), (i + 1).cast("string"))
+
+    def value(x, i):
+        part = x["l_partkey"].cast("string")
+        return F.struct(name(i).alias("name"), F.when(i % 2 == 1, F.concat(F.lit("g("), part, F.lit(', "a,(b")'))).otherwise(part).alias("value"))
+
+    calls = line.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("line")), value).alias("lines"))
+    plain = F.array_join("lines.value", ", ")
+    named = F.array_join(F.transform(F.reverse("lines"), lambda x: F.concat(x["name"], F.lit(" = "), x["value"])), ", ")
     body = F.when(F.col("id") % 2 == 0, plain).otherwise(named)
-    names = F.transform("lines", lambda x: F.concat(F.lit("p"), x["at"].cast("string")))
-    calls = keep(arguments.matched(calls.select("id", F.concat(F.lit("f("), body, F.lit(")")).alias("call"), names.alias("parameters"))))
+    calls = keep(arguments.matched(calls.select("id", F.concat(F.lit("f("), body, F.lit(")")).alias("call"), F.col("lines.name").alias("parameters"))))
     found = arguments.without_parameter(calls, calls.select("id", F.lit("p2").alias("parameter")))
     return found.select(F.col("id").alias("l_orderkey"), F.col("edited").alias("call"), F.array_join("arguments.parameter", ",").alias("parameters"))
 
@@ -52,7 +56,7 @@ def code_without_comments(spark: SparkSession, d: str) -> DataFrame:
     ]
     by = F.pmod("l_linenumber", F.lit(4))
     text = F.when(by == 0, kinds[0]).when(by == 1, kinds[1]).when(by == 2, kinds[2]).otherwise(kinds[3])
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", text.alias("text")).alias("line"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", text.alias("text")).alias("line"))
     source = F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["text"]), "\n")
     found = comments.without(lines.groupBy("id").agg(source.alias("text")))
     return found.select(F.col("id").alias("l_orderkey"), F.md5("edited").alias("digest"), F.col("n_edits").alias("n_comments"))
@@ -84,16 +88,17 @@ QUERIES = {
     ),
     "calls_without_parameter": (
         calls_without_parameter,
-        """WITH l AS (SELECT l_orderkey, l_linenumber AS k, CASE WHEN l_linenumber % 2 = 0 THEN 'g(' || l_partkey || ', "a,(b")' ELSE CAST(l_partkey AS VARCHAR) END AS v FROM lineitem),
+        """WITH n AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem),
+        l AS (SELECT l_orderkey, k, CASE WHEN k % 2 = 0 THEN 'g(' || l_partkey || ', "a,(b")' ELSE CAST(l_partkey AS VARCHAR) END AS v FROM n),
         p AS (SELECT l_orderkey, string_agg(v, ', ' ORDER BY k) FILTER (WHERE k <> 2) AS plain, string_agg('p' || k || ' = ' || v, ', ' ORDER BY k DESC) FILTER (WHERE k <> 2) AS named,
             string_agg('p' || k, ',' ORDER BY k) FILTER (WHERE k <> 2) AS up, string_agg('p' || k, ',' ORDER BY k DESC) FILTER (WHERE k <> 2) AS down FROM l GROUP BY l_orderkey)
         SELECT l_orderkey, 'f(' || coalesce(CASE WHEN l_orderkey % 2 = 0 THEN plain ELSE named END, '') || ')' AS call, coalesce(CASE WHEN l_orderkey % 2 = 0 THEN up ELSE down END, '') AS parameters FROM p""",
     ),
     "code_without_comments": (
         code_without_comments,
-        """WITH l AS (SELECT l_orderkey, l_linenumber AS k, CASE l_linenumber % 4 WHEN 0 THEN 'x = ' || l_partkey || '; ' WHEN 1 THEN 's = "/* ' || l_partkey || ' \\" //";'
+        """WITH l AS (SELECT l_orderkey, l_linenumber AS k, l_partkey AS p, CASE l_linenumber % 4 WHEN 0 THEN 'x = ' || l_partkey || '; ' WHEN 1 THEN 's = "/* ' || l_partkey || ' \\" //";'
             WHEN 2 THEN 'y = ' || l_partkey || ' ' ELSE ' z = ''"'';' END AS line FROM lineitem)
-        SELECT l_orderkey, md5(string_agg(line, chr(10) ORDER BY k)) AS digest, count(*) FILTER (WHERE k % 4 <> 1) AS n_comments FROM l GROUP BY l_orderkey""".replace("\\\\", "\\"),
+        SELECT l_orderkey, md5(string_agg(line, chr(10) ORDER BY k, p)) AS digest, count(*) FILTER (WHERE k % 4 <> 1) AS n_comments FROM l GROUP BY l_orderkey""".replace("\\\\", "\\"),
     ),
     "counts_kept_up": (
         counts_kept_up,
