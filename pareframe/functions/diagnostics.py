@@ -17,8 +17,8 @@ FRAME = "\tat"
 INFORMATIVE = "at org.jetbrains.kotlin."
 #: Sums of differences over this lose the similarity of stack traces.
 SIMILAR = 0.95
-#: A path with a place, in a text.
-PLACE = r"(?:file://)?/.+?:-?\d+:-?\d+"
+#: What may stand before a path that begins a word, and before the path of a file's address.
+BEFORE, ADDRESS = "\"'([{<=", "file://"
 
 
 def _trim(text: Column) -> Column:
@@ -106,8 +106,16 @@ def reported(rows: DataFrame) -> DataFrame:
 
 
 def relative_path(path: Column, base: Column) -> Column:
-    """An absolute path seen from ``base``, at component borders, with ``..`` where it must go up; others stay."""
-    parts = lambda x: F.filter(F.split(x, "/", -1), lambda p: p != "")
+    """An absolute path seen from ``base``, at component borders, with ``..`` where it must go up; others stay.
+
+    ``.`` and inner ``..`` of both are taken out first.
+    """
+
+    def parts(x: Column) -> Column:
+        named = F.filter(F.split(x, "/", -1), lambda p: ~p.isin("", "."))
+        up = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.aggregate(named, F.array().cast("array<string>"), lambda out, p: F.when(p == "..", up(out)).otherwise(F.concat(out, F.array(p))))
+
     mine, its = parts(path), parts(base)
     shorter = F.least(F.size(mine), F.size(its))
     same = F.zip_with(F.slice(mine, F.lit(1), shorter), F.slice(its, F.lit(1), shorter), lambda a, b: a == b)
@@ -117,12 +125,28 @@ def relative_path(path: Column, base: Column) -> Column:
     return F.when(F.startswith(path, F.lit("/")), found).otherwise(path)
 
 
+def _relative_word(word: Column, base: Column) -> Column:
+    """A word in which a path with a place is seen from ``base``; ``BEFORE`` it, and behind the place, anything may stand."""
+    bare = F.ltrim(word, F.lit(BEFORE))
+    head = F.substr(word, F.lit(1), F.char_length(word) - F.char_length(bare))
+    scheme = F.when(F.startswith(bare, F.lit(ADDRESS)), F.lit(ADDRESS)).otherwise("")
+    body = F.substr(bare, F.char_length(scheme) + 1)
+    # the place ends with a digit
+    digits = F.rtrim(F.translate(body, "0123456789", "0" * 10))
+    size = F.char_length(digits) - F.instr(F.reverse(digits), "0") + 1
+    path, tail = F.substr(body, F.lit(1), size), F.substr(body, size + 1)
+    at = position(path)
+    moved = F.concat(head, scheme, relative_path(at["file"], base), F.substr(path, F.char_length(at["file"]) + 1), tail)
+    return F.when(F.startswith(body, F.lit("/")) & at.isNotNull(), moved).otherwise(word)
+
+
 def relative(text: Column, base: Column) -> Column:
-    """``text`` in which each path with a place (``/a/b:line:col``, a ``file://`` before it stays) is seen from ``base``."""
-    between, hits = F.split(text, PLACE, -1), F.regexp_extract_all(text, F.lit(f"({PLACE})"), F.lit(1))
-    part = lambda x, i: F.regexp_extract(x, r"^(file://)?(.+?)(:-?\d+:-?\d+)$", i)
-    moved = F.transform(hits, lambda x: F.concat(part(x, 1), relative_path(part(x, 2), base), part(x, 3)))
-    return F.array_join(F.zip_with(between, moved, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    """``text`` in which each path with a place (``/a/b:line:col``, a ``file://`` before it stays) is seen from ``base``.
+
+    A path is within one word: it begins it, but for brackets and quotes, and has no white space.
+    """
+    words = F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)", -1)
+    return F.array_join(F.transform(words, lambda w: _relative_word(w, base)), "")
 
 
 def relativised(rows: DataFrame, base: Column) -> DataFrame:

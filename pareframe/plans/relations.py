@@ -58,7 +58,7 @@ def ordered_args(spark: SparkSession, d: str) -> DataFrame:
 
 
 def argument_removal(spark: SparkSession, d: str) -> DataFrame:
-    """Arguments without the smallest."""
+    """Arguments without all that are equal to the smallest."""
     rest = F.filter("args", lambda x: x != F.array_min("args"))
     return _arguments(spark, d).select("l_orderkey", F.array_join(F.transform(rest, lambda x: x.cast("string")), ",").alias("args"))
 

@@ -124,7 +124,8 @@ def diag_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diag_same(spark: SparkSession, d: str) -> DataFrame:
-    """Whether an hour's first half of a user's diagnostics is the same failure as the second; by key, in order."""
+    """Of each 32 events and form of message: whether the diagnostics of the first 16 are the same failure as those of the
+    others, in order."""
     rows = diagnostics.reported(diagnostics.parsed(_raw_diagnostics(spark, d))).withColumn("block", F.floor(F.col("event_id") / 32).cast("long"))
     half = lambda i: rows.where(F.floor(F.pmod("event_id", F.lit(32)) / 16) == i)
     return diagnostics.same_failures(half(0), half(1), ["block", "form"], ["event_id"])

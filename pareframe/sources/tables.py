@@ -36,7 +36,8 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` computed once and held in the shared checkpoint folder; its lineage ends there, and its shuffles go.
 
-    ``rows``, where a bound is known, keeps a small table from being spread over many small files.
+    ``rows``, where a bound is known, says in how few partitions a small table is read again; it is made in as many as its
+    plan has.
     """
     spark = df.sparkSession
     shared_folder(spark)
@@ -44,12 +45,13 @@ def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark.conf.set(CLEAN, "true")
     try:
         # planned anew, under this setting
-        return (df.select("*") if rows is None else df.coalesce(rows // PART_ROWS + 1)).checkpoint(eager=True)
+        kept = df.select("*").checkpoint(eager=True)
     finally:
         if before is None:
             spark.conf.unset(CLEAN)
         else:
             spark.conf.set(CLEAN, before)
+    return kept if rows is None else kept.coalesce(rows // PART_ROWS + 1)
 
 
 def fresh(df: DataFrame) -> DataFrame:

@@ -70,6 +70,11 @@ def test_messages(spark):
         ("/based/x.kt:-1:-1", "../based/x.kt:-1:-1"),
         ("in /base/a/b.kt:3:4 and /base/c.kt:5:6!", "in a/b.kt:3:4 and c.kt:5:6!"),
         ("no path, 1:2", "no path, 1:2"),
+        ("ratio 1/2 in /base/a.kt:1:2", "ratio 1/2 in a.kt:1:2"),
+        ("at / or so in /base/a.kt:1:2", "at / or so in a.kt:1:2"),
+        ("http://x/y:80:1 is none", "http://x/y:80:1 is none"),
+        ("(see \"/base/a.kt:1:2\"), \t'file:///base/b.kt:-1:-1'.\n /base/c:3", "(see \"a.kt:1:2\"), \t'file://b.kt:-1:-1'.\n /base/c:3"),
+        ("/base/./x/../a.kt:1:2", "a.kt:1:2"),
         ("", ""),
     ],
 )
@@ -79,8 +84,8 @@ def test_relative(spark, text, seen):
 
 def test_relative_paths(spark):
     path = lambda p, base: diagnostics.relative_path(F.lit(p), F.lit(base))
-    r = one(spark, a=path("/a/b/c", "/a/x/y"), b=path("/a/b", "/a/b"), c=path("rel/x", "/a"), d=path("/x", "/"))
-    assert tuple(r) == ("../../b/c", "", "rel/x", "x")
+    r = one(spark, a=path("/a/b/c", "/a/x/y"), b=path("/a/b", "/a/b"), c=path("rel/x", "/a"), d=path("/x", "/"), e=path("/base/./y/../z", "/base/q/.."), f=path("/../x", "/"))
+    assert tuple(r) == ("../../b/c", "", "rel/x", "x", "z", "x")
 
 
 def test_stack_prefix(spark):
