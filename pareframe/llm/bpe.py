@@ -24,6 +24,7 @@ import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pareframe.llm.rows import add_columns, column, named, numbered
-from pareframe.sources.tables import shared_folder
+from pareframe.sources.tables import keep, shared_folder
 
 #: Words of the lexicon, and bytes of the longest: the file has some MB at most. Rarer words are merged.
 LEXICON, LONGEST = 1 << 16, 64
@@ -406,9 +407,17 @@ def count_words(documents: DataFrame, tokenizer: bytes) -> DataFrame:
 
 
 def make_lexicon(documents: DataFrame, tokenizer: bytes, size: int = LEXICON) -> bytes:
-    """The compiled lexicon of the ``size`` most frequent words; at most ``size`` * LONGEST bytes come to the driver."""
-    words = Words(tokenizer)
-    frequent = [bytes(r["word"]) for r in count_words(documents, tokenizer).orderBy(F.desc("n"), "word").limit(size).collect()] if size else []
+    """The compiled lexicon of the most frequent words, at most ``size``, each met twice at least.
+
+    Words are sorted into classes by count, eight to a doubling; as many whole classes are taken as ``size`` allows. So
+    the driver gets at most ``size`` * LONGEST bytes, and nothing is sorted.
+    """
+    words, frequent = Words(tokenizer), []
+    if size:
+        counted = keep(count_words(documents, tokenizer).where("n > 1").select("word", F.floor(F.log2("n") * 8).alias("class")))
+        classes = counted.groupBy("class").count().orderBy(F.desc("class")).collect()
+        fitting = [r["class"] for r, total in zip(classes, accumulate(r["count"] for r in classes), strict=True) if total <= size]
+        frequent = [bytes(r["word"]) for r in counted.where(F.col("class") >= fitting[-1]).collect()] if fitting else []
     ids, counts = words.merge_all(frequent)
     return compile_lexicon(dict(zip(frequent, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if frequent else {})
 

@@ -135,7 +135,9 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], markup:
             for r in batch:
                 text = r.pop("text")
                 seen = trigrams(visible(text) if markup and text else text)
-                mean = table[seen].mean(axis=0, dtype=np.float64) if len(seen) else np.zeros(len(languages))
+                # a row of the table for each distinct trigram only: BUCKETS at most, however long the text
+                distinct, times = np.unique(seen, return_counts=True)
+                mean = times @ table[distinct] / max(1, len(seen))
                 r["ll"] = [round(float(x), 6) for x in mean * min(len(seen), WEIGHT)]
                 r["soft"] = _soft(r["ll"])
             return batch

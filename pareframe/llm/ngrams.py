@@ -42,6 +42,8 @@ ROUNDS, TRIED = 3, 8
 SIGNS = ("s0", "s1", "s2", "s3")
 #: Buckets to a shuffle partition; documents that send their shingles together.
 SPREAD, PIECE = 8, 2048
+#: Shingles that a bucket counts, about, where there are so many that SPREAD doesn't do.
+BUCKET_SHINGLES = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,12 +206,12 @@ def ranked_sets(documents: DataFrame, measured: DataFrame) -> DataFrame:
     ``tokens`` all others.
     """
     spark = documents.sparkSession
-    total = measured.where("hash IS NULL").count()
+    total, shingles = measured.where("hash IS NULL").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     hot = measured.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("seen").alias("seen")).where(F.col("seen") * HOT >= total)
     # the most frequent MOST_HOT; those beyond, if any, are counted like all others
     hot = hot.orderBy(F.desc("seen"), "hash").limit(MOST_HOT)
     known = np.sort(np.array([r.hash for r in hot.select("hash").toLocalIterator()], dtype=np.int64).view(np.uint64))
-    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // BUCKET_SHINGLES)
     sent = _sent(documents, spark.sparkContext.broadcast(known), buckets)
     counted = sent.groupBy("bucket").applyInArrow(_counted, "batch long, hashes binary, owners binary, keys binary, sizes binary, counts binary")
     ordered = counted.groupBy("batch").applyInArrow(_ordered, "key binary, n long, alone long, grp binary, prefix array<long>, tokens binary, " + ", ".join(f"{s} long" for s in SIGNS))

@@ -16,7 +16,6 @@ with the rows.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 
@@ -33,7 +32,6 @@ FIT_ROWS = 20_000
 PREFIXES = (4, 5, 6)
 #: Contexts, at least, that a feature must have, and the least signed root of its likelihood ratio.
 LEAST_ROWS, LEAST_Z = 3, 3.5
-SENTENCE = re.compile(r"[.!?\n]+")
 #: Probability of any severity from which a document is toxic. Most clean ones are under 0.05.
 REJECT = 0.3
 
@@ -61,12 +59,6 @@ def contexts(text: str | None) -> dict[str, int]:
     return out
 
 
-def toxic_share(text: str, speaks) -> float:
-    """The share of the sentences with words for which ``speaks`` holds."""
-    sentences = [x for x in SENTENCE.split(text) if split(x)]
-    return sum(map(speaks, sentences)) / max(1, len(sentences))
-
-
 class Ordinal:
     """Weights by feature, and thresholds in order."""
 

@@ -100,11 +100,6 @@ def test_severity_is_that_of_the_weights(spark):
         assert (r["grade"], r["toxic"]) == (sum(p >= 0.5 for p in above), score > 0 and above[0] >= toxicity.REJECT)
 
 
-def test_share_of_toxic_sentences():
-    assert toxicity.toxic_share("Bad a. good!\n\nbad? ...", lambda x: "bad" in x.lower()) == 2 / 3
-    assert toxicity.toxic_share(" . ", lambda x: True) == 0
-
-
 @pytest.mark.parametrize("unit", ["<", "<script>", "<!--", "</script ", "<script></script ", "&a", "<html "])
 def test_markup_in_linear_time(unit):
     began = time.perf_counter()
