@@ -116,28 +116,40 @@ def relative_path(path: Column, base: Column) -> Column:
         up = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
         return F.aggregate(named, F.array().cast("array<string>"), lambda out, p: F.when(p == "..", up(out)).otherwise(F.concat(out, F.array(p))))
 
-    mine, its = parts(path), parts(base)
-    shorter = F.least(F.size(mine), F.size(its))
-    same = F.zip_with(F.slice(mine, F.lit(1), shorter), F.slice(its, F.lit(1), shorter), lambda a, b: a == b)
-    differs = F.array_position(same, False).cast("int")
-    common = F.when(differs > 0, differs - 1).otherwise(shorter)
-    found = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(its) - common), F.slice(mine, common + 1, F.size(mine))), "/")
-    return F.when(F.startswith(path, F.lit("/")), found).otherwise(path)
+    def seen(both: Column) -> Column:
+        mine, its = both["mine"], both["its"]
+        shorter = F.least(F.size(mine), F.size(its))
+        same = F.zip_with(F.slice(mine, F.lit(1), shorter), F.slice(its, F.lit(1), shorter), lambda a, b: a == b)
+        return _let(F.coalesce(F.nullif(F.array_position(same, False).cast("int"), F.lit(0)) - 1, shorter), lambda common: F.array_join(
+            F.concat(F.array_repeat(F.lit(".."), F.size(its) - common), F.slice(mine, common + 1, F.size(mine))), "/"
+        ))
+
+    return F.when(F.startswith(path, F.lit("/")), _let(F.struct(parts(path).alias("mine"), parts(base).alias("its")), seen)).otherwise(path)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _relative_word(word: Column, base: Column) -> Column:
     """A word in which a path with a place is seen from ``base``; ``BEFORE`` it, and behind the place, anything may stand."""
-    bare = F.ltrim(word, F.lit(BEFORE))
-    head = F.substr(word, F.lit(1), F.char_length(word) - F.char_length(bare))
-    scheme = F.when(F.startswith(bare, F.lit(ADDRESS)), F.lit(ADDRESS)).otherwise("")
-    body = F.substr(bare, F.char_length(scheme) + 1)
-    # the place ends with a digit
-    digits = F.rtrim(F.translate(body, "0123456789", "0" * 10))
-    size = F.char_length(digits) - F.instr(F.reverse(digits), "0") + 1
-    path, tail = F.substr(body, F.lit(1), size), F.substr(body, size + 1)
-    at = position(path)
-    moved = F.concat(head, scheme, relative_path(at["file"], base), F.substr(path, F.char_length(at["file"]) + 1), tail)
-    return F.when(F.startswith(body, F.lit("/")) & at.isNotNull(), moved).otherwise(word)
+
+    def apart(bare: Column) -> Column:
+        scheme = F.when(F.startswith(bare, F.lit(ADDRESS)), F.lit(ADDRESS)).otherwise("")
+        head = F.substr(word, F.lit(1), F.char_length(word) - F.char_length(bare))
+        return F.struct(F.concat(head, scheme).alias("head"), F.substr(bare, F.char_length(scheme) + 1).alias("body"))
+
+    def placed(w: Column) -> Column:
+        # the place ends with the last digit
+        digits = F.reverse(F.translate(w["body"], "0123456789", "0" * 10))
+        size = F.char_length(w["body"]) - F.instr(digits, "0") + 1
+        path = F.substr(w["body"], F.lit(1), size)
+        found = F.struct(path.alias("path"), position(path).alias("at"), F.substr(w["body"], size + 1).alias("tail"))
+        moved = lambda x: F.concat(w["head"], relative_path(x["at"]["file"], base), F.substr(x["path"], F.char_length(x["at"]["file"]) + 1), x["tail"])
+        return F.when(F.startswith(w["body"], F.lit("/")), _let(found, lambda x: F.when(x["at"].isNotNull(), moved(x)).otherwise(word))).otherwise(word)
+
+    return F.when(F.instr(word, "/") > 0, _let(F.ltrim(word, F.lit(BEFORE)), lambda bare: _let(apart(bare), placed))).otherwise(word)
 
 
 def relative(text: Column, base: Column) -> Column:
