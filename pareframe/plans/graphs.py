@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pareframe.operators import components, graph
+from pareframe.operators import components, graph, members
 from pareframe.plans.searches import fk_graph
 from pareframe.sources.tables import keep, table
 
@@ -89,6 +89,25 @@ def linked_traders(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(_trade(spark, d))
 
 
+def member_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as types below their nation, nations below their region. Some of each declare a member, regions abstract
+    ones; each lies in a file of its region's folder, and customers are used by the suppliers of their number, twice."""
+    name = lambda kind, column: F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+    customer, nation, region = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    sub = customer.select(name("c", "c_custkey").alias("sub"), name("n", "c_nationkey").alias("super")).union(nation.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
+
+    def declared(rows: DataFrame, kind: str, key: str, every: int) -> DataFrame:
+        own = rows.where(F.col(key) % every == 0)
+        return own.select(name(f"{kind}m", key).alias("id"), name(kind, key).alias("owner"), F.lit("f").alias("name"), F.lit(kind == "r").alias("abstract"))
+
+    found = declared(customer, "c", "c_custkey", 2).union(declared(nation, "n", "n_nationkey", 3)).union(declared(region, "r", "r_regionkey", 2))
+    file = F.concat(F.lit("src/"), F.col("n_regionkey").cast("string"), F.lit("/"), F.col("n_nationkey").cast("string"), F.lit(".kt"))
+    elements = nation.select(name("n", "n_nationkey").alias("id"), file.alias("path"), F.lit(None).cast("string").alias("parent"))
+    uses = table(spark, d, "supplier").join(customer, F.col("s_suppkey") == F.col("c_custkey")).select(name("s", "s_suppkey").alias("src"), name("c", "c_custkey").alias("dst"))
+    edges = members.multigraph(elements, keep(sub), keep(found), uses.union(uses))
+    return edges.groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+
+
 _FK = """e AS (
     SELECT 'o:' || o_orderkey AS src, 'c:' || o_custkey AS dst, 'o-c' AS kind FROM orders
     UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'c-n' FROM customer
@@ -136,6 +155,19 @@ QUERIES = {
         reach(id, root) AS (SELECT src, src FROM e UNION SELECT b.dst, reach.root FROM reach JOIN b ON b.src = reach.id)
         SELECT id, min(root) AS component FROM reach GROUP BY id""",
     ),
+    "member_graph": (
+        member_graph,
+        """WITH t AS (SELECT 'c:' || c_custkey AS sub, 'n:' || c_nationkey AS super FROM customer UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation),
+        o AS (SELECT 'cm:' || c_custkey AS src, 'c:' || c_custkey AS owner, CASE WHEN n_nationkey % 3 = 0 THEN 'nm:' || n_nationkey WHEN n_regionkey % 2 = 0 THEN 'rm:' || n_regionkey END AS dst
+                FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 0
+            UNION ALL SELECT 'nm:' || n_nationkey, 'n:' || n_nationkey, CASE WHEN n_regionkey % 2 = 0 THEN 'rm:' || n_regionkey END FROM nation WHERE n_nationkey % 3 = 0),
+        f AS (SELECT 'src/' || n_regionkey || '/' || n_nationkey || '.kt' AS file, 'src/' || n_regionkey AS folder, n_nationkey FROM nation),
+        u AS (SELECT 's:' || s_suppkey AS src, 'c:' || c_custkey AS dst FROM supplier JOIN customer ON s_suppkey = c_custkey),
+        e AS (SELECT sub AS src, super AS dst, 'overload' AS kind FROM t UNION ALL SELECT src, dst, 'overload' FROM o WHERE dst IS NOT NULL
+            UNION ALL SELECT owner, src, 'obligatory' FROM o WHERE dst LIKE 'rm:%' UNION ALL SELECT src, dst, 'usage' FROM u UNION ALL SELECT src, dst, 'usage' FROM u
+            UNION ALL SELECT 'n:' || n_nationkey, file, 'tree' FROM f UNION ALL SELECT file, folder, 'file' FROM f UNION ALL SELECT DISTINCT folder, 'src', 'file' FROM f UNION ALL SELECT 'src', '', 'file')
+        SELECT src, dst, kind, count(*) AS n FROM e GROUP BY src, dst, kind""",
+    ),
     # no SQL: recursion holds each pair of linked ids, the square of a component
     "linked_traders": (linked_traders, None),
 }

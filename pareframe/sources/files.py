@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MANIFEST = "name string, path string, build_system string, modules string, reproduces boolean, extra struct<tags:array<string>,issue:string>"
@@ -22,6 +22,37 @@ def lines(spark: SparkSession, root: str, extension: str) -> DataFrame:
     return cut.select("path", (F.col("number") + 1).alias("number"), "line")
 
 
+def split_lines(spark: SparkSession, root: str, extension: str) -> DataFrame:
+    """As ``lines``, of files that are read in splits: (path, block, number, line).
+
+    ``block`` is where the split begins. Lines of a split are counted where it is read, splits of a file are added up in
+    order, so a file is never in one task. A line end at the end of a file begins no further line.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").option("lineSep", "\n").text(root)
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    # a split is read by one task, line by line
+    blocks = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(blocks, ["path", "block"]).select("path", "block", (F.col("at") - F.col("first") + F.col("before") + 1).alias("number"), "line")
+
+
+def records(lines: DataFrame, begins: Column) -> DataFrame:
+    """(path, number, record): the lines from one for which ``begins`` holds to the next such, wherever splits end.
+
+    ``lines`` are those of ``split_lines``. Lines before the first such line are one record. Within a split the last
+    beginning is looked for line by line; from split to split only the last of each goes on.
+    """
+    inside = Window.partitionBy("path", "block").orderBy("number")
+    mine = lines.withColumn("begun", F.max(F.when(begins, F.col("number"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = mine.groupBy("path", "block").agg(F.max("begun").alias("last"))
+    earlier = F.max("last").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("path", "block", earlier.alias("carried"))
+    whole = mine.join(carried, ["path", "block"]).withColumn("begun", F.coalesce("begun", "carried", F.lit(1)))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n")
+    return whole.groupBy("path", F.col("begun").alias("number")).agg(text.alias("record"))
+
+
 def log_entries(rows: DataFrame, line: str = "line") -> DataFrame:
     """``rows`` that are ``HH:mm:ss.SSS - message``, with seconds of the day and message."""
     part = lambda i: F.regexp_extract(line, r"^(\d{2}):(\d{2}):(\d{2}\.\d{3}) - (.*)$", i)
