@@ -3,7 +3,7 @@
 import json
 
 from pareframe.operators import reduction, search
-from pareframe.operators.stages import Pipeline, Settings, keep_found
+from pareframe.operators.stages import Pipeline, Settings, keep_found, keep_graph, keep_levels
 from pareframe.sources import files
 from pyspark.sql import functions as F
 
@@ -44,3 +44,27 @@ def test_stages(spark):
     state = Pipeline(stages).run(data, Settings(search="pdd", stages=("groups", "rows")))
     assert sorted(r.id for r in state.data.collect()) == [8, 11] and state.version == 2
     assert search.size(search.ddmin(wanted("id", [])(search.numbered(data, "id")), zero=True)) == 0
+
+
+def test_stages_by_levels_and_by_graph(spark):
+    """Functions of files of folders by levels, then what they need by a graph, then single rows."""
+    rows = [(i, f"d{i % 3}", f"f{i % 6}", i) for i in range(18)]
+    data = spark.createDataFrame(rows, "id long, folder string, file string, n long")
+    edges = spark.createDataFrame([(i, i - 6) for i in range(6, 18)] + [(0, 3), (3, 0), (99, 5)], "src long, dst long")
+    wanted = {8, 15}
+
+    def of_level(items):
+        keys = [c for c in items.columns if c != "idx"]
+        counts = data.groupBy(*keys).agg(F.sum(F.col("n").isin(wanted).cast("int")).alias("wanted"))
+        return reduction.contains_all(items.join(counts, keys), "wanted")
+
+    targets = spark.createDataFrame([(w,) for w in wanted], "id long")
+    stages = {
+        "file": lambda rows, s: keep_levels(rows, ["folder", "file"], of_level, s.find),
+        "graph": lambda rows, s: keep_graph(rows, edges, s.find, targets=targets),
+        "function": lambda rows, s: keep_found(rows, "id", lambda items: reduction.contains_all(items.withColumn("wanted", F.col("id").isin(wanted).cast("int")), "wanted"), s.find),
+    }
+    steps = {("file",): {2, 8, 14, 3, 9, 15}, ("file", "graph"): {2, 8, 3, 9, 15}, ("file", "graph", "function"): wanted, ("graph",): {2, 8, 3, 9, 15, 0}}
+    for names, left in steps.items():
+        state = Pipeline(stages).run(data, Settings(stages=names))
+        assert {r.id for r in state.data.collect()} == left, names
