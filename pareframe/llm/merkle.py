@@ -16,6 +16,7 @@ rows; no source is ever in one task.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -266,3 +267,33 @@ def manifest_report(documents: DataFrame) -> DataFrame:
         kind = T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL(REPORT)])
         return documents.sparkSession.createDataFrame([], kind)
     return climb(found)
+
+
+def oracle() -> str:
+    """The report in DuckDB's SQL: levels by a recursive query over runs, then a climb from each leaf by another."""
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    field = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, [*FIELDS[:-1], text])) + ")"
+    return f"""WITH RECURSIVE
+        crc(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+        steps AS (SELECT list(c ORDER BY b) AS s FROM crc WHERE k = 8),
+        ids AS (SELECT DISTINCT doc_id, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS digits FROM documents WHERE doc_id IS NOT NULL),
+        hit AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, digits), lambda a, x: xor(a >> 8, s[(xor(a, x) & 255) + 1])), 4294967295) % 5 = 0 AS hit FROM ids, steps),
+        d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NOT NULL AS named, {leaf("text")} AS leaf, {leaf(f"translate(text, '{upper}', '{lower}')")} AS low FROM documents),
+        l AS (SELECT d.*, dense_rank() OVER (ORDER BY named, source) AS tree, row_number() OVER (PARTITION BY named, source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+            count(*) OVER (PARTITION BY named, source) AS n, CASE WHEN hit THEN low ELSE leaf END AS start FROM d LEFT JOIN hit USING (doc_id)),
+        low(tree, lvl, pos, n, h) AS (SELECT tree, 0, pos, n, leaf FROM l
+            UNION ALL SELECT tree, lvl + 1, pos // {RUN}, (n + {RUN - 1}) // {RUN}, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, lvl, n, pos // {RUN}),
+        sub AS (SELECT tree, h AS subroot, lvl AS last FROM low WHERE n = 1),
+        top(lvl, pos, n, h) AS (SELECT 0, tree - 1, count(*) OVER (), subroot FROM sub
+            UNION ALL SELECT lvl + 1, pos // {RUN}, (n + {RUN - 1}) // {RUN}, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // {RUN}),
+        nodes AS (SELECT tree, lvl, pos, n, h FROM low WHERE n > 1 UNION ALL SELECT 0, lvl, pos, n, h FROM top WHERE n > 1),
+        sib AS (SELECT *, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+            coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM nodes WINDOW w AS (PARTITION BY tree, lvl, pos // {RUN} ORDER BY pos)),
+        up(doc_id, leaf, own, tree, lvl, pos, h, proof, done) AS (SELECT doc_id, leaf, tree, CASE WHEN n = 1 THEN 0 ELSE tree END, 0, CASE WHEN n = 1 THEN tree - 1 ELSE pos END, start, '', false FROM l
+            UNION ALL SELECT u.doc_id, u.leaf, u.own, CASE WHEN s.n <= {RUN} THEN 0 ELSE u.tree END, CASE WHEN s.n <= {RUN} AND u.tree > 0 THEN 0 ELSE u.lvl + 1 END,
+                CASE WHEN s.n <= {RUN} THEN u.own - 1 ELSE u.pos // {RUN} END, sha256(s.before || u.h || s.after), u.proof || s.before || s.after, s.n <= {RUN} AND u.tree = 0
+                FROM up u JOIN sib s ON s.tree = u.tree AND s.lvl = u.lvl AND s.pos = u.pos WHERE NOT u.done),
+        root AS (SELECT h AS root FROM top WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM up JOIN sub ON sub.tree = up.own, root WHERE done OR (up.tree = 0 AND (SELECT count(*) FROM sub) = 1)"""

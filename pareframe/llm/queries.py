@@ -110,4 +110,4 @@ def _chat_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what an operator does: not for set joins at this size, models, tokenizers and parsers."""
-    return {"op2_exact_dedup": _exact_sql(), "op6_licence_scan": licences.oracle(), "op7_chat_formatting": _chat_sql()}
+    return {"op2_exact_dedup": _exact_sql(), "op6_licence_scan": licences.oracle(), "op7_chat_formatting": _chat_sql(), "op11_merkle_manifest": merkle.oracle()}
