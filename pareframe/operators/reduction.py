@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pareframe.operators import graph
 from pareframe.operators.search import LOCAL, Decided, Partial, Property, Ranges, Surviving, Tested, ddmin, numbered_and_counted, plain, retained
+from pareframe.operators.trace import Trace
 from pareframe.sources.tables import fresh, keep
 
 #: Called with a property, and ``zero`` where the empty set is to be tried.
@@ -41,13 +42,14 @@ def hierarchical(
     levels: list[Level] | Callable[[DataFrame | None], Level | None],
     search: Search = ddmin,
     tester: Callable[[str, DataFrame], Decided] = lambda name, items: contains_all(items, "wanted"),
+    trace: Trace | None = None,
 ) -> DataFrame:
     """(level, id) that stay. Each level is searched over what stayed on the one above.
 
     ``levels`` is a generator: called with the ids that stayed (``id``; None at first), it returns the next level's name
     and items (``id`` and whatever ``tester`` needs), or None; an empty level ends the search, too. A list of levels with
     a column ``parent`` stands for ``below`` of it. ``tester`` makes the property of a level's numbered items; by default
-    it is that nothing ``wanted`` is lost.
+    it is that nothing ``wanted`` is lost. ``trace`` is told of levels, and of what is decided in them.
     """
     following = below(levels) if isinstance(levels, list) else levels
     out, kept = None, None
@@ -55,8 +57,15 @@ def hierarchical(
         name, items = level
         items, n = numbered_and_counted(items, "id")
         if not n:
+            if trace is not None:
+                trace.empty(name)
             break
-        kept = keep(retained(items, search(tester(name, items))).where("retained").select("id"))
+        if trace is None:
+            ranges = search(tester(name, items))
+        else:
+            with trace.level(name, n):
+                ranges = search(trace.watch(tester(name, items)))
+        kept = keep(retained(items, ranges).where("retained").select("id"))
         one = kept.select(F.lit(name).alias("level"), "id")
         out = one if out is None else out.union(one)
     return out

@@ -168,7 +168,14 @@ def bounds_of(parts: list[Ranges]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Decided:
-    """What the kinds of properties share: each set is decided once; ``log`` has an entry for each decision."""
+    """What the kinds of properties share: each set is decided once; ``log`` has an entry for each decision.
+
+    A ``listener`` is called with each entry as it comes; ``compared`` then has the failures, or states, of the whole and of
+    the retained items, where these were compared.
+    """
+
+    listener: Callable[[dict], None] | None = None
+    compared: tuple | None = None
 
     def __init__(self, n: int):
         self.n, self.log, self.memo = n, [], {}
@@ -189,6 +196,8 @@ class Decided:
                 outcome = self._outcome(now, parts, i, complement)
                 self.memo[name] = outcome == SAME
                 self.log.append({"kind": kind, "retained": total - size(part) if complement else size(part), "outcome": self.memo[name], "verdict": outcome})
+                if self.listener is not None:
+                    self.listener(self.log[-1])
             if self.memo[name]:
                 return i
         return None
@@ -378,7 +387,12 @@ def same_state(items: DataFrame, states: dict[str, Partial], similar: Callable[[
     test.baseline = test.total
     if not any(v is not None for v in test.total.values()):
         raise NoFailure("there is no state to begin with")
-    test.holds = lambda found: NONE if all(v is None for v in found.values()) else SAME if similar(test.baseline, found) else OTHER
+
+    def holds(found: dict) -> str:
+        test.compared = test.baseline, found
+        return NONE if all(v is None for v in found.values()) else SAME if similar(test.baseline, found) else OTHER
+
+    test.holds = holds
     return test
 
 
@@ -454,6 +468,7 @@ def same_failure(items: DataFrame, run: Callable[[DataFrame], object], similar:
 
     def test(retained: DataFrame, deleted: DataFrame) -> str:
         found = run(retained)
+        out.compared = baseline, found
         return NONE if found is None else SAME if similar(baseline, found) else OTHER
 
     out = Tested(items, test)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pareframe.operators import paths, reduction, search, stages
+from pareframe.operators import paths, reduction, search, stages, trace
 from pareframe.plans.trees import _TREE
-from pareframe.sources.tables import keep, table
+from pareframe.sources.tables import keep, shared_folder, table
 
 TOP = 3
 
@@ -107,7 +109,7 @@ def ddmin_same_ends(spark: SparkSession, d: str) -> DataFrame:
     return _answer(items.select("idx", "item_id"), search.ddmin(search.same_state(items, _ends("s_acctbal", "item_id"))))
 
 
-def hdd_pages(spark: SparkSession, d: str) -> DataFrame:
+def hdd_pages(spark: SparkSession, d: str, events: trace.Trace | None = None) -> DataFrame:
     """Domains, hosts and so on down to the pages with the shortest and the longest text, from generated levels."""
     pages = table(spark, d, "pages").select("page_id", paths.url_parts(F.col("url")).alias("parts"), F.char_length("html").alias("size"))
     pages = keep(paths.prefixes(pages).select("page_id", "size", "prefix", "parent", "depth"))
@@ -127,7 +129,14 @@ def hdd_pages(spark: SparkSession, d: str) -> DataFrame:
         own = pages.where(F.col("depth") == int(name)).groupBy(F.col("prefix").alias("id")).agg(*(p.aggregate(p.column).alias(k) for k, p in ends.items()))
         return search.same_state(items.join(own, "id", "left"), {"least": search.least(F.col("least")), "most": search.most(F.col("most"))})
 
-    return reduction.hierarchical(following, tester=tester).select(F.col("level").cast("int").alias("depth"), F.col("id").alias("prefix"))
+    return reduction.hierarchical(following, tester=tester, trace=events).select(F.col("level").cast("int").alias("depth"), F.col("id").alias("prefix"))
+
+
+def trace_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What happens inside the search of ``hdd_pages``: levels, runs and comparisons by their verdict, and items in them."""
+    events = trace.Trace(spark, f"{shared_folder(spark)}/trace-{uuid.uuid4().hex}")
+    hdd_pages(spark, d, events)
+    return trace.totals(trace.read(spark, events.place))
 
 
 def graphdd_condensed(spark: SparkSession, d: str) -> DataFrame:
@@ -182,6 +191,8 @@ QUERIES = {
         f"""WITH {_TREE}, e AS ((SELECT page_id FROM pages ORDER BY length(html), page_id LIMIT 1) UNION (SELECT page_id FROM pages ORDER BY length(html) DESC, page_id DESC LIMIT 1))
         SELECT DISTINCT depth, prefix FROM pre WHERE page_id IN (SELECT page_id FROM e)""",
     ),
+    # no SQL: what a search tries depends on its way of searching; a test compares it with the log
+    "trace_pages": (trace_pages, None),
     "graphdd_condensed": (
         graphdd_condensed,
         """WITH e AS ((SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_acctbal, 's:' || s_suppkey LIMIT 1) UNION (SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_acctbal DESC, 's:' || s_suppkey DESC LIMIT 1)),

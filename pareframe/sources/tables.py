@@ -65,6 +65,16 @@ def fresh(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
 
 
+def write_text(spark: SparkSession, place: str, text: str) -> None:
+    """Writes a small file, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def discard(spark: SparkSession, place: str) -> None:
     """Deletes a folder that Spark has written, on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pareframe.operators import graph, reduction, search
+from pareframe.operators import graph, reduction, search, trace
 from pyspark.sql import functions as F
 
 
@@ -261,3 +261,33 @@ def test_candidates_as_a_key(spark, monkeypatch, batch):
 def test_sums_of_doubles_are_refused(spark):
     with pytest.raises(ValueError):
         search.Property(spark.range(3).withColumnRenamed("id", "idx"), {"x": F.lit(0.1)}, lambda s: True)
+
+
+def test_trace_of_a_search(spark, tmp_path):
+    """Events are what the log says, in order, within their levels; a level without items has one of its own."""
+    tree = spark.createDataFrame([(1, None, 1, 5), (2, None, 1, 9), (10, 1, 2, 5), (11, 1, 2, 7), (12, 2, 2, 9)], "id long, parent long, depth int, v int")
+    tests, depth = {}, 0
+
+    def following(kept):
+        nonlocal depth
+        depth += 1
+        level = tree.where(F.col("depth") == depth)
+        return str(depth), level if kept is None else level.join(kept.withColumnRenamed("id", "parent"), "parent", "left_semi")
+
+    def tester(name, items):
+        tests[name] = search.same_state(items, {"most": search.most(F.col("v"))}, lambda a, b: a == b)
+        return tests[name]
+
+    events = trace.Trace(spark, str(tmp_path / "events"))
+    found = {tuple(r) for r in reduction.hierarchical(following, tester=tester, trace=events).collect()}
+    assert found == {("1", 2), ("2", 12)}
+    rows = trace.read(spark, events.place).orderBy("number").collect()
+    assert [r.number for r in rows] == list(range(events.n))
+    assert [(r.event, r.name, r["items"]) for r in rows if r.event not in ("run", "comparison")] == [("level", "1", 2), ("level", "2", 1), ("empty level", "3", None)]
+    for name, test in tests.items():
+        mine = [r for r in rows if r.levels == [name]]
+        assert [(r.kind, r["items"], r.verdict) for r in mine] == [(x["kind"], x["retained"], x["verdict"]) for x in test.log]
+        assert all((r.event == "comparison") == (r.verdict != search.NONE) for r in mine)
+        assert all(r.same == (r.found == r.baseline) for r in mine if r.event == "comparison")
+    totals = {(r.level, r.event, r.verdict): r.n for r in trace.totals(trace.read(spark, events.place)).collect()}
+    assert sum(totals.values()) == events.n and totals["1", "level", None] == 1
