@@ -1,7 +1,7 @@
 """Delta debugging over rows: find a small subset of items for which a property still holds.
 
 Items are rows of a DataFrame, numbered by a dense ``idx``. What a search holds on the driver is a list of index
-ranges, never the items. A property says of any subset whether it holds:
+ranges, and of the last LOCAL items what they contribute. A property says of any subset whether it holds:
 
 * ``Property``: a predicate over sums. Every item has a few contributions, and a subset is decided from the sums of its
   items' contributions, so all chunks of a pass are tested by one Spark job; the complement of a chunk has the total
