@@ -6,7 +6,8 @@ search may move on without missing a pattern; where the distance is zero, the su
 patterns that may end there, and a direct comparison of all words confirms them.
 
 The benchmark is read in blocks of about ``BLOCK_ROWS`` items or ``BLOCK_BYTES`` of text, each of which is searched in
-all documents; only one block of patterns is in memory. Every document is compared with every block, whatever their
+all documents. The patterns of all blocks are sent out before the searches run, so executors that run several blocks hold
+several. Every document is compared with every block, whatever their
 number; of several blocks only what is found is kept and put together.
 """
 

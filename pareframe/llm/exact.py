@@ -87,7 +87,8 @@ def name_texts(documents: DataFrame, block: int = BLOCK, keys=(_digest, _itself)
 def exact_duplicates(documents: DataFrame, block: int = BLOCK, keys=(_digest, _itself)) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the row with the largest doc_id stays; of several with that doc_id, one. Null texts count as
+    Of equal texts the row with the largest doc_id stays; of several with that doc_id, one (the SQL, for tables whose ids
+    differ, calls all of them kept). Null texts count as
     empty, and all empty texts are equal. A null doc_id is smaller than any other; where a group has no other,
     keep_id is null. An empty table gives no rows. Other columns are not used.
     """

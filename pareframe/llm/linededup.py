@@ -54,7 +54,8 @@ class Lines:
     """The lines with words of a group of texts. ``word`` has the words of all, from ``begin`` on of each line.
 
     ``sid`` is made from the words of a line, whatever their order, and so are ``sign`` and ``sign2``, which have a bit for
-    each word, of 128. Lines of the same words have the same; so have no others, as ``sid`` and ``sign`` are 128 bits.
+    each word, of 128. Lines of the same words have the same. Others differ in ``sid`` with odds of 2^64 to 1, and mostly in
+    ``sign``, which has no more bits set than the line has words.
     """
 
     def __init__(self, text: np.ndarray, line: np.ndarray, word: np.ndarray):
