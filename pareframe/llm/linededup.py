@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pareframe.llm.rows import column, named, numbered
-from pareframe.llm.setjoin import DEN, NUM, expand, matching, may_match, pack, split_by, squeezed, unpack
+from pareframe.llm.setjoin import DEN, NUM, expand, matching, may_match, pack, size_class, split_by, squeezed, unpack
 from pareframe.llm.wordhash import mix, word_groups
 from pareframe.sources.tables import keep
 
@@ -45,6 +45,8 @@ STEP = 1 << 18
 #: Bits of the filter that tells which lines are needed for verification: so many to a line, within bounds; in blocks of
 #: BLOCK_BITS. Where the upper bound is too small for the lines, more of them are sent than needed.
 LINE_BITS, LEAST_BITS, MOST_BITS, BLOCK_BITS = 32, 1 << 20, 1 << 30, 1 << 16
+#: Places in which a task remembers lines that it has sent, 16 bytes each.
+SENT = 1 << 20
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 ONE, HALF = np.uint64(1), np.uint64(32)
@@ -328,23 +330,44 @@ def _filter_of(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
+class Sent:
+    """The line that was sent last from each of ``size`` places, a power of two; 16 bytes each, however many lines come.
+
+    A line has its place by its number. One that has lost its own to another is taken for new again, never the other
+    way round.
+    """
+
+    def __init__(self, size: int):
+        # at first, lines that have another place
+        self.sid, self.sign = np.arange(1, size + 1, dtype=np.int64), np.zeros(size, dtype=np.uint64)
+
+    def new(self, sid: np.ndarray, sign: np.ndarray) -> np.ndarray:
+        """Where lines are that haven't been sent, each once; they count as sent then."""
+        by = np.lexsort((sign, sid))
+        first = np.ones(len(by), dtype=bool)
+        first[1:] = (sid[by][1:] != sid[by][:-1]) | (sign[by][1:] != sign[by][:-1])
+        at = by[first]
+        place = sid[at] & (len(self.sid) - 1)
+        unsent = (self.sid[place] != sid[at]) | (self.sign[place] != sign[at])
+        at = at[unsent]
+        # of several lines with one place, the same one in both arrays
+        place, one = np.unique(place[unsent], return_index=True)
+        self.sid[place], self.sign[place] = sid[at[one]], sign[at[one]]
+        return at
+
+
 def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
     """(sid, sign, n, tokens) of the lines ``ids`` (sid), and of a few others."""
     wanted = _filter_of(ids)
 
     def task(batches):
-        bits, seen = wanted.value, set()
+        bits = wanted.value
+        sent = Sent(SENT)
         for batch in batches:
             for lines, _, _ in _groups(batch):
-                at = []
                 bit = lines.sid & (8 * len(bits) - 1)
-                for i in np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).tolist():
-                    name = lines.sid[i], lines.sign[i]
-                    if name not in seen:
-                        at.append(i)
-                        # else a line may come twice, which costs no more than time
-                        if len(seen) < SLOTS:
-                            seen.add(name)
+                at = np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+                at = at[sent.new(lines.sid[at], lines.sign[at])]
                 tokens = [np.unique(lines.word[lines.begin[i] : lines.begin[i + 1]]) for i in at]
                 columns = [lines.sid[at], lines.sign[at].view(np.int64), [len(t) for t in tokens], [t.tobytes() for t in tokens]]
                 yield _arrow(columns, [pa.int64()] * 3 + [pa.binary()], "sid sign n tokens")
@@ -377,7 +400,10 @@ def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
     lacks = lambda s, t: F.bit_count(s["sign"].bitwiseAND(F.bitwise_not(t["sign"]))) + F.bit_count(s["sign2"].bitwiseAND(F.bitwise_not(t["sign2"])))
     agree = (lacks(x, y) <= x["n"] - needed) & (lacks(y, x) <= y["n"] - needed)
     fits = may_match(x["n"], x["at"], y["n"], y["at"]) & agree & (order("y") < order("x"))
-    more = later.join(earlier, F.col("x.token") == F.col("y.token")).where(fits)
+    # a line looks only at those of a size that can match: its own class of sizes and the two beside it
+    near_sizes = F.explode(F.array(*(size_class(x["n"]) + i for i in (-1, 0, 1)))).alias("class")
+    later, earlier = later.select("x.*", near_sizes).alias("x"), earlier.select("y.*", size_class(y["n"]).alias("class")).alias("y")
+    more = later.join(earlier, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class"))).where(fits)
     more = more.select(x["sid"].alias("a"), x["sign"].alias("a2"), y["sid"].alias("b"), y["sign"].alias("b2"))
     left = ranked.where(F.col("turn") > TRIED).join(gone.toDF("a", "a2"), ["a", "a2"], "left_anti").select(*PAIR)
     more = keep(more.union(left).distinct())

@@ -5,6 +5,7 @@ Similarity is Jaccard's: two sets match when ``DEN`` x intersection >= ``NUM`` x
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pareframe.llm.wordhash import mix
 
 NUM, DEN = 75, 100
+#: Ratio of the sizes at the ends of a class of sizes.
+CLASS = 1.4
 
 
 def prefix_size(n: int) -> int:
@@ -32,6 +35,12 @@ def may_match(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
     return near & (F.least(n1 - at1, n2 - at2) >= needed)
 
 
+def size_class(n: Column) -> Column:
+    """Sizes whose ratio is near ``CLASS``. Sets that match are in the same class or in neighbouring ones: a class is wider than
+    DEN / NUM, by more than logarithms are inexact."""
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
+
+
 def pack(values: np.ndarray) -> bytes:
     """The bytes of an array, first bytes first: sorted or small numbers then compress well."""
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()

@@ -3,9 +3,11 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import collect, make_documents, near_copies
 from pareframe.llm import exact, linededup, ngrams
+from pareframe.llm.setjoin import size_class
 from pyspark.sql import functions as F
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -149,6 +151,36 @@ def test_line_dedup_with_long_lists(spark, listed):
         assert r["text"] == next((e for (d, t), e in expected.items() if d == r["doc_id"]), None)
 
 
+def test_line_dedup_with_lines_of_many_sizes(spark):
+    """Lists of one frequent word, of lines of 1 to 40 words, in blocks of 3: matches are found across classes of sizes."""
+    texts = ["\n".join(" ".join(f"w{j}" for j in range(1 + (i * 7 + k * 11) % 40)) for k in range(3)) for i in range(20)]
+    rows = list(enumerate(texts))
+    expected = brute_lines(rows)
+    found = collect(linededup.dedup_lines(make_documents(spark, rows).repartition(3), listed=3, hubs=1))
+    assert {r["doc_id"]: r["text"] for r in found} == {d: expected[d, t] for d, t in rows}
+
+
+def test_size_classes_of_matching_sets_are_neighbours(spark):
+    sizes = spark.range(1, 200_000).selectExpr("id AS n", "ceil(id * 75 / 100) AS least")
+    sizes = sizes.select(size_class(F.col("n")).alias("of_n"), size_class(F.col("least")).alias("of_least"))
+    assert sizes.where("of_n - of_least NOT IN (0, 1)").isEmpty()
+
+
+def test_no_line_is_taken_for_sent_that_was_not():
+    rnd = np.random.default_rng(3)
+    # few places, numbers that share them, and signs that differ where numbers don't
+    sent, gone = linededup.Sent(8), set()
+    for _ in range(50):
+        sid, sign = rnd.integers(0, 40, 30), rnd.integers(0, 2, 30).astype(np.uint64)
+        fresh = [(int(sid[i]), int(sign[i])) for i in sent.new(sid, sign)]
+        assert len(fresh) == len(set(fresh))
+        assert {(int(a), int(b)) for a, b in zip(sid, sign, strict=True)} - gone <= set(fresh)
+        gone |= set(fresh)
+    assert list(sent.new(np.array([3, 3]), np.array([1, 1], dtype=np.uint64))) in ([0], [])
+    assert len(sent.new(np.array([3]), np.array([1], dtype=np.uint64))) == 0
+    assert len(sent.new(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))) == 0
+
+
 def test_line_dedup_takes_odd_rows(documents, rows):
     assert len(collect(linededup.dedup_lines(documents.withColumn("n_lines", F.lit("mine"))))) == len(rows)
     kept = collect(linededup.deduplicated(documents))
