@@ -8,13 +8,16 @@ without words stay.
 1. Words, as 64-bit numbers, are ordered by rarity. They are counted over all lines, in SLOTS counters by hash (a fixed
    size); words that share a counter look more frequent than they are, which costs time, not results: any one
    order that all lines share makes the filters exact.
-2. Each line sends the words of its prefix to buckets by value, packed; very frequent words are dealt over several
-   buckets. In a bucket, lines with equal sets become one, and lines that share a word make candidate pairs, cut by
+2. Each line sends the words of its prefix to buckets by value, packed. A word that occurs FREQUENT times or more goes with
+   each word after it, up to one beyond the prefix: lines that match share two words there, so a list is of lines that have
+   both. In a bucket, lines with equal sets become one, and lines that share a word make candidate pairs, cut by
    size, by place of the word, and by a sign of 128 bits that all words of a line set and that must agree but for the
    words that may differ. Lists are sorted by size, so a line looks only at those of a size that can match, and in
-   blocks of LISTED. Of its candidates in a block a line keeps the HUBS earliest.
+   blocks of LISTED. Of its candidates in a block a line keeps the HUBS earliest; of a list stay the lines that have more,
+   and what they have beyond those. Lists of several blocks stay whole.
 3. The candidates of a line that share most words of its prefix are verified. Lines without a match are then verified
-   with all other candidates: those that were left, those beyond the HUBS, and those in other blocks.
+   with those that were left, and with what stays of their lists: there the sets themselves come together, a list in one
+   place or in pairs of parts of TOGETHER words, and what comes out is the lines that have a match, not the pairs.
 """
 
 from __future__ import annotations
@@ -26,18 +29,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pareframe.llm.rows import column, named, numbered
-from pareframe.llm.setjoin import DEN, NUM, expand, matching, may_match, pack, size_class, split_by, squeezed, unpack
+from pareframe.llm.setjoin import DEN, NUM, common, expand, matching, pack, split_by, squeezed, unpack
 from pareframe.llm.wordhash import mix, word_groups
 from pareframe.sources.tables import keep
 
 SLOTS, BLOCK = 1 << 21, 1 << 14
 #: Parts in which the counts of a block are summed first.
 PARTS = 64
-LISTED, HUBS = 512, 4
+LISTED, HUBS = 4096, 4
+#: Words of the lines of a part of a list whose sets come together, about; and of pairs that are compared in one step.
+TOGETHER, VERIFIED = 1 << 19, 1 << 19
 #: Candidates of a line that are verified first.
 TRIED = 2
-#: Words of all lines to a bucket, about; and of one word to a part of its list.
-BUCKET_WORDS, PART_WORDS = 1 << 22, 1 << 16
+#: Words of all lines to a bucket, about.
+BUCKET_WORDS = 1 << 22
+#: Occurrences of a word from which on it goes with a second one; lines of LONG words or more send it alone, too.
+FREQUENT, LONG = 1 << 16, 1 << 10
 #: Buckets to a shuffle partition, at least, so that partitions come out even.
 SPREAD = 4
 #: Pairs that are looked at in one step.
@@ -171,13 +178,34 @@ def _rarity(source: DataFrame) -> tuple:
 
 #: A word of a prefix within its bucket, and where a set is first. Fields with a type are packed as they are.
 POSTING = (
-    ("token", np.uint64), ("sid", np.int64), ("sign", np.uint64), ("sign2", np.uint64), ("doc", None), ("place", None), ("n", None), ("at", None), ("parted", None),
+    ("token", np.uint64), ("sid", np.int64), ("sign", np.uint64), ("sign2", np.uint64), ("doc", None), ("place", None), ("n", None), ("at", None),
 )
 PLACE = (("sid", np.int64), ("sign", np.uint64), ("doc", None), ("th", np.int64), ("place", None))
-FIELDS = ("token", "sid", "sign", "sign2", "doc", "th", "place", "n", "at", "parted")
+FIELDS = ("token", "sid", "sign", "sign2", "doc", "th", "place", "n", "at")
 
 
-def _sent(source: DataFrame, rarity, buckets: int) -> DataFrame:
+def _keys(lines: Lines, speaks: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, line, at): what the lines that speak have lists by, words or pairs of words, and the place from which on words can be shared.
+
+    Lines that match have a word of their prefixes in common; the first such is at ``at``, or, of a pair, the second is after it.
+    From LONG words on, lines send single words; smaller ones send pairs, and so do those that may match a smaller one.
+    """
+    at = np.arange(len(lines.value)) - lines.start[lines.line]
+    n = lines.n[lines.line]
+    last = n - -(-NUM * n // DEN)
+    early = (at <= last) & speaks[lines.line]
+    often = lines.rank >= 8 * np.log2(frequent)
+    one = np.flatnonzero(early & (~often | (n >= LONG)))
+    first = np.flatnonzero(early & often & (NUM * n < DEN * LONG))
+    # a line of one word matches only its like
+    many = (np.minimum(last + 1, n - 1) - at)[first]
+    first, step = np.repeat(first, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    second = first + 1 + step
+    token = np.concatenate([lines.value[one], mix(lines.value[first] ^ mix(lines.value[second]))])
+    return token, lines.line[np.concatenate([one, first])], np.concatenate([at[one], at[second] - 1])
+
+
+def _sent(source: DataFrame, rarity, buckets: int, frequent: int) -> DataFrame:
     """By bucket, packed: the prefix words of lines; and, in buckets under 0, where lines are."""
 
     def packed(bucket: np.ndarray, columns: dict, fields) -> list[dict]:
@@ -196,18 +224,14 @@ def _sent(source: DataFrame, rarity, buckets: int) -> DataFrame:
                 use = lines.firsts(doc)
                 where = -1 - (lines.sid[use].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 rows = packed(where, dict(sid=lines.sid[use], sign=lines.sign[use], doc=doc[use], th=th[use], place=lines.place[use]), PLACE)
-                at = np.arange(len(lines.value)) - lines.start[lines.line]
                 speaks = np.zeros(len(lines), dtype=bool)
                 speaks[use] = True
-                early = (at <= (lines.n - -(-NUM * lines.n // DEN))[lines.line]) & speaks[lines.line]
-                token, line, at = lines.value[early], lines.line[early], at[early]
-                parts = 1 + (2.0 ** (lines.rank[early] / 8) / PART_WORDS).astype(np.int64)
-                bucket = ((token >> HALF) * np.uint64(buckets) >> HALF).astype(np.int64)
-                bucket = (bucket + lines.sid[line].view(np.uint64).astype(np.int64) % parts) % buckets
+                token, line, at = _keys(lines, speaks, frequent)
                 order = np.argsort(token)
-                token, line, at, bucket, parts = token[order], line[order], at[order], bucket[order], parts[order]
+                token, line, at = token[order], line[order], at[order]
+                bucket = ((token >> HALF) * np.uint64(buckets) >> HALF).astype(np.int64)
                 columns = {name: getattr(lines, name)[line] for name in ("sid", "sign", "sign2", "place", "n")}
-                columns |= dict(token=token, doc=doc[line], at=at, parted=parts > 1)
+                columns |= dict(token=token, doc=doc[line], at=at)
                 yield pa.RecordBatch.from_pylist(rows + packed(bucket, columns, POSTING), schema=schema)
 
     return source.mapInArrow(task, "bucket long, " + ", ".join(f"{name} binary" for name in FIELDS))
@@ -264,8 +288,30 @@ def _lists(columns: dict) -> tuple[dict, np.ndarray]:
     return {k: v[order] for k, v in columns.items()}, number[order]
 
 
+def _pairs(block: np.ndarray, n: np.ndarray, at: np.ndarray, signs: list):
+    """(x, y, z) for entries by block and size: x and y of a block that may match, x no larger; the x of later steps are z or more."""
+    size = len(n)
+    # in a block, after each entry come those of no smaller size; the last that can match
+    by_size = (np.cumsum(np.concatenate([[False], block[1:] != block[:-1]])) << 32) | n
+    last = np.searchsorted(by_size, (by_size >> 32 << 32) | np.minimum(DEN * n // NUM, (1 << 32) - 1), "right")
+    # the smaller set needs most of its words from the shared one on
+    can = n - at >= -(-2 * NUM * n // (NUM + DEN))
+    ahead = np.where(can, last - np.arange(size) - 1, 0)
+    work = np.cumsum(ahead)
+    low = 0
+    while low < size:
+        # entries that have STEP pairs, or one
+        upto = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + STEP, "right")))
+        mine = ahead[low:upto]
+        x = np.repeat(np.arange(low, upto), mine)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(mine) - mine, mine)
+        ok = _near(n[x], at[x], n[y], at[y], [(s[x], s[y]) for s in signs])
+        yield x[ok], y[ok], upto
+        low = upto
+
+
 def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
-    """One bucket: where sets are first; or pairs (a, b), b the earlier line, and lists of which more is to be looked at."""
+    """One bucket: where sets are first; or pairs (a, b), b the earlier line, and what is to be looked at more in lists."""
     rows = table.to_pylist()
     fields = PLACE if rows[0]["bucket"] < 0 else POSTING
     columns = {name: np.concatenate([np.frombuffer(r[name], kind) if kind else expand(r[name]) for r in rows]) for name, kind in fields}
@@ -279,38 +325,63 @@ def _candidates(table: pa.Table, listed: int, hubs: int) -> pa.Table:
     length = np.diff(np.append(starts, size))
     inside = np.arange(size) - np.repeat(starts, length)
     block = (number << 32) | (inside // listed)
-    more = columns["parted"].astype(bool) | np.repeat(length > listed, length)
-    # in a block, after each entry come those of no smaller size; the last that can match
-    by_size = (np.cumsum(np.concatenate([[False], block[1:] != block[:-1]])) << 32) | n
-    last = np.searchsorted(by_size, (by_size >> 32 << 32) | np.minimum(DEN * n // NUM, (1 << 32) - 1), "right")
-    # the smaller set needs most of its words from the shared one on
-    can = n - at >= -(-2 * NUM * n // (NUM + DEN))
-    ahead = np.where(can, last - np.arange(size) - 1, 0)
-    ends = np.flatnonzero(np.append(block[1:] != block[:-1], True)) + 1
-    work = np.cumsum(ahead)
-    pairs, low, done = [np.zeros((0, 2), dtype=np.int64)], 0, 0
-    while low < size:
-        # whole blocks, as many as give STEP pairs, or one
-        upto = int(ends[max(np.searchsorted(work[ends - 1], done + STEP, "right") - 1, np.searchsorted(ends, low, "right"))])
-        mine = ahead[low:upto]
-        x = np.repeat(np.arange(low, upto), mine)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(mine) - mine, mine)
-        ok = _near(n[x], at[x], n[y], at[y], [(sign[x], sign[y]), (sign2[x], sign2[y])])
-        x, y = x[ok], y[ok]
+    # lists that are not looked at as a whole here
+    more = np.repeat(length > listed, length)
+    needed = more.copy()
+    begin = np.append(np.maximum.accumulate(np.where(np.concatenate([[True], block[1:] != block[:-1]]), np.arange(size), 0)), size)
+    pairs, a, b = [np.zeros((2, 0), dtype=np.int64)], *np.zeros((2, 0), dtype=np.int64)
+    for x, y, upto in _pairs(block, n, at, [sign, sign2]):
         later = (when[x] > when[y]) | ((when[x] == when[y]) & (sid[x] > sid[y]))
-        a, b = np.where(later, x, y), np.where(later, y, x)
+        a, b = np.concatenate([a, np.where(later, x, y)]), np.concatenate([b, np.where(later, y, x)])
         order = np.lexsort((when[b], a))
         a, b = a[order], b[order]
-        turn = np.arange(len(a)) - np.searchsorted(a, a)
-        more[a[turn >= hubs]] = True
-        pairs.append(np.stack([a, b], axis=1)[turn < hubs])
-        done, low = int(work[upto - 1]), upto
-    a, b = np.concatenate(pairs).T
-    needed = np.repeat(np.logical_or.reduceat(more, starts), length)
+        beyond = np.arange(len(a)) - np.searchsorted(a, a) >= hubs
+        more[a[beyond]] = needed[a[beyond]] = needed[b[beyond]] = True
+        a, b = a[~beyond], b[~beyond]
+        # a block that goes on may have earlier ones
+        ended = a < begin[upto]
+        pairs.append(np.stack([a[ended], b[ended]]))
+        a, b = a[~ended], b[~ended]
+    a, b = np.concatenate(pairs, axis=1)
     left = {name: columns[name][needed] for name in ("token", "sid", "sign", "sign2", "doc", "place", "n", "at")} | {"open": more[needed]}
     return pa.concat_tables([_rows(len(a), {"a": sid[a], "a2": sign[a], "b": sid[b], "b2": sign[b]}), _rows(int(needed.sum()), left)])
 
 
+def _matched(table: pa.Table) -> pa.Table:
+    """Lines of a list, or of two parts of it, that an earlier one there matches, of those that are open."""
+    table = table.combine_chunks().sort_by("n")
+    sid, doc, place, n, at, part = (table[k].to_numpy() for k in ("sid", "doc", "place", "n", "at", "part"))
+    signs = [table[k].to_numpy().view(np.uint64) for k in ("sign", "sign2")]
+    tokens = table["tokens"].combine_chunks()
+    when = np.empty(len(n), dtype=np.int64)
+    when[np.lexsort((sid, place, doc))] = np.arange(len(n))
+    is_open, apart = table["open"].to_numpy() == 1, table["p"][0].as_py() != table["q"][0].as_py()
+    found = np.zeros(len(n), dtype=bool)
+    for x, y, _ in _pairs(np.zeros(len(n), dtype=np.int64), n, at, signs):
+        later = when[x] > when[y]
+        a, b = np.where(later, x, y), np.where(later, y, x)
+        use = is_open[a] & ~found[a]
+        if apart:
+            use &= part[a] != part[b]
+        a, b = a[use], b[use]
+        order = np.lexsort((when[b], a))
+        a, b = a[order], b[order]
+        # the earliest of each line, then twice as many, as long as there is no match
+        turn, upto = np.arange(len(a)) - np.searchsorted(a, a), 1
+        while len(a):
+            now = np.flatnonzero(turn < upto)
+            words, low = np.cumsum(n[a[now]] + n[b[now]]), 0
+            while low < len(now):
+                end = max(low + 1, int(np.searchsorted(words, (words[low - 1] if low else 0) + VERIFIED, "right")))
+                i, j = a[now[low:end]], b[now[low:end]]
+                low = end
+                shared = common(tokens.take(pa.array(i)), tokens.take(pa.array(j)))
+                found[i[DEN * shared >= NUM * (n[i] + n[j] - shared)]] = True
+            rest = (turn >= upto) & ~found[a]
+            a, b, turn, upto = a[rest], b[rest], turn[rest], 2 * upto
+    return pa.table({"sid": pa.array(sid[found]), "sign": pa.array(signs[0][found].view(np.int64))})
+
+
 def _filter_of(ids: DataFrame):
     """A bit for each of the lines ``ids`` (sid), by the low bits of its number, sent to all executors: MOST_BITS at most."""
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (LINE_BITS * ids.count()).bit_length()))
@@ -376,38 +447,48 @@ def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, list(ID), "left_semi").dropDuplicates(list(ID))
 
 
-def _found(source: DataFrame, rarity, words: int, listed: int, hubs: int) -> DataFrame:
+def _found(source: DataFrame, rarity, words: int, listed: int, hubs: int, frequent: int) -> DataFrame:
     """Entries of three kinds: first places (th), candidate pairs (a), lists with more to look at (token)."""
     buckets = max(SPREAD * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
-    sent = _sent(source, rarity, buckets)
+    sent = _sent(source, rarity, buckets, frequent)
     return keep(sent.groupBy("bucket").applyInArrow(lambda table: _candidates(table, listed, hubs), ", ".join(f"{name} array<long>" for name in OUT)))
 
 
 PAIR = ("a", "a2", "b", "b2")
 
 
-def _repeated(source: DataFrame, found: DataFrame) -> DataFrame:
+def _repeated(source: DataFrame, found: DataFrame, together: int) -> DataFrame:
     """(sid, sign) of the distinct lines that an earlier, different line matches."""
     voted = _entries(found, *PAIR).groupBy(*PAIR).count()
     best = Window.partitionBy("a", "a2").orderBy(F.desc("count"), "b", "b2")
     ranked = keep(voted.select(*PAIR, F.row_number().over(best).alias("turn")))
     gone = _verified(source, ranked.where(F.col("turn") <= TRIED).select(*PAIR))
-    listed = _entries(found, "token", "sid", "sign", "sign2", "doc", "place", "n", "at", "open")
-    later, earlier = listed.where("open = 1").join(gone, list(ID), "left_anti").alias("x"), listed.alias("y")
-    order = lambda t: F.struct(f"{t}.doc", f"{t}.place", f"{t}.sid")
-    x, y = ({k: F.col(f"{t}.{k}") for k in ("n", "at", "sign", "sign2", "sid")} for t in "xy")
-    needed = F.ceil(NUM * (x["n"] + y["n"]) / (NUM + DEN))
-    lacks = lambda s, t: F.bit_count(s["sign"].bitwiseAND(F.bitwise_not(t["sign"]))) + F.bit_count(s["sign2"].bitwiseAND(F.bitwise_not(t["sign2"])))
-    agree = (lacks(x, y) <= x["n"] - needed) & (lacks(y, x) <= y["n"] - needed)
-    fits = may_match(x["n"], x["at"], y["n"], y["at"]) & agree & (order("y") < order("x"))
-    # a line looks only at those of a size that can match: its own class of sizes and the two beside it
-    near_sizes = F.explode(F.array(*(size_class(x["n"]) + i for i in (-1, 0, 1)))).alias("class")
-    later, earlier = later.select("x.*", near_sizes).alias("x"), earlier.select("y.*", size_class(y["n"]).alias("class")).alias("y")
-    more = later.join(earlier, (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class"))).where(fits)
-    more = more.select(x["sid"].alias("a"), x["sign"].alias("a2"), y["sid"].alias("b"), y["sign"].alias("b2"))
-    left = ranked.where(F.col("turn") > TRIED).join(gone.toDF("a", "a2"), ["a", "a2"], "left_anti").select(*PAIR)
-    more = keep(more.union(left).distinct())
-    return gone if more.isEmpty() else keep(gone.union(_verified(source, more)).distinct())
+    left = keep(ranked.where(F.col("turn") > TRIED).join(gone.toDF("a", "a2"), ["a", "a2"], "left_anti").select(*PAIR))
+    # of lists, those with lines that are still open
+    listed = keep(_entries(found, "token", *ID, "sign2", "doc", "place", "n", "at", "open"))
+    ended = gone.withColumn("ended", F.lit(True))
+    listed = listed.join(ended, list(ID), "left").withColumn("open", F.when(F.col("ended"), 0).otherwise(F.col("open"))).drop("ended")
+    listed = keep(listed.join(listed.where("open = 1").select("token").distinct(), "token", "left_semi"))
+    ends = [left.select(F.col(x).alias("sid"), F.col(f"{x}2").alias("sign")) for x in "ab"]
+    ids = keep(ends[0].union(ends[1]).union(listed.select(*ID)).distinct())
+    if ids.isEmpty():
+        return gone
+    sets = keep(_sets(source, ids))
+    more = [matching(left, sets, ID).select(F.col("a").alias("sid"), F.col("a2").alias("sign")), _matched_in_lists(listed, sets, together)]
+    return keep(gone.union(more[0]).union(more[1]).distinct())
+
+
+def _matched_in_lists(listed: DataFrame, sets: DataFrame, together: int) -> DataFrame:
+    """(sid, sign) of the open lines of ``listed`` that an earlier line of the same list matches.
+
+    Lists whose lines have more than ``together`` words are dealt over parts, and each two parts meet once, so that what comes
+    together is about twice as many at most.
+    """
+    parts = listed.groupBy("token").agg(F.ceil(F.sum("n") / together).alias("parts"))
+    dealt = listed.join(parts, "token").withColumn("part", F.pmod("sid", "parts"))
+    dealt = dealt.join(sets.select(*ID, "tokens"), list(ID)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    return dealt.groupBy("token", "p", "q").applyInArrow(_matched, "sid long, sign long")
 
 
 def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -417,13 +498,13 @@ def _verified(source: DataFrame, pairs: DataFrame) -> DataFrame:
     return keep(matching(pairs, sets, ID).select(F.col("a").alias("sid"), F.col("a2").alias("sign")).distinct())
 
 
-def _changed(documents: DataFrame, listed: int, hubs: int) -> DataFrame:
+def _changed(documents: DataFrame, listed: int, hubs: int, together: int, frequent: int) -> DataFrame:
     """The documents with numbered columns (rows.numbered), text and n_chars as they become, n_lines, n_removed, and n_stay,
     the lines with words that stay."""
     source = _source(documents)
     rarity, words = _rarity(source)
-    found = _found(source, rarity, words, listed, hubs)
-    stay = _entries(found, "th", "sid", "sign", "doc", "place").join(_repeated(source, found), list(ID), "left_anti")
+    found = _found(source, rarity, words, listed, hubs, frequent)
+    stay = _entries(found, "th", "sid", "sign", "doc", "place").join(_repeated(source, found, together), list(ID), "left_anti")
     lists = stay.groupBy("doc", "th").agg(F.collect_list(F.col("place").cast("int")).alias("stay"))
     text, size = (documents.columns.index(c) if c in documents.columns else None for c in ("text", "n_chars"))
     keys = {"doc": F.coalesce(F.col(column(documents, "doc_id")).cast("long"), F.lit(NO_ID)), "th": F.xxhash64(f"c{text}")}
@@ -440,7 +521,7 @@ def _changed(documents: DataFrame, listed: int, hubs: int) -> DataFrame:
     return changed.drop("stay", "lines", "left")
 
 
-def dedup_lines(documents: DataFrame, listed: int = LISTED, hubs: int = HUBS) -> DataFrame:
+def dedup_lines(documents: DataFrame, listed: int = LISTED, hubs: int = HUBS, together: int = TOGETHER, frequent: int = FREQUENT) -> DataFrame:
     """``documents`` with ``text`` made of the lines that stay, and n_lines, n_removed (lines before, removed).
 
     Null texts stay null and have no lines; an empty text has one line, without words. Null ids come before all
@@ -448,7 +529,7 @@ def dedup_lines(documents: DataFrame, listed: int = LISTED, hubs: int = HUBS) ->
     or n_removed are replaced; a column n_chars, where there is one, gets the new length; all others stay, whatever
     their names. An empty table gives no rows. Lines are told apart by 128 bits made from their sets.
     """
-    return named(_changed(documents, listed, hubs), documents.columns, ["n_lines", "n_removed"])
+    return named(_changed(documents, listed, hubs, together, frequent), documents.columns, ["n_lines", "n_removed"])
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
@@ -457,4 +538,4 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     A document that had no line with words to begin with stays as it is. Otherwise as ``dedup_lines``, but that
     columns named n_lines or n_removed stay, too.
     """
-    return named(_changed(documents, LISTED, HUBS).where("n_removed = 0 OR n_stay > 0"), documents.columns)
+    return named(_changed(documents, LISTED, HUBS, TOGETHER, FREQUENT).where("n_removed = 0 OR n_stay > 0"), documents.columns)

@@ -86,8 +86,8 @@ def matching(pairs: DataFrame, sets: DataFrame, ids: tuple[str, ...] = ("sid",))
         for batch in batches:
             *which, n1, n2, t1, t2 = batch.columns
             total = n1.to_numpy().astype(np.int64) + n2.to_numpy()
-            common = np.concatenate([np.zeros(0, np.int64), *(_common(t1, t2, s) for s in _stretches(t1, t2))])
-            keep = pa.array(DEN * common >= NUM * (total - common))
+            shared = common(t1, t2)
+            keep = pa.array(DEN * shared >= NUM * (total - shared))
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in which], names=names)
 
     return both.mapInArrow(check, pairs.select(*names).schema)
@@ -115,6 +115,11 @@ def _stretches(t1: pa.Array, t2: pa.Array) -> Iterator[slice]:
         at = upto
 
 
+def common(t1: pa.Array, t2: pa.Array) -> np.ndarray:
+    """Tokens that the two sets of each row share."""
+    return np.concatenate([np.zeros(0, np.int64), *(_common(t1, t2, s) for s in _stretches(t1, t2))])
+
+
 def _common(t1: pa.Array, t2: pa.Array, rows: slice) -> np.ndarray:
     """Tokens that the two sets of each row share, all rows at once: equal tokens of a row meet when sorted."""
     (x, nx), (y, ny) = (_tokens(t, rows) for t in (t1, t2))

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import collect, make_documents, near_copies
 from pareframe.llm import exact, linededup, ngrams
@@ -160,6 +161,58 @@ def test_line_dedup_with_lines_of_many_sizes(spark):
     assert {r["doc_id"]: r["text"] for r in found} == {d: expected[d, t] for d, t in rows}
 
 
+@pytest.mark.parametrize("frequent, together", [(2, 40), (30, 1 << 19), (1 << 16, 200)])
+def test_line_dedup_with_frequent_words_and_parts_of_lists(spark, frequent, together):
+    """Lists by pairs of words, and lists whose parts meet two at a time."""
+    rows = unique_ids(near_copies(seed=9, bases=2, copies=25, words=40))
+    expected = brute_lines(rows)
+    found = collect(linededup.dedup_lines(make_documents(spark, rows).repartition(3), listed=3, hubs=1, frequent=frequent, together=together))
+    assert {r["doc_id"]: r["text"] for r in found} == {d: expected.get((d, t)) for d, t in rows}
+
+
+def lines_of(sets):
+    n = np.array([len(x) for x in sets])
+    return linededup.Lines(np.zeros(n.sum(), dtype=np.int64), np.repeat(np.arange(len(n)), n), linededup.mix(np.concatenate([np.array(sorted(x), dtype=np.uint64) for x in sets])))
+
+
+def test_matching_lines_have_a_list_in_common(monkeypatch):
+    """Whether words are frequent or not, and lines short or long."""
+    monkeypatch.setattr(linededup, "LONG", 12)
+    rnd = np.random.default_rng(4)
+    sets = [{int(x)} for x in rnd.integers(0, 5, 3)]
+    for n in range(2, 25):
+        base = [int(x) for x in rnd.permutation(60)[:n]]
+        sets += [set(base[int(rnd.integers(0, n // 4 + 1)) :]) | {int(x) for x in rnd.integers(0, 60, rnd.integers(0, n // 5 + 2))} for _ in range(8)]
+    lines = lines_of(sets)
+    lines.order(rnd.integers(0, 24, linededup.SLOTS).astype(np.uint8))
+    token, line, at = linededup._keys(lines, np.ones(len(lines), dtype=bool), 4)
+    mine = [{t: int(a) for t, a in zip(token[line == i].tolist(), at[line == i], strict=True)} for i in range(len(lines))]
+    matching = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x != y and 100 * len(x & y) >= 75 * len(x | y):
+                matching += 1
+                needed = -(-75 * (len(x) + len(y)) // 175)
+                assert any(min(len(x) - mine[i][t], len(y) - mine[j][t]) >= needed for t in mine[i].keys() & mine[j].keys())
+    assert matching > 100
+
+
+def test_lists_leave_what_is_to_be_looked_at_only():
+    """Of a list of many lines, eight of which may match, what those have beyond their first four candidates is left."""
+    sets = [set(range(1000 + 20 * i, 1019 + 20 * i)) | {1} for i in range(100)] + [set(range(2, 20)) | {1, 100 + i} for i in range(8)]
+    lines = lines_of(sets)
+    zeros = np.zeros(len(sets), dtype=np.int64)
+    given = {"token": zeros.view(np.uint64), "sid": lines.sid, "sign": lines.sign, "sign2": lines.sign2, "doc": np.arange(len(sets)), "n": np.diff(lines.begin)}
+    row = {"bucket": 0}
+    for name, kind in linededup.POSTING:
+        head, values = (b"", given[name]) if kind else linededup.squeezed(given.get(name, zeros))
+        row[name] = head + values.tobytes()
+    found = linededup._candidates(pa.Table.from_pylist([row]), 512, 4)
+    left = [d for docs in found["doc"].to_pylist() if docs for d in docs]
+    assert sorted(left) == [104, 105, 106, 107]
+    assert sum(len(a) for a in found["a"].to_pylist() if a) == 1 + 2 + 3 + 4 * 4
+
+
 def test_size_classes_of_matching_sets_are_neighbours(spark):
     sizes = spark.range(1, 200_000).selectExpr("id AS n", "ceil(id * 75 / 100) AS least")
     sizes = sizes.select(size_class(F.col("n")).alias("of_n"), size_class(F.col("least")).alias("of_least"))
