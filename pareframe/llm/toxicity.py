@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ PREFIXES = (4, 5, 6)
 LEAST_ROWS, LEAST_Z = 3, 3.5
 #: Probability of any severity from which a document is toxic. Most clean ones are under 0.05.
 REJECT = 0.3
+#: Features that are looked at in one step.
+STEP = 1 << 18
 
 
 def split(text: str | None) -> list[str]:
@@ -97,8 +100,12 @@ def fit(rows: list[tuple[dict[str, float], int]], names: list[str], grades: int
 
 
 def _descend(row, column, value, grade, names: list[str], grades: int, steps: int = 400, l2: float = 1e-4) -> Ordinal:
-    """Gradient descent (Adam) on the negative log likelihood, from zero; (row, column, value) are the features."""
+    """Gradient descent (Adam) on the negative log likelihood, from zero; (row, column, value) are the features.
+
+    What is computed for each feature is so for STEP of them at a time, so the driver holds little beside them.
+    """
     n, size = max(1, len(grade)), len(names)
+    parts = [(row[i : i + STEP], column[i : i + STEP], value[i : i + STEP]) for i in range(0, len(row), STEP)]
     # thresholds: the first, then logarithms of the gaps
     p = np.concatenate([np.zeros(size), [2.0], np.zeros(grades - 2)])
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -106,7 +113,7 @@ def _descend(row, column, value, grade, names: list[str], grades: int, steps: in
     for step in range(1, steps + 1):
         w, gaps = p[:size], np.exp(p[size + 1 :])
         theta = p[size] + np.concatenate([[0], np.cumsum(gaps)])
-        score = np.bincount(row, w[column] * value, len(grade))
+        score = sum((np.bincount(r, w[c] * v, len(grade)) for r, c, v in parts), np.zeros(len(grade)))
         ends = np.concatenate([[-np.inf], theta, [np.inf]])
         lo, hi = sigmoid(ends[grade] - score), sigmoid(ends[grade + 1] - score)
         lo, hi = np.where(grade == 0, 0, lo), np.where(grade == grades - 1, 1, hi)
@@ -116,7 +123,8 @@ def _descend(row, column, value, grade, names: list[str], grades: int, steps: in
         dtheta = np.bincount(np.minimum(grade, grades - 2), np.where(grade < grades - 1, -dhi, 0) / n, grades - 1)
         dtheta += np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, dlo, 0) / n, grades - 1)
         later = np.cumsum(dtheta[::-1])[::-1]
-        g = np.concatenate([np.bincount(column, slope[row] * value, size) + l2 * w, [later[0]], later[1:] * gaps])
+        slopes = sum((np.bincount(c, slope[r] * v, size) for r, c, v in parts), np.zeros(size))
+        g = np.concatenate([slopes + l2 * w, [later[0]], later[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.05 * min(1.0, 2 - 2 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         p[:size] = np.maximum(p[:size], 0)  # every feature speaks for toxicity
@@ -178,12 +186,15 @@ def train(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, grades
         return run
 
     # at most ``bound`` rows, with the features that they have of the strong ones
-    data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow().combine_chunks()
+    data = map_texts(sample, make_values, "toxic int, at array<int>, value array<double>").toArrow()
     is_toxic = data["toxic"].to_numpy() > 0
-    lists, value = (data[name].combine_chunks() for name in ("at", "value"))
-    row = np.repeat(np.arange(len(data), dtype=np.int32), lists.value_lengths().to_numpy())
-    column, value = lists.flatten().to_numpy(), value.flatten().to_numpy()
-    amount = np.bincount(row, value * np.array([n in clear for n in names], dtype=float)[column], len(data))
+    lists = data["at"].combine_chunks()
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy())
+    column, value = lists.flatten().to_numpy(), data["value"].combine_chunks().flatten().to_numpy()
+    # what came has been copied into whole columns
+    del data
+    pa.default_memory_pool().release_unused()
+    amount = np.bincount(row, value * np.array([n in clear for n in names], dtype=float)[column], len(is_toxic))
     cuts = np.quantile(amount[is_toxic], np.arange(1, grades - 1) / (grades - 1))
     grade = np.where(is_toxic, 1 + np.searchsorted(cuts, amount), 0)
     return _descend(row, column, value, grade, names, grades)

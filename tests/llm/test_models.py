@@ -157,3 +157,21 @@ def test_fusion_against_brute_force(spark):
         share = np.exp(total - total.max())
         assert found[r["key"]]["lang"] == ["aa", "bb", "cc"][int(total.argmax())]
         assert found[r["key"]]["posterior"] == pytest.approx(float(share.max() / share.sum()), abs=2e-4)
+
+
+def test_fit_holds_little_beside_its_features(monkeypatch):
+    """A million features, in steps; the same weights as at once."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(1)
+    row = np.repeat(np.arange(1000, dtype=np.int32), 1000)
+    column, value = rnd.integers(0, 50, len(row)).astype(np.int32), rnd.random(len(row))
+    grade, names = rnd.integers(0, 4, 1000), [f"f{i}" for i in range(50)]
+    tracemalloc.start()
+    found = toxicity._descend(row, column, value, grade, names, 4, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+    monkeypatch.setattr(toxicity, "STEP", len(row))
+    whole = toxicity._descend(row, column, value, grade, names, 4, steps=3)
+    assert np.allclose(list(found.weights.values()), list(whole.weights.values())) and np.allclose(found.thresholds, whole.thresholds)
