@@ -163,16 +163,19 @@ def import_usage(spark: SparkSession, d: str) -> DataFrame:
     file's own package is the brand of its first part.
     """
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    lost = ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45)).alias("lost")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), "l_partkey", lost).join(part, "l_partkey")
+    # deals the lines out by file; names are made and lines taken apart behind it
+    lines = lines.withColumn("package", F.min_by("p_brand", "l_partkey").over(Window.partitionBy("file")))
     name = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
-    uses = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_quantity").join(part, "l_partkey")
-    uses = uses.select(F.col("l_orderkey").alias("file"), F.concat("p_brand", F.lit("."), name).alias("path"), name.alias("name"), "p_brand", "p_size", "l_partkey", "l_returnflag", "l_quantity")
-    none = F.lit(None).cast("string").alias("alias")
-    by_name = uses.where("p_size <= 25").select("file", "path", none, F.lit(False).alias("star"))
-    stars = uses.where("p_size > 40").select("file", F.col("p_brand").alias("path"), none, F.lit(True).alias("star"))
-    own = uses.groupBy("file").agg(F.min_by("p_brand", "l_partkey").alias("package"))
-    unresolved = uses.where("l_returnflag = 'R' AND l_quantity > 45").select("file", "name")
-    found = imports.used_imports(by_name.union(stars).distinct(), uses.select("file", "path", "name"), unresolved, own)
-    return found.select("file", "path", "star", "n")
+    path = F.concat("p_brand", F.lit("."), name)
+    by_name = (F.col("p_size") <= 25) & F.col("p_brand").isNotNull()
+    both = F.array(
+        imports.mention(path, name, star=F.when(by_name, False), imported=by_name, used=F.lit(True), lost=F.col("lost")),
+        F.when(F.col("p_size") > 40, imports.mention(F.col("p_brand"), star=F.lit(True), imported=F.lit(True))),
+    )
+    mentions = lines.select("file", "package", F.inline(F.array_compact(both)))
+    return imports.counted(mentions).select("file", "path", "star", "n").distinct()
 
 
 def call_traces(spark: SparkSession, d: str) -> DataFrame:
